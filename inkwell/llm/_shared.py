@@ -35,12 +35,16 @@ def stored(df: DataFrame, *sort: str, into: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = into or f"{shared_folder(spark)}/inkwell/{uuid.uuid4().hex}"
     if not into:
-        _written.append((spark, path))
+        remove_at_exit(spark, path)
     out = df.sortWithinPartitions(*sort) if sort else df
     out.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    _written.append((spark, path))
+
+
 @atexit.register
 def _remove() -> None:
     for spark, path in _written:

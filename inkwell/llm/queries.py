@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash
+from . import bpe, decontam, minhash, quality, sharding, substring, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +18,49 @@ def op2_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.encode_decode(_table(spark, sf_dir, "documents"), _tokenizer())
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op4_fingerprint_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.substring_dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op5_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_extendible_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op10_term_at_a_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_dart_minhash": op2_dart_minhash,
+    "op3_bpe_automaton": op3_bpe_automaton,
+    "op4_fingerprint_log": op4_fingerprint_log,
+    "op5_spaced_seeds": op5_spaced_seeds,
+    "op8_kneser_ney": op8_kneser_ney,
+    "op9_extendible_hashing": op9_extendible_hashing,
+    "op10_term_at_a_time": op10_term_at_a_time,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_extendible_hashing": sharding.SQL,
+    "op10_term_at_a_time": topk.SQL,
+}
