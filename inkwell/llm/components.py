@@ -27,10 +27,11 @@ def components(edges: DataFrame) -> DataFrame:
     of the longest path.
     """
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
     while True:
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if state == seen or not state["n"]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
-        seen = state
+        # done when no root has a root, and no node two
+        ends = now.groupBy("a").agg(F.count("*").alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("b").alias("a"), F.lit(0).cast("long").alias("up"), F.lit(1).alias("down")))
+        open_ = ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)")
+        if open_.isEmpty():
+            roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
         now = stored(_small_star(_large_star(now)))

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import order_id, pieces, stored
@@ -120,7 +120,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig = signatures(element, owner, weight, b.num_rows, BANDS * ROWS)
         empty = (sig == 0).any(axis=1)
         keys = mix(grams(sig.reshape(-1), ROWS)[::ROWS].reshape(-1, BANDS) + np.arange(BANDS, dtype=U)) if b.num_rows else sig
-        short = (sig & U(255)).astype(np.uint8)
+        short = (sig & U(0xFFFF)).astype(np.uint16)
         yield pa.record_batch(
             [
                 b.column("o"),
@@ -134,69 +134,68 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's blocks with its sorted shingles (32 bits of each: a similarity shifts by less than 1e-5)."""
+    """Each text's blocks with its sorted elements, the k-th time of a shingle as an element of its own
+    (so that common elements add up to the sum of minima), by 32 bits: a similarity shifts by less than 1e-5."""
     for b in pieces(batches, "text"):
         prints, owner = shingles(b.column("text"))
+        order = np.lexsort((prints, owner))
+        prints, owner = prints[order], owner[order]
         first = np.searchsorted(owner, np.arange(b.num_rows + 1))
-        blobs = [np.sort((prints[i:j] >> U(32)).astype(np.uint32)).tobytes() for i, j in zip(first[:-1], first[1:])]
+        new = np.ones(len(prints), bool)
+        new[1:] = (prints[1:] != prints[:-1]) | (owner[1:] != owner[:-1])
+        start = np.flatnonzero(new)
+        time = np.arange(len(prints)) - np.repeat(start, np.diff(np.append(start, len(prints))))
+        element = (mix(prints + time.astype(U) * U(0xD1342543DE82EF95)) >> U(32)).astype(np.uint32)
+        blobs = [np.sort(element[i:j]).tobytes() for i, j in zip(first[:-1], first[1:])]
         yield pa.record_batch([b.column("o"), b.column("sig"), b.column("blocks"), pa.array(blobs, pa.binary())], names=["o", "sig", "blocks", "blob"])
 
 
-class _Forest(dict):
-    def root(self, x: int) -> int:
-        while (up := self.get(x, x)) != x:
-            self[x] = x = self.get(up, up)
-        return x
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.root(a), self.root(b)
-        self[max(a, b)] = min(a, b)
-
-
-def _links_of(rows: list[tuple]) -> list[tuple[int, int]]:
-    """Links that span what is similar among the rows (o, comp, lone, sig, blob) of one block.
-
-    Pairs go by falling agreement of their signatures; those connected already, by ``comp`` or by
-    links found here, aren't computed. Where some rows are ``lone``, only pairs with one of them count.
-    """
-    o, comp = [r[0] for r in rows], [r[1] for r in rows]
-    lone = np.array([r[2] for r in rows], bool)
-    sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
-    label = np.array(comp)
-    left = np.flatnonzero(lone) if lone.any() else np.arange(len(rows))
-    found, forest = [], _Forest()
-    pairs = []
-    for i in left.tolist():
-        to = (sig == sig[i]).mean(axis=1)
-        to[label == label[i]] = 0
-        if not lone.any():
-            to[: i + 1] = 0
-        near = np.flatnonzero(to >= SCREEN)
-        pairs += zip(to[near].tolist(), [i] * len(near), near.tolist())
-    for _, i, j in sorted(pairs, reverse=True):
-        if forest.root(comp[i]) != forest.root(comp[j]) and _similar32(rows[i][4], rows[j][4]):
-            forest.join(comp[i], comp[j])
-            found.append((o[i], o[j]))
-    return found
-
-
-def _similar32(a: bytes, b: bytes) -> bool:
+def _similar(a: bytes, b: bytes) -> bool:
     x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
     if min(len(x), len(y)) < THRESHOLD * max(len(x), len(y)):
         return False
     both = np.concatenate([x, y])
-    both.sort(kind="stable")
-    # of a value that x has p times and y q times, min(p, q) pairs: count them by position in each run
-    if len(np.unique(x)) == len(x) and len(np.unique(y)) == len(y):
-        common = int((both[1:] == both[:-1]).sum())
-    else:
-        values = np.unique(both)
-        common = int(np.minimum(_times(x, values), _times(y, values)).sum())
+    both.sort()
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
     return common >= THRESHOLD * (len(both) - common)
 
 
-def _times(x: np.ndarray, values: np.ndarray) -> np.ndarray:
-    return np.searchsorted(x, values, "right") - np.searchsorted(x, values, "left")
+def _links_of(rows: list[tuple]) -> list[tuple[int, int]]:
+    """Links that join what is similar among the rows (o, band, comp, lone, sig, blob) of one block.
+
+    A pair is looked at in the first band in which it meets, and pairs go by falling agreement of their
+    signatures; those connected already, by ``comp`` or by links found here, aren't computed. Where some
+    rows are ``lone``, only pairs with one of them count. Found links come as stars.
+    """
+    o, band = [r[0] for r in rows], rows[0][1]
+    label = np.unique([r[2] for r in rows], return_inverse=True)[1]
+    lone = np.array([r[3] for r in rows], bool)
+    sig = np.frombuffer(b"".join(r[4] for r in rows), np.uint16).reshape(len(rows), BANDS * ROWS)
+    left = np.flatnonzero(lone) if lone.any() else np.arange(len(rows))
+    found = []
+    for part in np.array_split(left, -(-len(left) * len(rows) // 50_000)):
+        same = sig[part][:, None, :] == sig[None, :, :]
+        near = same.sum(axis=2, dtype=np.int16) >= SCREEN * BANDS * ROWS
+        near &= label[part][:, None] != label[None, :]
+        if not lone.any():
+            near &= part[:, None] < np.arange(len(rows))[None, :]
+        i, j = np.nonzero(near)
+        both = same[i, j]
+        first = both.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+        found.append((part[i[first]], j[first], both[first].sum(axis=1)))
+    one, two, agree = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(-agree, kind="stable")
+    one, two = one[order], two[order]
+    linked = set()
+    for start in range(0, len(one), 256):
+        i, j = one[start : start + 256], two[start : start + 256]
+        apart = label[i] != label[j]
+        for x, y in zip(i[apart].tolist(), j[apart].tolist()):
+            if label[x] != label[y] and _similar(rows[x][5], rows[y][5]):
+                label[label == label[y]] = label[x]
+                linked |= {x, y}
+    hub: dict[int, int] = {}
+    return [(o[hub.setdefault(int(label[x]), x)], o[x]) for x in sorted(linked)]
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +207,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     now, rows = None, []
     for b in batches:
-        columns = [b.column(c).to_pylist() for c in ("g", "o", "comp", "lone", "sig", "blob")]
+        columns = [b.column(c).to_pylist() for c in ("g", "o", "band", "comp", "lone", "sig", "blob")]
         for g, *row in zip(*columns):
             if g != now:
                 if len(rows) > 1:
@@ -219,33 +218,20 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compare(texts: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Links among the members of each block. blocks: (o, g, comp, lone); a text is in few of them."""
-    own = blocks.groupBy("o").agg(F.collect_list(F.struct("g", "comp", "lone")).alias("blocks"))
+    """Links among the members of each block. blocks: (o, band, g, comp, lone); a text is in few of them."""
+    own = blocks.groupBy("o").agg(F.collect_list(F.struct("g", "band", "comp", "lone")).alias("blocks"))
     rows = (
         texts.join(own, "o")
         .select("o", "sig", "blocks", "text")
-        .mapInArrow(_members, "o long, sig binary, blocks array<struct<g:long,comp:long,lone:boolean>>, blob binary")
+        .mapInArrow(_members, "o long, sig binary, blocks array<struct<g:long,band:int,comp:long,lone:boolean>>, blob binary")
         .select("o", "sig", "blob", F.explode("blocks").alias("x"))
-        .select("x.g", "o", "x.comp", "x.lone", "sig", "blob")
+        .select("x.g", "o", "x.band", "x.comp", "x.lone", "sig", "blob")
     )
     return rows.repartition(F.col("g")).sortWithinPartitions("g").mapInArrow(_links, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, class_id, copies): a row for each row of ``docs``.
-
-    ``class_id`` is the least id of the class, ``copies`` the number of rows in it. Classes are the
-    connected components of similarity 0.8 or more; rows with the same text are always together.
-    A text without words (null, empty, marks only) is similar to nothing, but rows with the same
-    text still share a class. A null id stands for itself: it is the class id only where no row of the class has
-    another. Rows that repeat an id count as documents of their own. Extra columns are ignored.
-
-    Equal texts are folded first; what follows sees one of each. A band bucket of up to ``BLOCK``
-    texts is compared whole, in one task. A larger one is cut into blocks at random, differently in
-    each band; what these leave unconnected is then compared with all members of its bucket, again in
-    blocks. So a group of any size costs what its unconnected rest costs, and no link is passed over
-    that the bands and the screen show (at 0.8, more than 99.8 in 100; nearly all above).
-    """
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(o, t1, t2) of all rows, and (t1, t2, rep, class_id, copies) of all texts."""
     rows = docs.select(order_id(id_col).alias("o"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("o", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("second"), "text").alias("t2"), "text")
     signed = stored(rows.select("o", "t1", "t2", F.lower("text").alias("text")).mapInArrow(_sign, "o long, t1 long, t2 long, bands array<long>, sig binary"))
@@ -254,13 +240,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # two texts may claim one id (repeated ids): the text's own fingerprint stands for it
     key = folded.select(F.col("t1").alias("o"), "bands", "sig")
-    slots = key.select("o", F.posexplode("bands").alias("band", "key")).select("o", F.xxhash64("band", "key").alias("bucket"))
+    slots = key.select("o", F.posexplode("bands").alias("band", "key")).select("o", "band", F.xxhash64("band", "key").alias("bucket"))
     full = slots.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     slots = stored(slots.join(full, "bucket").withColumn("parts", F.ceil(F.col("members") / BLOCK)))
     texts = rows.select("t1", "t2", "o", "text").join(folded.select("t1", "t2", F.col("rep").alias("o"), "sig"), ["t1", "t2", "o"])
     texts = texts.select(F.col("t1").alias("o"), "sig", F.lower("text").alias("text"))
     part = F.pmod(F.xxhash64("o", "bucket"), F.col("parts"))
-    links = stored(_compare(texts, slots.select("o", F.xxhash64("bucket", part).alias("g"), F.col("o").alias("comp"), F.lit(False).alias("lone"))))
+    links = stored(_compare(texts, slots.select("o", "band", F.xxhash64("bucket", part).alias("g"), F.col("o").alias("comp"), F.lit(False).alias("lone"))))
     if not slots.where("parts > 1").isEmpty():
         roots = components(links)
         large = slots.where("parts > 1").join(roots.select(F.col("node").alias("o"), "root"), "o", "left").withColumn("comp", F.coalesce("root", "o"))
@@ -269,12 +255,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         large = stored(large.join(main, "bucket").withColumn("lone", F.col("comp") != F.col("main")).where("all > most"))
         rest = F.ceil((F.col("all") - F.col("most")) / BLOCK)
         each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-        one = large.where("lone").select("o", "comp", "lone", "bucket", F.pmod(F.xxhash64("o"), rest).alias("i"), each(F.col("parts")).alias("j"))
-        two = large.select("o", "comp", F.lit(False).alias("lone"), "bucket", each(rest).alias("i"), F.pmod(F.xxhash64("o"), F.col("parts")).alias("j"))
-        more = one.unionByName(two).select("o", F.xxhash64("bucket", "i", "j", F.lit(2)).alias("g"), "comp", "lone")
+        one = large.where("lone").select("o", "band", "comp", "lone", "bucket", F.pmod(F.xxhash64("o"), rest).alias("i"), each(F.col("parts")).alias("j"))
+        two = large.select("o", "band", "comp", F.lit(False).alias("lone"), "bucket", each(rest).alias("i"), F.pmod(F.xxhash64("o"), F.col("parts")).alias("j"))
+        more = one.unionByName(two).select("o", "band", F.xxhash64("bucket", "i", "j", F.lit(2)).alias("g"), "comp", "lone")
         links = links.unionByName(stored(_compare(texts, more)))
     roots = components(links)
     named = folded.select("t1", "t2", "rep", "n").join(roots.select(F.col("node").alias("t1"), "root"), "t1", "left").withColumn("root", F.coalesce("root", "t1"))
-    classes = stored(named.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("n").alias("copies")).join(named, "root").select("t1", "t2", "class_id", "copies"))
+    classes = stored(named.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("n").alias("copies")).join(named, "root").select("t1", "t2", "rep", "class_id", "copies"))
+    return signed, classes
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, class_id, copies): a row for each row of ``docs``.
+
+    ``class_id`` is the least id of the class, ``copies`` the number of rows in it. Classes are the
+    connected components of similarity 0.8 or more; rows with the same text are always together.
+    A text without words (null, empty, marks only) is similar to nothing, but rows with the same
+    text still share a class. A null id stands for itself: it is the class id only where no row of the class has
+    another. Rows that repeat an id count as documents of their own. Extra columns are ignored.
+
+    Equal texts are folded first; what follows sees one of each. A band bucket of up to ``BLOCK``
+    texts is compared whole, in one task. A larger one is cut into blocks at random, differently in
+    each band; what these leave unconnected is then compared with all members of its bucket, again in
+    blocks. So a group of any size costs what its unconnected rest costs, and no link is passed over
+    that the bands and the screen show (at 0.8, more than 99.8 in 100; nearly all above).
+    """
+    signed, classes = _classes(docs, id_col, text_col)
     back = lambda c: F.when(F.col(c) != (1 << 63) - 1, F.col(c)).alias
     return signed.select("o", "t1", "t2").join(classes, ["t1", "t2"]).select(back("o")(id_col), back("class_id")("class_id"), "copies")
+
+
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, unchanged, that stand for their class: the one of least id, one of equal rows."""
+    _, classes = _classes(docs, id_col, text_col)
+    first = Window.partitionBy("class_id").orderBy("t1", "t2")  # two texts may share the id
+    heads = classes.where("rep = class_id").withColumn("_k", F.row_number().over(first)).where("_k = 1")
+    heads = stored(heads.select(F.col("rep").alias("_o"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2")))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.withColumns({"_o": order_id(id_col), "_t1": F.xxhash64(text), "_t2": F.xxhash64(F.lit("second"), text)})
+    same = Window.partitionBy("_o", "_t1", "_t2").orderBy(F.lit(0))
+    return rows.join(heads, ["_o", "_t1", "_t2"], "left_semi").withColumn("_k", F.row_number().over(same)).where("_k = 1").select(*docs.columns)
