@@ -194,18 +194,18 @@ class _Sent:
         return self._value.value
 
 
-def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids, decoded): a row for each row of ``docs``; ids as little-endian 32-bit integers.
+def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(id, the columns ``keep``, n_tokens, ids, decoded): a row for each row of ``docs``; ids as little-endian 32-bit integers.
 
     White space is dropped and text lower-cased, as the tokenizer file has it; the strings of its special
     tokens are those tokens. Null text is the empty text: no tokens. ``tokenizer`` is the path of the file
     on the driver; the automaton (some MB, by the vocabulary) is broadcast. No rows move.
     """
     sent = _Sent(docs.sparkSession, load(tokenizer), tokenizer)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    shape = rows.select("id").withColumns({"n_tokens": F.lit(0).cast("long"), "ids": F.lit(b""), "decoded": F.lit("")}).schema
-    return rows.mapInArrow(partial(_run, sent), shape).withColumnRenamed("id", id_col)
+    rows = docs.select(F.struct(id_col, *(keep or [])).alias("row"), F.col(text_col).cast("string").alias("text"))
+    shape = rows.select("row").withColumns({"n_tokens": F.lit(0).cast("long"), "ids": F.lit(b""), "decoded": F.lit("")}).schema
+    return rows.mapInArrow(partial(_run, sent), shape).select("row.*", "n_tokens", "ids", "decoded")
 
 
 def _run(sent: _Sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _encode(sent, batches, ["id"])
+    return _encode(sent, batches, ["row"])
