@@ -78,14 +78,16 @@ def _log_ratio(counts: DataFrame, grams: DataFrame) -> DataFrame:
 
 def threshold(scored: DataFrame) -> float:
     """scored (score, allow, block: held-out counts): the least score to allow, by the smallest sum of both
-    error rates, then nearest to 0; 0 where a class is missing."""
+    error rates, in the middle of the widest gap that has it; 0 where a class is missing."""
     bins = scored.groupBy(F.round("score", 3).alias("bin")).agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
     below = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # some thousand bins, whatever the rows
     every = Window.partitionBy()
-    wrong = F.coalesce(F.sum("allow").over(below), F.lit(0)) / F.sum("allow").over(every)
-    wrong = wrong + (F.sum("block").over(every) - F.coalesce(F.sum("block").over(below), F.lit(0))) / F.sum("block").over(every)
-    best = bins.where("bin is not null").select("bin", wrong.alias("wrong")).where("wrong is not null").orderBy("wrong", F.abs("bin"), "bin").first()
-    return best["bin"] if best else 0.0
+    wrong = F.try_divide(F.coalesce(F.sum("allow").over(below), F.lit(0)), F.sum("allow").over(every))
+    wrong = wrong + F.try_divide(F.sum("block").over(every) - F.coalesce(F.sum("block").over(below), F.lit(0)), F.sum("block").over(every))
+    before = F.coalesce(F.lag("bin").over(Window.orderBy("bin")), F.col("bin"))
+    cuts = bins.where("bin is not null").select(((F.col("bin") + before) / 2).alias("cut"), (F.col("bin") - before).alias("gap"), wrong.alias("wrong"))
+    best = cuts.where("wrong is not null").orderBy("wrong", F.desc("gap"), F.abs("cut"), "cut").first()
+    return best["cut"] if best else 0.0
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
