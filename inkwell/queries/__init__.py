@@ -32,4 +32,4 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-from inkwell.queries import aggregations, filters, joins, numbers, scans, sorting, state, texts  # noqa: E402, F401
+from inkwell.queries import aggregations, composite, filters, joins, numbers, scans, sorting, state, texts  # noqa: E402, F401
