@@ -21,10 +21,10 @@ def j02(t):
     return t.supplier.join(t.nation, F.col("n_nationkey") == F.col("s_nationkey"), "left").select("s_suppkey", "s_name", "n_name")
 
 
-@query("J03_nested_rows", "SELECT o_orderkey, count(l_orderkey) AS n, coalesce(string_agg(l_partkey || ':' || l_lineword, ',' ORDER BY l_partkey, l_lineword), '') AS parts FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+@query("J03_nested_rows", "SELECT o_orderkey, count(l_orderkey) AS n, coalesce(string_agg(l_partkey || ':' || l_linenumber, ',' ORDER BY l_partkey, l_linenumber), '') AS parts FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def j03(t):
-    parts = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_partkey", "l_lineword"))).alias("rows"))
-    text = F.array_join(F.transform("rows", lambda r: F.concat_ws(":", r["l_partkey"], r["l_lineword"])), ",")
+    parts = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_partkey", "l_linenumber"))).alias("rows"))
+    text = F.array_join(F.transform("rows", lambda r: F.concat_ws(":", r["l_partkey"], r["l_linenumber"])), ",")
     return t.orders.select("o_orderkey").join(parts, "o_orderkey", "left").select("o_orderkey", F.coalesce(F.array_size("rows"), F.lit(0)).cast("long").alias("n"), F.coalesce(text, F.lit("")).alias("parts"))
 
 
