@@ -55,20 +55,25 @@ class Automaton:
         self.when = [-1] * (max(self.vocab.values()) + 1)
         self.left, self.right = list(range(len(self.when))), list(range(len(self.when)))
         self.gadget: dict[int, int] = {}
+        #: Labels of arcs: base symbols, and tokens that some string merges to.
+        self.tokens = {t: i for t, i in self.vocab.items() if len(t.removesuffix(END)) == 1}
         for turn, merge in enumerate(model["merges"]):
             self._add(turn, *(merge if isinstance(merge, list) else merge.split(" ")))
-        self.longest = max(len(t) - len(END) * t.endswith(END) for t in self.vocab)
+        self.longest = max(len(t.removesuffix(END)) for t in self.tokens)
 
     def _add(self, turn: int, a: str, b: str) -> None:
         u, v, uv = self.vocab[a], self.vocab[b], self.vocab[a + b]
         if self.when[uv] != -1:
             raise ValueError(f"two merges make the token {a + b!r}")
+        if a not in self.tokens or b not in self.tokens or not self.follows(u, v):
+            return  # earlier merges part the two wherever they would meet: the gadget finds no arc
+        self.tokens[a + b] = uv
         self.when[uv], self.left[uv], self.right[uv] = turn, u, v
         self.gadget[u << 32 | v] = turn
 
     def follows(self, x: int, t: int) -> bool:
         """Whether the state after token ``x`` has the arc ``t``."""
-        when, before = self.when, len(self.gadget) + 1
+        when, before = self.when, len(self.when)
         while True:
             if self.gadget.get(x << 32 | t, before) < before:
                 return False
@@ -105,12 +110,12 @@ class Walker:
 
     def path(self, word: str) -> list[int]:
         """Tokens of one word, given as symbols."""
-        vocab, arcs, n = self.automaton.vocab, self.arcs, len(word)
+        tokens, arcs, n = self.automaton.tokens, self.arcs, len(word)
         last: list[int] = [-1] * (n + 1)
         for j in range(1, n + 1):
             end = END if j == n else ""
             for i in range(max(0, j - self.automaton.longest), j):
-                t = vocab.get(word[i:j] + end)
+                t = tokens.get(word[i:j] + end)
                 if t is None:
                     continue
                 if i:
