@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Documents without an id sort after all others.
 LAST_ID = (1 << 63) - 1
@@ -76,5 +77,6 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = 2 << 20) -
         yield batch.slice(start)
 
 
-def binary_column(values: list[bytes]) -> pa.Array:
-    return pa.array(values, pa.binary())
+def with_fields(df: DataFrame, fields: str) -> T.StructType:
+    """The schema of ``df`` and after it ``fields`` (DDL), which may be null."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(fields).fields])

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import pieces
+from ._shared import pieces, with_fields
 
 #: Fixed values of the word-level scheme: the end-of-word mark and the pieces into which lower-cased text is cut.
 END = "</w>"
@@ -208,7 +208,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     """
     sent = _Sent(docs.sparkSession, load(tokenizer), tokenizer)
     rows = docs.select(F.struct(id_col, *(keep or [])).alias("row"), F.col(text_col).cast("string").alias("text"))
-    shape = rows.select("row").withColumns({"n_tokens": F.lit(0).cast("long"), "ids": F.lit(b""), "decoded": F.lit("")}).schema
+    shape = with_fields(rows.select("row"), "n_tokens long, ids binary, decoded string")
     return rows.mapInArrow(partial(_run, sent), shape).select("row.*", "n_tokens", "ids", "decoded")
 
 

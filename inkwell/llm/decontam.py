@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import pieces
+from ._shared import pieces, with_fields
 from ._words import U, grams, inside, mix, words
 
 #: The masks; 1 selects, 0 ignores.
@@ -149,7 +149,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Repeated rows of ``docs`` each get their rows; repeated items count once. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.lower(F.col(text_col).cast("string")).alias("text"))
-    shape = rows.select("id").withColumns({c: F.lit(0).cast("long") for c in ("item_id", "start", "length", "agreeing")}).schema
+    shape = with_fields(rows.select("id"), "item_id long, start long, length long, agreeing long")
     found = [rows.mapInArrow(partial(_search, seeds), shape) for seeds in _blocks(benchmark)]
     if not found:
         return docs.sparkSession.createDataFrame([], shape).withColumnRenamed("id", id_col)

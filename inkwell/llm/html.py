@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import pieces
+from ._shared import pieces, with_fields
 
 #: Kinds of elements.
 DROPPED = frozenset("script style template noscript svg math iframe object canvas audio video select option textarea button head title datalist".split())
@@ -183,5 +183,5 @@ def extract(pages: DataFrame, html_col: str = "html", keep: list[str] | None = N
     a tag cut off at the end is dropped, a block left open ends with the page. No rows move.
     """
     rows = pages.select(F.struct(*(keep or ["page_id", "url"])).alias("row"), F.col(html_col).cast("string").alias("html"))
-    shape = rows.select("row").withColumn("text", F.lit("")).schema
+    shape = with_fields(rows.select("row"), "text string")
     return rows.mapInArrow(_extract, shape).select("row.*", "text")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import order_id, pieces, remove_at_exit, shared_folder, stored
+from ._shared import order_id, pieces, remove_at_exit, shared_folder, stored, with_fields
 from ._words import U, Words, grams, inside, mix, sliding_min, words
 
 WINDOW, GRAM, FANOUT = 20, 8, 4
@@ -222,7 +222,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spans = stored(late.groupBy("o", "sub").agg(F.collect_set("at").alias("starts")).join(reps.select("o", "sub", "t1"), ["o", "sub"]).select("o", "t1", "starts"))
     copies = ids.join(reps.select("t1", "t2", F.col("o").alias("rep")), ["t1", "t2"]).where("o <> rep").select("o", "t1").distinct().withColumn("copy", F.lit(True))
     plan = spans.join(copies, ["o", "t1"], "full")
-    shape = rows.select("row").withColumns({"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "kept": F.lit("")}).schema
+    shape = with_fields(rows.select("row"), "n_words long, n_removed long, kept string")
     return (
         rows.select("row", "o", "t1", "text")
         .join(plan, ["o", "t1"], "left")

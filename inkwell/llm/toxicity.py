@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import pieces
+from ._shared import pieces, with_fields
 from ._words import U, Words, mix, words
 
 #: Labelled documents of each kind (toxic, and not) that the models are fitted on, at most.
@@ -87,7 +87,9 @@ class Chain:
         self.sieve[keys >> U(64 - _SIEVE)] = True
         self.models: list[np.ndarray] = []
         self.prior = {c: float(np.average(y, weights=weight)) if len(y) else 0.0 for c, y in labels.items()}
-        fold = np.arange(len(x)) % FOLDS
+        kind, fold = sum((y.astype(int) << k for k, y in enumerate(labels.values())), np.zeros(len(x), int)), np.zeros(len(x), int)
+        for one in np.unique(kind):  # each fold has its share of each combination of labels
+            fold[kind == one] = np.arange(np.count_nonzero(kind == one)) % FOLDS
         inputs, self.limit = x.astype(float), 0.5
         for c, y in labels.items():
             if 0 < y.sum() < len(y):
@@ -98,7 +100,7 @@ class Chain:
             else:
                 out = np.full(len(x), self.prior[c])
                 self.models.append(np.append(np.zeros(inputs.shape[1]), -30.0 if self.prior[c] < 0.5 else 30.0))
-            if c == "toxic":
+            if c == "toxic" and 0 < y.sum() < len(y):
                 self.limit = _limit(out, y, weight)
             inputs = np.hstack([inputs, out[:, None]])
 
@@ -191,5 +193,5 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     chain = train(docs.select(F.col(id_col).alias("o"), text.alias("text")), labels)
     sent = docs.sparkSession.sparkContext.broadcast(chain)
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    shape = rows.select("id").withColumns({**{c: F.lit(0.0) for c in CATEGORIES}, "is_toxic": F.lit(False)}).schema
+    shape = with_fields(rows.select("id"), ", ".join(f"{c} double" for c in CATEGORIES) + ", is_toxic boolean")
     return rows.mapInArrow(partial(_score, sent), shape).withColumnRenamed("id", id_col)
