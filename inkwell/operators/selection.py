@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Weight of the n-th slide of a section, and of all after.
 DECAY = (1.0, 0.65, 0.35, 0.10)
+#: Candidates of a key that one task chooses from.
+BLOCK = 1000
 
 
 def slide_score(richness: Column, visual: Column, rarity: Column, density: Column) -> Column:
@@ -61,18 +65,56 @@ def diverse(rows: DataFrame, key: str, k: int) -> DataFrame:
     return rows.groupBy(key).applyInPandas(choose, f"{key} {kind[key]}, index int, place int")
 
 
+def _words(title: str | None) -> set[str]:
+    return set((title or "").lower().split())
+
+
+def _unlike(words: set[str], kept: list[set[str]], most: float) -> bool:
+    return all(len(words & w) < most * max(1, len(words | w)) for w in kept)
+
+
 def distinct_titles(rows: DataFrame, key: str, k: int, most: float) -> DataFrame:
     """(key, doc_id, title, score) to (key, doc_id): up to ``k`` a key, best score first, whose words have a
-    Jaccard similarity under ``most`` to all chosen before. A key must be bounded, as a day's queue is."""
+    Jaccard similarity under ``most`` (at most 1) to all chosen before.
+
+    In rounds: one task chooses from the ``BLOCK`` best of a key; where these don't fill it, all that resemble
+    what was chosen go, over all tasks, and the best of the rest are next. Of these the first is always chosen, so
+    there are at most ``k`` rounds.
+    """
 
     def choose(part: pd.DataFrame) -> pd.DataFrame:
-        kept: list[set] = []
-        out = []
-        for r in part.sort_values(["score", "doc_id"], ascending=[False, True]).itertuples():
-            words = set((r.title or "").lower().split())
-            if len(out) < k and all(len(words & w) < most * max(1, len(words | w)) for w in kept):
-                kept.append(words)
-                out.append((getattr(r, key), r.doc_id))
-        return pd.DataFrame(out, columns=[key, "doc_id"])
-
-    return rows.groupBy(key).applyInPandas(choose, f"{key} string, doc_id long")
+        part = part.sort_values("_r")
+        ids, titles = list(part["_ids"].iloc[0]), list(part["_titles"].iloc[0])
+        kept, before = [_words(t) for t in titles], len(ids)
+        for doc, title, copies in zip(part["_doc"], part["title"], part["_n"]):
+            words = _words(title)
+            for _ in range(min(int(copies), k) if not words else 1):  # copies without words resemble nothing
+                if len(ids) < k and _unlike(words, kept, most):
+                    kept.append(words)
+                    ids.append(doc)
+                    titles.append(title)
+        again = len(ids) < k and len(part) == BLOCK
+        return pd.DataFrame({key: [part[key].iloc[0]], "_ids": [ids], "_titles": [titles], "_before": [before], "_again": [again]})
+
+    @F.pandas_udf("boolean")
+    def free(docs: pd.Series, titles: pd.Series, ids: pd.Series, chosen: pd.Series) -> pd.Series:
+        out, known = [], {}
+        for doc, title, own, texts in zip(docs, titles, ids, chosen):
+            words, texts = _words(title), tuple(texts)
+            if texts not in known:
+                known[texts] = [_words(t) for t in texts]
+            out.append(_unlike(words, known[texts], most) if words else (doc, title) not in zip(own, texts))
+        return pd.Series(out, dtype=bool)
+
+    order = Window.partitionBy(key).orderBy(F.desc("score"), "doc_id", "title")
+    none = F.array().cast("array<string>")
+    rows = rows.groupBy(key, "doc_id", "title", "score").agg(F.count("*").alias("_n")).withColumn("_doc", F.col("doc_id").cast("string"))
+    left, found = rows.withColumns({"_ids": none, "_titles": none}), []
+    while True:
+        best = left.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= BLOCK)
+        now = best.groupBy(key).applyInPandas(choose, f"{key} string, _ids array<string>, _titles array<string>, _before int, _again boolean").persist()
+        found.append(now.select(key, F.explode(F.slice("_ids", F.col("_before") + 1, F.lit(k)).cast("array<long>")).alias("doc_id")))
+        if now.where("_again").isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        state = now.where("_again").select(F.col(key).alias("_key"), "_ids", "_titles")
+        left = rows.join(state, F.col(key).eqNullSafe(F.col("_key"))).drop("_key").where(free("_doc", "title", "_ids", "_titles"))

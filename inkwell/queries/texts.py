@@ -33,7 +33,7 @@ def fs02(t):
 
 @query("FS03_decode_entities")
 def fs03(t):
-    return t.pages.select("page_id", H.unescaped(F.substring("html", 1, 4000)).alias("html"))
+    return t.pages.select("page_id", H.unescaped(F.col("html")).alias("html"))
 
 
 @query("FS04_visible_length", f"SELECT page_id, length(regexp_replace({_VIS}, '[\\s ]', '', 'g')) AS n FROM pages")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import html as H
 from inkwell.functions import jsons, privacy, text, web
 from inkwell.operators import geometry, selection, similarity, upsert
+from inkwell.queries import sorting, state, texts
 from inkwell.streaming import limiter, windows
 
 
@@ -120,3 +121,32 @@ def test_append_log_and_daily_windows(spark, tmp_path):
     q = windows.daily(read()).writeStream.format("memory").queryName("daily").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("daily").agg(F.sum("n")).first()[0] == 50
+
+
+def test_distinct_titles_in_rounds(spark, monkeypatch):
+    r = random.Random(9)
+    rows = [(f"s{k % 2}" if k % 9 else None, k, " ".join(r.choices("abcdef", k=r.randint(0, 3))) or None, r.randint(0, 3)) for k in range(300)]
+    rows += [("s0", 300 + k, "a b c", 9) for k in range(50)] + [("s1", 400, None, 9)] * 2
+    want = []
+    for key in ("s0", "s1", None):
+        kept = []
+        for _, doc, title, _ in sorted((x for x in rows if x[0] == key), key=lambda x: (-x[3], x[1])):
+            words = set((title or "").split())
+            if len(kept) < 12 and all(len(words & w) < 0.5 * max(1, len(words | w)) for w in kept):
+                kept.append(words)
+                want.append((key, doc))
+    df = spark.createDataFrame(rows, "source string, doc_id long, title string, score int")
+    for block in (7, 1000):
+        monkeypatch.setattr(selection, "BLOCK", block)
+        assert sorted(map(repr, map(tuple, selection.distinct_titles(df, "source", 12, 0.5).collect()))) == sorted(map(repr, want))
+
+
+def test_queries_without_sql_cover_all_rows(spark):
+    docs = [(k, f"{chr(97 + k % 26)}{k} only", "long" if k % 2 else "other") for k in (1, 2, 399, 400, 90_001)]
+
+    class Rows:
+        articles = spark.createDataFrame([(k, t, t, s) for k, t, s in docs], "doc_id long, title string, body string, source string")
+        pages = spark.createDataFrame([(1, "x" * 5000 + "&amp;")], "page_id long, html string")
+
+    assert {r["doc_id"] for r in sorting.w11(Rows).collect()} == {r["doc_id"] for r in state.t11(Rows).collect()} == {d[0] for d in docs}
+    assert texts.fs03(Rows).first()["html"] == "x" * 5000 + "&"
