@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,8 @@ CONTENT = frozenset("content article post entry story main".split())
 _CONTENT = frozenset("article main body html".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*+)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+#: Elements whose content isn't markup: only their own end tag ends them.
+_ENDS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|$)", re.I) for t in ("script", "style", "textarea", "title", "iframe")}
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 REACH = 3
 
@@ -82,6 +85,8 @@ def lines(page: str) -> list[Line]:
     apart = own = inside = False
     fresh = True
     raw, links, at = "", 0, 0
+    within: Counter[str] = Counter()
+    endless: set[str] = set()
 
     def text(value: str) -> None:
         nonlocal fresh
@@ -94,7 +99,7 @@ def lines(page: str) -> list[Line]:
         out[-1].text.append(value)
         out[-1].linked += len(value) * (links > 0)
 
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         text(page[at : m.start()])
         at = m.end()
         tag = (m[2] or "").lower()
@@ -102,10 +107,26 @@ def lines(page: str) -> list[Line]:
             if m[0].startswith("<![CDATA[") and not raw:
                 text(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
             continue
+        opens = not m[1] and not m[3].rstrip().endswith("/")
+        if opens and tag in _ENDS:
+            end = None if tag in endless else _ENDS[tag].search(page, at)
+            if end or tag in ("script", "style"):
+                at = end.end() if end else len(page)
+                fresh = fresh or not raw
+                continue
+            endless.add(tag)
         if raw:
-            if m[1] and tag == raw:
+            if opens and tag not in VOID and (tag != raw or tag not in ("button", "select")):
+                within[tag] += 1
+            elif m[1] and within[tag]:
+                within[tag] -= 1
+            elif m[1] and tag == raw:
                 raw = ""
-            continue
+                continue
+            elif m[1] and any(s[0] == tag for s in stack):
+                raw = ""  # left open: it ends with the element that it stands in
+            if raw:
+                continue
         block = tag not in INLINE
         fresh = fresh or block
         if m[1]:
@@ -123,6 +144,7 @@ def lines(page: str) -> list[Line]:
             continue
         if tag in DROPPED:
             raw = tag if not m[3].rstrip().endswith("/") and tag not in ("head", "option") else ""
+            within.clear()
             if tag != "head":
                 continue
         if tag == "a":

@@ -38,6 +38,21 @@ def test_odd_pages(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<p>a</p><script>for(i=0;i<n;i++){}</script><p>b</p><script>x</script><p>c</p>", "a b c"),
+        ("<p>a</p><SCRIPT>if(a<b)x='<!--'</Script ><p>b</p>", "a b"),
+        ("<p>a</p><style>a<b{}</style><p>b</p><svg><script>1<a</script><svg></svg>x</svg><p>c</p>", "a b c"),
+        ("<div><p>a</p><object><p>x</p></div><p>b</p>", "a b"),
+        ("<div><p>a<button>x</p><p>b</p></div><div><iframe src=x></div><p>c</p>", "a b c"),
+        ("<p>a</p><script>x<y", "a"),
+    ],
+)
+def test_script_content_is_no_markup(page, text):
+    assert html.main_text(page) == text
+
+
 def test_extract_keeps_rows(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (3, "v", "<p>" * 20_000 + "x")]
     out = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("row", F.lit(0))).collect()
