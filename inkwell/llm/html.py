@@ -36,6 +36,11 @@ NAMES = frozenset(
 )
 #: Words that name where an article stands: a header in there is the article's.
 CONTENT = frozenset("content article post entry story main".split())
+#: First words of a name that tells of another element, as has-sidebar does.
+ABOUT = frozenset("has with without no".split())
+#: Words that, in an article, may name a part of it.
+PARTS = frozenset("header banner discussion legal disclaimer copyright notice notices form search".split())
+TALK = frozenset("comment comments discussion replies reply disqus".split())
 _CONTENT = frozenset("article main body html".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*+)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -48,11 +53,12 @@ REACH = 3
 def _names(attributes: str) -> set[str]:
     if "=" not in attributes:
         return set()
-    return {w.lower() for k, a, b, c in _ATTRIBUTE.findall(attributes) if k.lower() in ("class", "id") for w in _WORD.findall(a or b or c)}
+    found = [[w.lower() for w in _WORD.findall(x)] for k, a, b, c in _ATTRIBUTE.findall(attributes) if k.lower() in ("class", "id") for x in (a or b or c).split()]
+    return {w for x in found if x and x[0] not in ABOUT for w in x}
 
 
 def _apart(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element never holds the article. inside: it stands in an article already."""
+    """Whether an element never holds the article, by tag, role or style. inside: it stands in an article already."""
     if tag in APART:
         return True
     found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)} if "=" in attributes else {}
@@ -60,28 +66,35 @@ def _apart(tag: str, attributes: str, inside: bool) -> bool:
         return True
     if re.search(r"display\s*:\s*none", found.get("style", "")):
         return True
-    if tag == "header" and not inside:
-        return True
+    return tag == "header" and not inside
+
+
+def _named(tag: str, attributes: str, inside: bool, own: bool) -> set[str]:
+    """Words of the class and the id by which an element may not be the article."""
     if tag in _CONTENT or tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-        return False
-    names = _names(attributes)
+        return set()
+    names = _names(attributes) & NAMES
     if tag == "header" or inside:
         names -= {"header", "banner"}
-    return bool(names & NAMES)
+    return names - PARTS if own else names
 
 
 class Line:
-    __slots__ = ("text", "linked", "apart", "own")
+    """named: the elements around it whose names mark them, each with whether these are names of comments."""
 
-    def __init__(self, apart: bool, own: bool) -> None:
+    __slots__ = ("text", "linked", "apart", "own", "named")
+
+    def __init__(self, apart: bool, own: bool, named: tuple) -> None:
         self.text: list[str] = []
-        self.linked, self.apart, self.own = 0, apart, own
+        self.linked: list[str] = []
+        self.apart, self.own, self.named = apart, own, named
 
 
 def lines(page: str) -> list[Line]:
     """A line for each block of text, in page order. own: it stands in an article or main element."""
     out: list[Line] = []
-    stack: list[tuple[str, bool, bool, bool]] = []
+    stack: list[tuple[str, bool, bool, bool, tuple]] = []
+    named: tuple[tuple[int, bool], ...] = ()
     apart = own = inside = False
     fresh = True
     raw, links, at = "", 0, 0
@@ -93,11 +106,12 @@ def lines(page: str) -> list[Line]:
         if not value or raw or (fresh and not value.strip()):
             return
         if fresh:
-            out.append(Line(apart, own))
+            out.append(Line(apart, own, named))
             fresh = False
         value = entities.unescape(value)
         out[-1].text.append(value)
-        out[-1].linked += len(value) * (links > 0)
+        if links:
+            out[-1].linked.append(value)
 
     while m := _TOKEN.search(page, at):
         text(page[at : m.start()])
@@ -133,12 +147,12 @@ def lines(page: str) -> list[Line]:
             if tag == "a":
                 links = max(0, links - 1)
             if any(s[0] == tag for s in stack):
-                was = apart, own
+                was = apart, own, named
                 while stack:
-                    name, apart, own, inside = stack.pop()
+                    name, apart, own, inside, named = stack.pop()
                     if name == tag:
                         break
-                fresh = fresh or was != (apart, own)
+                fresh = fresh or was != (apart, own, named)
             continue
         if m[3].rstrip().endswith("/") and tag not in ("a", "p", "div", "span", "article", "main", "section") or tag in VOID:
             continue
@@ -151,26 +165,47 @@ def lines(page: str) -> list[Line]:
             links += 1
             continue
         if tag in ("p", "li", "td", "th", "dt", "dd", "tr", "option") and stack and stack[-1][0] == tag:
-            _, apart, own, inside = stack.pop()
+            _, apart, own, inside, named = stack.pop()
         if len(stack) < 10_000:
-            stack.append((tag, apart, own, inside))
-        was = apart, own
+            stack.append((tag, apart, own, inside, named))
+        was = apart, own, named
         apart = apart or _apart(tag, m[3], inside)
+        if not apart and len(named) < 50 and (words := _named(tag, m[3], inside, own)):
+            named += ((at, bool(words & TALK)),)
         own = own or tag in ("article", "main") and not apart
         inside = inside or own or _names(m[3]) & CONTENT != set()
-        fresh = fresh or was != (apart, own)
+        fresh = fresh or was != (apart, own, named)
     text(page[at:])
     return out
 
 
-def _clean(line: Line) -> str:
-    return " ".join("".join(line.text).split())
+def _clean(parts: list[str]) -> str:
+    return " ".join("".join(parts).split())
+
+
+def _by_name(found: list[tuple[Line, str]]) -> None:
+    """Lines in elements that names mark stand apart, unless the element holds most of the page's text; one of
+    comments may do so beside an article."""
+    mass: Counter[tuple[int, bool]] = Counter()
+    for x, t in found:
+        if not x.apart:
+            for e in x.named:
+                mass[e] += len(t)
+    if not mass:
+        return
+    most = sum(len(t) for x, t in found if not x.apart) / 2
+    held = any(x.own and not x.apart and not x.named for x, _ in found)
+    marks = {e for e, n in mass.items() if n <= most or e[1] and held}
+    for x, _ in found:
+        x.apart = x.apart or any(e in marks for e in x.named)
 
 
 def kept_lines(page: str) -> list[str]:
-    found = [(x, t) for x in lines(page) if (t := _clean(x))]
+    found = [(x, t) for x in lines(page) if (t := _clean(x.text))]
+    _by_name(found)
     held = any(x.own and not x.apart for x, _ in found)
-    weight = np.array([0 if x.apart or held and not x.own else max(0, len(t) - x.linked) for x, t in found], float)
+    # in an article links are part of it, and count in part
+    weight = np.array([0 if x.apart or held and not x.own else max(0, len(t) - (0.75 if held else 1) * len(_clean(x.linked))) for x, t in found], float)
     if not weight.any():
         return []
     reach = np.convolve(weight, np.ones(2 * REACH + 1))[REACH : REACH + len(weight)]

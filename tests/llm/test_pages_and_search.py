@@ -53,6 +53,19 @@ def test_script_content_is_no_markup(page, text):
     assert html.main_text(page) == text
 
 
+def test_names_and_links_keep_articles():
+    long = "Some long running text of the article itself. " * 5
+    for name in ("content has-sidebar", "with-nav", "no-comments", "page-widget"):
+        assert html.main_text(f"<div class='{name}'><h1>Head</h1><p>{long}</p></div><div class=menu>Menu</div>") == f"Head {long.strip()}"
+        assert html.main_text(f"<div class='{name}'><article><p>{long}</p></article></div>") == long.strip()
+    for name in ("discussion", "legal"):
+        assert html.main_text(f"<article><p>{long}</p><section id={name}><p>Part</p></section></article>") == f"{long.strip()} Part"
+    items = "".join(f"<li><a href=/>item {k}</a>" for k in range(12))
+    assert html.main_text(f"<article><p>Text</p><ul>{items}</ul><p>End</p></article>") == " ".join(["Text", *(f"item {k}" for k in range(12)), "End"])
+    assert html.main_text(f"<article><p>Short</p></article><div id=comments><p>{long}</p></div>") == "Short"
+    assert html.main_text("<p><a>\n     link     \n</a> text</p>") == "link text"
+
+
 def test_extract_keeps_rows(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (3, "v", "<p>" * 20_000 + "x")]
     out = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("row", F.lit(0))).collect()
