@@ -133,11 +133,12 @@ def _limit(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
 
 def train(docs: DataFrame, labels: DataFrame) -> Chain:
     """docs (o, text) and labels (doc_id, quality, toxic). Of labels that disagree the worse one holds; rows
-    without a toxic label are left out, a null quality is 1."""
+    without a toxic label are left out, a null quality is 1. Of texts that share an id one trains, by hash."""
     one = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("o")).agg(F.min(F.coalesce("quality", F.lit(1))).cast("long").alias("quality"), F.max("toxic").cast("long").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in one.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     chosen = one.where("toxic = 1").orderBy(F.xxhash64("o"), "o").limit(PER_CLASS).unionByName(one.where("toxic = 0").orderBy(F.xxhash64("o"), "o").limit(PER_CLASS))
-    rows = docs.where("o is not null").join(F.broadcast(chosen), "o").select("o", "quality", "toxic", "text")
+    # a row for each id, so that the sample is bounded whatever rows share an id
+    rows = docs.where("o is not null").join(F.broadcast(chosen), "o").groupBy("o", "quality", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
     found = rows.mapInArrow(_present, "o long, quality long, toxic long, found array<long>")
     table = found.toArrow().sort_by("o")
     quality, toxic = table.column("quality").to_numpy(), table.column("toxic").to_numpy() == 1
@@ -187,7 +188,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """(id, low_quality, toxic, severe, is_toxic): probabilities and the verdict for each row of ``docs``.
 
     Null text is the empty text, which has no features. Without labels of both kinds the probabilities are the
-    priors. Repeated rows each get a row; of those that share an id with a label, all train.
+    priors. Repeated rows each get a row; of those that share an id with a label, one trains.
     """
     text = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     chain = train(docs.select(F.col(id_col).alias("o"), text.alias("text")), labels)

@@ -201,6 +201,15 @@ def test_toxicity_on_held_out_documents(spark):
     assert toxicity.classify(spark.createDataFrame([], DOCS), labels).count() == 0
 
 
+def test_rows_that_share_an_id_train_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "Chain", lambda keys, x, labels, weight: seen.append((len(x), weight)))
+    rows = [(k, f"word{k} text") for k in range(20)] + [(3, f"hot{k} text") for k in range(500)]
+    labels = [(k, 1, int(k % 4 == 0)) for k in range(20)]
+    toxicity.train(spark.createDataFrame(rows, "o long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert seen[0][0] == 20 and np.allclose(seen[0][1], 1)
+
+
 def test_later_models_see_earlier_probabilities():
     rng = np.random.default_rng(0)
     x = rng.random((400, 3)) < 0.3
