@@ -22,15 +22,21 @@ def _check(recent: deque, at: int, limit: int, window_ms: int) -> tuple[bool, in
 
 def limited(hits: DataFrame, id_col: str, limit: int, window_ms: int) -> DataFrame:
     """hits (key, id, at_ms) to (key, id, allowed, retry_after): at most ``limit`` passes in any window of a key.
-    A verdict hangs on those before it, so a key's hits are one task: a key is a requester."""
+    A verdict hangs on those before it, so a key's hits are one task: it streams through them in order and
+    holds no more than the last passes."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["at_ms", id_col])
-        recent: deque = deque()
-        found = [_check(recent, int(a), limit, window_ms) for a in part["at_ms"]]
-        return pd.DataFrame({"key": part["key"], id_col: part[id_col], "allowed": [f[0] for f in found], "retry_after": [f[1] for f in found]})
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, recent = object(), deque()
+        for part in parts:
+            found = []
+            for k, at in zip(part["key"], part["at_ms"]):
+                if k != key:
+                    key, recent = k, deque()
+                found.append(_check(recent, int(at), limit, window_ms))
+            yield pd.DataFrame({"key": part["key"], id_col: part[id_col], "allowed": [f[0] for f in found], "retry_after": [f[1] for f in found]})
 
-    return hits.groupBy("key").applyInPandas(run, f"key string, {id_col} long, allowed boolean, retry_after int")
+    ordered = hits.repartition("key").sortWithinPartitions("key", "at_ms", id_col)
+    return ordered.mapInPandas(run, f"key string, {id_col} long, allowed boolean, retry_after int")
 
 
 def limited_stream(hits: DataFrame, id_col: str, limit: int, window_ms: int) -> DataFrame:

@@ -150,3 +150,20 @@ def test_queries_without_sql_cover_all_rows(spark):
 
     assert {r["doc_id"] for r in sorting.w11(Rows).collect()} == {r["doc_id"] for r in state.t11(Rows).collect()} == {d[0] for d in docs}
     assert texts.fs03(Rows).first()["html"] == "x" * 5000 + "&"
+
+
+def test_rate_limiter_streams_through_a_key(spark):
+    r = random.Random(4)
+    rows = [(r.choice(("a", "a", "b", None)), k, r.randint(0, 3000)) for k in range(200)]
+    want = {}
+    for key in ("a", "b", None):
+        recent = deque()
+        for _, k, at in sorted((x for x in rows if x[0] == key), key=lambda x: (x[2], x[1])):
+            want[k] = (key, *limiter._check(recent, at, 3, 500))
+    out = limiter.limited(spark.createDataFrame(rows, "key string, id long, at_ms long"), "id", 3, 500)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert {x["id"]: (x["key"], x["allowed"], x["retry_after"]) for x in out.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
