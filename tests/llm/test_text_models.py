@@ -70,11 +70,12 @@ def test_automaton_follows_random_merges(seed):
 
 
 def brute_model(texts):
-    """Interpolated modified Kneser-Ney over symbol tuples, by dictionaries."""
-    n, s = quality.ORDER, quality.SYMBOLS
+    """Interpolated modified Kneser-Ney over character tuples, by dictionaries."""
+    n = quality.ORDER
+    rows = lambda t: [quality.START] * (n - 1) + [*t, quality.END]
     counts = {n: Counter()}
     for t in texts:
-        sym = [0] * (n - 1) + quality.symbols([t])[0].tolist()
+        sym = rows(t)
         for k in range(n - 1, len(sym)):
             counts[n][tuple(sym[k - n + 1 : k + 1])] += 1
     for k in range(n - 1, 0, -1):
@@ -93,35 +94,48 @@ def brute_model(texts):
 
     def p(g):
         k = len(g)
-        low = p(g[1:]) if k > 1 else 1 / s
+        low = p(g[1:]) if k > 1 else 1 / (len(counts[1]) + 1)
         if not totals[k][g[:-1]]:
             return low
         c = counts[k][g]
         return (c - cuts[k][min(c, 3)]) / totals[k][g[:-1]] + rest[k][g[:-1]] / totals[k][g[:-1]] * low
 
     def perplexity(t):
-        sym = [0] * (n - 1) + quality.symbols([t])[0].tolist()
+        sym = rows(t)
         logs = [np.log2(p(tuple(sym[k - n + 1 : k + 1]))) for k in range(n - 1, len(sym))]
-        return 2 ** -np.mean(logs) if logs else None
+        return 2 ** -np.mean(logs) if t else None
 
     return perplexity
 
 
-def test_perplexity_matches_brute_force(spark):
+@pytest.mark.parametrize("hot", (1 << 20, 300))
+def test_perplexity_matches_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(quality, "HOT", hot)
+    monkeypatch.setattr(quality, "_SLICE", 100)
+    monkeypatch.setattr(quality, "FEWEST", 2)
     r = random.Random(3)
-    good = [sentence(r, 30) + ". Über Ñ 12, x!" for _ in range(30)]
+    good = [sentence(r, 30) + ". Über Ñ 12, x! 你好 🎉" for _ in range(30)]
     rows = [(k, t, "en", None, None) for k, t in enumerate(good)] + [(100, "$$ %% && ## @@", "en", None, None), (101, None, "en", None, None), (102, "no model", "xx", None, None), (103, "WORDS", None, None, None)]
+    rows += [(3, "an id twice", "en", None, None), (200, good[5], "en", None, None), (None, good[6], "en", None, None)]
     labels = spark.createDataFrame([(k, 1, 0) for k in range(30)] + [(100, 1, 0), (100, 0, 0), (None, 1, 0), (102, None, 0)], "doc_id long, quality int, toxic int")
-    got = {x["doc_id"]: x for x in quality.classify(spark.createDataFrame(rows, DOCS).withColumn("limit", F.lit(1)), labels).collect()}
-    brute = brute_model(good)
-    for k, t, *_ in rows[:31]:
-        assert got[k]["perplexity"] == pytest.approx(brute(t), rel=1e-4)
-    assert not got[100]["accepted"] and not got[101]["accepted"]
-    assert got[102]["accepted"] and got[103]["accepted"] and got[103]["lang"] == ""
-    assert all(got[k]["accepted"] for k in range(30))
-    kept = quality.accepted(spark.createDataFrame(rows, DOCS), labels)
+    df = spark.createDataFrame(rows, DOCS)
+    got = quality.classify(df.withColumn("limit", F.lit(1)).withColumn("row", F.lit("clash")).withColumn("trusted", F.lit(True)), labels).collect()
+    assert sorted((x["doc_id"] or -1) for x in got) == sorted((x[0] or -1) for x in rows)
+    own = [x[1] for x in rows if x[0] is not None and x[0] < 30]
+    held = {x["t"] for x in spark.createDataFrame([(t,) for t in own], "t string").where(F.pmod(F.xxhash64("t"), F.lit(5)) == 0).collect()}
+    brute = brute_model([t for t in own if t not in held])
+    want = sorted((d or -1, brute(t)) for d, t, lang, *_ in rows if lang == "en" and t)
+    seen = sorted((x["doc_id"] or -1, x["perplexity"]) for x in got if x["lang"] == "en" and x["n_symbols"])
+    for (d, a), (e, b) in zip(want, seen):
+        assert d == e and b == pytest.approx(a, rel=1e-4)
+    by = {x["doc_id"]: x for x in got}
+    assert not by[100]["accepted"] and not by[101]["accepted"]
+    assert by[102]["accepted"] and by[102]["perplexity"] is None and by[103]["accepted"] and by[103]["lang"] == ""
+    limit = max(brute(t) for t in own if t in held)
+    assert all(x["limit"] == pytest.approx(limit, rel=1e-4) for x in got if x["lang"] == "en" and x["n_symbols"])
+    kept = quality.accepted(df, labels)
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    assert sorted(x["doc_id"] for x in kept.collect()) == sorted(k for k, x in got.items() if x["accepted"])
+    assert sorted((x["doc_id"] or -1, x["text"]) for x in kept.collect()) == sorted((x["doc_id"] or -1, t) for x, t in ((x, t) for x in got if x["accepted"] for d, t, lang, *_ in rows if (d, lang or "", len(t or "")) == (x["doc_id"], x["lang"], x["n_symbols"])))
 
 
 def test_quality_without_labels_or_rows(spark, docs):
