@@ -18,10 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import order_id, pieces, stored
+from ._shared import LAST_ID, join_evenly, order_id, pieces, release, stored
 from ._words import U, grams, inside, mix, words
 from .components import components
 
@@ -109,9 +109,9 @@ def similarity(a: bytes, b: bytes) -> float:
 
 #: Members of a bucket that are compared with one another in one task.
 BLOCK = 512
-#: A pair's signatures must agree in this share of the coordinates before its similarity is computed:
-#: at a similarity of 0.8, 80 coordinates fall below with probability 0.001.
-SCREEN = 0.65
+#: A pair's signatures must agree in this share of the coordinates before its similarity is computed: at a
+#: similarity of 0.8 or more, fewer than 40 of 80 coordinates agree with probability 4e-10 (binomial), so no link is lost to it.
+SCREEN = 0.5
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,36 +217,40 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out(rows)
 
 
-def _compare(texts: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Links among the members of each block. blocks: (o, band, g, comp, lone); a text is in few of them."""
+def _compare(texts: DataFrame, folded: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Links among the members of each block. blocks: (o, band, g, comp, lone); a text is in few of them.
+
+    Blocks meet the fingerprints of the texts first, so that the texts themselves move once, and only those in a block go on.
+    """
     own = blocks.groupBy("o").agg(F.collect_list(F.struct("g", "band", "comp", "lone")).alias("blocks"))
+    own = stored(folded.select("t1", "t2", "rep", "sig", F.col("t1").alias("o")).join(own, "o"))
     rows = (
-        texts.join(own, "o")
-        .select("o", "sig", "blocks", "text")
+        texts.withColumnRenamed("o", "rep")
+        .join(own, ["t1", "t2", "rep"])
+        .select("o", "sig", "blocks", F.lower("text").alias("text"))
         .mapInArrow(_members, "o long, sig binary, blocks array<struct<g:long,band:int,comp:long,lone:boolean>>, blob binary")
         .select("o", "sig", "blob", F.explode("blocks").alias("x"))
         .select("x.g", "o", "x.band", "x.comp", "x.lone", "sig", "blob")
     )
-    return rows.repartition(F.col("g")).sortWithinPartitions("g").mapInArrow(_links, "a long, b long").distinct()
+    links = stored(rows.repartition(F.col("g")).sortWithinPartitions("g").mapInArrow(_links, "a long, b long").distinct())
+    release(own)
+    return links
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(o, t1, t2) of all rows, and (t1, t2, rep, class_id, copies) of all texts."""
+    """(o, t1, t2) of all rows, and (t1, t2, rep, n, root, least, copies) of all texts: root tells the classes apart."""
     rows = docs.select(order_id(id_col).alias("o"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("o", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("second"), "text").alias("t2"), "text")
     signed = stored(rows.select("o", "t1", "t2", F.lower("text").alias("text")).mapInArrow(_sign, "o long, t1 long, t2 long, bands array<long>, sig binary"))
-    folded = signed.groupBy("t1", "t2").agg(F.min("o").alias("rep"), F.count("*").alias("n"))
-    folded = stored(folded.join(signed.withColumnRenamed("o", "rep"), ["t1", "t2", "rep"]).dropDuplicates(["t1", "t2"]))
+    # of equal texts one stands for all; their signatures are equal, so any row's will do
+    folded = stored(signed.groupBy("t1", "t2").agg(F.min("o").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
 
     # two texts may claim one id (repeated ids): the text's own fingerprint stands for it
-    key = folded.select(F.col("t1").alias("o"), "bands", "sig")
-    slots = key.select("o", F.posexplode("bands").alias("band", "key")).select("o", "band", F.xxhash64("band", "key").alias("bucket"))
+    slots = folded.select(F.col("t1").alias("o"), F.posexplode("bands").alias("band", "key")).select("o", "band", F.xxhash64("band", "key").alias("bucket"))
     full = slots.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     slots = stored(slots.join(full, "bucket").withColumn("parts", F.ceil(F.col("members") / BLOCK)))
-    texts = rows.select("t1", "t2", "o", "text").join(folded.select("t1", "t2", F.col("rep").alias("o"), "sig"), ["t1", "t2", "o"])
-    texts = texts.select(F.col("t1").alias("o"), "sig", F.lower("text").alias("text"))
     part = F.pmod(F.xxhash64("o", "bucket"), F.col("parts"))
-    links = stored(_compare(texts, slots.select("o", "band", F.xxhash64("bucket", part).alias("g"), F.col("o").alias("comp"), F.lit(False).alias("lone"))))
+    links = _compare(rows, folded, slots.select("o", "band", F.xxhash64("bucket", part).alias("g"), F.col("o").alias("comp"), F.lit(False).alias("lone")))
     if not slots.where("parts > 1").isEmpty():
         roots = components(links)
         large = slots.where("parts > 1").join(roots.select(F.col("node").alias("o"), "root"), "o", "left").withColumn("comp", F.coalesce("root", "o"))
@@ -258,11 +262,12 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
         one = large.where("lone").select("o", "band", "comp", "lone", "bucket", F.pmod(F.xxhash64("o"), rest).alias("i"), each(F.col("parts")).alias("j"))
         two = large.select("o", "band", "comp", F.lit(False).alias("lone"), "bucket", each(rest).alias("i"), F.pmod(F.xxhash64("o"), F.col("parts")).alias("j"))
         more = one.unionByName(two).select("o", "band", F.xxhash64("bucket", "i", "j", F.lit(2)).alias("g"), "comp", "lone")
-        links = links.unionByName(stored(_compare(texts, more)))
+        links = links.unionByName(_compare(rows, folded, more))
     roots = components(links)
-    named = folded.select("t1", "t2", "rep", "n").join(roots.select(F.col("node").alias("t1"), "root"), "t1", "left").withColumn("root", F.coalesce("root", "t1"))
-    classes = stored(named.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("n").alias("copies")).join(named, "root").select("t1", "t2", "rep", "class_id", "copies"))
-    return signed, classes
+    named = stored(folded.select("t1", "t2", "rep", "n").join(roots.select(F.col("node").alias("t1"), "root"), "t1", "left").withColumn("root", F.coalesce("root", "t1")))
+    release(slots, folded)
+    whole = stored(named.groupBy("root").agg(F.min("rep").alias("least"), F.sum("n").alias("copies"), F.count("*").alias("texts")))
+    return signed, stored(join_evenly(named, whole, ["root"], "texts").select("t1", "t2", "rep", "n", "root", "least", "copies"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,27 +276,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``class_id`` is the least id of the class, ``copies`` the number of rows in it. Classes are the
     connected components of similarity 0.8 or more; rows with the same text are always together.
     A text without words (null, empty, marks only) is similar to nothing, but rows with the same
-    text still share a class. A null id stands for itself: it is the class id only where no row of the class has
-    another. Rows that repeat an id count as documents of their own. Extra columns are ignored.
+    text still share a class. Rows that repeat an id count as documents of their own: where unrelated classes have the
+    same least id, and where no row of a class has an id, the class has a negative number of its own, from the
+    fingerprint of a text, as its class id (of classes with one least id, one keeps it). Extra columns are ignored.
 
     Equal texts are folded first; what follows sees one of each. A band bucket of up to ``BLOCK``
     texts is compared whole, in one task. A larger one is cut into blocks at random, differently in
     each band; what these leave unconnected is then compared with all members of its bucket, again in
     blocks. So a group of any size costs what its unconnected rest costs, and no link is passed over
-    that the bands and the screen show (at 0.8, more than 99.8 in 100; nearly all above).
+    that the bands show (at 0.8, more than 99.99 in 100; nearly all above).
     """
     signed, classes = _classes(docs, id_col, text_col)
-    back = lambda c: F.when(F.col(c) != (1 << 63) - 1, F.col(c)).alias
-    return signed.select("o", "t1", "t2").join(classes, ["t1", "t2"]).select(back("o")(id_col), back("class_id")("class_id"), "copies")
+    # unrelated classes with one least id; null ids all are
+    shared = classes.select("root", "least").distinct().groupBy("least").agg(F.min("root").alias("keeps"), F.count("*").alias("m")).where(F.col("m") > 1)
+    named = classes.join(stored(shared.where(F.col("least") != LAST_ID)), "least", "left")
+    own = F.bitwise_not(F.shiftrightunsigned(F.xxhash64("root"), 1))
+    named = stored(named.withColumn("class_id", F.when((F.col("least") == LAST_ID) | (F.col("root") != F.col("keeps")), own).otherwise(F.col("least"))))
+    found = join_evenly(signed.select("o", "t1", "t2"), named.select("t1", "t2", "n", "class_id", "copies"), ["t1", "t2"], "n")
+    return found.select(F.when(F.col("o") != LAST_ID, F.col("o")).alias(id_col), "class_id", "copies")
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, unchanged, that stand for their class: the one of least id, one of equal rows."""
-    _, classes = _classes(docs, id_col, text_col)
-    first = Window.partitionBy("class_id").orderBy("t1", "t2")  # two texts may share the id
-    heads = classes.where("rep = class_id").withColumn("_k", F.row_number().over(first)).where("_k = 1")
-    heads = stored(heads.select(F.col("rep").alias("_o"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2")))
+    """The rows of ``docs``, unchanged, that stand for their class: the one of least id, one of equal rows.
+
+    Rows of one id and one text count as equal, whatever else they hold: one of them stays.
+    """
+    signed, classes = _classes(docs, id_col, text_col)
+    heads = stored(classes.groupBy("root").agg(F.min(F.struct("rep", "t1", "t2")).alias("head")).select("head.*"))
+    release(signed, classes)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.withColumns({"_o": order_id(id_col), "_t1": F.xxhash64(text), "_t2": F.xxhash64(F.lit("second"), text)})
-    same = Window.partitionBy("_o", "_t1", "_t2").orderBy(F.lit(0))
-    return rows.join(heads, ["_o", "_t1", "_t2"], "left_semi").withColumn("_k", F.row_number().over(same)).where("_k = 1").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), order_id(id_col).alias("rep"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2"))
+    # partial aggregation in each task before rows move: one row a task comes out of any number of equal ones
+    return rows.join(heads, ["rep", "t1", "t2"], "left_semi").groupBy("rep", "t1", "t2").agg(F.first("row").alias("row")).select("row.*")
