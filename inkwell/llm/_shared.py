@@ -49,6 +49,11 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    _delete(spark, path)
+    _written[:] = [x for x in _written if x[1] != path]
+
+
 @atexit.register
 def _remove() -> None:
     for spark, path in _written:
@@ -63,8 +68,7 @@ def release(*tables: DataFrame) -> None:
     for t in tables:
         found = [x for x in _written if x[1] == getattr(t, "stored_at", None)]
         for x in found:
-            _delete(*x)
-            _written.remove(x)
+            remove(*x)
 
 
 def written_so_far() -> int:
@@ -76,8 +80,7 @@ def release_since(mark: int, *but: DataFrame) -> None:
     """Remove the stored tables made after ``mark``, save those in ``but``."""
     kept = {getattr(t, "stored_at", None) for t in but}
     for x in [x for x in _written[mark:] if x[1] not in kept]:
-        _delete(*x)
-        _written.remove(x)
+        remove(*x)
 
 
 def join_evenly(rows: DataFrame, side: DataFrame, on: list[str], times: str, how: str = "inner") -> DataFrame:

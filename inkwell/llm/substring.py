@@ -1,17 +1,20 @@
 """Substring deduplication with a log-structured fingerprint index.
 
 A window is ``WINDOW`` consecutive words. Each window is indexed by its anchor, the least of the
-fingerprints of the ``GRAM``-word sequences in it, so equal windows have equal anchors. The index is
-a log of immutable runs, each sorted by anchor; a new batch of documents becomes a new run, which is
-merge-joined with the runs of history to find the anchors that occur in more than one text or twice
-in one. Only windows of such anchors are then verified, by two fingerprints of all 20 words (128
-bits). When the log has ``FANOUT`` runs they are compacted into one.
+fingerprints of the ``GRAM``-word sequences in it, so equal windows have equal anchors, and the index holds a
+seventh of what all windows would take. The index is a log of immutable runs, each bucketed and sorted by anchor; a
+new batch of documents becomes a new run, which is merge-joined with the runs of history to find the anchors
+that occur in more than one text or twice in one. Only windows of such anchors are then verified, by two 64-bit
+fingerprints of the sequence of their 20 words (each word by 64 bits; a false match has a chance of some 1e-19 a pair). When
+the log has ``FANOUT`` runs they are compacted into one. A log in a folder of its own outlives the call: a later call opens
+it again and dedups new documents against those of old.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -19,10 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import order_id, pieces, remove_at_exit, shared_folder, stored, with_fields
+from ._shared import join_evenly, order_id, pieces, release, remove, remove_at_exit, shared_folder, stored, with_fields
 from ._words import U, Words, grams, inside, mix, sliding_min, words
 
 WINDOW, GRAM, FANOUT = 20, 8, 4
+#: Documents in a batch, about; there are ``FANOUT`` batches at least.
+BATCH = 50_000_000
+#: Anchors, or windows, that a task holds before it passes them on.
+HELD = 1 << 20
 
 
 def _windows(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,11 +58,28 @@ def _places(w: Words) -> tuple[np.ndarray, np.ndarray]:
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each anchor of each text. ``again``: it stands at more than one place.
 
-    Of the texts of this task under one anchor the first row goes into the run and says ``again``;
+    Of the texts held together under one anchor the first row goes into the run and says ``again``;
     the others come out as ``known``: repeated, whatever the rest of the corpus holds. So an anchor
-    that very many texts share brings a row for each task.
+    that very many texts share brings a row for each ``HELD`` anchors.
     """
     held: list[tuple[np.ndarray, ...]] = []
+    n = 0
+
+    def passed() -> Iterator[pa.RecordBatch]:
+        anchor, t1, again = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        order = np.lexsort((t1, anchor))
+        order = order[_changes(anchor[order], t1[order])]
+        anchor, t1, again = anchor[order], t1[order], again[order]
+        new = _changes(anchor)
+        group = np.cumsum(new) - 1
+        several = (np.bincount(group) > 1)[group] if len(group) else again
+        again = again | several
+        order = np.argsort(t1, kind="stable")
+        for i in range(0, len(order), 200_000):
+            s = order[i : i + 200_000]
+            yield pa.record_batch([pa.array(anchor[s].astype(np.int64)), pa.array(t1[s]), pa.array(again[s]), pa.array(~new[s])], names=["h", "t1", "again", "known"])
+
     for b in pieces(batches, "text"):
         own, anchor = _places(words(b.column("text")))
         order = np.lexsort((anchor, own))
@@ -63,20 +87,12 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(_changes(own, anchor))
         again = np.diff(np.append(first, len(own))) > 1
         held.append((anchor[first], b.column("t1").to_numpy(zero_copy_only=False)[own[first]], again))
-    if not held:
-        return
-    anchor, t1, again = (np.concatenate(x) for x in zip(*held))
-    order = np.lexsort((t1, anchor))
-    order = order[_changes(anchor[order], t1[order])]
-    anchor, t1, again = anchor[order], t1[order], again[order]
-    new = _changes(anchor)
-    group = np.cumsum(new) - 1
-    several = (np.bincount(group) > 1)[group] if len(group) else again
-    again = again | several
-    order = np.argsort(t1, kind="stable")
-    for i in range(0, len(order), 200_000):
-        s = order[i : i + 200_000]
-        yield pa.record_batch([pa.array(anchor[s].astype(np.int64)), pa.array(t1[s]), pa.array(again[s]), pa.array(~new[s])], names=["h", "t1", "again", "known"])
+        n += len(first)
+        if n > HELD:
+            yield from passed()
+            n = 0
+    if held:
+        yield from passed()
 
 
 def _changes(*columns: np.ndarray) -> np.ndarray:
@@ -88,51 +104,120 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
+@contextmanager
+def _in_order(spark: SparkSession) -> Iterator[None]:
+    """Scans of bucketed tables say in which order their rows are, so that merges sort nothing."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if was is None else spark.conf.set(name, was)
+
+
 class FingerprintLog:
-    """The log: Parquet tables of (h, t1, again), bucketed and sorted by h, in the shared folder.
+    """The log: Parquet tables of (h, t1, again), bucketed and sorted by h.
 
+    Without a ``folder`` it stands in the shared folder and goes with the process. In a folder it stays, with a manifest of the
+    runs that hold: the last complete one counts, so a call that fails half way leaves the log as it was.
     Runs share their bucketing, so merging them, or a new run with them, moves no rows.
     """
 
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark = spark
+    def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
+        self.spark, self.folder = spark, folder.rstrip("/") if folder else None
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[DataFrame] = []
-
-    def run(self, rows: DataFrame) -> DataFrame:
+        self.gone: list[DataFrame] = []
+        self.turn = 0
+        if self.folder:
+            self._open()
+
+    def _open(self) -> None:
+        jvm = self.spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifest")
+        if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            return
+        lines = [r[0].split() for r in self.spark.read.text(f"{self.folder}/manifest").collect()]  # a few runs a turn
+        self.turn = max((int(x[0]) for x in lines), default=0)
+        for turn, buckets, name in lines:
+            if int(turn) == self.turn:
+                self.buckets = int(buckets)
+                if not self.spark.catalog.tableExists(name):
+                    self.spark.sql(f"CREATE TABLE {name} (h BIGINT, t1 BIGINT, again BOOLEAN) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {buckets} BUCKETS LOCATION '{self.folder}/{name}'")
+                self.runs.append(self.spark.table(name))
+                self.runs[-1].name, self.runs[-1].stored_at = name, f"{self.folder}/{name}"
+
+    def commit(self) -> None:
+        """Make the runs of now those that a later ``FingerprintLog`` of the same folder opens."""
+        if self.folder and self.runs:
+            self.turn += 1
+            lines = [(f"{self.turn} {self.buckets} {r.name}",) for r in self.runs]
+            self.spark.createDataFrame(lines, "value string").coalesce(1).write.mode("append").text(f"{self.folder}/manifest")
+        self._clear()
+
+    def _clear(self) -> None:
+        """Runs that compaction replaced go, from a lasting log when the manifest no longer has them."""
+        for r in self.gone:
+            self.spark.sql(f"DROP TABLE IF EXISTS {r.name}")
+            remove(self.spark, r.stored_at)
+        self.gone.clear()
+
+    def run(self, rows: DataFrame, lasting: bool = True) -> DataFrame:
         name = f"inkwell_run_{uuid.uuid4().hex}"
-        path = f"{shared_folder(self.spark)}/inkwell/{name}"
+        home = self.folder if self.folder and lasting else f"{shared_folder(self.spark)}/inkwell"
+        path = f"{home}/{name}"
         out = rows.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h")
         out.format("parquet").option("compression", "zstd").option("path", path).saveAsTable(name)
-        remove_at_exit(self.spark, path)
-        return self.spark.table(name)
+        if home != self.folder:
+            remove_at_exit(self.spark, path)
+        table = self.spark.table(name)
+        table.name, table.stored_at = name, path
+        return table
 
     def add(self, rows: DataFrame) -> DataFrame:
         """Append a run; (h, t1): the anchors at more than one place, with the texts of all runs they are in."""
-        new, old = self.run(rows), list(self.runs)
-        fold = lambda run, k: run.groupBy("h").agg(F.min("t1").alias(f"low{k}"), F.max("t1").alias(f"high{k}"), F.max("again").alias(f"again{k}"))
-        met = fold(new, "")
-        for k, run in enumerate(old):
-            met = met.join(fold(run, k), "h", "left")
-        several = F.col("again") | (F.col("low") != F.col("high"))
-        for k in range(len(old)):
-            several = several | F.coalesce(F.col(f"low{k}") != F.col("low"), F.lit(False)) | F.coalesce(F.col(f"high{k}") != F.col("low"), F.lit(False)) | F.coalesce(F.col(f"again{k}"), F.lit(False))
-        hits = self.run(met.where(several).select("h"))
-        self.runs.append(new)
-        marks = reduce(DataFrame.unionByName, [run.join(hits, "h").select("h", "t1") for run in self.runs])
-        if len(self.runs) >= FANOUT:
-            self.compact()
+        with _in_order(self.spark):
+            new, old = self.run(rows), list(self.runs)
+            fold = lambda run, k: run.groupBy("h").agg(F.min("t1").alias(f"low{k}"), F.max("t1").alias(f"high{k}"), F.max("again").alias(f"again{k}"))
+            met = fold(new, "")
+            for k, run in enumerate(old):
+                met = met.join(fold(run, k), "h", "left")
+            several = F.col("again") | (F.col("low") != F.col("high"))
+            for k in range(len(old)):
+                several = several | F.coalesce(F.col(f"low{k}") != F.col("low"), F.lit(False)) | F.coalesce(F.col(f"high{k}") != F.col("low"), F.lit(False)) | F.coalesce(F.col(f"again{k}"), F.lit(False))
+            hits = self.run(met.where(several).select("h"), lasting=False)
+            self.runs.append(new)
+            marks = stored(reduce(DataFrame.unionByName, [run.join(hits, "h").select("h", "t1") for run in self.runs]))
+            if len(self.runs) >= FANOUT:
+                self.compact()
         return marks
 
     def compact(self) -> None:
         """One run in place of all."""
-        self.runs = [self.run(reduce(DataFrame.unionByName, self.runs).groupBy("h", "t1").agg(F.max("again").alias("again")))]
+        old, self.runs = self.runs, [self.run(reduce(DataFrame.unionByName, self.runs).groupBy("h", "t1").agg(F.max("again").alias("again")))]
+        self.gone += old
+        if not self.folder:
+            self._clear()
 
 
 def _probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows under marked anchors. Of equal windows a task sends the earliest on; the others are
+    """Windows under marked anchors. Of equal windows that a task holds the earliest goes on; the others are
     repeats already, and their places go out as such (under keys of their own, which spread them)."""
     held: list[tuple[np.ndarray, ...]] = []
+    n = 0
+
+    def passed() -> Iterator[pa.RecordBatch]:
+        one, two, age, o, t1, at = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        order = np.lexsort((at, t1, o, age, two, one))
+        one, two, age, o, t1, at = one[order], two[order], age[order], o[order], t1[order], at[order]
+        again = ~_changes(one, two)
+        one = np.where(again, mix(mix(o.astype(U)) + t1.astype(U) + at.astype(U)), one)
+        for i in range(0, len(one), 200_000):
+            s = slice(i, i + 200_000)
+            yield pa.record_batch([pa.array(x) for x in (one[s].astype(np.int64), two[s].astype(np.int64), age[s], o[s], t1[s], at[s], again[s])], names=["one", "two", "age", "o", "t1", "at", "again"])
+
     for b in pieces(batches, "text"):
         w = words(b.column("text"))
         at, own, anchor = _windows(w)
@@ -146,19 +231,14 @@ def _probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = at[keep], own[keep]
         if len(at):
             one, two = grams(w.prints, WINDOW, 1)[at], grams(w.prints, WINDOW, 2)[at]
-            o, sub = (b.column(c).to_numpy(zero_copy_only=False) for c in ("o", "sub"))
-            held.append((one, two, o[own], sub[own], (at - w.first[own]).astype(np.int32)))
-    if not held:
-        return
-    one, two, o, sub, at = (np.concatenate(x) for x in zip(*held))
-    held.clear()
-    order = np.lexsort((at, sub, o, two, one))
-    one, two, o, sub, at = one[order], two[order], o[order], sub[order], at[order]
-    again = ~_changes(one, two)
-    one = np.where(again, mix(o.astype(U) * U(31) + at.astype(U)), one)
-    for i in range(0, len(one), 200_000):
-        s = slice(i, i + 200_000)
-        yield pa.record_batch([pa.array(x) for x in (one[s].astype(np.int64), two[s].astype(np.int64), o[s], sub[s], at[s], again[s])], names=["one", "two", "o", "sub", "at", "again"])
+            age, o, t1 = (b.column(c).to_numpy(zero_copy_only=False) for c in ("age", "o", "t1"))
+            held.append((one, two, age[own], o[own], t1[own], (at - w.first[own]).astype(np.int32)))
+            n += len(at)
+            if n > HELD:
+                yield from passed()
+                n = 0
+    if held:
+        yield from passed()
 
 
 def covered(starts: np.ndarray, n_words: int) -> np.ndarray:
@@ -186,7 +266,9 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column("row"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([t.decode() for t in text], pa.string())], names=["row", "n_words", "n_removed", "kept"])
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 2, keep: list[str] | None = None) -> DataFrame:
+def substring_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int | None = None, keep: list[str] | None = None, log: str | None = None, history: DataFrame | None = None
+) -> DataFrame:
     """(id, n_words, n_removed, kept and the columns ``keep``): a row for each row of ``docs``.
 
     Words are runs of characters other than space and ``\\x09-\\x0D``, unchanged. A word goes if a
@@ -194,33 +276,44 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     windows are judged on the input. ``kept`` joins the rest by one space. Null text is none, and a
     null id sorts last. Rows that repeat an id are ordered by a fingerprint of their texts; rows that
     repeat both are one document, given once for each row. Documents enter the index in
-    ``batches`` ranges of ids: the result is the same for any number.
+    ``batches`` ranges of ids (without the argument, of ``BATCH`` documents or less): the result is the same for any number.
+
+    ``log``: a folder, such as one in an object store, that keeps the log for later calls. ``history``: the documents (id, text) of the
+    earlier calls with this log; all are earlier than ``docs``. Of these only texts that share an anchor with another are looked at again.
     """
     keep = keep or []
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.struct(F.col(id_col), *keep).alias("row"), order_id(id_col).alias("o"), text.alias("text"))
-    rows = rows.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit("second"), "text")})
-    ids = stored(rows.select("o", "t1", "t2"))
-    reps = ids.groupBy("t1", "t2").agg(F.min("o").alias("o"))
-    reps = stored(reps.withColumn("sub", F.row_number().over(Window.partitionBy("o").orderBy("t1", "t2"))))
-
-    log, marks = FingerprintLog(docs.sparkSession), []
-    for batch in _ranges(rows, ids, batches):
-        found = stored(batch.select("t1", "text").mapInArrow(_anchors, "h long, t1 long, again boolean, known boolean"))
-        marks += [found.where("known").select("h", "t1"), log.add(found.where("not known").select("h", "t1", "again"))]
-    marks = reduce(DataFrame.unionByName, marks).groupBy("t1").agg(F.collect_set("h").alias("marks"))
-    marks = stored(reps.join(marks, "t1").select("o", "t1", "sub", "marks"))
-
+    rows = _told_apart(docs, id_col, text_col, 1, keep)
+    ids = stored(rows.select("age", "o", "t1", "t2"))
+    past = None
+    if history is not None:
+        past = _told_apart(history, id_col, text_col, 0, [])
+        ids = stored(ids.unionByName(past.select("age", "o", "t1", "t2")))
+    reps = stored(ids.groupBy("t1", "t2").agg(F.min(F.struct("age", "o")).alias("first"), F.count("*").alias("n")).select("t1", "t2", "first.age", "first.o", "n"))
+
+    index, found, met = FingerprintLog(docs.sparkSession, log), [], []
+    for batch in _ranges(docs, id_col, ids.where("age = 1"), batches):
+        found.append(stored(_told_apart(batch, id_col, text_col, 1, keep).select("t1", "text").mapInArrow(_anchors, "h long, t1 long, again boolean, known boolean")))
+        met.append(index.add(found[-1].where("not known").select("h", "t1", "again")))
+    index.commit()
+    marks = [*(x.where("known").select("h", "t1") for x in found), *met]
+    anchors = reduce(DataFrame.unionByName, marks).groupBy("t1").agg(F.collect_set("h").alias("marks"))
+    known = stored(reps.join(anchors, "t1").select("age", "o", "t1", "marks"))
+    release(*found, *met)
+
+    texts = rows.select("age", "o", "t1", "text")
+    if past is not None:
+        texts = texts.unionByName(past.select("age", "o", "t1", "text"))
     probes = (
-        rows.select("o", "t1", "text")
-        .join(marks, ["o", "t1"])
-        .select("o", "sub", "text", "marks")
-        .mapInArrow(_probes, "one long, two long, o long, sub int, at int, again boolean")
+        texts.join(known, ["age", "o", "t1"])
+        .select("age", "o", "t1", "text", "marks")
+        .mapInArrow(_probes, "one long, two long, age int, o long, t1 long, at int, again boolean")
     )
-    place = F.struct("o", "sub", "at")
+    place = F.struct("age", "o", "t1", "at")
     late = probes.withColumn("first", F.min(place).over(Window.partitionBy("one", "two"))).where(F.col("again") | (place != F.col("first")))
-    spans = stored(late.groupBy("o", "sub").agg(F.collect_set("at").alias("starts")).join(reps.select("o", "sub", "t1"), ["o", "sub"]).select("o", "t1", "starts"))
-    copies = ids.join(reps.select("t1", "t2", F.col("o").alias("rep")), ["t1", "t2"]).where("o <> rep").select("o", "t1").distinct().withColumn("copy", F.lit(True))
+    spans = stored(late.where("age = 1").groupBy("o", "t1").agg(F.collect_set("at").alias("starts")))
+    copies = join_evenly(ids, reps.select("t1", "t2", F.struct("age", "o").alias("first"), "n"), ["t1", "t2"], "n")
+    copies = stored(copies.where((F.col("age") == 1) & (F.struct("age", "o") != F.col("first"))).select("o", "t1").distinct().withColumn("copy", F.lit(True)))
+    release(known, ids, reps)
     plan = spans.join(copies, ["o", "t1"], "full")
     shape = with_fields(rows.select("row"), "n_words long, n_removed long, kept string")
     return (
@@ -232,12 +325,23 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def _ranges(rows: DataFrame, ids: DataFrame, n: int) -> list[DataFrame]:
-    """``n`` batches by ranges of ids, about equal; repeated ids stay together."""
+def _told_apart(docs: DataFrame, id_col: str, text_col: str, age: int, keep: list[str]) -> DataFrame:
+    """(row, age, o, text, t1, t2): age 0 is history; o orders by id; the fingerprints order and tell apart what shares an id."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.struct(F.col(id_col), *keep).alias("row"), F.lit(age).alias("age"), order_id(id_col).alias("o"), text.alias("text"))
+    return rows.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit("second"), "text")})
+
+
+def _ranges(docs: DataFrame, id_col: str, ids: DataFrame, n: int | None) -> list[DataFrame]:
+    """``n`` batches by ranges of ids, about equal; repeated ids stay together. The filters are on the column as it is, so
+    that a scan passes over row groups of other ranges."""
+    n = n or max(FANOUT, -(-ids.count() // BATCH))
     cuts = ids.agg(F.percentile_approx("o", [k / n for k in range(1, n)], 1000)).first()[0] if n > 1 else None
     edges = [None, *sorted(set(cuts or [])), None]
-    out = []
+    out, col = [], F.col(id_col).cast("long") if dict(docs.dtypes)[id_col] != "bigint" else F.col(id_col)
     for low, high in zip(edges[:-1], edges[1:]):
-        batch = rows if low is None else rows.where(F.col("o") > low)
-        out.append(batch if high is None else batch.where(F.col("o") <= high))
+        batch = docs if low is None else docs.where((col > low) | col.isNull())
+        if high is not None:
+            batch = batch.where(col <= high) if low is None else docs.where((col > low) & (col <= high))
+        out.append(batch)
     return out

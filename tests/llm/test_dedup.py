@@ -139,11 +139,35 @@ def brute_removal(rows):
 def test_substring_dedup_matches_brute_force_for_any_batches(docs, corpus):
     want = brute_removal(corpus)
     assert sum(x[1] for x in want.values()) > 200
-    for n in (1, 2, 5):
+    for n in (1, None, 6):
         got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring.substring_dedup(docs, batches=n).collect()}
         assert got == want, n
 
 
+def test_a_lasting_log_dedups_later_documents(spark, docs, corpus, tmp_path_factory, monkeypatch):
+    monkeypatch.setattr(substring, "HELD", 500)
+    folder = f"file://{tmp_path_factory.mktemp('log')}"
+    want, half = brute_removal(corpus), 3 * len(corpus) // 2
+    early, late = docs.where(f"doc_id <= {half}"), docs.where(f"doc_id > {half}")
+    one = substring.substring_dedup(early, batches=3, log=folder)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in one.collect()}
+    for t in spark.catalog.listTables():
+        spark.sql(f"DROP TABLE {t.name}")  # as in a new session
+    two = substring.substring_dedup(late, batches=2, log=folder, history=early)
+    got |= {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in two.collect()}
+    assert got == want
+    assert len(substring.FingerprintLog(spark, folder).runs) < 3 + 2  # compacted
+
+
+def test_runs_merge_without_sorting(spark, docs):
+    log = substring.FingerprintLog(spark)
+    rows = docs.select(F.xxhash64("text").alias("h"), F.col("doc_id").alias("t1"), F.lit(False).alias("again"))
+    one, two = log.run(rows), log.run(rows)
+    with substring._in_order(spark):
+        plan = one.join(two.select("h").hint("merge"), "h").groupBy("h").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort [" not in plan
+
+
 def test_substring_dedup_odd_rows(spark, corpus):
     rows = [(None, "a " * 25, None, None, None), (1, "a " * 25, None, None, None), (2, None, None, None, None)]
     df = spark.createDataFrame(rows, DOCS).withColumn("kept", F.lit("clash")).withColumn("starts", F.lit(1))
