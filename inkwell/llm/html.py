@@ -1,11 +1,13 @@
 """Main text of web pages by the distribution of text over lines of blocks.
 
 Markup is stripped into lines, a line for each block of running text. A line's weight is the length of
-its text outside links; a line in an element that never holds the article (menus, footers, adverts, forms,
-comments and the like, by tag, role, class or id) has none, nor has one outside the ``article`` or
-``main`` element where a page has one. Weights are summed over windows of ``REACH`` lines to either
-side. Where the sums surge over the page's level the text begins, where they dive back to nothing it ends; what stands
-between, in the stretch of most text and in all others that hold weight of their own, is kept.
+its text outside links. Markup gives hints, which change weights: a line in an element that never holds the article (menus,
+footers, adverts, forms, comments and the like, by tag, role, class or id) has none, nor has one outside the ``article`` or
+``main`` element where a page has one; a line inside counts its links in part, and at least as ``SURGE`` characters.
+
+Weights are summed over windows of ``REACH`` lines to either side. The level of a page is ``LEVEL`` of its greatest sum, at most
+``SURGE``. A stretch of text begins where the sums leave nothing and ends where they dive back to it; it is kept if
+they surge over the level in between, from its first line of weight to its last.
 """
 
 from __future__ import annotations
@@ -48,6 +50,8 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 _ENDS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|$)", re.I) for t in ("script", "style", "textarea", "title", "iframe")}
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 REACH = 3
+#: Characters in a window that make a surge on any page, and the share of the greatest sum that does on a page with little text.
+SURGE, LEVEL = 86, 0.05
 
 
 def _names(attributes: str) -> set[str]:
@@ -80,21 +84,27 @@ def _named(tag: str, attributes: str, inside: bool, own: bool) -> set[str]:
 
 
 class Line:
-    """named: the elements around it whose names mark them, each with whether these are names of comments."""
+    """named: the innermost element around it whose name marks it, -1 without one."""
 
     __slots__ = ("text", "linked", "apart", "own", "named")
 
-    def __init__(self, apart: bool, own: bool, named: tuple) -> None:
+    def __init__(self, apart: bool, own: bool, named: int) -> None:
         self.text: list[str] = []
         self.linked: list[str] = []
         self.apart, self.own, self.named = apart, own, named
 
 
-def lines(page: str) -> list[Line]:
-    """A line for each block of text, in page order. own: it stands in an article or main element."""
+#: Elements with names that mark them, in page order: the one around each (-1: none), and whether the name is one of comments.
+Named = list[tuple[int, bool]]
+
+
+def lines(page: str) -> tuple[list[Line], Named]:
+    """A line for each block of text, in page order, and the named elements. own: it stands in an article or main element."""
     out: list[Line] = []
-    stack: list[tuple[str, bool, bool, bool, tuple]] = []
-    named: tuple[tuple[int, bool], ...] = ()
+    elements: Named = []
+    stack: list[tuple[str, bool, bool, bool, int]] = []
+    open_: Counter[str] = Counter()
+    named = -1
     apart = own = inside = False
     fresh = True
     raw, links, at = "", 0, 0
@@ -137,7 +147,7 @@ def lines(page: str) -> list[Line]:
             elif m[1] and tag == raw:
                 raw = ""
                 continue
-            elif m[1] and any(s[0] == tag for s in stack):
+            elif m[1] and open_[tag]:
                 raw = ""  # left open: it ends with the element that it stands in
             if raw:
                 continue
@@ -146,10 +156,11 @@ def lines(page: str) -> list[Line]:
         if m[1]:
             if tag == "a":
                 links = max(0, links - 1)
-            if any(s[0] == tag for s in stack):
+            if open_[tag]:
                 was = apart, own, named
                 while stack:
                     name, apart, own, inside, named = stack.pop()
+                    open_[name] -= 1
                     if name == tag:
                         break
                 fresh = fresh or was != (apart, own, named)
@@ -166,60 +177,71 @@ def lines(page: str) -> list[Line]:
             continue
         if tag in ("p", "li", "td", "th", "dt", "dd", "tr", "option") and stack and stack[-1][0] == tag:
             _, apart, own, inside, named = stack.pop()
-        if len(stack) < 10_000:
-            stack.append((tag, apart, own, inside, named))
+            open_[tag] -= 1
+        stack.append((tag, apart, own, inside, named))
+        open_[tag] += 1
         was = apart, own, named
         apart = apart or _apart(tag, m[3], inside)
-        if not apart and len(named) < 50 and (words := _named(tag, m[3], inside, own)):
-            named += ((at, bool(words & TALK)),)
+        if not apart and (words := _named(tag, m[3], inside, own)):
+            elements.append((named, bool(words & TALK)))
+            named = len(elements) - 1
         own = own or tag in ("article", "main") and not apart
         inside = inside or own or _names(m[3]) & CONTENT != set()
         fresh = fresh or was != (apart, own, named)
     text(page[at:])
-    return out
+    return out, elements
 
 
 def _clean(parts: list[str]) -> str:
     return " ".join("".join(parts).split())
 
 
-def _by_name(found: list[tuple[Line, str]]) -> None:
+def _by_name(found: list[tuple[Line, str]], elements: Named) -> None:
     """Lines in elements that names mark stand apart, unless the element holds most of the page's text; one of
     comments may do so beside an article."""
-    mass: Counter[tuple[int, bool]] = Counter()
-    for x, t in found:
-        if not x.apart:
-            for e in x.named:
-                mass[e] += len(t)
-    if not mass:
+    if not elements:
         return
+    mass = [0] * len(elements)
+    for x, t in found:
+        if not x.apart and x.named >= 0:
+            mass[x.named] += len(t)
+    for e in range(len(elements) - 1, -1, -1):  # an element comes after the one around it
+        if (around := elements[e][0]) >= 0:
+            mass[around] += mass[e]
     most = sum(len(t) for x, t in found if not x.apart) / 2
-    held = any(x.own and not x.apart and not x.named for x, _ in found)
-    marks = {e for e, n in mass.items() if n <= most or e[1] and held}
+    held = any(x.own and not x.apart and x.named < 0 for x, _ in found)
+    marked: list[bool] = []
+    for (around, talk), n in zip(elements, mass):
+        marked.append(around >= 0 and marked[around] or n <= most or talk and held)
     for x, _ in found:
-        x.apart = x.apart or any(e in marks for e in x.named)
+        x.apart = x.apart or x.named >= 0 and marked[x.named]
 
 
-def kept_lines(page: str) -> list[str]:
-    found = [(x, t) for x in lines(page) if (t := _clean(x.text))]
-    _by_name(found)
-    held = any(x.own and not x.apart for x, _ in found)
-    # in an article links are part of it, and count in part
-    weight = np.array([0 if x.apart or held and not x.own else max(0, len(t) - (0.75 if held else 1) * len(_clean(x.linked))) for x, t in found], float)
+def stretches(weight: np.ndarray) -> list[tuple[int, int]]:
+    """(first, last + 1) of the lines that the distribution of ``weight`` gives as text."""
     if not weight.any():
         return []
-    reach = np.convolve(weight, np.ones(2 * REACH + 1))[REACH : REACH + len(weight)]
-    # surge: the sums leave nothing; dive: they come back to it; a page may do so several times
-    live = reach > 0
+    sums = np.convolve(weight, np.ones(2 * REACH + 1))[REACH : REACH + len(weight)]
+    live = sums > 0
     start = np.flatnonzero(live & ~np.concatenate([[False], live[:-1]]))
     end = np.flatnonzero(live & ~np.concatenate([live[1:], [False]])) + 1
-    mass = np.array([weight[a:b].sum() for a, b in zip(start, end)])
-    level = 0.0 if held else 0.05 * mass.max()
-    keep = []
-    for a, b, m in zip(start, end, mass):
-        if m >= level:
-            keep += [t for (x, t), w in zip(found[a:b], weight[a:b]) if not x.apart and (w or held and x.own)]
-    return keep
+    level = min(SURGE, LEVEL * sums.max(initial=0))
+    return [(int(a), int(b)) for a, b in zip(start, end) if sums[a:b].max() >= level]
+
+
+def kept_lines(page: str) -> list[str]:
+    all_, elements = lines(page)
+    found = [(x, t) for x in all_ if (t := _clean(x.text))]
+    _by_name(found, elements)
+    held = any(x.own and not x.apart for x, _ in found)
+
+    def weight(x: Line, t: str) -> float:
+        if x.apart or held and not x.own:
+            return 0
+        return max(SURGE, len(t) - 0.75 * len(_clean(x.linked))) if held else max(0, len(t) - len(_clean(x.linked)))
+
+    weights = np.array([weight(x, t) for x, t in found], float)
+    return [t for a, b in stretches(weights) for (x, t), w in zip(found[a:b], weights[a:b]) if w]
 
 
 def main_text(page: str | None) -> str:

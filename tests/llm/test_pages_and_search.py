@@ -66,6 +66,45 @@ def test_names_and_links_keep_articles():
     assert html.main_text("<p><a>\n     link     \n</a> text</p>") == "link text"
 
 
+def test_depth_changes_nothing():
+    for depth in (1, 10_050, 30_000):
+        page = "<div>" * depth + "<nav>menu</nav><p>article text</p>" + "</div>" * depth + "<p>after</p>"
+        assert html.main_text(page) == "article text after", depth
+    deep = "".join(f"<div class=menu id=e{k}>" for k in range(20_000)) + "x" + "</div>" * 20_000
+    assert html.main_text(f"<p>{'words ' * 20}</p>{deep}") == ("words " * 20).strip()
+
+
+def brute_stretches(weight):
+    """The rule of surge and dive, line by line."""
+    sums = [sum(weight[max(0, k - html.REACH) : k + html.REACH + 1]) for k in range(len(weight))]
+    level, out, k = min(html.SURGE, html.LEVEL * max(sums, default=0)), [], 0
+    while k < len(sums):
+        if sums[k] > 0:
+            a = k
+            while k < len(sums) and sums[k] > 0:
+                k += 1
+            if any(x >= level for x in sums[a:k]):
+                out.append((a, k))
+        k += 1
+    return out
+
+
+def test_surge_and_dive_against_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n = int(rng.integers(0, 60))
+        weight = np.where(rng.random(n) < 0.25, rng.choice([1, 3, 40, 400, 3000], n), 0).astype(float)
+        assert html.stretches(weight) == brute_stretches(weight.tolist())
+
+
+def test_distribution_decides_without_article():
+    text = " ".join(["Running text of the page goes on in full sentences."] * 30)
+    links = "".join(f"<li><a href=/{k}>Link number {k}</a>" for k in range(9))
+    page = f"<div><ul>{links}</ul></div><div><h1>Head</h1><p>{text}</p><p>Short.</p></div><div><ul>{links}</ul></div><div>Tiny far line</div><div><ul>{links}</ul></div>"
+    assert html.main_text(page) == f"Head {text} Short."
+    assert html.main_text(page.replace("<div><h1>", "<article><h1>").replace("Short.</p></div>", "Short.</p></article>")) == f"Head {text} Short."
+
+
 def test_extract_keeps_rows(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (3, "v", "<p>" * 20_000 + "x")]
     out = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("row", F.lit(0))).collect()
