@@ -5,34 +5,69 @@ for each base symbol, all of them joined. The gadget of the merge (u, v) -> uv t
 the state that u leads to, and gives every state that has the arc u an arc uv, which leads where v
 led. What is left accepts, of all ways to cut a string into tokens, the one that the merges
 make. So the state after a token depends on that token alone, and states need not be copied whole: a
-state is the chain of gadgets that touched it. ``follows`` reads an arc by undoing gadgets from the
-latest, and keeps it in the transition table.
+state is the chain of gadgets that touched it. All arcs would be some thousand million (nearly every token may follow
+nearly every other), so an arc is compiled when it is first walked: ``follows`` reads it by undoing gadgets from the
+latest, and it stands in the table of arcs from then on. Labels compile into a table of transitions by symbol.
 
-To encode a word, the table is walked from left to right: at each end of a prefix exactly one token
-continues the path of a shorter prefix by an arc. Decoding emits the labels of the arcs taken.
+To encode a word, the tables are walked from left to right: from the state at each place the transitions by symbol
+spell the labels that begin there, and an arc with that label leads to the state at the label's end. Each place is reached by one
+path at most. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import pieces, with_fields
 
-#: Fixed values of the word-level scheme: the end-of-word mark and the pieces into which lower-cased text is cut.
+#: Fixed values of the word-level scheme: the end-of-word mark and the contractions that are pieces of their own.
 END = "</w>"
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
-#: The same for text in Latin-1, which is far quicker.
-LATIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\x09-\x0D \x85\xA0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
-_MOST_WORDS, _MOST_ARCS = 300_000, 300_000
+SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
+#: Letters and digits that Unicode 16.0, by which the scheme tells pieces apart, has beyond 15.1.
+LETTERS_16 = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389),
+    (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA),
+    (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+DIGITS_16 = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
+#: Lower case of letters that Unicode 16.0 and 17.0, by which the scheme lower-cases, have beyond 15.1: (first, last, lower case of the first).
+LOWER_17 = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5),
+    (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+)
+_LOWER = {a + k: c + k for a, b, c in LOWER_17 for k in range(b - a + 1)}
+#: Pieces of lower-cased text in Latin-1, which are found far more quickly.
+LATIN_PIECES = re.compile(rf"{SHORT}|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\x09-\x0D \x85\xA0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+#: What a task keeps of words that it has seen (characters, with what they become), and of arcs.
+_MOST_CHARS, _MOST_ARCS = 4_000_000, 400_000
+
+
+@lru_cache
+def piece_pattern() -> str:
+    """The pattern of the pieces of any text, with letters and digits as in Unicode 16.0."""
+    found: dict[str, list[list[int]]] = {"L": [], "N": []}
+    for c in range(0x110000):
+        kind = unicodedata.category(chr(c))[0]
+        if kind in found:
+            ranges = found[kind]
+            if ranges and ranges[-1][1] == c - 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+    text = lambda ranges: "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+    letter, digit = text([*found["L"], *LETTERS_16]), text([*found["N"], *DIGITS_16])
+    space = r"\x09-\x0D \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+    return f"{SHORT}|[{letter}]+|[{digit}]|[^{space}{letter}{digit}]+"
 
 
 def byte_symbols() -> list[str]:
@@ -50,24 +85,40 @@ class Automaton:
 
     def __init__(self, definition: dict) -> None:
         model = definition["model"]
-        self.vocab: dict[str, int] = model["vocab"]
+        vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in definition["added_tokens"]}
-        self.when = [-1] * (max(self.vocab.values()) + 1)
-        self.left, self.right = list(range(len(self.when))), list(range(len(self.when)))
+        #: What decoding emits for each arc.
+        self.labels = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        size = max(vocab.values()) + 1
+        self.when = array("i", [-1]) * size
+        self.left, self.right = array("i", range(size)), array("i", range(size))
         self.gadget: dict[int, int] = {}
-        #: Labels of arcs: base symbols, and tokens that some string merges to.
-        self.tokens = {t: i for t, i in self.vocab.items() if len(t.removesuffix(END)) == 1}
+        self.pieces = piece_pattern()
+        # labels of arcs: base symbols, and tokens that some string merges to
+        tokens = {t: i for t, i in vocab.items() if len(t.removesuffix(END)) == 1}
         for turn, merge in enumerate(model["merges"]):
-            self._add(turn, *(merge if isinstance(merge, list) else merge.split(" ")))
-        self.longest = max(len(t.removesuffix(END)) for t in self.tokens)
-
-    def _add(self, turn: int, a: str, b: str) -> None:
-        u, v, uv = self.vocab[a], self.vocab[b], self.vocab[a + b]
+            a, b = merge if isinstance(merge, list) else merge.split(" ")
+            self._add(tokens, turn, vocab[a], vocab[b], vocab[a + b], a, b)
+        #: Transitions by symbol: (node, symbol) to node; and the label complete at a node, in a word and at its end, or -1.
+        self.steps: dict[int, int] = {}
+        self.inner, self.final = array("i", [-1]), array("i", [-1])
+        for t, i in tokens.items():
+            node = 0
+            for c in t.removesuffix(END):
+                key = node << 16 | ord(c)
+                if key not in self.steps:
+                    self.steps[key] = len(self.inner)
+                    self.inner.append(-1)
+                    self.final.append(-1)
+                node = self.steps[key]
+            (self.final if t.endswith(END) and len(t) > len(END) else self.inner)[node] = i
+
+    def _add(self, tokens: dict[str, int], turn: int, u: int, v: int, uv: int, a: str, b: str) -> None:
         if self.when[uv] != -1:
             raise ValueError(f"two merges make the token {a + b!r}")
-        if a not in self.tokens or b not in self.tokens or not self.follows(u, v):
+        if a not in tokens or b not in tokens or not self.follows(u, v):
             return  # earlier merges part the two wherever they would meet: the gadget finds no arc
-        self.tokens[a + b] = uv
+        tokens[a + b] = uv
         self.when[uv], self.left[uv], self.right[uv] = turn, u, v
         self.gadget[u << 32 | v] = turn
 
@@ -86,87 +137,103 @@ class Automaton:
 
 
 class _Known(dict):
+    """Words with what they become; starts anew when the words have ``_MOST_CHARS`` characters. A word longer than a
+    thousandth of that isn't kept."""
+
     def __init__(self, make) -> None:
-        self.make = make
+        self.make, self.chars = make, 0
 
     def __missing__(self, word: str):
-        if len(self) >= _MOST_WORDS:
-            self.clear()
-        found = self[word] = self.make(word)
+        found = self.make(word)
+        if len(word) * 1000 <= _MOST_CHARS:
+            self.chars += len(word) + 8
+            if self.chars > _MOST_CHARS:
+                self.clear()
+                self.chars = len(word) + 8
+            self[word] = found
         return found
 
 
 class Walker:
-    """Encodes words by the automaton; holds the transition table and the words of late."""
+    """Encodes words by the automaton; holds the table of arcs and the words of late."""
 
     def __init__(self, automaton: Automaton) -> None:
-        self.automaton = automaton
+        self.automaton, self.labels = automaton, automaton.labels
         self.symbols = byte_symbols()
-        self.label = {i: t for t, i in automaton.vocab.items()} | {i: t for t, i in automaton.special.items()}
         self.arcs: dict[int, bool] = {}
         self.words = _Known(self._word)
-        marks = [regex.escape(s) for s in sorted(automaton.special, key=len, reverse=True)]
-        self.cut = regex.compile(f"({'|'.join(marks)})") if marks else None
+        marks = [re.escape(s) for s in sorted(automaton.special, key=len, reverse=True)]
+        self.cut = re.compile(f"({'|'.join(marks)})") if marks else None
+        self.pieces = re.compile(automaton.pieces)
 
     def path(self, word: str) -> list[int]:
         """Tokens of one word, given as symbols."""
-        tokens, arcs, n = self.automaton.tokens, self.arcs, len(word)
-        last: list[int] = [-1] * (n + 1)
-        for j in range(1, n + 1):
-            end = END if j == n else ""
-            for i in range(max(0, j - self.automaton.longest), j):
-                t = tokens.get(word[i:j] + end)
-                if t is None:
+        automaton, arcs, n = self.automaton, self.arcs, len(word)
+        steps, inner, final = automaton.steps, automaton.inner, automaton.final
+        state, came = [-1] * (n + 1), [0] * (n + 1)
+        codes = list(map(ord, word))
+        for i in range(n):
+            x, node = state[i], 0
+            if i and x < 0:
+                continue
+            for j in range(i, n):
+                node = steps.get(node << 16 | codes[j])
+                if node is None:
+                    break
+                t = inner[node] if j < n - 1 else final[node]
+                if t < 0:
                     continue
                 if i:
-                    x = last[i]
                     key = x << 32 | t
                     known = arcs.get(key)
                     if known is None:
                         if len(arcs) >= _MOST_ARCS:
                             arcs.clear()
-                        known = arcs[key] = self.automaton.follows(x, t)
+                        known = arcs[key] = automaton.follows(x, t)
                     if not known:
                         continue
-                last[j] = t
-                break
+                state[j + 1], came[j + 1] = t, i
         out, j = [], n
         while j:
-            t = last[j]
-            out.append(t)
-            j -= len(self.label[t]) - len(END) * (j == n)
+            out.append(state[j])
+            j = came[j]
         return out[::-1]
 
-    def _word(self, word: str) -> tuple[bytes, str]:
-        symbols = "".join(map(self.symbols.__getitem__, word.encode()))
-        path = self.path(symbols)
-        return b"".join([t.to_bytes(4, "little") for t in path]), " ".join(map(self.label.__getitem__, path))
+    def _word(self, word: str) -> bytes:
+        ids = array("I", self.path("".join(map(self.symbols.__getitem__, word.encode()))))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """Token ids as little-endian 32-bit integers, and the labels joined by spaces."""
-        ids, labels = [], []
-        for k, part in enumerate(self.cut.split(text) if self.cut and "<" in text else [text]):
+    def encode(self, text: str) -> bytes:
+        """Token ids as little-endian 32-bit integers."""
+        ids = []
+        for k, part in enumerate(self.cut.split(text) if self.cut else [text]):
             if k % 2:
                 ids.append(self.automaton.special[part].to_bytes(4, "little"))
-                labels.append(part)
                 continue
-            if not part.isascii():
-                part = unicodedata.normalize("NFC", part)
-            if "Σ" in part:  # lower-casing goes by characters, without regard to word ends
-                part = part.replace("Σ", "σ")
-            part = part.lower()
-            try:
-                part.encode("latin-1")
+            if part.isascii():
                 cut = LATIN_PIECES
-            except UnicodeEncodeError:
-                cut = PIECES
-            found = list(map(self.words.__getitem__, cut.findall(part)))
-            ids += [f[0] for f in found]
-            labels += [f[1] for f in found]
-        return b"".join(ids), " ".join(labels)
+                part = part.lower()
+            else:
+                part = unicodedata.normalize("NFC", part)
+                if "Σ" in part:  # lower-casing goes by characters, without regard to word ends
+                    part = part.replace("Σ", "σ")
+                part = part.lower()
+                try:
+                    part.encode("latin-1")
+                    cut = LATIN_PIECES
+                except UnicodeEncodeError:
+                    part, cut = part.translate(_LOWER), self.pieces
+            ids += map(self.words.__getitem__, cut.findall(part))
+        return b"".join(ids)
 
     def decode(self, ids: bytes) -> str:
-        return " ".join(self.label[int.from_bytes(ids[k : k + 4], "little")] for k in range(0, len(ids), 4))
+        """The labels of the arcs ``ids``, joined by one space."""
+        found = array("I", ids)
+        if sys.byteorder == "big":
+            found.byteswap()
+        return " ".join(map(self.labels.__getitem__, found))
 
 
 def load(path: str) -> Automaton:
@@ -184,7 +251,7 @@ def _encode(automaton, batches: Iterator[pa.RecordBatch], passed: list[str]) ->
     for b in pieces(batches, "text"):
         found = [walker.encode(t or "") for t in b.column("text").to_pylist()]
         columns = [b.column(c) for c in passed]
-        columns += [pa.array([len(i) // 4 for i, _ in found], pa.int64()), pa.array([i for i, _ in found], pa.binary()), pa.array([t for _, t in found], pa.string())]
+        columns += [pa.array([len(i) // 4 for i in found], pa.int64()), pa.array(found, pa.binary()), pa.array([walker.decode(i) for i in found], pa.string())]
         yield pa.record_batch(columns, names=[*passed, "n_tokens", "ids", "decoded"])
 
 
@@ -203,7 +270,8 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     """(id, the columns ``keep``, n_tokens, ids, decoded): a row for each row of ``docs``; ids as little-endian 32-bit integers.
 
     White space is dropped and text lower-cased, as the tokenizer file has it; the strings of its special
-    tokens are those tokens. Null text is the empty text: no tokens. ``tokenizer`` is the path of the file
+    tokens are those tokens. Null text is the empty text: no tokens. ``decoded`` comes from ``ids``. Repeated rows each get a row, other columns
+    are ignored, and a text of any length is one row. ``tokenizer`` is the path of the file
     on the driver; the automaton (some MB, by the vocabulary) is broadcast. No rows move.
     """
     sent = _Sent(docs.sparkSession, load(tokenizer), tokenizer)
