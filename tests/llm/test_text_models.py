@@ -35,6 +35,19 @@ def test_encoding_matches_the_library(spark, corpus):
         assert r["decoded"] == library.decode(ids, skip_special_tokens=False)
 
 
+def test_every_code_point_encodes_as_by_the_library():
+    from tokenizers import Tokenizer
+
+    library, walker = Tokenizer.from_file(tokenizer()), bpe.Walker(bpe.load(tokenizer()))
+    codes = [c for a, b in ((0, 0xD800), (0xE000, 0x32400), (0xE0000, 0xE0200), (0x10FFF0, 0x110000)) for c in range(a, b)]
+    # as a letter or not between letters, twice in a row, and lower-cased
+    texts = ["".join(f"a{chr(c)}{chr(c)}a " for c in codes[k : k + 500]) for k in range(0, len(codes), 500)]
+    for text, found in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        ids = walker.encode(text)
+        assert np.frombuffer(ids, "<u4").tolist() == found.ids, hex(ord(text[1]))
+        assert walker.decode(ids) == library.decode(found.ids, skip_special_tokens=False)
+
+
 def merges_by_hand(word, merges, end):
     parts = [*word[:-1], word[-1] + end]
     while True:
@@ -66,7 +79,7 @@ def test_automaton_follows_random_merges(seed):
     walker, turns = bpe.Walker(automaton), {tuple(m): k for k, m in enumerate(merges)}
     for _ in range(300):
         word = "".join(r.choices("abc", k=r.randint(1, 14)))
-        assert [walker.label[t] for t in walker.path(word)] == merges_by_hand(word, turns, "</w>"), (word, merges)
+        assert [walker.labels[t] for t in walker.path(word)] == merges_by_hand(word, turns, "</w>"), (word, merges)
 
 
 def brute_model(texts):
@@ -181,6 +194,22 @@ def test_leaks_against_brute_force(spark):
     assert {x["doc_id"] for x in clean.collect()} == {d for d, _ in rows} - {d for d, _ in got}
 
 
+def test_differences_by_correlation(monkeypatch):
+    r = np.random.default_rng(8)
+    monkeypatch.setattr(decontam, "_PAIRED", 0)
+    monkeypatch.setattr(decontam, "_SPAN", 97)
+    for _ in range(60):
+        p, q = (np.unique(r.integers(0, 400, r.integers(1, 90))) for _ in range(2))
+        assert decontam.differences(p, q).tolist() == sorted({int(a - b) for a in p for b in q})
+
+
+def test_few_words_repeated_many_times():
+    seeds = decontam.Seeds([(1, "yes " * 5000), (2, "yes no " * 300 + "maybe"), (3, "no " * 12)])
+    found = decontam.found_in(pa.array(["yes " * 200_000, "yes no " * 5000, "other words", "no " * 30]), seeds)
+    assert found[0] == {0: (0, 5000, 5000)}
+    assert found[1] == {1: (0, 601, 600)} and found[2] == {} and found[3] == {2: (0, 12, 12)}
+
+
 def test_leaks_in_blocks_of_the_benchmark(spark, monkeypatch):
     items = [(k, sentence(random.Random(k), 30)) for k in range(20)]
     bench = spark.createDataFrame(items, "item_id long, text string")
