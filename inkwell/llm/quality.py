@@ -33,6 +33,8 @@ START, END = "\x02", "\x03"
 HOT, SIEVE = 1 << 20, 26
 #: Characters looked at together, and n-grams that a task holds before it passes their counts on.
 _SLICE, _HELD = 1 << 18, 1 << 19
+#: Rows whose sums a task keeps, as a power of two.
+_LATE = 20
 _STEP = U(0x9E3779B97F4A7C15)
 _CONTEXT = U(0x5851F42D4C957F2D)
 
@@ -41,17 +43,17 @@ def _seed(lang: str) -> int:
     return int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little")
 
 
-def windows(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Slices of (codes, own): a row of ``ORDER`` characters for each character of each text and its end, which
-    comes last in the row, and the index of the text. A text without characters has no rows."""
+def windows(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of (rows, at, own): for each character of each text and its end, the row of ``rows`` with the ``ORDER``
+    characters that it ends, and the index of the text. A text without characters has none."""
     held: list[str] = []
     own: list[int] = []
 
-    def arrays() -> tuple[np.ndarray, np.ndarray]:
+    def arrays() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         code = np.frombuffer("".join(held).encode("utf-32-le", "surrogatepass"), np.uint32)
         size = np.array([len(h) for h in held])
         at = inside(np.concatenate([[0], np.cumsum(size)]), ORDER)
-        return np.lib.stride_tricks.sliding_window_view(code, ORDER)[at], np.repeat(own, size - ORDER + 1)
+        return np.lib.stride_tricks.sliding_window_view(code, ORDER), at, np.repeat(own, size - ORDER + 1)
 
     n = 0
     for i, text in enumerate(texts):
@@ -67,12 +69,16 @@ def windows(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield arrays()
 
 
-def _distinct(codes: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprints of the distinct (language, row), a place of each, and which of them each row is."""
-    h = seed.copy()
-    for k in range(ORDER):
-        h = h * _STEP + codes[:, k]
-    h = mix(h)
+def _prints(rows: np.ndarray, at: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Fingerprints of (language, row)."""
+    h = rows[:, 0].astype(U)
+    for k in range(1, ORDER):
+        h = h * _STEP + rows[:, k]
+    return mix(h[at] + seed)
+
+
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct fingerprints, a place of each, and which of them each is."""
     found = np.unique(h)
     which = np.searchsorted(found, h)
     place = np.empty(len(found), np.int64)
@@ -107,10 +113,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names[x] = len(names)
                 seeds.append(_seed(x))
         lang_of, seed_of = np.array([names[x] for x in b.column("lang").to_pylist()], np.int64), np.array(seeds, U)
-        for codes, own in windows(b.column("text").to_pylist()):
+        for codes, at, own in windows(b.column("text").to_pylist()):
             lang = lang_of[own]
-            found, place, which = _distinct(codes, seed_of[lang])
-            held.append((found, codes[place], lang[place], np.bincount(which, minlength=len(found))))
+            found, place, which = _distinct(_prints(codes, at, seed_of[lang]))
+            held.append((found, codes[at[place]], lang[place], np.bincount(which, minlength=len(found))))
             rows += len(found)
             if rows > _HELD:
                 merge()
@@ -250,6 +256,8 @@ def _weigh(sent: tuple[np.ndarray, ...], seed: np.ndarray, codes: np.ndarray) ->
 
 def _score(weights, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sent = weights.value
+    # sums of rows of late, each in the place that its fingerprint names
+    late, sums = np.zeros(1 << _LATE, U), np.zeros(1 << _LATE)
     number = TaskContext.get().partitionId() << 40
     for b in pieces(batches, "text"):
         langs, texts = b.column("lang").to_pylist(), b.column("text").to_pylist()
@@ -257,16 +265,26 @@ def _score(weights, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         seed = np.array([seeds[x] for x in langs], U)
         bits = np.zeros(len(texts))
         cold: list[tuple[np.ndarray, ...]] = []
-        for codes, own in windows(texts):
-            found, place, which = _distinct(codes, seed[own])
-            total, row, key = _weigh(sent, seed[own[place]], codes[place])
+        for codes, at, own in windows(texts):
+            h = _prints(codes, at, seed[own])
+            slot = h >> U(64 - _LATE)
+            hit = late[slot] == h
+            bits += np.bincount(own, np.where(hit, sums[slot], 0), len(texts))
+            miss = np.flatnonzero(~hit)
+            own, at = own[miss], at[miss]
+            found, place, which = _distinct(h[miss])
+            total, row, key = _weigh(sent, seed[own[place]], codes[at[place]])
             bits += np.bincount(own, total[which], len(texts))
+            whole = np.ones(len(found), bool)
+            whole[row] = False
+            slot = found[whole] >> U(64 - _LATE)
+            late[slot], sums[slot] = found[whole], total[whole]
             if len(row):
                 # by text: how often each row with keys to join stands there
                 some = np.zeros(len(found), bool)
                 some[row] = True
-                at = np.flatnonzero(some[which])
-                pair, n = np.unique(own[at] * len(found) + which[at], return_counts=True)
+                some = np.flatnonzero(some[which])
+                pair, n = np.unique(own[some] * len(found) + which[some], return_counts=True)
                 text, unique = np.divmod(pair, len(found))
                 order = np.argsort(row, kind="stable")
                 first, last = np.searchsorted(row[order], unique, "left"), np.searchsorted(row[order], unique, "right")
