@@ -17,6 +17,7 @@ FIRST = (
     ("registration", r"(?<!\d)\d{3}[- ]?\d{2}[- ]?\d{5}(?!\d)", "[BUSINESS_ID]"),
     ("registration", r"(?<!\d)\d{6}[- ]?\d{7}(?!\d)", "[CORPORATE_ID]"),
 )
+#: A card number, which must pass its check digit; an account number by its label; and one by its dashes and 10 to 16 digits.
 CARD = r"(?<!\d)\d(?:[- ]?\d){12,18}(?!\d)"
 LABELLED = (("account", r"(계좌번호|입금계좌|은행계좌|환불계좌|계좌)\s*[:：]?\s*\d(?:[- ]?\d){7,19}", "$1: [ACCOUNT]"),)
 ACCOUNT = r"(?<!\d)\d{2,6}(?:-\d{2,6}){2,4}(?!\d)"

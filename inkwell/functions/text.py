@@ -10,7 +10,7 @@ SPACE = "[\\s   -     　﻿]"
 #: Words that tokens leave out.
 STOP_WORDS = (
     "그리고", "그러나", "대한", "위한", "통한", "있는", "하는", "해야", "하면", "에서", "으로", "에게", "까지", "관련", "기반", "활용", "방법", "전략", "핵심", "가이드", "안내",
-    "기업", "중소기업", "스타트업", "지원", "사업", "정부", "정부지원사업", "울림컴퍼니", "2026년", "2026년도", "실무", "우리", "소개", "종합", "정리", "필요", "확인",
+    "기업", "중소기업", "스타트업", "지원", "사업", "정부", "정부지원사업", "2026년", "2026년도", "실무", "우리", "소개", "종합", "정리", "필요", "확인",
 )
 #: Entities, in the order they are decoded.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
@@ -52,7 +52,7 @@ def headings(html: Column, levels: str = "23") -> Column:
 
 
 def tokens(text: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
-    """Words of two characters or more, with repeats, without stop words."""
+    """Words of two characters or more, with repeats, without stop words (``stop`` takes more of them, such as the publisher's own name)."""
     found = F.regexp_extract_all(F.lower(text), F.lit("[가-힣a-z0-9]+"), F.lit(0))
     return F.filter(found, lambda w: (F.length(w) > 1) & ~w.isin(*stop))
 
@@ -72,6 +72,28 @@ def title_key(title: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_replace(title, r"^\s*\[[^\]]*\]\s*", "")), "[^0-9a-z가-힣]", "")
 
 
+#: Names of regions, and of the bodies that a region has.
+REGIONS = (
+    "서울", "부산", "대구", "인천", "광주", "대전", "울산", "세종", "경기", "강원", "충북", "충청북도", "충남", "충청남도", "전북", "전라북도", "전남", "전라남도", "경북", "경상북도", "경남", "경상남도", "제주",
+    "창원", "김해", "양산", "진주", "거제", "통영", "포항", "구미", "천안", "청주", "전주", "여수", "순천", "수원", "성남", "용인", "고양", "화성", "이천", "하남", "평택",
+)
+REGION_LEVELS = ("특별시", "광역시", "특별자치시", "특별자치도", "시", "도", "군", "구")
+REGION_BODIES = (
+    "테크노파크", "창조경제혁신센터", "지방중소벤처기업청", "중소벤처기업청", "경제진흥원", "산업진흥원", "신용보증재단", "테크노밸리", "창업보육센터", "상공회의소", "발전연구원", "일자리재단", "도시공사", "관광공사",
+)
+
+
+def without_regions(text: Column, regions: tuple[str, ...] = REGIONS, bodies: tuple[str, ...] = REGION_BODIES) -> Column:
+    """Without names of regions (with their level and a body that follows) and of bodies: texts that differ in these alone are alike."""
+    named = F.regexp_replace(text, rf"({'|'.join(regions)})\s*({'|'.join(REGION_LEVELS)})?\s*({'|'.join(bodies)})?", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(named, "|".join(bodies), " "), SPACE + "+", " "))
+
+
+def core_topic(text: Column) -> Column:
+    """What a topic is about, wherever it is set: lower case, marks as spaces."""
+    return F.trim(F.regexp_replace(F.lower(without_regions(text)), "[^0-9a-z가-힣]+", " "))
+
+
 def slug(text: Column, most: int = 60) -> Column:
     dashed = F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-")
     return F.regexp_replace(F.substring(F.regexp_replace(dashed, "^-+|-+$", ""), 1, most), "-+$", "")
@@ -111,7 +133,7 @@ def letters(n: Column) -> Column:
 def has_repeat(text: Column) -> Column:
     """A word follows itself."""
     w = F.split(F.lower(squeeze(text)), " ")
-    return F.exists(F.zip_with(w, F.slice(w, 2, 10_000_000), lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x)
+    return F.exists(F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x)
 
 
 def sentence_lengths(html: Column) -> Column:

@@ -28,9 +28,10 @@ def grid_coverage(rects: DataFrame, key: str, columns: int, rows: int) -> DataFr
     return cells.groupBy(key).agg(F.countDistinct("cx", "cy").alias("cells")).withColumn("coverage", F.round(F.col("cells") / (columns * rows), 6))
 
 
-def merge_intervals(df: DataFrame, key: list[str], start: str, end: str) -> DataFrame:
-    """(key, start, end, n): intervals that overlap or touch, merged."""
-    order = Window.partitionBy(*key).orderBy(start, end)
+def merge_intervals(df: DataFrame, key: list[str], start: str, end: str, ties: list[str]) -> DataFrame:
+    """(key, start, end, n): intervals that overlap or touch, merged. ``ties`` order what starts and ends alike: both
+    windows must see one order, as only the first of equal intervals may begin an island."""
+    order = Window.partitionBy(*key).orderBy(start, end, *ties)
     reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(F.col(start) <= reach, 0).otherwise(1)
     island = F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))

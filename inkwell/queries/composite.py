@@ -11,7 +11,7 @@ from inkwell.functions import privacy as P
 from inkwell.functions import scoring as S
 from inkwell.functions import text as T
 from inkwell.functions import web as W
-from inkwell.operators import queue, rules, similarity, upsert
+from inkwell.operators import queue, rules, selection, similarity, upsert
 from inkwell.queries import query
 from inkwell.queries import sorting, state
 from inkwell.queries.filters import TS
@@ -105,31 +105,64 @@ def q06(t):
     return collect.filled(rows, t.documents.select("doc_id", F.lit("from-detail").alias("source")), "doc_id", ["source"])
 
 
-@query("Q07_condense_merge", "SELECT doc_id, CASE WHEN quality = 1 THEN 'condensed-' || doc_id ELSE substr(text, 1, 20) END AS line FROM documents LEFT JOIN labels USING (doc_id)")
+@query(
+    "Q07_condense_merge",
+    "WITH p AS (SELECT doc_id, substr(body, 1, 200) AS summary, coalesce(max(l.toxic), 0) = 1 AS done FROM articles LEFT JOIN labels l USING (doc_id) WHERE lang = 'en' GROUP BY 1, 2), "
+    "t AS (SELECT doc_id FROM p WHERE NOT done ORDER BY length(summary) DESC, doc_id LIMIT 30), a AS (SELECT item_id AS doc_id, CASE WHEN item_id % 5 = 0 THEN '' ELSE substr(min(text), 1, 40) END AS short FROM benchmark WHERE text IS NOT NULL GROUP BY 1) "
+    "SELECT p.doc_id, CASE WHEN t.doc_id IS NOT NULL THEN coalesce(nullif(a.short, ''), summary) ELSE summary END AS summary, done OR t.doc_id IS NOT NULL AND a.doc_id IS NOT NULL AS condensed FROM p LEFT JOIN t USING (doc_id) LEFT JOIN a USING (doc_id)",
+)
 def q07(t):
-    lines = t.labels.where("quality = 1").select("doc_id", F.concat(F.lit("condensed-"), "doc_id").alias("new")).distinct()
-    return t.documents.join(lines, "doc_id", "left").select("doc_id", F.coalesce("new", F.substring("text", 1, 20)).alias("line"))
+    """The day's first programs that aren't condensed yet are; an answer without text leaves the old summary, one for another program changes nothing."""
+    done = t.labels.groupBy("doc_id").agg((F.coalesce(F.max("toxic"), F.lit(0)) == 1).alias("done"))
+    programs = t.articles.where("lang = 'en'").select("doc_id", F.substring("body", 1, 200).alias("summary")).join(done, "doc_id", "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    targets = programs.where(~F.col("done")).orderBy(F.desc(F.length("summary")), "doc_id").limit(30).select("doc_id", F.lit(True).alias("target"))
+    answers = t.benchmark.where("text is not null").groupBy(F.col("item_id").alias("doc_id")).agg(F.min("text").alias("text"))
+    answers = answers.select("doc_id", F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.substring("text", 1, 40)).alias("short"))
+    hits = targets.join(answers, "doc_id")
+    return programs.join(hits, "doc_id", "left").select("doc_id", F.coalesce(F.nullif("short", F.lit("")), "summary").alias("summary"), (F.col("done") | F.coalesce("target", F.lit(False))).alias("condensed"))
 
 
-@query("Q08_generation_gate", "WITH a AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS t FROM documents WHERE doc_id < 200), s AS (SELECT x.doc_id, max(floor(100 * len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))) + 0.5)) AS worst FROM a x JOIN a y ON y.doc_id < x.doc_id WHERE len(list_intersect(x.t, y.t)) > 0 GROUP BY 1) SELECT a.doc_id, coalesce(worst, 0)::BIGINT AS worst, coalesce(worst, 0) >= 58 AS duplicate FROM a LEFT JOIN s USING (doc_id)")
+@query("Q08_generation_gate", state.similarity_sql(58) + "SELECT a.doc_id, CASE WHEN worst >= 58 THEN worst ELSE 0 END AS worst, coalesce(worst, 0) >= 58 AS duplicate FROM a LEFT JOIN s USING (doc_id)")
 def q08(t):
-    """Each text against all before it: the worst similarity decides."""
-    rows = t.documents.where("doc_id < 200").select("doc_id", "text")
-    met = similarity.jaccard_join(rows, rows.withColumnRenamed("doc_id", "other"), "doc_id", "other", 0).where("other < doc_id")
-    worst = met.groupBy("doc_id").agg(F.max("score").alias("worst"))
-    return rows.select("doc_id").join(worst, "doc_id", "left").select("doc_id", F.coalesce("worst", F.lit(0)).alias("worst"), (F.coalesce("worst", F.lit(0)) >= 58).alias("duplicate"))
+    """Each text against all before it: the worst similarity from 58 on decides."""
+    worst = similarity.worst_before(t.documents.select("doc_id", "text"), "doc_id", 58)
+    return worst.select("doc_id", "worst", (F.col("worst") >= 58).alias("duplicate"))
 
 
-@query("Q09_column_gate")
+_ROUND = (
+    "r AS (SELECT *, row_number() OVER (PARTITION BY area ORDER BY use_count, created_at DESC, id) AS turn FROM knowledge), g AS (SELECT area, row_number() OVER (ORDER BY use_count, created_at DESC, id) AS g FROM r WHERE turn = 1), "
+    "k AS (SELECT id, area, row_number() OVER (ORDER BY turn, g)::INTEGER AS place FROM r JOIN g USING (area) QUALIFY place <= 12)"
+)
+
+
+@query(
+    "Q09_column_gate",
+    f"WITH {_ROUND}, u AS (SELECT url, arg_max(page_id, (tier, page_id)) AS page_id, min((tier, page_id)) AS place FROM (SELECT url, page_id, CASE WHEN url LIKE '%/en/%' THEN 1 ELSE 2 END AS tier FROM pages WHERE url IS NOT NULL) GROUP BY 1), "
+    "c AS (SELECT count(*) AS sources FROM (SELECT * FROM u ORDER BY place LIMIT 30)) "
+    "SELECT place, id, regexp_replace(substr(regexp_replace(regexp_replace(lower(area || ' ' || id), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), '-+$', '') AS slug, sources, sources >= 2 AS ready FROM k CROSS JOIN c",
+)
 def q09(t):
-    """Knowledge by rotation, and the slug under which the column goes out."""
+    """A column goes out with knowledge by rotation and up to thirty sources, supplied ones before those of feeds; of sources with one address the last
+    value wins at the place of the first. Without two sources it isn't ready."""
     picked = upsert.interleave(t.knowledge, "area", [F.col("use_count"), F.desc("created_at"), F.col("id")], 12)
-    return picked.select("place", "id", T.slug(F.concat("area", F.lit(" "), "id")).alias("slug"))
+    tier = F.when(F.col("url").contains("/en/"), 1).otherwise(2)
+    at = F.struct(tier.alias("tier"), "page_id")
+    sources = t.pages.where("url is not null").groupBy("url").agg(F.max_by("page_id", at).alias("page_id"), F.min(at).alias("at")).orderBy("at").limit(30)
+    count = sources.agg(F.count("*").alias("sources"))  # one row
+    slug = T.slug(F.concat("area", F.lit(" "), "id"))
+    return picked.select("place", "id", slug.alias("slug")).crossJoin(F.broadcast(count)).withColumn("ready", F.col("sources") >= 2)
 
 
 @query("Q11_slide_review")
 def q11(t):
-    return sorting.w10(t)
+    """Scored slides of a deck, the crowded left out (never under three), up to six chosen with regard to their sections, and the cover."""
+    rows = t.slides.groupBy("deck", "part").agg(F.max(sorting.slide_score()).cast("double").alias("score"), F.min("line").alias("line"), F.min("density").alias("density"))
+    light = selection.without_heavy(rows, "deck", "part", "density", 80, 3)
+    place = F.row_number().over(Window.partitionBy("deck").orderBy("part"))
+    ranked = light.select("deck", "part", "score", F.col("line").cast("string").alias("section")).withColumn("index", place)
+    chosen = selection.diverse(ranked.select("deck", "index", "section", "score"), "deck", 6)
+    cover = t.slides.groupBy("deck").agg(F.coalesce(F.min(F.when(F.col("line") == 1, F.col("part"))), F.min("part")).alias("cover"))
+    return chosen.join(ranked, ["deck", "index"]).join(cover, "deck").select("deck", "place", "part", (F.col("part") == F.col("cover")).alias("is_cover"))
 
 
 @query("Q13_hourly_operations", "SELECT id, CASE WHEN status = 'running' AND lease_expires_at <= TIMESTAMP '1998-01-01' - INTERVAL 8 MINUTE THEN CASE WHEN attempts >= max_attempts THEN 'failed' ELSE 'waiting' END WHEN status = 'waiting' AND attempts >= max_attempts THEN 'failed' ELSE status END AS status, 1 + hour(created_at) AS slot FROM jobs")
@@ -139,10 +172,10 @@ def q13(t):
 
 @query("Q15_review_with_cache")
 def q15(t):
-    """Redacted, cut into changes, and only what no cache has."""
-    found = state.t16(t).where(F.col("found") == "miss")
-    rows = t.documents.where("doc_id < 200").join(found, "doc_id").select("doc_id", P.redacted(F.substring("text", 1, 2000)).alias("text"))
-    return rows.select("doc_id", F.array_size(H.changes(F.col("text"), F.regexp_replace("text", "(?i)that", "which"))).alias("hunks"))
+    """Redacted, cut into changes (null where the edit goes too far), and only what no cache has."""
+    found = state.t16(t).where(F.col("found") == "miss").select("doc_id")
+    rows = t.documents.select("doc_id", "text").join(found, "doc_id").select("doc_id", P.redacted(F.col("text")).alias("text"))
+    return rows.select("doc_id", F.array_size(H.changes(F.col("text"), F.regexp_replace("text", "(?i)that ", "which "))).alias("hunks"))
 
 
 @query("Q17_style_revision", "SELECT count(*) FILTER (quality = 0) AS rewrite, count(*) FILTER (quality = 1) AS kept, count(*) FILTER (quality IS NULL) AS deferred, sum(least(n_chars, greatest(1600, floor(0.65::DOUBLE * n_chars + 0.5))))::BIGINT AS least FROM documents LEFT JOIN labels USING (doc_id)")
@@ -153,8 +186,28 @@ def q17(t):
     return rows.agg(F.count_if(q == 0).alias("rewrite"), F.count_if(q == 1).alias("kept"), F.count_if(q.isNull()).alias("deferred"), F.sum(F.least(n, F.greatest(F.lit(1600), S.half_up(0.65 * n)))).alias("least"))
 
 
-@query("Q20_manual_revision", "SELECT doc_id, list_sort(regexp_extract_all(text, '[0-9][0-9,]*(?:\\.[0-9]+)?%?')) = list_sort(regexp_extract_all(replace(text, '1', '1'), '[0-9][0-9,]*(?:\\.[0-9]+)?%?')) AS same_facts FROM documents")
+_EDIT = "regexp_replace(regexp_replace(text, '(?i)the ', 'a ', 'g'), '(?i)phone', 'No. 7', 'g')"
+_FACTS = "list_sort(regexp_extract_all({}, '[0-9][0-9,]*(?:\\.[0-9]+)?%?'))"
+
+
+@query(
+    "Q20_manual_revision",
+    f"WITH e AS (SELECT doc_id, text, {_EDIT} AS edit, doc_id % 10 = 3 AS moved FROM documents), c AS (SELECT doc_id, {_FACTS.format('text')} = {_FACTS.format('edit')} AS facts, "
+    "length(edit) BETWEEN floor(0.8::DOUBLE * length(text)) AND ceil(1.1::DOUBLE * length(text)) AS size, edit <> text AS changed, moved FROM e) "
+    "SELECT doc_id, CASE WHEN NOT facts THEN 'facts' WHEN NOT size THEN 'length' WHEN NOT changed THEN 'same' WHEN moved THEN 'conflict' ELSE 'applied' END AS outcome, "
+    "CASE WHEN facts AND size AND changed AND NOT moved THEN 2 ELSE CASE WHEN moved THEN 5 ELSE 1 END END AS version FROM c",
+)
 def q20(t):
-    """An edit must keep the numbers of a text."""
-    edited = F.regexp_replace("text", "(?i)the", "a")
-    return t.documents.select("doc_id", (T.numbers(F.col("text")) == T.numbers(edited)).alias("same_facts"))
+    """An edit is applied if it keeps the numbers of the text and about its length, changes something, and finds the version that it was made for."""
+    edit = F.regexp_replace(F.regexp_replace("text", "(?i)the ", "a "), "(?i)phone", "No. 7")
+    now = t.documents.select("doc_id", "text", F.when(F.col("doc_id") % 10 == 3, 5).otherwise(1).alias("version"))
+    n, m = F.length("text"), F.length(edit)
+    checked = t.documents.select(
+        "doc_id",
+        edit.alias("text"),
+        F.when(T.numbers(F.col("text")) != T.numbers(edit), "facts").when((m < F.floor(0.8 * n)) | (m > F.ceil(1.1 * n)), "length").when(edit == F.col("text"), "same").alias("issue"),
+    )
+    good = checked.where("issue is null").select("doc_id", "text", F.lit(1).alias("version"))
+    done, conflicts = queue.compare_and_set(now, good, "doc_id", "version", ["text"])
+    out = done.select("doc_id", "version").join(checked.select("doc_id", "issue"), "doc_id").join(conflicts.withColumn("lost", F.lit(True)), "doc_id", "left")
+    return out.select("doc_id", F.coalesce("issue", F.when(F.col("lost"), "conflict").otherwise("applied")).alias("outcome"), "version")

@@ -97,23 +97,26 @@ def fd14(t):
 
 
 _TF = (
-    "WITH a AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS w FROM documents WHERE doc_id < 300) GROUP BY 1, 2), b AS (SELECT item_id, w, count(*) AS n FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS w FROM benchmark) GROUP BY 1, 2), "
-    "na AS (SELECT doc_id, sum(n * n) AS s FROM a GROUP BY 1), nb AS (SELECT item_id, sum(n * n) AS s FROM b GROUP BY 1), d AS (SELECT doc_id, item_id, sum(a.n * b.n) AS dot FROM a JOIN b USING (w) GROUP BY 1, 2) "
+    "WITH a AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS w FROM documents) GROUP BY 1, 2), "
+    "s AS (SELECT doc_id, sum(n * n) AS s FROM a GROUP BY 1), d AS (SELECT x.doc_id, sum(x.n * y.n) AS dot FROM a x JOIN a y ON y.doc_id = x.doc_id + 1 AND y.w = x.w GROUP BY 1), p AS (SELECT x.doc_id FROM documents x JOIN documents y ON y.doc_id = x.doc_id + 1) "
 )
 
 
-@query("FM01_cosine", _TF + "SELECT doc_id, item_id, round(dot / sqrt(na.s * nb.s), 6) AS cosine FROM d JOIN na USING (doc_id) JOIN nb USING (item_id)")
+@query("FM01_cosine", _TF + "SELECT p.doc_id, round(coalesce(dot / sqrt(x.s * y.s), 0), 6) AS cosine FROM p LEFT JOIN d USING (doc_id) LEFT JOIN s x ON x.doc_id = p.doc_id LEFT JOIN s y ON y.doc_id = p.doc_id + 1")
 def fm01(t):
-    return similarity.cosine_join(t.documents.where("doc_id < 300"), t.benchmark, "doc_id", "item_id").select("doc_id", "item_id", F.round("cosine", 6).alias("cosine"))
+    """Each text against the next."""
+    pairs = t.documents.select("doc_id").join(t.documents.select((F.col("doc_id") - 1).alias("doc_id"), F.col("doc_id").alias("next")), "doc_id")
+    rows = t.documents.select(F.col("doc_id").alias("id"), "text")
+    return similarity.cosines(pairs, rows, "doc_id", "next", "id").select("doc_id", F.round("cosine", 6).alias("cosine"))
 
 
 _PAIR = (
-    "WITH a AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS t FROM documents WHERE doc_id < 300), p AS (SELECT x.doc_id, x.t AS a, y.t AS b, len(list_intersect(x.t, y.t)) AS i FROM a x JOIN a y ON y.doc_id = x.doc_id + 1) "
+    "WITH a AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS t FROM documents), p AS (SELECT x.doc_id, x.t AS a, y.t AS b, len(list_intersect(x.t, y.t)) AS i FROM a x JOIN a y ON y.doc_id = x.doc_id + 1) "
 )
 
 
 def _pairs(t):
-    a = t.documents.where("doc_id < 300").select("doc_id", similarity.tokens(F.col("text")).alias("a"))
+    a = t.documents.select("doc_id", similarity.tokens(F.col("text")).alias("a"))
     return a.join(a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b")), "doc_id")
 
 

@@ -173,10 +173,11 @@ def s33(t):
     return pages.unionByName(t.spark.createDataFrame([("/", "nav")], "href string, kind string"))
 
 
-@query("S34_text_export", "SELECT '# ' || source || chr(10) || string_agg('- ' || doc_id, chr(10) ORDER BY doc_id) AS text FROM documents WHERE doc_id < 100 GROUP BY source")
+@query("S34_text_export", "SELECT source, 1 AS part, doc_id, '- ' || doc_id AS line FROM documents UNION ALL SELECT DISTINCT source, 0, NULL::BIGINT, '# ' || source FROM documents")
 def s34(t):
-    lines = t.documents.where("doc_id < 100").groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
-    return lines.select(F.concat(F.lit("# "), "source", F.lit("\n"), F.array_join(F.transform("ids", lambda i: F.concat(F.lit("- "), i)), "\n")).alias("text"))
+    """Lines of a text for each source: written sorted by source, part and id, they are the export."""
+    heads = t.documents.select("source").distinct().select("source", F.lit(0).alias("part"), F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("# "), "source").alias("line"))
+    return t.documents.select("source", F.lit(1).alias("part"), "doc_id", F.concat(F.lit("- "), "doc_id").alias("line")).unionByName(heads)
 
 
 @query("S35_json_ld", "SELECT n_regionkey, '{\"@type\":\"ItemList\",\"items\":[' || string_agg('{\"name\":\"' || n_name || '\"}', ',' ORDER BY n_name) || ']}' AS json FROM nation GROUP BY 1")

@@ -44,12 +44,13 @@ def w04(t):
 
 @query(
     "W05_interval_merge",
-    "WITH i AS (SELECT l_suppkey, l_shipdate AS start, l_shipdate + INTERVAL 3 DAY AS stop FROM lineitem), n AS (SELECT *, CASE WHEN start <= max(stop) OVER (PARTITION BY l_suppkey ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM i), "
-    "g AS (SELECT *, sum(new) OVER (PARTITION BY l_suppkey ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island FROM n) SELECT l_suppkey, min(start) AS start, max(stop) AS stop, count(*) AS n FROM g GROUP BY l_suppkey, island",
+    "WITH i AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_shipdate AS start, l_shipdate + INTERVAL 3 DAY AS stop FROM lineitem), n AS (SELECT *, CASE WHEN start <= max(stop) OVER (PARTITION BY l_suppkey ORDER BY start, stop, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM i), "
+    "g AS (SELECT *, sum(new) OVER (PARTITION BY l_suppkey ORDER BY start, stop, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice ROWS UNBOUNDED PRECEDING) AS island FROM n) SELECT l_suppkey, min(start) AS start, max(stop) AS stop, count(*) AS n FROM g GROUP BY l_suppkey, island",
 )
 def w05(t):
-    spans = t.lineitem.select("l_suppkey", F.col("l_shipdate").alias("start"), (F.col("l_shipdate") + F.expr("INTERVAL 3 DAYS")).alias("stop"))
-    return geometry.merge_intervals(spans, ["l_suppkey"], "start", "stop")
+    ties = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"]
+    spans = t.lineitem.select("l_suppkey", *ties, F.col("l_shipdate").alias("start"), (F.col("l_shipdate") + F.expr("INTERVAL 3 DAYS")).alias("stop"))
+    return geometry.merge_intervals(spans, ["l_suppkey"], "start", "stop", ties)
 
 
 @query("W06_running_share", "WITH c AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1) SELECT event_type, n, round(sum(n) OVER (ORDER BY n DESC, event_type ROWS UNBOUNDED PRECEDING) / sum(n) OVER (), 6) AS share FROM c")

@@ -57,9 +57,9 @@ def fs07(t):
     return t.documents.select("doc_id", F.array_size(T.token_set(F.col("text"))).cast("long").alias("n"))
 
 
-@query("FS08_terms", "SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[0-9a-z가-힣]{2,}'))), ' ') AS terms FROM documents WHERE doc_id < 300")
+@query("FS08_terms", "SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[0-9a-z가-힣]{2,}'))), ' ') AS terms FROM documents")
 def fs08(t):
-    return t.documents.where("doc_id < 300").select("doc_id", F.array_join(F.array_sort(T.terms(F.col("text"))), " ").alias("terms"))
+    return t.documents.select("doc_id", F.array_join(F.array_sort(T.terms(F.col("text"))), " ").alias("terms"))
 
 
 @query("FS09_normalized_tokens")
@@ -72,12 +72,17 @@ def fs10(t):
     return t.articles.select("doc_id", T.title_key(F.col("title")).alias("key"))
 
 
-_REGIONS = ("the", "and", "ing")
+#: Titles get a region and a body in front, so that there is something to strip.
+_PLACE = "['부산광역시 테크노파크 ', '서울 ', '경기도 창조경제혁신센터', ''][(doc_id % 4 + 1)::INTEGER] || title"
 
 
-@query("FS11_region_stripping", "SELECT doc_id, trim(regexp_replace(regexp_replace(lower(title), '(the|and|ing)\\s*(tion|er)?', ' ', 'g'), '\\s+', ' ', 'g')) AS core FROM articles")
+@query(
+    "FS11_region_stripping",
+    f"SELECT doc_id, trim(regexp_replace(lower(regexp_replace(regexp_replace({_PLACE}, '({'|'.join(T.REGIONS)})\\s*({'|'.join(T.REGION_LEVELS)})?\\s*({'|'.join(T.REGION_BODIES)})?', ' ', 'g'), '{'|'.join(T.REGION_BODIES)}', ' ', 'g')), '[^0-9a-z가-힣]+', ' ', 'g')) AS core FROM articles",
+)
 def fs11(t):
-    return t.articles.select("doc_id", F.trim(F.regexp_replace(F.regexp_replace(F.lower("title"), rf"({'|'.join(_REGIONS)})\s*(tion|er)?", " "), r"\s+", " ")).alias("core"))
+    places = F.array(F.lit("부산광역시 테크노파크 "), F.lit("서울 "), F.lit("경기도 창조경제혁신센터"), F.lit(""))
+    return t.articles.select("doc_id", T.core_topic(F.concat(F.element_at(places, (F.col("doc_id") % 4 + 1).cast("int")), "title")).alias("core"))
 
 
 _ENTITIES = ("tion", "rights reserved", "license", "thon", "e-mail")
@@ -111,11 +116,12 @@ def fs15(t):
     return t.documents.select("doc_id", T.first_email(F.col("text")).alias("email"))
 
 
-@query("FS16_post", "SELECT source, string_agg('- ' || doc_id || ' ' || substr(title, 1, 20), chr(10) ORDER BY doc_id) || chr(10) || '--' AS post FROM articles WHERE doc_id < 200 GROUP BY 1")
+@query("FS16_post", "SELECT source, 1 AS part, doc_id, '- ' || doc_id || ' ' || substr(title, 1, 20) AS line FROM articles UNION ALL SELECT DISTINCT source, 2, NULL::BIGINT, '--' FROM articles")
 def fs16(t):
-    line = F.concat(F.lit("- "), "doc_id", F.lit(" "), F.substring("title", 1, 20))
-    rows = t.articles.where("doc_id < 200").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", line.alias("line")))).alias("x"))
-    return rows.select("source", F.concat(F.array_join(F.col("x.line"), "\n"), F.lit("\n--")).alias("post"))
+    """A list of each source with a footer, line by line: written sorted by source, part and id, it is the post. So a source of any size is
+    never one row."""
+    lines = t.articles.select("source", F.lit(1).alias("part"), "doc_id", F.concat(F.lit("- "), "doc_id", F.lit(" "), F.substring("title", 1, 20)).alias("line"))
+    return lines.unionByName(t.articles.select("source").distinct().select("source", F.lit(2).alias("part"), F.lit(None).cast("long").alias("doc_id"), F.lit("--").alias("line")))
 
 
 _AGENTS = ("Mozilla/5.0 (compatible; GPTBot/1.0)", "Googlebot-Image/1.0", "Mozilla/5.0 AppleWebKit Safari", "curl/8.1", "SomeCrawler/2", "Applebot-Extended/0.1")
@@ -268,16 +274,18 @@ def fs40(t):
     return both.select("page_id", F.nullif(F.array_position(F.zip_with("l", "m", lambda a, b: F.coalesce(a == b, F.lit(False))), False), F.lit(0)).cast("int").alias("first"))
 
 
-@query("FS41_markers", "SELECT doc_id, len(regexp_extract_all(text, '\\[[^\\]]+\\]')) AS marks, regexp_replace(text, '\\[[^\\]]+\\]', '', 'g') AS stripped FROM documents WHERE doc_id < 200")
+@query("FS41_markers", "SELECT doc_id, len(regexp_extract_all(text, '\\[[^\\]]+\\]')) AS marks, regexp_replace(text, '\\[[^\\]]+\\]', '', 'g') AS stripped FROM documents")
 def fs41(t):
     mark = r"\[[^\]]+\]"
-    return t.documents.where("doc_id < 200").select("doc_id", F.regexp_count("text", F.lit(mark)).cast("long").alias("marks"), F.regexp_replace("text", mark, "").alias("stripped"))
+    return t.documents.select("doc_id", F.regexp_count("text", F.lit(mark)).cast("long").alias("marks"), F.regexp_replace("text", mark, "").alias("stripped"))
 
 
 @query("FS42_changes")
 def fs42(t):
-    after = F.regexp_replace(F.substring("text", 1, 2000), "(?i)the", "a")
-    return t.documents.where("doc_id < 100").select("doc_id", F.array_size(H.changes(F.substring("text", 1, 2000), after)).alias("hunks"))
+    """Hunks, and the characters they removed; null where the texts are too far apart."""
+    after = F.regexp_replace("text", "(?i)the ", "a ")
+    rows = t.documents.select("doc_id", H.changes(F.col("text"), after).alias("h"))
+    return rows.select("doc_id", F.array_size("h").alias("hunks"), F.aggregate("h", F.lit(0), lambda s, x: s + x["removed"]).alias("removed"))
 
 
 @query("FS43_repeated_word", "WITH w AS (SELECT doc_id, string_split(" + _SQ.format("lower(title)") + ", ' ') AS w FROM articles) SELECT doc_id, len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) > 0 AS repeated FROM w")

@@ -40,15 +40,20 @@ def limited(hits: DataFrame, id_col: str, limit: int, window_ms: int) -> DataFra
 
 
 def limited_stream(hits: DataFrame, id_col: str, limit: int, window_ms: int) -> DataFrame:
-    """As ``limited``, on a stream: the passes of the last window are the state of a key."""
+    """As ``limited``, on a stream: the passes of the last window are the state of a key. A key that is quiet for a window and a
+    minute loses its state: none of its passes count any more."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         recent = deque(state.get[0] if state.exists else [])
         for part in parts:
             part = part.sort_values(["at_ms", id_col])
             found = [_check(recent, int(a), limit, window_ms) for a in part["at_ms"]]
             yield pd.DataFrame({"key": part["key"], id_col: part[id_col], "allowed": [f[0] for f in found], "retry_after": [f[1] for f in found]})
         state.update((list(recent),))
+        state.setTimeoutDuration(window_ms + 60_000)
 
     shape = f"key string, {id_col} long, allowed boolean, retry_after int"
-    return hits.groupBy("key").applyInPandasWithState(run, shape, "recent array<long>", "append", GroupStateTimeout.NoTimeout)
+    return hits.groupBy("key").applyInPandasWithState(run, shape, "recent array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -44,7 +44,7 @@ def test_html_helpers(spark):
     assert one(spark, H.with_breaks(F.col("h")), h="<p a='1. 2'>One. Two! Three</p>") == "<p a='1. 2'>One.<br>Two!<br>Three</p>"
     assert one(spark, H.figures_to_marks(F.col("h")), h="a<figure>x</figure>b<figure>y</figure>") == "a[FIGURE 1]b[FIGURE 2]"
     hunks = one(spark, H.changes(F.col("a"), F.col("b")), a="one two three four five six seven eight", b="one 2 three four five six seven 8")
-    assert [(h["before"], h["after"]) for h in hunks] == [("two", "2"), ("eight", "8")]
+    assert [tuple(h) for h in hunks] == [("2", "one ", " three four f", 3), ("8", "e six seven ", "", 5)]
     merged = one(spark, H.merged_sections(F.col("h"), "h2", 5, 2), h="intro<h2>a</h2>bb<h2>c</h2>long enough<h2>d</h2>more text")
     assert "".join(merged) == "intro<h2>a</h2>bb<h2>c</h2>long enough<h2>d</h2>more text" and len(merged) == 2
     locked = spark.createDataFrame([("see http://x.y/1 and 20%",)], "t string").select(H.locked(F.col("t")).alias("l"))
@@ -94,6 +94,59 @@ def test_upserts(spark):
     s = spark.createDataFrame([(2, "x"), (3, "y")], "k int, v string")
     assert sorted(map(tuple, upsert.last_wins(t, s, ["k"]).collect())) == [(1, "a"), (2, "x"), (3, "y")]
     assert sorted(map(tuple, upsert.first_wins(t, s, ["k"]).collect())) == [(1, "a"), (2, "b"), (3, "y")]
+    twice = spark.createDataFrame([(3, "y"), (3, "w"), (2, "x"), (2, None)], "k int, v string")
+    assert sorted(map(tuple, upsert.first_wins(t, twice, ["k"]).collect())) == [(1, "a"), (2, "b"), (3, "w")]
+    assert sorted(map(tuple, upsert.first_wins(t, twice, ["k"], [F.desc("v")]).collect())) == [(1, "a"), (2, "b"), (3, "y")]
+    assert sorted(map(tuple, upsert.last_wins(t, twice, ["k"]).collect())) == [(1, "a"), (2, "x"), (3, "y")]
+    null = spark.createDataFrame([(2, None), (4, None)], "k int, v string")
+    assert sorted(map(tuple, upsert.update_columns(t, null, ["k"], ["v"]).collect())) == [(1, "a"), (2, None), (4, None)]
+
+
+def test_edits_are_shortest():
+    r = random.Random(6)
+    for _ in range(200):
+        a, b = ("".join(r.choices("abc", k=r.randint(0, 12))) for _ in range(2))
+        way, i, j, out = H.edits(a, b), 0, 0, ""
+        for step in way:
+            if step == "=":
+                assert a[i] == b[j]
+            i, j, out = i + (step != "+"), j + (step != "-"), out + (b[j] if step != "-" else "")
+        row = list(range(len(b) + 1))  # distance without substitutions
+        for x in a:
+            last, row[0] = row[:], row[0] + 1
+            for k, y in enumerate(b, 1):
+                row[k] = last[k - 1] if x == y else 1 + min(last[k], row[k - 1])
+        assert (i, j, out) == (len(a), len(b), b) and len(way) - way.count("=") == row[-1]
+    assert H.edits("a" * 300, "b" * 300) is None and H.change_hunks("a" * 300, "b" * 300) is None
+    assert H.change_hunks("same", "same") == []
+
+
+def test_regions_are_stripped(spark):
+    assert one(spark, text.core_topic(F.col("t")), t="부산테크노파크 시제품 제작지원!") == one(spark, text.core_topic(F.col("t")), t="울산 창조경제혁신센터 시제품 제작지원") == "시제품 제작지원"
+    assert one(spark, text.without_regions(F.col("t")), t="서울특별시  지원 사업") == "지원 사업"
+
+
+def test_similarity_joins_against_brute_force(spark):
+    r = random.Random(12)
+    words = [f"w{k}" for k in range(30)]
+    texts = [" ".join(r.choices(words, weights=range(30, 0, -1), k=r.randint(0, 14))) for _ in range(80)] + ["w1 w2 w3 w4"] * 5
+    sets = [set(t.split()) for t in texts]
+    score = lambda x, y: int(100 * len(x & y) / len(x | y) + 0.5) if x and y else 0
+    df = spark.createDataFrame(list(enumerate(texts)), "a long, text string")
+    for least in (30, 58):
+        got = {(x["a"], x["b"]): x["score"] for x in similarity.jaccard_join(df, df.withColumnRenamed("a", "b"), "a", "b", least).collect()}
+        assert got == {(i, j): score(x, y) for i, x in enumerate(sets) for j, y in enumerate(sets) if score(x, y) >= least}
+        worst = {x["a"]: x["worst"] for x in similarity.worst_before(df, "a", least).collect()}
+        want = {i: max((score(x, sets[j]) for j in range(i)), default=0) for i, x in enumerate(sets)}
+        assert worst == {i: w if w >= least else 0 for i, w in want.items()}
+    got = {(x["a"], x["b"], x["shared"]) for x in similarity.shared_tokens(df, df.withColumnRenamed("a", "b"), "a", "b", similarity.at_least(4)).collect()}
+    assert got == {(i, j, len(x & y)) for i, x in enumerate(sets) for j, y in enumerate(sets) if len(x & y) >= 4}
+
+
+def test_merged_intervals_with_ties(spark):
+    rows = [(1, 0, 5, 1), (1, 0, 5, 2), (1, 0, 5, 3), (1, 6, 7, 4), (1, 5, 6, 5), (2, 1, 2, 6)]
+    out = geometry.merge_intervals(spark.createDataFrame(rows, "k int, a int, b int, t int"), ["k"], "a", "b", ["t"])
+    assert sorted(map(tuple, out.collect())) == [(1, 0, 7, 5), (2, 1, 2, 1)]
 
 
 def test_rate_limiter_batch_and_stream_agree(spark, tmp_path):
