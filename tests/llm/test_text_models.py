@@ -246,11 +246,44 @@ def test_toxicity_on_held_out_documents(spark):
 
 def test_rows_that_share_an_id_train_once(spark, monkeypatch):
     seen = []
-    monkeypatch.setattr(toxicity, "Chain", lambda keys, x, labels, weight: seen.append((len(x), weight)))
+    monkeypatch.setattr(toxicity, "Chain", lambda keys, x, labels, weight, fold, chosen: seen.append((len(x), weight, fold)))
     rows = [(k, f"word{k} text") for k in range(20)] + [(3, f"hot{k} text") for k in range(500)]
     labels = [(k, 1, int(k % 4 == 0)) for k in range(20)]
     toxicity.train(spark.createDataFrame(rows, "o long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
-    assert seen[0][0] == 20 and np.allclose(seen[0][1], 1)
+    assert seen[0][0] == 20 and np.allclose(seen[0][1], 1) and sorted(np.bincount(seen[0][2]).tolist()) == [4, 4, 4, 4, 4]
+
+
+def test_features_are_chosen_without_the_held_out_fold(spark):
+    """Against brute force over the same words; what stands in one fold alone isn't chosen for it."""
+    from inkwell.llm._words import words
+
+    r = random.Random(2)
+    rows = []
+    for k in range(400):
+        cell = r.randrange(5) * 4 + r.choice((0, 0, 0, 1, 2))
+        text = sentence(r, 30, 60) + (" nasty" if cell & 1 and r.random() < 0.8 else "") + (" junky" if cell & 2 and r.random() < 0.7 else "") + (" only" if cell // 4 == 2 and cell & 1 else "")
+        rows.append((k, cell, text))
+    df = spark.createDataFrame(rows, "o long, cell int, text string")
+    sizes = Counter(c for _, c, _ in rows)
+    got = {(x["part"], x["feature"]) for x in toxicity.choose(df.select("cell", "text").mapInArrow(toxicity._counted, "feature long, cell int, n long"), sizes).collect()}
+    sets = {k: {int(f) for f in toxicity.features(words(pa.array([t]), marks=True))[0].astype(np.int64)} for k, _, t in rows}
+    every = set().union(*sets.values())
+    kept = [f for f in every if max(sum(f in sets[k] for k, c, _ in rows if c // 4 != p) for p in range(6)) >= 3]
+    sure, want = max(toxicity.LEAST, 2 * np.log(len(kept)) - 8), set()
+    for p in range(6):
+        train = [(sets[k], c) for k, c, _ in rows if c // 4 != p]
+        for bit in (2, 1):
+            scored = []
+            for f in kept:
+                table = Counter((f in s, bool(c & bit)) for s, c in train)
+                a = table[True, True] + table[True, False]
+                g = 2 * sum(n * np.log(n * len(train) / ((table[x, True] + table[x, False]) * (table[True, y] + table[False, y]))) for (x, y), n in table.items() if n)
+                if a >= 3 and g >= sure:
+                    scored.append((-g, f))
+            want |= {(p, f) for _, f in sorted(scored)[: toxicity.FEATURES]}
+    assert got == want
+    only = int(words(pa.array(["only"]), marks=True).prints.astype(np.int64)[0])
+    assert (2, only) not in got and (5, only) in got
 
 
 def test_later_models_see_earlier_probabilities():
@@ -258,7 +291,8 @@ def test_later_models_see_earlier_probabilities():
     x = rng.random((400, 3)) < 0.3
     first = x[:, 0]
     second = first & (rng.random(400) < 0.9)
-    chain = toxicity.Chain(np.array([1, 2, 3], np.uint64), x, {"low_quality": first, "toxic": second}, np.ones(400))
+    every = [np.arange(3)] * (toxicity.FOLDS + 1)
+    chain = toxicity.Chain(np.array([1, 2, 3], np.uint64), x, {"low_quality": first, "toxic": second}, np.ones(400), np.arange(400) % toxicity.FOLDS, every)
     assert [len(m) for m in chain.models] == [4, 5]
     assert chain.models[1][3] > 0.5  # the weight of the earlier category
 
