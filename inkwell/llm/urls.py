@@ -15,7 +15,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import stored
+from ._shared import join_evenly, stored
 
 #: Fixed values: (host, path, verdict).
 RULES = (
@@ -53,27 +53,33 @@ def model_text(url: Column) -> Column:
 
 
 def _grams(texts: DataFrame, *keep: str) -> DataFrame:
-    """The ``ORDER + 1``-gram that ends at each character of text, the end mark too."""
-    whole = F.concat(F.lit("\x02" * ORDER), F.col("text"), F.lit("\x03"))
-    at = F.explode(F.sequence(F.lit(1), F.length("text") + 1)).alias("at")
-    return texts.select(*keep, whole.alias("whole"), at).select(*keep, F.substring(F.col("whole"), F.col("at"), F.lit(ORDER + 1)).alias("gram"))
+    """The ``ORDER + 1``-gram that ends at each character of text, the end mark too. Cut within the row, so that
+    no row carries the text along, and a text of any length takes time in proportion."""
+    whole = F.split(F.concat(F.lit("\x02" * ORDER), F.col("text"), F.lit("\x03")), "")
+    chars = texts.select(*keep, whole.alias("c"), F.length("text").alias("n"))
+    at = lambda i: F.concat(*[F.get(F.col("c"), i + k) for k in range(ORDER + 1)])
+    return chars.select(*keep, F.explode(F.transform(F.sequence(F.lit(0), F.col("n")), at)).alias("gram"))
 
 
-def _log_ratio(counts: DataFrame, grams: DataFrame) -> DataFrame:
-    """counts (gram, allow, block) of the training URLs; (gram, ratio) for all ``grams``."""
-    counts = counts.groupBy("gram").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
-    out = grams.withColumns({"p_allow": F.lit(1.0 / ALPHABET), "p_block": F.lit(1.0 / ALPHABET)})
+def _log_ratio(counts: DataFrame) -> DataFrame:
+    """counts (gram, allow, block, n) of the training URLs; (gram, n, ratio).
+
+    Contexts of up to three characters are ``ALPHABET`` ** 3 at most, some 200,000: they are broadcast, as every n-gram has one of
+    very few.
+    """
+    out = counts.select("gram", "n", F.lit(1.0 / ALPHABET).alias("p_allow"), F.lit(1.0 / ALPHABET).alias("p_block"))
+    small = lambda df, length: F.broadcast(df) if length <= 3 else df
     for k in range(1, ORDER + 2):
-        level = counts.groupBy(F.substring("gram", ORDER + 2 - k, k).alias("key")).agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
+        level = stored(counts.groupBy(F.substring("gram", ORDER + 2 - k, k).alias("key")).agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")))
         context = level.groupBy(F.substring("key", 1, k - 1).alias("context")).agg(
             *[f(c).alias(f"{n}_{c}") for c in ("allow", "block") for n, f in (("n", F.sum), ("t", lambda c: F.count(F.when(F.col(c) > 0, 1))))]
         )
         out = out.withColumns({"key": F.substring("gram", ORDER + 2 - k, k), "context": F.substring("gram", ORDER + 2 - k, k - 1)})
-        out = out.join(level, "key", "left").join(context, "context", "left")
+        out = out.join(small(level, k), "key", "left").join(small(context, k - 1), "context", "left")
         mixed = lambda c: (F.coalesce(F.col(c), F.lit(0)) + F.col(f"t_{c}") * F.col(f"p_{c}")) / (F.col(f"n_{c}") + F.col(f"t_{c}"))
         new = {f"p_{c}": F.when(F.coalesce(F.col(f"n_{c}"), F.lit(0)) > 0, mixed(c)).otherwise(F.col(f"p_{c}")) for c in ("allow", "block")}
-        out = out.withColumns(new).select("gram", "p_allow", "p_block")
-    return out.select("gram", (F.log("p_allow") - F.log("p_block")).alias("ratio"))
+        out = out.withColumns(new).select("gram", "n", "p_allow", "p_block")
+    return out.select("gram", "n", (F.log("p_allow") - F.log("p_block")).alias("ratio"))
 
 
 def threshold(scored: DataFrame) -> float:
@@ -95,20 +101,26 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
 
     Host and path are empty for a null url or one without ``://``. A null url that no rule fits is blocked;
     an empty one is scored as any other. Without training URLs of either kind the models agree, every score is 0,
-    and all is allowed. Repeated rows each get a row.
+    and all is allowed. Repeated rows each get a row; URLs may be of any length; other columns are ignored.
     """
     url = F.col(url_col).cast("string")
     host, path = host_and_path(url)
-    rows = pages.select(F.col(id_col).alias("id"), url.alias("url"), host.alias("host"), path.alias("path"))
+    rows = pages.select(F.col(id_col).alias("page"), url.alias("url"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "ruled": verdict, "text": model_text(F.col("url"))})
-    # URLs that read alike are scored once
-    texts = rows.where("text is not null").groupBy("text").agg(F.count(F.when(F.col("ruled") == "allow", 1)).alias("allow"), F.count(F.when(F.col("ruled") == "block", 1)).alias("block"))
-    texts = stored(texts.withColumn("held", F.pmod(F.xxhash64("text"), F.lit(5)) == 0))
-    grams = _grams(texts, "text", "allow", "block", "held")
-    seen = stored(grams.groupBy("gram").agg(*[F.sum(F.when(~F.col("held"), F.col(c)).otherwise(0)).alias(c) for c in ("allow", "block")]))
-    ratio = stored(_log_ratio(seen, seen.select("gram")))
-    scored = stored(grams.select("text", "gram").join(ratio, "gram").groupBy("text").agg(F.avg("ratio").alias("score")))
-    least = threshold(scored.join(texts.where("held and allow + block > 0"), "text").select("score", "allow", "block"))
+    # URLs that read alike are scored once, under two fingerprints of 64 bits
+    one, two = F.xxhash64("text"), F.xxhash64(F.lit("second"), "text")
+    kinds = rows.where("text is not null").groupBy("text").agg(F.count("*").alias("times"), F.count(F.when(F.col("ruled") == "allow", 1)).alias("allow"), F.count(F.when(F.col("ruled") == "block", 1)).alias("block"))
+    texts = stored(kinds.withColumns({"held": F.pmod(one, F.lit(5)) == 0, "one": one, "two": two}))
+    grams = _grams(texts, "one", "two", "allow", "block", "held")
+    seen = stored(grams.groupBy("gram").agg(*[F.sum(F.when(~F.col("held"), F.col(c)).otherwise(0)).alias(c) for c in ("allow", "block")], F.count("*").alias("n")))
+    ratio = stored(_log_ratio(seen))
+    # many URLs start and end alike
+    scored = join_evenly(grams.select("one", "two", "gram"), ratio, ["gram"], "n").groupBy("one", "two").agg(F.avg("ratio").alias("score"))
+    scored = stored(texts.select("one", "two", "times", "allow", "block", "held").join(scored, ["one", "two"]))
+    least = threshold(scored.where("held and allow + block > 0").select("score", "allow", "block"))
     by_score = F.when(F.col("url").isNull(), "block").when(F.col("score") >= least, "allow").otherwise("block")
-    return rows.join(scored, "text", "left").select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", by_score).alias("verdict"), F.round("score", 6).alias("score"))
+    columns = ["page", "host", "path", "rule", "ruled", "url"]
+    known = join_evenly(rows.where("text is not null").select(*columns, one.alias("one"), two.alias("two")), scored.select("one", "two", "times", "score"), ["one", "two"], "times")
+    out = known.select(*columns, "score").unionByName(rows.where("text is null").select(*columns, F.lit(None).cast("double").alias("score")))
+    return out.select(F.col("page").alias(id_col), "host", "path", "rule", F.coalesce("ruled", by_score).alias("verdict"), F.round("score", 6).alias("score"))
