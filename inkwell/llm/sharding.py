@@ -28,40 +28,77 @@ def _prefix(code, bits):
     return F.shiftright(code, BITS - bits)
 
 
-def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
-    """``docs`` with n_bytes, shard and depth: UTF-8 bytes of the text, the prefix of the row's shard in
-    binary digits ("" where one shard holds all), and its length.
-
-    Every shard has at most ``limit`` bytes, unless a single row has more, or equal rows together: they
-    share a shard of full depth. Null text has no bytes; a null id hashes as "null". Columns of ``docs`` with
-    the names of the result are replaced.
-    """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.withColumns({"n_bytes": F.octet_length(text).cast("long"), "_code": _hash(id_col, text_col)})
-    sizes = rows.groupBy(_prefix(F.col("_code"), STEP).alias("p")).agg(F.sum("n_bytes").alias("size"))
-    depth, done, base = F.lit(None).cast("int"), rows, 0
+def _unused(docs: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
+def _directories(rows: DataFrame, code: str, size: str, limit: int) -> list[tuple[int, DataFrame]]:
+    """For ``STEP`` bits, and as many more in each round as are needed: (p, size, d), the depth of the shard of each prefix ``p``, -1
+    where it is still too large."""
+    sizes = rows.groupBy(_prefix(F.col(code), STEP).alias("p")).agg(F.sum(size).alias("size"))
+    base, found = 0, []
     while True:
         bits = base + STEP
         sizes = stored(sizes)
-        levels = sizes.select("p", "size", F.explode(F.sequence(F.lit(base if base else 0), F.lit(bits))).alias("d"))
+        levels = sizes.select("p", "size", F.explode(F.sequence(F.lit(base), F.lit(bits))).alias("d"))
         levels = levels.withColumn("q", F.expr(f"shiftright(p, {bits} - d)"))
         fit = levels.groupBy("d", "q").agg(F.sum("size").alias("all")).where(F.col("all") <= limit)
-        leaf = levels.join(fit, ["d", "q"]).groupBy("p").agg(F.min("d").alias(f"_d{bits}"))
-        leaf = stored(sizes.select("p").join(leaf, "p", "left").withColumn(f"_d{bits}", F.coalesce(f"_d{bits}", F.lit(BITS if bits == BITS else -1))))
-        directory = leaf.withColumnRenamed("p", f"_p{bits}")
-        done = done.withColumn(f"_p{bits}", _prefix(F.col("_code"), bits))
-        # the first directory has at most 2 ** STEP rows; deeper ones only those under oversized prefixes
-        done = done.join(F.broadcast(directory) if base == 0 else directory, f"_p{bits}", "left")
-        depth = F.coalesce(depth, F.nullif(F.col(f"_d{bits}"), F.lit(-1)))
-        large = leaf.where(F.col(f"_d{bits}") == -1).select("p")
+        leaf = levels.join(fit, ["d", "q"]).groupBy("p").agg(F.min("d").alias("d"))
+        leaf = stored(sizes.join(leaf, "p", "left").withColumn("d", F.coalesce("d", F.lit(BITS if bits == BITS else -1))))
+        found.append((bits, leaf))
+        large = leaf.where("d = -1").select("p")
         if bits == BITS or large.isEmpty():
-            break
-        over = rows.withColumn("p", _prefix(F.col("_code"), bits)).join(large, "p", "left_semi")
-        sizes = over.groupBy(_prefix(F.col("_code"), bits + STEP).alias("p")).agg(F.sum("n_bytes").alias("size"))
+            return found
+        over = rows.select(size, code, _prefix(F.col(code), bits).alias("p")).join(large, "p", "left_semi")
+        sizes = over.groupBy(_prefix(F.col(code), bits + STEP).alias("p")).agg(F.sum(size).alias("size"))
         base = bits
-    digits = F.lpad(F.bin(F.col("_code")), BITS, "0")
-    out = done.withColumn("depth", depth.cast("int")).withColumn("shard", F.substr(digits, F.lit(1), F.col("depth")))
-    return out.select(*[c for c in docs.columns if c not in ("n_bytes", "shard", "depth")], "n_bytes", "shard", "depth")
+
+
+def _placed(rows: DataFrame, code: str, directories: list[tuple[int, DataFrame]], depth: str) -> DataFrame:
+    """``rows`` with the depth of their shards."""
+    columns, found = rows.columns, F.lit(None).cast("int")
+    for bits, leaf in directories:
+        # stored, so that the planner knows the size; the first has at most 2 ** STEP rows, deeper ones those under oversized prefixes
+        directory = leaf.select(F.col("p").alias(f"{depth}p{bits}"), F.nullif("d", F.lit(-1)).alias(f"{depth}{bits}"))
+        rows = rows.withColumn(f"{depth}p{bits}", _prefix(F.col(code), bits)).join(F.broadcast(directory) if bits == STEP else directory, f"{depth}p{bits}", "left")
+        found = F.coalesce(found, F.col(f"{depth}{bits}"))
+    return rows.select(*columns, found.cast("int").alias(depth))
+
+
+def _digits(code: str, depth: str):
+    return F.substr(F.lpad(F.bin(F.col(code)), BITS, "0"), F.lit(1), F.col(depth))
+
+
+def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
+    """``docs`` with n_bytes, shard and depth: UTF-8 bytes of the text, the prefix of the row's shard in
+    binary digits ("" where one shard holds all), and its length.
+
+    Every shard has at most ``limit`` bytes, unless a single row has more. Rows with equal ids and texts have
+    equal hashes; where these alone exceed the limit, the hash of a number for each row gives further bits. Null text has no bytes; a null
+    id hashes as "null". Columns of ``docs`` with the names of the result are replaced; any others may have any names.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    own = [c for c in docs.columns if c.lower() not in ("n_bytes", "shard", "depth")]
+    code, size, depth, again, deeper = (_unused(docs, x) for x in ("code_", "bytes_", "depth_", "again_", "deeper_"))
+    rows = docs.withColumns({size: F.octet_length(text).cast("long"), code: _hash(id_col, text_col)}).select(*own, size, code)
+    directories = _directories(rows.select(size, code), code, size, limit)
+    out = _placed(rows, code, directories, depth)
+    bytes_ = F.col(size).alias("n_bytes")
+    usual = out.select(*own, bytes_, _digits(code, depth).alias("shard"), F.col(depth).alias("depth"))
+    bits, leaf = directories[-1]
+    full = leaf.where((F.col("d") == BITS) & (F.col("size") > limit)).select(F.col("p").alias(code))
+    if bits < BITS or full.isEmpty():
+        return usual
+    # the numbers are given once, in a stored table; what has over ``limit`` bytes is few: all bytes by the limit, at most
+    full = stored(full)
+    whole = stored(out.join(full, code, "left_semi").withColumn(again, F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 64 - BITS)))
+    split = _placed(whole, again, _directories(whole.select(size, again), again, size, limit), deeper)
+    split = split.select(*own, bytes_, F.concat(_digits(code, depth), _digits(again, deeper)).alias("shard"), (F.col(depth) + F.col(deeper)).alias("depth"))
+    return out.join(full, code, "left_anti").select(*own, bytes_, _digits(code, depth).alias("shard"), F.col(depth).alias("depth")).unionByName(split)
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:
