@@ -10,14 +10,14 @@ with those of the other tasks.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial, reduce
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import stored
+from ._shared import release, stored
 
 #: Queries in a block, about (by hash); each block is broadcast and meets all candidates in its own pass.
 BLOCK = 2048
@@ -30,13 +30,15 @@ def weights(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     column = column.cast(pa.list_(pa.float64()))
     flat, ends = column.flatten(), np.concatenate([[0], np.cumsum(np.diff(column.offsets.to_numpy()) if len(column) else [])]).astype(int)
     row = np.repeat(np.arange(len(column)), np.diff(ends))
-    value = np.floor(256.0 * flat.to_numpy(zero_copy_only=False))
+    x = flat.to_numpy(zero_copy_only=False)
+    large = np.abs(x) >= 2.0**53  # whole numbers; times 256 they may be beyond a double
+    value = np.floor(256.0 * np.where(large, 1.0, x))
     term = np.arange(len(value)) - ends[row]
     some = np.flatnonzero(value)
-    if len(some) and np.abs(value[some]).max() < 2.0**62:
-        value = value[some].astype(np.int64)
+    if large.any() or len(some) and np.abs(value[some]).max() >= 2.0**62:
+        value = np.array([256 * int(x[k]) if large[k] else int(value[k]) for k in some], object)
     else:
-        value = np.array([int(v) for v in value[some]], object)
+        value = value[some].astype(np.int64)
     return row[some], term[some], value
 
 
@@ -134,16 +136,31 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     rows = rows.withColumn("print", F.xxhash64("embedding"))
     asked = stored(rows.where(is_query).dropDuplicates(["vec_id", "print"]))
     n = -(-asked.count() // BLOCK)
-    parts = []
+    done, held = None, []
     for j in range(n):
         block = asked.where(F.pmod(F.xxhash64("vec_id", "print"), F.lit(n)) == j).toArrow()
         sent = vectors.sparkSession.sparkContext.broadcast(Queries(block))
-        parts.append(rows.mapInArrow(partial(_search, sent, k), "query_id long, query_print long, vec_id long, print long, score long"))
-    if not parts:
+        part = _ranked(rows.mapInArrow(partial(_search, sent, k), "query_id long, query_print long, vec_id long, print long, score long"), k)
+        if j < n - 1:
+            # one block at a time is in the driver and on the executors; results are few, and gather in one stored table
+            part = stored(part)
+            sent.destroy()
+            if done is not None and j % 16 == 15:
+                whole = stored(done.unionByName(part))
+                release(*held, part)
+                done, held = whole, [whole]
+                continue
+            held.append(part)
+        done = part if done is None else done.unionByName(part)
+    if done is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = reduce(DataFrame.unionByName, parts).dropDuplicates(["query_id", "query_print", "vec_id", "print"])
+    return done
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id", "query_print").orderBy(F.desc("score"), "vec_id", "print")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = found.dropDuplicates(["query_id", "query_print", "vec_id", "print"]).withColumn("rank", F.row_number().over(order))
+    return best.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 SQL = """

@@ -205,6 +205,32 @@ def test_shards_fit_and_only_large_ones_split(spark):
     assert sharding.shard(df.where("false")).count() == 0
 
 
+def test_shards_of_equal_rows_and_clashing_names(spark):
+    rows = [(7, "z" * 100)] * 300 + [(k, "a" * 40) for k in range(100, 140)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("_code", "_d15", "code_", "depth_", "depth_15", "p", "d", "size", "Depth", "again_"):
+        df = df.withColumn(name, F.lit(5))
+    out = sharding.shard(df, limit=1000)
+    assert out.columns == [*(c for c in df.columns if c != "Depth"), "n_bytes", "shard", "depth"]
+    sizes = defaultdict(int)
+    found = out.collect()
+    for r in found:
+        sizes[r["shard"]] += r["n_bytes"]
+        assert r["_code"] == r["_d15"] == r["depth_15"] == 5 and len(r["shard"]) == r["depth"]
+    assert sorted((r["doc_id"], r["text"]) for r in found) == sorted(rows) and max(sizes.values()) <= 1000
+    names = sorted(sizes)
+    assert not any(b.startswith(a) for a, b in zip(names, names[1:]))
+
+
+def test_long_urls_take_time_in_proportion(spark):
+    import time
+
+    values = [f"http://shop{k}.com/good" for k in range(30)] + [f"http://zzz{k}.net/es/spam" for k in range(30)] + ["http://x.org/" + "ab/" * 40_000]
+    start = time.monotonic()
+    assert len(judged(spark, values)) == len(values)
+    assert time.monotonic() - start < 90
+
+
 def brute_top(rows, k=5):
     good = [(i, [math.floor(256.0 * float(np.float32(x))) for x in v]) for i, v in dict.fromkeys((i, tuple(v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v))]
     out = []
@@ -215,6 +241,14 @@ def brute_top(rows, k=5):
     return sorted(out)
 
 
+def test_search_with_huge_components(spark):
+    rows = [(0, [1e308, 1.0]), (1, [3e307, -2.5]), (2, [-1e306, 0.0]), (3, [0.5, 0.25])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0).collect()))
+    most = (1 << 63) - 1
+    assert got == [(0, 1, 1, most), (0, 2, 3, most), (0, 3, 2, -most - 1)]
+
+
 @pytest.mark.parametrize("scale", (1.0, 3e4))
 def test_search_matches_brute_force(spark, monkeypatch, scale):
     rng = np.random.default_rng(2)
