@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkwell.operators import counting as C
-from inkwell.operators import geometry
+from inkwell.operators import geometry, similarity
 from inkwell.queries import query
 
 _DAY = "CAST(accessed_at + INTERVAL 9 HOUR AS DATE)"
@@ -213,9 +213,18 @@ def a24(t):
     return near.groupBy("vec_id").agg(F.round(F.avg("d") / 64, 6).alias("rarity"))
 
 
-@query("A25_worst_similarity", "SELECT source, max(n_chars) AS longest, min(n_chars) AS shortest FROM documents GROUP BY 1")
+@query(
+    "A25_worst_similarity",
+    "WITH a AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{2,}'))) AS w FROM documents), b AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{2,}'))) AS w FROM benchmark), "
+    "na AS (SELECT doc_id, count(*) AS n FROM a GROUP BY 1), nb AS (SELECT item_id, count(*) AS n FROM b GROUP BY 1), s AS (SELECT doc_id, item_id, count(*) AS c FROM a JOIN b USING (w) GROUP BY 1, 2), "
+    "p AS (SELECT doc_id, floor(100 * c / (na.n + nb.n - c) + 0.5)::BIGINT AS score FROM s JOIN na USING (doc_id) JOIN nb USING (item_id)) "
+    "SELECT d.doc_id, coalesce(max(score), 0) AS worst, count(score) AS items FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id AND score >= 10 GROUP BY 1",
+)
 def a25(t):
-    return t.documents.groupBy("source").agg(F.max("n_chars").alias("longest"), F.min("n_chars").alias("shortest"))
+    """The highest similarity of each text with any item of the benchmark, from ten hundredths on, and with how many items it has that much."""
+    met = similarity.jaccard_join(t.documents.select("doc_id", "text"), t.benchmark, "doc_id", "item_id", least=10)
+    worst = met.groupBy("doc_id").agg(F.max("score").alias("worst"), F.count("*").alias("items"))
+    return t.documents.select("doc_id").join(worst, "doc_id", "left").select("doc_id", F.coalesce("worst", F.lit(0).cast("long")).alias("worst"), F.coalesce("items", F.lit(0).cast("long")).alias("items"))
 
 
 @query(
