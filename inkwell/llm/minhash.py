@@ -287,11 +287,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that the bands show (at 0.8, more than 99.99 in 100; nearly all above).
     """
     signed, classes = _classes(docs, id_col, text_col)
-    # unrelated classes with one least id; null ids all are
-    shared = classes.select("root", "least").distinct().groupBy("least").agg(F.min("root").alias("keeps"), F.count("*").alias("m")).where(F.col("m") > 1)
-    named = classes.join(stored(shared.where(F.col("least") != LAST_ID)), "least", "left")
+    # unrelated classes may have one least id, and those without an id all do
+    keeps = stored(classes.groupBy("least").agg(F.min("root").alias("keeps"), F.count("*").alias("texts")))
     own = F.bitwise_not(F.shiftrightunsigned(F.xxhash64("root"), 1))
-    named = stored(named.withColumn("class_id", F.when((F.col("least") == LAST_ID) | (F.col("root") != F.col("keeps")), own).otherwise(F.col("least"))))
+    class_id = F.when((F.col("least") == LAST_ID) | (F.col("root") != F.col("keeps")), own).otherwise(F.col("least"))
+    named = stored(join_evenly(classes, keeps, ["least"], "texts").withColumn("class_id", class_id))
     found = join_evenly(signed.select("o", "t1", "t2"), named.select("t1", "t2", "n", "class_id", "copies"), ["t1", "t2"], "n")
     return found.select(F.when(F.col("o") != LAST_ID, F.col("o")).alias(id_col), "class_id", "copies")
 
