@@ -23,9 +23,11 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of windows seen earlier; one without words, or without words left, goes. The text of a document
     that loses none stays as it is."""
-    out = substring.substring_dedup(docs, keep=[c for c in docs.columns if c != "doc_id"]).where("n_removed < n_words")
+    rest = F.struct(*[c for c in docs.columns if c != "text"]).alias("rest")
+    out = substring.substring_dedup(docs.select("doc_id", "text", rest), keep=["rest", "text"]).where("n_removed < n_words")
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    new = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.length(text).cast("long")}
+    return out.select(*[new.get(c, F.col("rest")[c]).alias(c) for c in docs.columns])
 
 
 def remove_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

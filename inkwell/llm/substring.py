@@ -15,10 +15,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -203,7 +204,7 @@ class FingerprintLog:
 
 def _probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows under marked anchors. Of equal windows that a task holds the earliest goes on; the others are
-    repeats already, and their places go out as such (under keys of their own, which spread them)."""
+    repeats already, and their places go out as such, a row for each run of them (under a key of their text, which spreads them)."""
     held: list[tuple[np.ndarray, ...]] = []
     n = 0
 
@@ -212,11 +213,23 @@ def _probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
         order = np.lexsort((at, t1, o, age, two, one))
         one, two, age, o, t1, at = one[order], two[order], age[order], o[order], t1[order], at[order]
-        again = ~_changes(one, two)
-        one = np.where(again, mix(mix(o.astype(U)) + t1.astype(U) + at.astype(U)), one)
+        first = _changes(one, two)
+        rest = [x[~first] for x in (age, o, t1, at)]
+        yield from rows(one[first], two[first], *(x[first] for x in (age, o, t1, at)), np.ones(np.count_nonzero(first), np.int32), False)
+        order = np.lexsort(rest[::-1])
+        age, o, t1, at = (x[order] for x in rest)
+        new = _changes(age, o, t1)
+        new[1:] |= at[1:] != at[:-1] + 1
+        begin = np.flatnonzero(new)
+        run = np.diff(np.append(begin, len(at))).astype(np.int32)
+        age, o, t1, at = age[begin], o[begin], t1[begin], at[begin]
+        yield from rows(mix(mix(o.astype(U)) + t1.astype(U)), np.zeros(len(o), U), age, o, t1, at, run, True)
+
+    def rows(one, two, age, o, t1, at, run, again: bool) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(one), 200_000):
             s = slice(i, i + 200_000)
-            yield pa.record_batch([pa.array(x) for x in (one[s].astype(np.int64), two[s].astype(np.int64), age[s], o[s], t1[s], at[s], again[s])], names=["one", "two", "age", "o", "t1", "at", "again"])
+            columns = [one[s].astype(np.int64), two[s].astype(np.int64), age[s], o[s], t1[s], at[s], run[s], np.full(len(one[s]), again)]
+            yield pa.record_batch([pa.array(x) for x in columns], names=["one", "two", "age", "o", "t1", "at", "run", "again"])
 
     for b in pieces(batches, "text"):
         w = words(b.column("text"))
@@ -241,16 +254,16 @@ def _probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from passed()
 
 
-def covered(starts: np.ndarray, n_words: int) -> np.ndarray:
-    """Words of a text that the windows at ``starts`` cover."""
+def covered(starts: np.ndarray, runs: np.ndarray, n_words: int) -> np.ndarray:
+    """Words of a text that windows cover: so many of them, one after the other, from each of ``starts``."""
     step = np.zeros(n_words + 1, np.int64)
     np.add.at(step, starts, 1)
-    np.add.at(step, np.minimum(starts + WINDOW, n_words), -1)
+    np.add.at(step, np.minimum(starts + runs - 1 + WINDOW, n_words), -1)
     return np.cumsum(step[:-1]) > 0
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+def _kept(text_too: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in pieces(batches, "text"):
         n, gone, text = [], [], []
         for value, starts, copy in zip(b.column("text"), b.column("starts"), b.column("copy").to_pylist()):
             all_words = (value.as_py() or "").encode().split()
@@ -258,12 +271,15 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if copy and len(all_words) >= WINDOW:
                 kept = []
             elif starts.is_valid and len(starts):
-                out = covered(starts.values.to_numpy(zero_copy_only=False), len(all_words))
+                out = covered(*(starts.values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1)), len(all_words))
                 kept = [w for w, x in zip(all_words, out.tolist()) if not x]
             n.append(len(all_words))
             gone.append(len(all_words) - len(kept))
             text.append(b" ".join(kept))
-        yield pa.record_batch([b.column("row"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([t.decode() for t in text], pa.string())], names=["row", "n_words", "n_removed", "kept"])
+        columns = {"row": b.column("row"), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept": pa.array([t.decode() for t in text], pa.string())}
+        if text_too:
+            columns["text"] = pc.if_else(b.column("none"), None, b.column("text"))
+        yield pa.record_batch(list(columns.values()), names=list(columns))
 
 
 def substring_dedup(
@@ -281,7 +297,8 @@ def substring_dedup(
     ``log``: a folder, such as one in an object store, that keeps the log for later calls. ``history``: the documents (id, text) of the
     earlier calls with this log; all are earlier than ``docs``. Of these only texts that share an anchor with another are looked at again.
     """
-    keep = keep or []
+    text_too = text_col in (keep or [])  # the text moves once, and comes back beside the result
+    keep = [c for c in keep or [] if c != text_col]
     rows = _told_apart(docs, id_col, text_col, 1, keep)
     ids = stored(rows.select("age", "o", "t1", "t2"))
     past = None
@@ -306,29 +323,29 @@ def substring_dedup(
     probes = (
         texts.join(known, ["age", "o", "t1"])
         .select("age", "o", "t1", "text", "marks")
-        .mapInArrow(_probes, "one long, two long, age int, o long, t1 long, at int, again boolean")
+        .mapInArrow(_probes, "one long, two long, age int, o long, t1 long, at int, run int, again boolean")
     )
     place = F.struct("age", "o", "t1", "at")
     late = probes.withColumn("first", F.min(place).over(Window.partitionBy("one", "two"))).where(F.col("again") | (place != F.col("first")))
-    spans = stored(late.where("age = 1").groupBy("o", "t1").agg(F.collect_set("at").alias("starts")))
+    spans = stored(late.where("age = 1").groupBy("o", "t1").agg(F.collect_set(F.struct("at", "run")).alias("starts")))
     copies = join_evenly(ids, reps.select("t1", "t2", F.struct("age", "o").alias("first"), "n"), ["t1", "t2"], "n")
     copies = stored(copies.where((F.col("age") == 1) & (F.struct("age", "o") != F.col("first"))).select("o", "t1").distinct().withColumn("copy", F.lit(True)))
     release(known, ids, reps)
     plan = spans.join(copies, ["o", "t1"], "full")
-    shape = with_fields(rows.select("row"), "n_words long, n_removed long, kept string")
-    return (
-        rows.select("row", "o", "t1", "text")
+    shape = with_fields(rows.select("row"), "n_words long, n_removed long, kept string" + ", text string" * text_too)
+    out = (
+        rows.select("row", "o", "t1", "text", "none")
         .join(plan, ["o", "t1"], "left")
-        .select("row", "text", "starts", F.coalesce("copy", F.lit(False)).alias("copy"))
-        .mapInArrow(_kept, shape)
-        .select("row.*", "n_words", "n_removed", "kept")
+        .select("row", "text", "none", "starts", F.coalesce("copy", F.lit(False)).alias("copy"))
+        .mapInArrow(partial(_kept, text_too), shape)
     )
+    return out.select("row.*", "n_words", "n_removed", "kept", *([F.col("text").alias(text_col)] if text_too else []))
 
 
 def _told_apart(docs: DataFrame, id_col: str, text_col: str, age: int, keep: list[str]) -> DataFrame:
-    """(row, age, o, text, t1, t2): age 0 is history; o orders by id; the fingerprints order and tell apart what shares an id."""
+    """(row, age, o, text, none, t1, t2): age 0 is history; o orders by id; the fingerprints order and tell apart what shares an id."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.struct(F.col(id_col), *keep).alias("row"), F.lit(age).alias("age"), order_id(id_col).alias("o"), text.alias("text"))
+    rows = docs.select(F.struct(F.col(id_col), *keep).alias("row"), F.lit(age).alias("age"), order_id(id_col).alias("o"), text.alias("text"), F.col(text_col).isNull().alias("none"))
     return rows.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit("second"), "text")})
 
 

@@ -174,6 +174,9 @@ def test_substring_dedup_odd_rows(spark, corpus):
     got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring.substring_dedup(df).collect()}
     assert got == {1: (25, 24), None: (25, 25), 2: (0, 0)}  # all windows but the first repeat an earlier one
     assert substring.substring_dedup(df.where("false")).count() == 0
+    out = substring.substring_dedup(df, keep=["lang", "text"])
+    assert out.columns == ["doc_id", "lang", "n_words", "n_removed", "kept", "text"]
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr) == sorted(((r[0], r[1]) for r in rows), key=repr)
 
 
 def test_anchor_places_are_all_found():

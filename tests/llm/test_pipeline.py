@@ -97,6 +97,16 @@ def test_each_stage_against_brute_force(spark, folder, monkeypatch):
     assert sorted(((r["doc_id"], r["n_tokens"], r["decoded_sha256"]) for r in whole.collect()), key=repr) == sorted(((x[0], x[3], x[5]) for x in want), key=repr)
 
 
+def test_stages_pass_clashing_columns_on(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 30")
+    for name in ("kept", "n_removed", "row", "rest", "bits", "perplexity", "limit", "t1", "rep", "whole", "one", "id", "label"):
+        docs = docs.withColumn(name, F.concat(F.lit(f"{name} "), F.col("doc_id")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        assert all(r["n_removed"] == f"n_removed {r['doc_id']}" and r["row"] == f"row {r['doc_id']}" for r in out.collect()), name
+
+
 def test_empty_tables(spark, tmp_path):
     for name, shape in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], shape).write.parquet(f"{tmp_path}/{name}.parquet")
