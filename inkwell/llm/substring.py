@@ -19,7 +19,6 @@ from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -278,7 +277,7 @@ def _kept(text_too: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
             text.append(b" ".join(kept))
         columns = {"row": b.column("row"), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept": pa.array([t.decode() for t in text], pa.string())}
         if text_too:
-            columns["text"] = pc.if_else(b.column("none"), None, b.column("text"))
+            columns |= {"none": b.column("none"), "text": b.column("text")}
         yield pa.record_batch(list(columns.values()), names=list(columns))
 
 
@@ -332,14 +331,14 @@ def substring_dedup(
     copies = stored(copies.where((F.col("age") == 1) & (F.struct("age", "o") != F.col("first"))).select("o", "t1").distinct().withColumn("copy", F.lit(True)))
     release(known, ids, reps)
     plan = spans.join(copies, ["o", "t1"], "full")
-    shape = with_fields(rows.select("row"), "n_words long, n_removed long, kept string" + ", text string" * text_too)
+    shape = with_fields(rows.select("row"), "n_words long, n_removed long, kept string" + ", none boolean, text string" * text_too)
     out = (
         rows.select("row", "o", "t1", "text", "none")
         .join(plan, ["o", "t1"], "left")
         .select("row", "text", "none", "starts", F.coalesce("copy", F.lit(False)).alias("copy"))
         .mapInArrow(partial(_kept, text_too), shape)
     )
-    return out.select("row.*", "n_words", "n_removed", "kept", *([F.col("text").alias(text_col)] if text_too else []))
+    return out.select("row.*", "n_words", "n_removed", "kept", *([F.when(~F.col("none"), F.col("text")).alias(text_col)] if text_too else []))
 
 
 def _told_apart(docs: DataFrame, id_col: str, text_col: str, age: int, keep: list[str]) -> DataFrame:

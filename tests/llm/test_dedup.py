@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from inkwell.llm import components, minhash, substring
 
-from .conftest import DOCS
+from .conftest import DOCS, sentence
 
 
 def shingle_counts(text):
@@ -187,3 +188,13 @@ def test_anchor_places_are_all_found():
     at, own, anchor = substring._windows(w)
     place_own, place = substring._places(w)
     assert {(o, a) for o, a in zip(own.tolist(), anchor.tolist())} == {(o, a) for o, a in zip(place_own.tolist(), place.tolist())}
+
+
+def test_substring_dedup_keeps_texts_of_many_slices(spark, corpus):
+    """An Arrow batch of more than a slice: texts, and nulls, come back as they are."""
+    r = random.Random(3)
+    long = [(1000 + k, sentence(r, 60_000, 9000) if k % 3 else None, None, "s", 0) for k in range(9)]
+    rows = corpus[:30] + long
+    out = substring.substring_dedup(spark.createDataFrame(rows, DOCS).coalesce(1), keep=["text"]).collect()
+    assert sorted((x["doc_id"], x["text"]) for x in out if x["text"]) == sorted((x[0], x[1]) for x in rows if x[1])
+    assert sum(x["text"] is None for x in out) == sum(x[1] is None for x in rows)
