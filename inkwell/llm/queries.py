@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html, minhash, quality, sharding, substring, topk, toxicity, urls
+from . import audit, bpe, decontam, html, importance, minhash, mixing, quality, sharding, substring, topk, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,18 @@ def op10_term_at_a_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_block_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(mixing.mix(_table(spark, sf_dir, "documents"))).select("row.doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_feature_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_mask_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_classifier_chain": op1_classifier_chain,
     "op2_dart_minhash": op2_dart_minhash,
@@ -73,9 +85,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_kneser_ney": op8_kneser_ney,
     "op9_extendible_hashing": op9_extendible_hashing,
     "op10_term_at_a_time": op10_term_at_a_time,
+    "op11_block_mix": op11_block_mix,
+    "op12_feature_dictionary": op12_feature_dictionary,
+    "op13_mask_histogram": op13_mask_histogram,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op9_extendible_hashing": sharding.SQL,
     "op10_term_at_a_time": topk.SQL,
+    "op13_mask_histogram": audit.SQL,
 }
