@@ -1,31 +1,43 @@
-"""Redaction of personal data."""
+"""Redaction of personal data, and marks of documents that must not leave the house."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
-
-#: Fixed values: (kind, pattern, replacement), in order; the last ones come after the card and account passes.
-FIRST = (
-    ("email", r"(?<![A-Za-z0-9_])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?![A-Za-z0-9_])", "[EMAIL]"),
-    ("phone", r"(?<!\d)(?:\+?82[- .]?)?(?:0?1[016789]|0?2|0?[3-6][1-5])[- .]?\d{3,4}[- .]?\d{4}(?!\d)", "[PHONE]"),
-    ("registration", r"(?<!\d)\d{6}[- ]?[1-4]\d{6}(?!\d)", "[RESIDENT_ID]"),
-    ("registration", r"(?<!\d)\d{3}[- ]?\d{2}[- ]?\d{5}(?!\d)", "[BUSINESS_ID]"),
-    ("registration", r"(?<!\d)\d{6}[- ]?\d{7}(?!\d)", "[CORPORATE_ID]"),
-)
-#: A card number, which must pass its check digit; an account number by its label; and one by its dashes and 10 to 16 digits.
-CARD = r"(?<!\d)\d(?:[- ]?\d){12,18}(?!\d)"
-LABELLED = (("account", r"(계좌번호|입금계좌|은행계좌|환불계좌|계좌)\s*[:：]?\s*\d(?:[- ]?\d){7,19}", "$1: [ACCOUNT]"),)
-ACCOUNT = r"(?<!\d)\d{2,6}(?:-\d{2,6}){2,4}(?!\d)"
-LAST = (
-    ("name", r"(이름|성명|고객명|담당자|대표자)\s*[:：]\s*([가-힣]{2,5}|[A-Za-z][A-Za-z .'-]{1,60})", "$1: [NAME]"),
-    ("address", r"(주소|거주지|사업장)\s*[:：]\s*([^\n]{5,120})", "$1: [ADDRESS]"),
+
+from inkwell.functions.text import SPACE
+
+#: An edge of an ASCII word, on whichever side.
+_EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+#: What stands before an address without a label, its end, and its street or lot.
+_PREFIX = rf"(?:[가-힣]{{2,}}(?:특별시|광역시|특별자치시|특별자치도|도){SPACE}+)?(?:[가-힣]{{1,}}(?:시|군|구){SPACE}+){{1,2}}"
+_CUE = rf"(?:주소|배송지|거주지|사업장){SPACE}*(?:은|는|이|가|:|：)?{SPACE}*"
+_UNIT = rf"[0-9]{{1,5}}(?:-[0-9]{{1,5}})?(?:{SPACE}+[0-9]{{1,4}}(?:동|호))?"
+#: Kinds in the order of the report.
+KINDS = ("email", "phone", "registration", "account", "card", "address", "name", "custom")
+#: Fixed values, in order: (kind, pattern, replacement, further check). Cards come before accounts, which are wider.
+PASSES = (
+    ("email", rf"(?i){_EDGE}[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{{2,}}{_EDGE}", "[EMAIL]", None),
+    ("phone", r"(?<![0-9])(?:\+?82[- .]?)?(?:0?1[016789]|0?2|0?[3-6][1-5])[- .]?[0-9]{3,4}[- .]?[0-9]{4}(?![0-9])", "[PHONE]", None),
+    ("registration", r"(?<![0-9])[0-9]{6}[- ]?[1-4][0-9]{6}(?![0-9])", "[RESIDENT_ID]", None),
+    ("registration", r"(?<![0-9])[0-9]{3}[- ]?[0-9]{2}[- ]?[0-9]{5}(?![0-9])", "[BUSINESS_ID]", None),
+    ("registration", r"(?<![0-9])[0-9]{6}[- ]?[0-9]{7}(?![0-9])", "[CORPORATE_ID]", None),
+    ("card", r"(?<![0-9])[0-9](?:[- ]?[0-9]){12,18}(?![0-9])", "[CARD]", "luhn"),
+    ("account", rf"(계좌번호|입금계좌|은행계좌|환불계좌|계좌){SPACE}*[:：]?{SPACE}*[0-9](?:[- ]?[0-9]){{7,19}}", "$1: [ACCOUNT]", None),
+    ("account", r"(?<![0-9])[0-9]{2,6}(?:-[0-9]{2,6}){2,4}(?![0-9])", "[ACCOUNT]", "10 to 16 digits"),
+    ("name", rf"(이름|성명|고객명|담당자|대표자){SPACE}*[:：]{SPACE}*([가-힣]{{2,5}}|[A-Za-z][A-Za-z .'-]{{1,60}})", "$1: [NAME]", None),
+    ("address", rf"(주소|거주지|사업장){SPACE}*[:：]{SPACE}*([^\n]{{5,120}})", "$1: [ADDRESS]", None),
+    ("address", rf"(?<![가-힣])(?:{_PREFIX}|{_CUE})[가-힣A-Za-z0-9·.-]{{2,}}(?:대로|로|길){SPACE}+{_UNIT}", "[ADDRESS]", None),
+    ("address", rf"(?<![가-힣])(?:{_PREFIX}|{_CUE})[가-힣A-Za-z0-9·.-]{{1,}}(?:읍|면|동|리){SPACE}+(?:산{SPACE}*)?{_UNIT}", "[ADDRESS]", None),
 )
-MARKS = ("secret", "confidential", "대외비", "비밀")
+#: Fixed values: (issue, pattern), the first that holds; names only count where the text is to be published.
+HIGH_RISK = ("대외비·외부공유금지 등 민감자료 표시", rf"(?i)(?:대외비|사외비|외부{SPACE}*공유{SPACE}*금지|외부{SPACE}*반출{SPACE}*금지|confidential|internal{SPACE}+(?:use{SPACE}+)?only|non[- ]?disclosure|{_EDGE}NDA{_EDGE})")
+SECRET = ("비밀번호·API 키·접근 토큰 등 비밀값", rf"(?i)(?:비밀번호|패스워드|password|api[ _-]?key|access[ _-]?token|secret(?:[ _-]?key)?){SPACE}*[:=：]{SPACE}*(?!\[(?:SENSITIVE|REDACTED)\])[^{SPACE[1:]}")
+NAMED = ("비식별화되지 않은 이름 표기", rf"(?i)(?:고객명|담당자명|대표자명|신청인명|수신인명){SPACE}*[:：]?{SPACE}*(?!\[NAME\])([가-힣]{{2,5}}|[A-Za-z][A-Za-z .'-]{{1,60}})")
 
 
 def luhn(digits: Column) -> Column:
@@ -41,38 +53,54 @@ def _passes_luhn(text: str) -> bool:
     return sum(x if k % 2 == 0 else x * 2 - 9 * (x > 4) for k, x in enumerate(reversed(d))) % 10 == 0
 
 
-@F.pandas_udf(StringType())
-def _cards(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: re.sub(CARD, lambda m: "[CARD]" if _passes_luhn(m[0]) else m[0], t, flags=re.A), na_action="ignore")
+_CHECKS = {"luhn": _passes_luhn, "10 to 16 digits": lambda t: 10 <= sum(c.isdigit() for c in t) <= 16}
+
+
+def _checked(pattern: str, value: str, check: str):
+    """A pass whose matches must hold a check of their digits, in Arrow batches: (text, n)."""
+    find, holds = re.compile(pattern), _CHECKS[check]
+
+    @F.pandas_udf("text string, n int")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        out, counts = [], []
+        for text in texts:
+            n = 0
+
+            def put(m):
+                nonlocal n
+                good = holds(m[0])
+                n += good
+                return value if good else m[0]
 
+            out.append(find.sub(put, text))
+            counts.append(n)
+        return pd.DataFrame({"text": out, "n": counts})
 
-@F.pandas_udf(StringType())
-def _accounts(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: re.sub(ACCOUNT, lambda m: "[ACCOUNT]" if 10 <= sum(c.isdigit() for c in m[0]) <= 16 else m[0], t, flags=re.A), na_action="ignore")
+    return run
 
 
-def redacted(text: Column, terms: tuple[str, ...] = ()) -> Column:
-    """All passes, then ``terms``, the longest first. Two passes that decide by counting digits run in Arrow batches."""
-    for _, pattern, value in FIRST:
-        text = F.regexp_replace(text, pattern, value)
-    text = _cards(text)
-    for _, pattern, value in LABELLED:
-        text = F.regexp_replace(text, pattern, value)
-    text = _accounts(text)
-    for _, pattern, value in LAST:
-        text = F.regexp_replace(text, pattern, value)
-    for term in sorted({t.strip() for t in terms if len(t.strip()) > 1}, key=len, reverse=True):
-        text = F.regexp_replace(text, "(?i)" + re.escape(term), "[SENSITIVE]")
-    return text
+def with_redaction(df: DataFrame, text: str, into: str = "redaction", terms: Sequence[str] = ()) -> DataFrame:
+    """Adds ``into``: the text after all passes, in order, then ``terms``, the longest first; ``counts`` by kind, from the passes themselves;
+    and their ``total``. Null text is empty. Terms are trimmed; shorter than two characters they don't count."""
+    words = sorted(dict.fromkeys(t.strip() for t in terms if len(t.strip()) > 1), key=len, reverse=True)
+    passes = [*PASSES, *(("custom", "(?iu)" + re.escape(w), "[SENSITIVE]", None) for w in words)]
+    out = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    for k, (_, pattern, value, check) in enumerate(passes):
+        if check:
+            out = out.withColumn("_found", _checked(pattern, value, check)(F.col("_text"))).withColumns({f"_n{k}": F.col("_found.n"), "_text": F.col("_found.text")}).drop("_found")
+        else:
+            out = out.withColumns({f"_n{k}": F.regexp_count("_text", F.lit(pattern)), "_text": F.regexp_replace("_text", pattern, value)})
+    number = {kind: sum((F.col(f"_n{k}") for k, p in enumerate(passes) if p[0] == kind), F.lit(0)) for kind in KINDS}
+    total = sum((F.col(f"_n{k}") for k in range(len(passes))), F.lit(0))
+    found = F.struct(F.col("_text").alias("text"), F.struct(*[v.alias(k) for k, v in number.items()]).alias("counts"), total.alias("total"))
+    return out.withColumn(into, found).drop("_text", *[f"_n{k}" for k in range(len(passes))])
 
 
-def counts(text: Column) -> Column:
-    """Matches of each plain pattern in the text as it is."""
-    return F.struct(*[F.regexp_count(text, F.lit(p)).alias(f"{k}_{n}") for n, (k, p, _) in enumerate(FIRST)])
+def high_risk_issue(text: Column) -> Column:
+    """Why a text must not be sent anywhere, or null: it is marked as confidential, or holds a secret."""
+    return F.when(text.rlike(HIGH_RISK[1]), HIGH_RISK[0]).when(text.rlike(SECRET[1]), SECRET[0])
 
 
-def marked(text: Column) -> Column:
-    out = F.lit(False)
-    for m in MARKS:
-        out = out | F.lower(text).contains(m)
-    return out
+def sensitive_issue(text: Column) -> Column:
+    """As ``high_risk_issue``, and names that were not redacted."""
+    return F.coalesce(high_risk_issue(text), F.when(text.rlike(NAMED[1]), NAMED[0]))

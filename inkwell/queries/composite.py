@@ -50,7 +50,9 @@ def s30(t):
 
 @query("A20_redaction_counts")
 def a20(t):
-    return t.documents.select("doc_id", P.counts(F.col("text")).alias("c")).select("doc_id", "c.*")
+    """Of each kind, from the passes of the redaction, and in all."""
+    rows = P.with_redaction(t.documents.select("doc_id", "text"), "text")
+    return rows.select("doc_id", "redaction.counts.*", "redaction.total")
 
 
 @query("T19_font_requeue", "SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 AND s_suppkey % 2 = 0 THEN 'queued' WHEN s_suppkey % 7 = 0 THEN 'failed' ELSE 'done' END AS state FROM supplier")
@@ -174,7 +176,7 @@ def q13(t):
 def q15(t):
     """Redacted, cut into changes (null where the edit goes too far), and only what no cache has."""
     found = state.t16(t).where(F.col("found") == "miss").select("doc_id")
-    rows = t.documents.select("doc_id", "text").join(found, "doc_id").select("doc_id", P.redacted(F.col("text")).alias("text"))
+    rows = P.with_redaction(t.documents.select("doc_id", "text").join(found, "doc_id"), "text").select("doc_id", "redaction.text")
     return rows.select("doc_id", F.array_size(H.changes(F.col("text"), F.regexp_replace("text", "(?i)that ", "which "))).alias("hunks"))
 
 

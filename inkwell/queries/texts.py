@@ -179,7 +179,8 @@ def fs24(t):
 
 @query("FS25_redaction")
 def fs25(t):
-    return t.documents.select("doc_id", P.redacted(F.col("text"), ("rights reserved",)).alias("text"))
+    rows = P.with_redaction(t.documents.select("doc_id", "text"), "text", terms=("rights reserved",))
+    return rows.select("doc_id", "redaction.text", "redaction.total")
 
 
 @query("FS26_luhn", "SELECT number, CASE WHEN length(number) BETWEEN 13 AND 19 THEN list_sum(list_transform(range(1, length(number) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(number, length(number) - i + 1, 1)::INTEGER WHEN substr(number, length(number) - i + 1, 1)::INTEGER > 4 THEN substr(number, length(number) - i + 1, 1)::INTEGER * 2 - 9 ELSE substr(number, length(number) - i + 1, 1)::INTEGER * 2 END)) % 10 = 0 ELSE false END AS ok FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[0-9]{13,19}')) AS number FROM documents)")
@@ -188,15 +189,25 @@ def fs26(t):
     return numbers.withColumn("ok", P.luhn(F.col("number")))
 
 
-@query("FS27_risk_marks", "SELECT doc_id, contains(lower(text), 'secret') OR contains(lower(text), 'confidential') OR contains(lower(text), '대외비') OR contains(lower(text), '비밀') AS marked FROM documents")
+_RISK = "(?i)(?:대외비|사외비|외부\\s*공유\\s*금지|외부\\s*반출\\s*금지|confidential|internal\\s+(?:use\\s+)?only|non[- ]?disclosure|\\bNDA\\b)"
+_SECRET = "(?i)(?:비밀번호|패스워드|password|api[ _-]?key|access[ _-]?token|secret(?:[ _-]?key)?)\\s*[:=：]\\s*(\\S+)"
+_NAMED = "(?i)(?:고객명|담당자명|대표자명|신청인명|수신인명)\\s*[:：]?\\s*(?:[가-힣]{2,5}|[A-Za-z][A-Za-z .''-]{1,60})"
+
+
+@query(
+    "FS27_risk_marks",
+    f"SELECT doc_id, CASE WHEN regexp_matches(text, '{_RISK}') THEN '{P.HIGH_RISK[0]}' WHEN len(list_filter(regexp_extract_all(text, '{_SECRET}', 1), lambda x: NOT regexp_matches(x, '(?i)^\\[(SENSITIVE|REDACTED)\\]'))) > 0 THEN '{P.SECRET[0]}' WHEN regexp_matches(text, '{_NAMED}') THEN '{P.NAMED[0]}' END AS issue FROM documents",
+)
 def fs27(t):
-    return t.documents.select("doc_id", P.marked(F.col("text")).alias("marked"))
+    return t.documents.select("doc_id", P.sensitive_issue(F.col("text")).alias("issue"))
 
 
 @query("FS28_redacted_parts")
 def fs28(t):
-    rows = t.conversations.select("conv_id", "turn", P.redacted(F.col("text")).alias("text"))
-    return rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("parts"))
+    """Each conversation's parts in order, redacted, and how much was."""
+    rows = P.with_redaction(t.conversations.select("conv_id", "turn", "text"), "text").select("conv_id", "turn", "redaction.text", "redaction.total")
+    parts = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    return rows.groupBy("conv_id").agg(parts.alias("parts"), F.sum("total").alias("redactions"))
 
 
 @query("FS29_sanitized_html")

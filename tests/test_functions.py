@@ -19,21 +19,47 @@ def one(spark, column, **values):
     return row.select(column.alias("v")).first()["v"]
 
 
+def redact(spark, texts, terms=()):
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, t string")
+    return [r["redaction"] for r in privacy.with_redaction(rows, "t", terms=terms).orderBy("k").collect()]
+
+
 def test_redaction_order(spark):
     cases = {
-        "mail a.b@c.co!": "mail [EMAIL]!",
-        "메일a@b.co": "메일[EMAIL]",
-        "call 010-1234-5678": "call [PHONE]",
-        "id 900101-1234567": "id [RESIDENT_ID]",
-        "biz 123-45-67890": "biz [BUSINESS_ID]",
-        "card 4111 1111 1111 1111": "card [CARD]",
-        "card 4111 1111 1111 1112 no": "card 4111 1111 1111 1112 no",
-        "계좌: 123456-78-901234": "계좌: [ACCOUNT]",
-        "담당자: 홍길동 님": "담당자: [NAME] 님",
-        "Acme plan": "[SENSITIVE] plan",
+        "mail a.b@c.co!": ("mail [EMAIL]!", {"email": 1}),
+        "메일a@b.co": ("메일[EMAIL]", {"email": 1}),
+        " .a@b.co": (" .[EMAIL]", {"email": 1}),
+        "call 010-1234-5678": ("call [PHONE]", {"phone": 1}),
+        "id 900101-1234567 and 110111-7654321": ("id [RESIDENT_ID] and [CORPORATE_ID]", {"registration": 2}),
+        "biz 123-45-67890": ("biz [BUSINESS_ID]", {"registration": 1}),
+        "card 4111 1111 1111 1111": ("card [CARD]", {"card": 1}),
+        "card 4111 1111 1111 1112 no": ("card 4111 1111 1111 1112 no", {}),
+        "계좌: 123456-78-901234": ("계좌: [ACCOUNT]", {"account": 1}),
+        "담당자: 홍길동 님": ("담당자: [NAME] 님", {"name": 1}),
+        "주소: 서울 어딘가 12\n다음": ("주소: [ADDRESS]\n다음", {"address": 1}),
+        "Acme plan, ACME": ("[SENSITIVE] plan, [SENSITIVE]", {"custom": 2}),
+        "배송지는 서울특별시 강남구 테헤란로 123이며 이전 주소는 부산광역시 해운대구 우동 456-7입니다.": ("배송지는 [ADDRESS]이며 이전 주소는 [ADDRESS]입니다.", {"address": 2}),
+        "경기도 성남시 분당구 판교역로 166 101동, 강원도 홍천군 서면 산 12-3": ("[ADDRESS], [ADDRESS]", {"address": 2}),
+        "한강로 12는 길 이름만": ("한강로 12는 길 이름만", {}),
+        "기준일 2026-08-10, 환불계좌 110-123-456789, 결제카드 4111-1111-1111-1111": ("기준일 2026-08-10, 환불계좌: [ACCOUNT], 결제카드 [CARD]", {"account": 1, "card": 1}),
+        None: ("", {}),
     }
-    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", privacy.redacted(F.col("t"), ("acme",)).alias("r")).collect()
-    assert {r["t"]: r["r"] for r in rows} == cases
+    got = redact(spark, cases, ("acme", " a ", ""))
+    want = {k: 0 for k in privacy.KINDS}
+    assert [(r["text"], r["counts"].asDict(), r["total"]) for r in got] == [(t, want | n, sum(n.values())) for t, n in cases.values()]
+    assert redact(spark, ["고객사 알파컴퍼니의 이전 전략", "알파컴퍼니 전략"], ("알파", "알파컴퍼니"))[0]["text"] == "고객사 [SENSITIVE]의 이전 전략"
+
+
+def test_risk_issues(spark):
+    high, secret, named = privacy.HIGH_RISK[0], privacy.SECRET[0], privacy.NAMED[0]
+    cases = {
+        "외부 공유 금지 제안서": high, "INTERNAL use only": high, "the NDA holds": high, "calendar": None, "monday": None,
+        "password: do-not-send": secret, "API key=1": secret, "비밀번호： x": secret, "password: [REDACTED]": None, "secret of the sea": None,
+        "담당자명 홍길동": named, "고객명: [NAME]": None, "공개 블로그 원고": None,
+    }
+    rows = spark.createDataFrame([(x,) for x in cases], "t string")
+    assert {r["t"]: r["i"] for r in rows.select("t", privacy.sensitive_issue(F.col("t")).alias("i")).collect()} == cases
+    assert rows.where("t = '담당자명 홍길동'").select(privacy.high_risk_issue(F.col("t")).alias("i")).first()["i"] is None
 
 
 def test_sanitizer_allows_and_drops():

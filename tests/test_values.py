@@ -124,31 +124,40 @@ def test_main_content(run, tables):
     assert {r["page_id"]: r["text"] for r in run("S18_main_content")} == want
 
 
-def redact(t):
-    for _, p, v in P.FIRST:
-        t = re.sub(p, v, t, flags=re.A)
-
-    def card(m):
-        d = [int(c) for c in m[0] if c.isdigit()]
-        check = sum(d[-1::-2]) + sum(sum(divmod(2 * x, 10)) for x in d[-2::-2])
-        return "[CARD]" if len(set(d)) > 1 and check % 10 == 0 else m[0]
-
-    t = re.sub(P.CARD, card, t, flags=re.A)
-    t = re.sub(P.LABELLED[0][1], r"\1: [ACCOUNT]", t, flags=re.A)
-    t = re.sub(P.ACCOUNT, lambda m: "[ACCOUNT]" if 10 <= len(re.sub(r"\D", "", m[0])) <= 16 else m[0], t, flags=re.A)
-    for _, p, v in P.LAST:
-        t = re.sub(p, v.replace("$1", r"\1"), t, flags=re.A)
-    return t
-
-
-def test_redaction_and_counts(spark, run, tables):
+def redacted(t, terms=()):
+    """Text and counts, pass by pass."""
+    counts = dict.fromkeys(P.KINDS, 0)
+    for kind, p, v, check in [*P.PASSES, *(("custom", "(?i)" + re.escape(w), "[SENSITIVE]", None) for w in terms)]:
+        out, at = [], 0
+        for m in re.finditer(p, t):
+            d = [int(c) for c in m[0] if c.isdigit()]
+            if check == "luhn" and (len(set(d)) == 1 or (sum(d[-1::-2]) + sum(sum(divmod(2 * x, 10)) for x in d[-2::-2])) % 10):
+                continue
+            if check == "10 to 16 digits" and not 10 <= len(d) <= 16:
+                continue
+            counts[kind] += 1
+            out += [t[at : m.start()], v.replace("$1", m[1] or "") if "$1" in v else v]
+            at = m.end()
+        t = "".join(out) + t[at:]
+    return t, counts
+
+
+def test_redaction_and_counts(run, tables):
     texts = {d["doc_id"]: d["text"] for d in tables["documents"]}
-    from pyspark.sql import functions as F
+    want = {k: redacted(t, ("rights reserved",)) for k, t in texts.items()}
+    assert {r["doc_id"]: (r["text"], r["total"]) for r in run("FS25_redaction")} == {k: (t, sum(n.values())) for k, (t, n) in want.items()}
+    plain_counts = {k: redacted(t)[1] for k, t in texts.items()}
+    got = {r["doc_id"]: r.asDict() for r in run("A20_redaction_counts")}
+    assert got == {k: {"doc_id": k, **n, "total": sum(n.values())} for k, n in plain_counts.items()}
+    assert sum(n["email"] for n in plain_counts.values()) > 1
+
 
-    got = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", P.redacted(F.col("text")).alias("t")).collect()
-    assert {r["doc_id"]: r["t"] for r in got} == {k: redact(t) for k, t in texts.items()}
-    for r in run("A20_redaction_counts"):
-        assert list(r)[1:] == [len(re.findall(p, texts[r["doc_id"]], flags=re.A)) for _, p, _ in P.FIRST]
+def test_redacted_parts(spark, run):
+    parts = defaultdict(list)
+    for r in spark.read.parquet(f"{DATA}/conversations.parquet").collect():
+        parts[r["conv_id"]].append((r["turn"], *redacted(r["text"] or "")))
+    want = {k: (sorted(x[:2] for x in v), sum(sum(x[2].values()) for x in v)) for k, v in parts.items()}
+    assert {r["conv_id"]: ([tuple(p) for p in r["parts"]], r["redactions"]) for r in run("FS28_redacted_parts")} == want
 
 
 def test_changes(run, tables):
@@ -164,7 +173,7 @@ def test_review_of_what_no_cache_has(run, tables):
     want = {}
     for d in tables["documents"]:
         if d["doc_id"] in misses:
-            t = redact(d["text"])
+            t = redacted(d["text"])[0]
             hunks = H.change_hunks(t, re.sub("(?i)that ", "which ", t))
             want[d["doc_id"]] = None if hunks is None else len(hunks)
     assert {r["doc_id"]: r["hunks"] for r in run("Q15_review_with_cache")} == want and want
