@@ -32,17 +32,43 @@ def reset_stale(jobs: DataFrame, now: Column, minutes: int = 8) -> DataFrame:
 
 
 def assign(jobs: DataFrame, workers: DataFrame, order: list[Column]) -> DataFrame:
-    """(job_id, worker_id): the n-th job of the queue goes to the n-th idle worker, so none goes out twice.
+    """``jobs`` with ``worker_id``: the n-th job of the queue goes to the n-th idle worker, so none goes out twice.
 
     The queue is cut to the number of workers first: that many jobs at most are ranked in one place.
     """
     n = workers.count()
     head = jobs.orderBy(*order).limit(n)
-    ranked = head.select(F.col("id").alias("job_id"), F.row_number().over(Window.orderBy(*order)).alias("_r"))
+    ranked = head.withColumn("_r", F.row_number().over(Window.orderBy(*order)))
     idle = workers.select(F.col("id").alias("worker_id"), F.row_number().over(Window.orderBy("id")).alias("_r"))
     return ranked.join(idle, "_r").drop("_r")
 
 
+def claims(jobs: DataFrame, workers: DataFrame, now: Column, lease_seconds: int = 900) -> DataFrame:
+    """(action, job_id, worker_id, attempts, previous, lease_expires_at): what one claim of each of ``workers`` (id) does, in order of their ids.
+
+    First jobs without an attempt left, that wait or whose lease has ended, are ``exhausted``. A worker that holds a lease gets its oldest job back
+    (``resumed``), with a new lease and no new attempt. The others get the oldest jobs that wait (``taken``) or whose lease has ended (``stolen``,
+    where ``previous`` had it before), with one attempt more. ``lease_seconds`` is held to 60..86400.
+    """
+    until = now + F.make_dt_interval(secs=F.lit(max(60, min(86_400, lease_seconds))).cast("decimal(18,6)"))
+    waits, runs = F.col("status") == "waiting", (F.col("status") == "running") & F.col("lease_expires_at").isNotNull()
+    ended, spent = runs & (F.col("lease_expires_at") <= now), F.col("attempts") >= F.col("max_attempts")
+    shape = lambda df, action, worker, attempts, previous, lease: df.select(action.alias("action"), F.col("id").alias("job_id"), worker.alias("worker_id"), attempts.alias("attempts"), previous.alias("previous"), lease.alias("lease_expires_at"))
+    nobody, attempts = F.lit(None).cast("string"), F.col("attempts").cast("long")
+    exhausted = shape(jobs.where(spent & (waits | ended)), F.lit("exhausted"), nobody, attempts, F.col("claimed_by"), F.lit(None).cast("timestamp_ntz"))
+
+    first = Window.partitionBy("claimed_by").orderBy(F.col("claimed_at").asc_nulls_first(), "id")
+    held = jobs.where(runs & (F.col("lease_expires_at") > now)).join(workers.select(F.col("id").alias("claimed_by")).distinct(), "claimed_by", "left_semi")
+    own = held.withColumn("_r", F.row_number().over(first)).where("_r = 1")
+    resumed = shape(own, F.lit("resumed"), F.col("claimed_by"), attempts, F.col("claimed_by"), until)
+
+    idle = workers.join(own.select(F.col("claimed_by").alias("id")), "id", "left_anti")
+    given = assign(jobs.where(~spent & (waits | ended)), idle, [F.col("created_at"), F.col("id")])
+    stolen = F.col("claimed_by").isNotNull() & (F.col("claimed_by") != F.col("worker_id"))
+    taken = shape(given, F.when(stolen, "stolen").otherwise("taken"), F.col("worker_id"), attempts + 1, F.col("claimed_by"), until)
+    return exhausted.unionByName(resumed).unionByName(taken)
+
+
 def claim_runs(attempts: DataFrame, lease_seconds: int = 600) -> DataFrame:
     """attempts (key, at, outcome) in order of ``at``: which of them get the run of their key.
 

@@ -14,7 +14,7 @@ from inkwell.plans import jobs as J
 from inkwell.queries import aggregations as A
 from inkwell.queries import query
 from inkwell.queries.filters import TS
-from inkwell.streaming import limiter
+from inkwell.streaming import leases, limiter
 
 
 def similarity_sql(least: int) -> str:
@@ -49,10 +49,38 @@ def t03(t):
     return Q.claim_runs(rows).select("key", "id", "claimed")
 
 
-@query("T04_lease_queue", "WITH q AS (SELECT id, row_number() OVER (ORDER BY created_at, id) AS r FROM jobs WHERE status = 'waiting' AND attempts < max_attempts), w AS (SELECT id, row_number() OVER (ORDER BY id) AS r FROM workers WHERE current_job_id IS NULL) SELECT q.id AS job_id, w.id AS worker_id FROM q JOIN w USING (r)")
+_NOW = "TIMESTAMP '1998-01-01'"
+_ENDED = f"status = 'running' AND lease_expires_at <= {_NOW}"
+
+
+@query(
+    "T04_lease_queue",
+    "WITH k AS (SELECT 'w-' || id AS id FROM workers), "
+    f"o AS (SELECT claimed_by AS id, arg_min(jobs.id, (created_at, jobs.id)) AS job_id, arg_min(attempts, (created_at, jobs.id)) AS attempts FROM jobs WHERE status = 'running' AND lease_expires_at > {_NOW} AND claimed_by IN (SELECT id FROM k) GROUP BY 1), "
+    f"q AS (SELECT id, attempts, claimed_by, row_number() OVER (ORDER BY created_at, id) AS r FROM jobs WHERE attempts < max_attempts AND (status = 'waiting' OR {_ENDED})), "
+    "w AS (SELECT id, row_number() OVER (ORDER BY id) AS r FROM k WHERE id NOT IN (SELECT id FROM o)) "
+    f"SELECT 'exhausted' AS action, id AS job_id, NULL::VARCHAR AS worker_id, attempts, claimed_by AS previous, NULL::TIMESTAMP AS lease_expires_at FROM jobs WHERE attempts >= max_attempts AND (status = 'waiting' OR {_ENDED}) "
+    f"UNION ALL SELECT 'resumed', job_id, id, attempts, id, {_NOW} + INTERVAL 15 MINUTE FROM o "
+    f"UNION ALL SELECT CASE WHEN claimed_by <> w.id THEN 'stolen' ELSE 'taken' END, q.id, w.id, attempts + 1, claimed_by, {_NOW} + INTERVAL 15 MINUTE FROM q JOIN w USING (r)",
+)
 def t04(t):
-    ready = t.jobs.where((F.col("status") == "waiting") & (F.col("attempts") < F.col("max_attempts")))
-    return Q.assign(ready, t.workers.where(F.col("current_job_id").isNull()), [F.col("created_at"), F.col("id")])
+    """A claim of each worker against the jobs as they stand: exhausted, resumed, taken, stolen."""
+    workers = t.workers.select(F.concat(F.lit("w-"), "id").alias("id"))
+    return Q.claims(t.jobs.withColumn("claimed_at", F.col("created_at")), workers, TS("1998-01-01"))
+
+
+def lease_events(t):
+    """The events as those of eight queues."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    kinds = F.create_map(*[F.lit(x) for pair in (("signup", "submit"), ("click", "claim"), ("view", "heartbeat"), ("purchase", "done"), ("error", "fail")) for x in pair])
+    return t.events.select(F.concat(F.lit("q"), k % 8).alias("queue"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("id"), F.element_at(kinds, F.col("event_type")).alias("kind"), F.concat(F.lit("w"), F.col("user_id") % 5).alias("worker"))
+
+
+@query("T04_lease_replay")
+def t04_replay(t):
+    """The same rules over a log of submissions, claims and heartbeats; ``streaming.leases.stream`` is its twin."""
+    out = leases.replay(lease_events(t), 1_706_659_200_000_000, lease_seconds=7200)
+    return out.withColumn("at", F.col("at").cast("timestamp_ntz"))
 
 
 @query("T05_normalized", "SELECT id, CASE WHEN status = 'waiting' AND attempts >= max_attempts THEN 'failed' ELSE status END AS status, CASE WHEN status = 'running' THEN claimed_by END AS claimed_by FROM jobs")
