@@ -65,6 +65,14 @@ def slot(day: Column, hour: int) -> Column:
     return day.cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(hour - HOURS_KST))
 
 
+def korean_stamp(date: Column, time: Column, otherwise: str = "00:00:00") -> Column:
+    """yyyyMMdd and HHmm or HHmmss (digits among anything) as a timestamp of +09:00 in text; null without a date of eight digits."""
+    d = F.regexp_replace(F.coalesce(time, F.lit("")), "[^0-9]", "")
+    seconds = F.coalesce(F.nullif(F.substring(d, 5, 2), F.lit("")), F.lit("00"))
+    clock = F.when(F.length(d) >= 4, F.concat_ws(":", F.substring(d, 1, 2), F.substring(d, 3, 2), seconds)).otherwise(otherwise)
+    return F.when(date.rlike("^[0-9]{8}$"), F.concat(F.substring(date, 1, 4), F.lit("-"), F.substring(date, 5, 2), F.lit("-"), F.substring(date, 7, 2), F.lit("T"), clock, F.lit("+09:00")))
+
+
 def parsed(text: Column, otherwise: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(text).cast("timestamp_ntz"), otherwise)
 

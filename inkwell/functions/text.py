@@ -123,11 +123,14 @@ def numbers(text: Column) -> Column:
 
 
 def letters(n: Column) -> Column:
-    """1, 2, ... 26, 27 as A, B, ... Z, AA."""
-    a = lambda k: F.char(F.lit(65) + F.pmod(k - 1, F.lit(26)).cast("int"))
-    one, two = n, F.floor((n - 1) / 26)
-    three = F.floor((two - 1) / 26)
-    return F.concat(F.when(three > 0, a(three)).otherwise(""), F.when(two > 0, a(two)).otherwise(""), a(one))
+    """0, 1, ... 25, 26 as A, B, ... Z, AA: whole numbers in bijective base 26."""
+    start = F.struct(n.cast("long").alias("left"), F.lit("").alias("text"))
+
+    def step(a: Column, _: Column) -> Column:
+        more = F.struct((F.floor(a["left"] / 26) - 1).cast("long").alias("left"), F.concat(F.char((F.lit(65) + F.pmod(a["left"], F.lit(26))).cast("int")), a["text"]).alias("text"))
+        return F.when(a["left"] < 0, a).otherwise(more)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step, lambda a: a["text"])  # 14 letters hold any long
 
 
 def has_repeat(text: Column) -> Column:
@@ -143,7 +146,7 @@ def sentence_lengths(html: Column) -> Column:
 
 
 def masked_ip(ip: Column) -> Column:
-    """IPv4 without its last number, IPv6 with four groups."""
-    v4, v6 = F.split(ip, r"\."), F.split(ip, ":")
-    four = F.concat(F.array_join(F.slice(v4, 1, 3), "."), F.lit(".0"))
-    return F.when(F.size(v4) == 4, four).when(F.size(v6) > 2, F.concat(F.array_join(F.slice(v6, 1, 4), ":"), F.lit("::")))
+    """IPv4 without its last number, IPv6 with four groups; null for anything else."""
+    v4 = F.split(ip, r"\.")
+    four = F.when(F.size(v4) == 4, F.concat(F.array_join(F.slice(v4, 1, 3), "."), F.lit(".0")))
+    return F.when(ip.contains("."), four).when(ip.contains(":"), F.concat(F.array_join(F.slice(F.split(ip, ":"), 1, 4), ":"), F.lit("::")))

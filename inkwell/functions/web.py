@@ -93,9 +93,48 @@ def trusted(url: Column, domains: tuple[str, ...]) -> Column:
     return ok
 
 
+def post(url: Column) -> Column:
+    """Account and number of a blog post from either shape of its address, /account/number or a query with blogId and logNo; null where it is neither."""
+    u = F.when(F.length(url) <= 500, F.trim(url))
+    part = lambda *a: F.try_parse_url(u, *map(F.lit, a))
+    path = F.coalesce(part("PATH"), F.lit(""))
+    segments = F.filter(F.split(path, "/"), lambda x: x != "")
+    query = F.lower(path) == "/postview.naver"
+    account = F.lower(F.trim(F.when(query, part("QUERY", "blogId")).otherwise(F.get(segments, 0))))
+    number = F.trim(F.when(query, part("QUERY", "logNo")).otherwise(F.get(segments, 1)))
+    good = (F.lower(part("PROTOCOL")) == "https") & F.lower(part("HOST")).isin("blog.naver.com", "m.blog.naver.com") & account.rlike("^[a-z0-9_.-]{2,80}$") & number.rlike("^[0-9]{3,30}$")
+    return F.when(good, F.struct(account.alias("account"), number.alias("number")))
+
+
 def post_url(url: Column) -> Column:
-    """Two shapes of a blog post's address as one: /account/number, or a query with blogId and logNo."""
-    h, p = F.lower(F.try_parse_url(url, F.lit("HOST"))), F.try_parse_url(url, F.lit("PATH"))
-    account = F.coalesce(F.nullif(F.regexp_extract(p, "^/([A-Za-z0-9_-]+)/([0-9]+)", 1), F.lit("")), F.try_parse_url(url, F.lit("QUERY"), F.lit("blogId")))
-    number = F.coalesce(F.nullif(F.regexp_extract(p, "^/([A-Za-z0-9_-]+)/([0-9]+)", 2), F.lit("")), F.try_parse_url(url, F.lit("QUERY"), F.lit("logNo")))
-    return F.when(h.isin("blog.naver.com", "m.blog.naver.com") & number.rlike("^[0-9]+$"), F.concat(F.lit("https://blog.naver.com/"), F.lower(account), F.lit("/"), number))
+    """Both shapes of a blog post's address as one."""
+    p = post(url)
+    return F.when(p.isNotNull(), F.concat(F.lit("https://blog.naver.com/"), p["account"], F.lit("/"), p["number"]))
+
+
+def publication_error(url: Column, expected: Column) -> Column:
+    """Why an address can't be registered for the account ``expected`` (null: not set up), or null."""
+    p = post(url)
+    return F.when(p.isNull(), "INVALID_PUBLISHED_URL").when(expected.isNull(), "PUBLICATION_ACCOUNT_CONFIG_INVALID").when(p["account"] != expected, "PUBLISHED_ACCOUNT_MISMATCH")
+
+
+def requester(cf: Column, real: Column, forwarded: Column) -> Column:
+    """The first address that a request's headers name, or "unknown"."""
+    named = lambda c: F.nullif(c, F.lit(""))
+    return F.coalesce(named(cf), named(real), named(F.trim(F.split_part(forwarded, F.lit(","), F.lit(1)))), F.lit("unknown"))
+
+
+def retry_after_ms(header: Column, now: Column) -> Column:
+    """Milliseconds to wait by a Retry-After header: seconds or an HTTP date; null where it is neither."""
+    text = F.trim(header)
+    seconds = F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), text.try_cast("double"))
+    date = F.try_to_timestamp(F.regexp_extract(text, "^[A-Za-z]{3}, ([0-9]{2} [A-Za-z]{3} [0-9]{4} [0-9:]{8}) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss"))
+    wait = F.coalesce(seconds * 1000, (F.unix_millis(date) - F.unix_millis(now.cast("timestamp"))).cast("double"))
+    return F.when(wait.isNotNull(), F.greatest(F.lit(0.0), wait)).cast("long")
+
+
+def missing_fonts(message: Column) -> Column:
+    """Names in a worker's message about missing fonts, each once, 100 at most."""
+    rest = F.regexp_replace(F.regexp_replace(F.substr(message, F.lit(len("MISSING_FONTS:") + 1)), r"^.*?:\s*", ""), "[.]$", "")
+    names = F.filter(F.transform(F.split(rest, ","), lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(message.startswith("MISSING_FONTS:"), F.slice(F.array_distinct(names), 1, 100)).otherwise(F.array().cast("array<string>"))

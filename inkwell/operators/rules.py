@@ -38,7 +38,13 @@ def patched(df: DataFrame, patch: dict, allowed: tuple[str, ...]) -> DataFrame:
     return df.withColumns({k: F.lit(v) for k, v in patch.items() if k in allowed})
 
 
-def at_least(version: Column, least: tuple[int, ...]) -> Column:
-    """Dotted version numbers, compared number by number; anything else is under every version."""
-    parts = F.transform(F.split(version, r"\."), lambda x: x.try_cast("int"))
-    return F.coalesce(version.rlike(r"^\d+(\.\d+)*$") & (parts >= F.array(*[F.lit(n) for n in least])), F.lit(False))
+def at_least(version: Column, least: tuple[int, int, int]) -> Column:
+    """Versions of three numbers (with a suffix after - or +), compared number by number; anything else is under every version."""
+    shape = r"^([0-9]+)\.([0-9]+)\.([0-9]+)(?:[-+].*)?$"
+    parts = F.array(*[F.regexp_extract(F.trim(version), shape, k).try_cast("long") for k in (1, 2, 3)])
+    return F.coalesce(F.trim(version).rlike(shape) & (parts >= F.array(*[F.lit(n).cast("long") for n in least])), F.lit(False))
+
+
+def may_claim(version: Column, capabilities: Column, least: tuple[int, int, int], capability: str) -> Column:
+    """A worker may claim a job if its version and its list of capabilities allow it."""
+    return at_least(version, least) & F.coalesce(F.array_contains(capabilities, capability), F.lit(False))

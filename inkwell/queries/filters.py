@@ -161,10 +161,20 @@ def p26(t):
     return D.business_days(t.orders.select(F.to_date("o_orderdate").alias("d")).distinct(), holidays, "d")
 
 
-@query("P27_minimum_version", "SELECT * FROM (VALUES ('1.10.0', true), ('1.9.9', false), ('2.0', true), ('bad', false)) v(version, ok)")
+_VERSION = "CASE user_id % 4 WHEN 0 THEN '2.' || ((props->>'$.k')::INTEGER % 12) || '.' || (user_id % 10) WHEN 1 THEN '3.0.0-beta' WHEN 2 THEN ' 2.8.0 ' ELSE 'v2' END"
+
+
+@query(
+    "P27_minimum_version",
+    f"WITH e AS (SELECT event_id, event_type, {_VERSION} AS version FROM events), p AS (SELECT *, regexp_extract(trim(version), '^([0-9]+)\\.([0-9]+)\\.([0-9]+)(?:[-+].*)?$', ['a', 'b', 'c']) AS m FROM e) "
+    "SELECT event_id, version, m.a <> '' AND [m.a::INTEGER, m.b::INTEGER, m.c::INTEGER] >= [2, 8, 0] AS current, m.a <> '' AND [m.a::INTEGER, m.b::INTEGER, m.c::INTEGER] >= [2, 8, 0] AND event_type <> 'view' AS may_claim FROM p".replace("m.a::INTEGER", "try_cast(m.a AS INTEGER)").replace("m.b::INTEGER", "try_cast(m.b AS INTEGER)").replace("m.c::INTEGER", "try_cast(m.c AS INTEGER)"),
+)
 def p27(t):
-    rows = t.spark.createDataFrame([("1.10.0",), ("1.9.9",), ("2.0",), ("bad",)], "version string")
-    return rows.withColumn("ok", rules.at_least(F.col("version"), (1, 10, 0)))
+    """Heartbeats of workers of many versions, some without the capability."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    version = F.when(F.col("user_id") % 4 == 0, F.concat(F.lit("2."), k % 12, F.lit("."), F.col("user_id") % 10)).when(F.col("user_id") % 4 == 1, "3.0.0-beta").when(F.col("user_id") % 4 == 2, " 2.8.0 ").otherwise("v2")
+    rows = t.events.select("event_id", version.alias("version"), F.array(F.lit("render"), F.when(F.col("event_type") != "view", "manifest")).alias("can"))
+    return rows.select("event_id", "version", rules.at_least(F.col("version"), (2, 8, 0)).alias("current"), rules.may_claim(F.col("version"), F.col("can"), (2, 8, 0), "manifest").alias("may_claim"))
 
 
 @query("P28_recovery_state", "SELECT id, CASE WHEN status = 'completed' THEN 'done' WHEN attempts >= max_attempts THEN 'exhausted' WHEN status = 'running' AND lease_expires_at < TIMESTAMP '1998-01-01' THEN 'stalled' ELSE 'open' END AS state FROM jobs")

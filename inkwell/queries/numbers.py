@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import dates as D
-from inkwell.functions import hashing
+from inkwell.functions import hashing, jsons
 from inkwell.functions import scoring as S
+from inkwell.functions import web as W
 from inkwell.operators import rules, similarity, upsert
 from inkwell.queries import query
 from inkwell.queries.filters import _EDIT, TS
@@ -26,9 +27,9 @@ def fd02(t):
     return t.orders.select(F.to_date("o_orderdate").alias("d")).distinct().withColumn("week", F.weekofyear("d"))
 
 
-@query("FD03_due_days", f"SELECT day, d AS due FROM (SELECT day, unnest(range(day - INTERVAL 7 DAY, day, INTERVAL 1 DAY))::DATE AS d FROM (SELECT DISTINCT o_orderdate::DATE AS day FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01')) WHERE {_EDIT}")
+@query("FD03_due_days", f"SELECT day, d AS due FROM (SELECT day, unnest(range(day - INTERVAL 7 DAY, day, INTERVAL 1 DAY))::DATE AS d FROM (SELECT DISTINCT o_orderdate::DATE AS day FROM orders)) WHERE {_EDIT}")
 def fd03(t):
-    days = t.orders.where(F.col("o_orderdate") < TS("1996-01-01")).select(F.to_date("o_orderdate").alias("day")).distinct()
+    days = t.orders.select(F.to_date("o_orderdate").alias("day")).distinct()
     return days.select("day", F.explode(D.due_days(F.col("day"))).alias("due"))
 
 
@@ -49,11 +50,13 @@ def fd06(t):
     return t.orders.select("o_orderkey", D.cutoff(F.col("o_orderdate"), F.col("o_orderkey") % 400).alias("cutoff"))
 
 
-@query("FD07_korean_timestamps", "SELECT * FROM (VALUES ('20260105', TIMESTAMP '2026-01-04 15:00:00'), ('99991231', NULL), ('soon', NULL)) v(text, \"at\")")
+@query("FD07_korean_timestamps", "SELECT event_id, CASE WHEN event_id % 10 NOT IN (0, 1) THEN CAST(ts AS DATE)::TIMESTAMP - INTERVAL 9 HOUR END AS \"at\", CASE WHEN event_id % 10 <> 1 THEN CASE WHEN event_id % 10 = 0 THEN '9999-12-31' ELSE strftime(ts, '%Y-%m-%d') END || 'T' || CASE event_id % 3 WHEN 0 THEN strftime(ts, '%H:%M:%S') WHEN 1 THEN strftime(ts, '%H:%M') || ':00' ELSE '23:59:59' END || '+09:00' END AS stamp FROM events")
 def fd07(t):
-    rows = t.spark.createDataFrame([("20260105",), ("99991231",), ("soon",)], "text string")
-    local = F.try_to_timestamp(F.nullif("text", F.lit("99991231")), F.lit("yyyyMMdd")).cast("timestamp_ntz")
-    return rows.withColumn("at", local - F.make_dt_interval(hours=F.lit(9)))
+    """Days of eight digits, the one for "open end" and one that is none, alone and with times in several shapes."""
+    text = F.when(F.col("event_id") % 10 == 0, "99991231").when(F.col("event_id") % 10 == 1, "soon").otherwise(F.date_format("ts", "yyyyMMdd"))
+    time = F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "HHmmss")).when(F.col("event_id") % 3 == 1, F.date_format("ts", "HH:mm")).otherwise("9")
+    local = F.try_to_timestamp(F.nullif(text, F.lit("99991231")), F.lit("yyyyMMdd")).cast("timestamp_ntz")
+    return t.events.select("event_id", (local - F.make_dt_interval(hours=F.lit(9))).alias("at"), D.korean_stamp(text, time, "23:59:59").alias("stamp"))
 
 
 @query("FD08_deadline", "SELECT id, month(lease_expires_at) || '/' || day(lease_expires_at) || CASE WHEN strftime(lease_expires_at, '%H:%M') = '00:00' THEN '' ELSE ' ' || strftime(lease_expires_at, '%H:%M') END AS deadline FROM jobs")
@@ -90,10 +93,12 @@ def fd13(t):
     return counted.unpivot([], list(presets), "preset", "n")
 
 
-@query("FD14_retry_after", "SELECT * FROM (VALUES ('120', 120000), ('x', 1000)) v(header, ms)")
+@query("FD14_retry_after", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN (event_id % 500) * 1000 WHEN 1 THEN greatest(0, 1000 * (floor(epoch(ts))::BIGINT - epoch(TIMESTAMP '2024-01-15')::BIGINT)) WHEN 2 THEN 1500 END::BIGINT AS ms FROM events")
 def fd14(t):
-    rows = t.spark.createDataFrame([("120",), ("x",)], "header string")
-    return rows.withColumn("ms", F.coalesce(F.col("header").try_cast("int") * 1000, F.lit(1000)))
+    """Headers of answers that ask to wait: seconds, a date, seconds with a fraction, and one that says nothing."""
+    date = F.concat(F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
+    header = F.when(F.col("event_id") % 4 == 0, (F.col("event_id") % 500).cast("string")).when(F.col("event_id") % 4 == 1, date).when(F.col("event_id") % 4 == 2, " 1.5 ").otherwise("later")
+    return t.events.select("event_id", W.retry_after_ms(header, TS("2024-01-15")).alias("ms"))
 
 
 _TF = (
@@ -268,12 +273,13 @@ def fa03(t):
     return t.conversations.groupBy("conv_id").agg(F.array_join(F.array_sort(F.filter(F.collect_set("role"), lambda r: ~r.rlike("^sys"))), ",").alias("roles"))
 
 
-@query("FA04_json_cascade", "SELECT * FROM (VALUES ('{\"a\": 1}', '1'), ('```json\n{\"a\": 2}\n```', '2'), ('note {\"a\": 3} end', '3'), ('none', NULL)) v(raw, a)")
+@query("FA04_json_cascade", "SELECT event_id, CASE event_id % 7 WHEN 3 THEN 'line' || chr(10) || 'break' WHEN 4 THEN NULL WHEN 6 THEN NULL ELSE props->>'$.k' END AS k FROM events")
 def fa04(t):
-    from inkwell.functions import jsons
-
-    rows = t.spark.createDataFrame([('{"a": 1}',), ('```json\n{"a": 2}\n```',), ('note {"a": 3} end',), ("none",)], "raw string")
-    return rows.withColumn("a", F.get_json_object(jsons.first_value(F.col("raw")), "$.a"))
+    """Answers of a model: plain, fenced, among prose, with a raw line break, cut off, followed by a second value, and without any."""
+    p, n = F.col("props"), F.col("event_id") % 7
+    raw = F.when(n == 0, p).when(n == 1, F.concat(F.lit("```json\n"), p, F.lit("\n```"))).when(n == 2, F.concat(F.lit("note "), p, F.lit(" end }")))
+    raw = raw.when(n == 3, '{"k": "line\nbreak"} ok').when(n == 4, F.substr(p, F.lit(1), F.length(p) - 1)).when(n == 5, F.concat(p, F.lit(' {"k": -1}'))).otherwise("none")
+    return t.events.select("event_id", F.get_json_object(jsons.first_value(raw), "$.k").alias("k"))
 
 
 @query("FA05_guarded_parse", "SELECT event_id, (props->>'$.k')::INTEGER AS k, (props->>'$.k')::INTEGER < 50 AS ok FROM events")
@@ -288,8 +294,6 @@ def fa06(t):
 
 @query("FA07_shallow_merge", "SELECT event_id, event_id % 7 AS k, 1 AS extra FROM events")
 def fa07(t):
-    from inkwell.functions import jsons
-
     merged = jsons.merged(F.from_json("props", "map<string,string>"), F.create_map(F.lit("k"), (F.col("event_id") % 7).cast("string"), F.lit("extra"), F.lit("1")))
     return t.events.select("event_id", merged["k"].cast("long").alias("k"), merged["extra"].cast("int").alias("extra"))
 

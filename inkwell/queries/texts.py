@@ -124,13 +124,25 @@ def fs16(t):
     return lines.unionByName(t.articles.select("source").distinct().select("source", F.lit(2).alias("part"), F.lit(None).cast("long").alias("doc_id"), F.lit("--").alias("line")))
 
 
-_AGENTS = ("Mozilla/5.0 (compatible; GPTBot/1.0)", "Googlebot-Image/1.0", "Mozilla/5.0 AppleWebKit Safari", "curl/8.1", "SomeCrawler/2", "Applebot-Extended/0.1")
+#: Agents, and what they are.
+_AGENTS = (
+    ("Mozilla/5.0 (compatible; GPTBot/1.0)", "GPTBot", "ai"),
+    ("Googlebot-Image/1.0", "Googlebot-Image", "search"),
+    ("Mozilla/5.0 AppleWebKit Safari", None, None),
+    ("curl/8.1", "Automated tool", "tool"),
+    ("SomeCrawler/2", "Other bot", "other"),
+    ("Applebot-Extended/0.1", "Applebot-Extended", "ai"),
+)
+_PICK = "(props->>'$.k')::INTEGER % 6"
 
 
-@query("FS17_bots", "SELECT * FROM (VALUES ('" + _AGENTS[0] + "', 'GPTBot', 'ai'), ('" + _AGENTS[1] + "', 'Googlebot-Image', 'search'), ('" + _AGENTS[2] + "', NULL, NULL), ('" + _AGENTS[3] + "', 'Automated tool', 'tool'), ('" + _AGENTS[4] + "', 'Other bot', 'other'), ('" + _AGENTS[5] + "', 'Applebot-Extended', 'ai')) v(agent, name, category)")
+@query("FS17_bots", f"SELECT event_id, CASE {_PICK} " + " ".join(f"WHEN {k} THEN '{n}'" for k, (_, n, _) in enumerate(_AGENTS) if n) + f" END AS name, CASE {_PICK} " + " ".join(f"WHEN {k} THEN '{c}'" for k, (_, _, c) in enumerate(_AGENTS) if c) + " END AS category FROM events")
 def fs17(t):
-    rows = t.spark.createDataFrame([(a,) for a in _AGENTS], "agent string").withColumn("b", W.bot(F.col("agent")))
-    return rows.select("agent", "b.name", "b.category")
+    """Each event with the agent of its key, in upper case for every other one."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    agent = F.element_at(F.array(*[F.lit(a) for a, _, _ in _AGENTS]), k % 6 + 1)
+    rows = t.events.select("event_id", W.bot(F.when(F.col("event_id") % 2 == 0, agent).otherwise(F.concat(F.lit("x "), agent))).alias("b"))
+    return rows.select("event_id", "b.name", "b.category")
 
 
 @query("FS18_path_attribution", "SELECT id, CASE split_part(requested_path, '/', 2) WHEN '' THEN 'home' WHEN 'columns' THEN 'column' WHEN 'portfolio' THEN 'portfolio' ELSE 'page' END AS kind, split_part(requested_path, '/', 3) AS slug FROM traffic")
@@ -138,10 +150,12 @@ def fs18(t):
     return t.traffic.withColumn("k", W.path_kind(F.col("requested_path"))).select("id", "k.kind", "k.slug")
 
 
-@query("FS19_masked_ip", "SELECT * FROM (VALUES ('10.2.3.4', '10.2.3.0'), ('2001:db8:1:2:3:4:5:6', '2001:db8:1:2::'), ('x', NULL)) v(ip, masked)")
+@query("FS19_masked_ip", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN '10.' || user_id % 256 || '.' || (props->>'$.k') || '.0' WHEN 1 THEN '2001:db8:' || user_id || ':' || (props->>'$.k') || '::' END AS masked FROM events")
 def fs19(t):
-    rows = t.spark.createDataFrame([("10.2.3.4",), ("2001:db8:1:2:3:4:5:6",), ("x",)], "ip string")
-    return rows.withColumn("masked", T.masked_ip(F.col("ip")))
+    """Addresses of events: of both kinds, with a number too few, and none."""
+    user, k, n = F.col("user_id"), F.get_json_object("props", "$.k"), F.col("event_id") % 4
+    ip = F.when(n == 0, F.concat(F.lit("10."), user % 256, F.lit("."), k, F.lit("."), F.col("event_id") % 256)).when(n == 1, F.concat(F.lit("2001:db8:"), user, F.lit(":"), k, F.lit(":3:4:5:"), F.hex("event_id")))
+    return t.events.select("event_id", T.masked_ip(ip.when(n == 2, F.concat(F.lit("10.1."), k)).otherwise("unknown")).alias("masked"))
 
 
 @query("FS20_host", f"SELECT page_id, regexp_replace({_HOST}, '^www\\.', '') AS host FROM pages")
@@ -149,31 +163,38 @@ def fs20(t):
     return t.pages.select("page_id", W.host(F.col("url")).alias("host"))
 
 
-_POSTS = ("https://blog.naver.com/Woo/123", "https://m.blog.naver.com/PostView.naver?blogId=woo&logNo=45", "https://example.com/woo/1", "no url")
+def posts(t):
+    """Addresses of posts, by page: both shapes, the page's own, without TLS, with too short a number, and with a third segment."""
+    n, id_ = F.col("page_id") % 6, F.col("page_id")
+    url = F.when(n == 0, F.concat(F.lit("https://blog.naver.com/User_"), id_, F.lit("/"), id_ + 100)).when(n == 1, F.concat(F.lit("https://m.blog.naver.com/PostView.naver?blogId=Us."), id_, F.lit("&logNo="), id_ + 100))
+    url = url.when(n == 2, F.col("url")).when(n == 3, F.concat(F.lit("http://blog.naver.com/user/"), id_ + 100)).when(n == 4, F.concat(F.lit("https://blog.naver.com/user"), id_, F.lit("/12")))
+    return t.pages.select("page_id", url.otherwise(F.concat(F.lit(" https://BLOG.naver.com/user/"), id_ + 100, F.lit("/more?x=1 "))).alias("url"))
+
+
+_POST = "CASE page_id % 6 WHEN 0 THEN 'https://blog.naver.com/user_' || page_id || '/' || (page_id + 100) WHEN 1 THEN 'https://blog.naver.com/us.' || page_id || '/' || (page_id + 100) WHEN 5 THEN 'https://blog.naver.com/user/' || (page_id + 100) END"
 
 
-@query("FS21_post_url", f"SELECT * FROM (VALUES ('{_POSTS[0]}', 'https://blog.naver.com/woo/123'), ('{_POSTS[1]}', 'https://blog.naver.com/woo/45'), ('{_POSTS[2]}', NULL), ('{_POSTS[3]}', NULL)) v(url, post)")
+@query("FS21_post_url", f"SELECT page_id, {_POST} AS post FROM pages")
 def fs21(t):
-    return t.spark.createDataFrame([(p,) for p in _POSTS], "url string").withColumn("post", W.post_url(F.col("url")))
+    return posts(t).select("page_id", W.post_url(F.col("url")).alias("post"))
 
 
-@query("FS22_publication_check", f"SELECT * FROM (VALUES ('{_POSTS[0]}', NULL), ('{_POSTS[1]}', NULL), ('{_POSTS[2]}', 'wrong_host'), ('{_POSTS[3]}', 'not_a_url')) v(url, error)")
+@query("FS22_publication_check", f"SELECT page_id, CASE WHEN {_POST} IS NULL THEN 'INVALID_PUBLISHED_URL' WHEN page_id % 9 = 0 THEN 'PUBLICATION_ACCOUNT_CONFIG_INVALID' WHEN page_id % 6 <> 5 THEN 'PUBLISHED_ACCOUNT_MISMATCH' END AS error FROM pages")
 def fs22(t):
-    rows = t.spark.createDataFrame([(p,) for p in _POSTS], "url string")
-    h = F.lower(F.try_parse_url("url", F.lit("HOST")))
-    error = F.when(h.isNull(), "not_a_url").when(~h.isin("blog.naver.com", "m.blog.naver.com"), "wrong_host").when(W.post_url(F.col("url")).isNull(), "not_a_post")
-    return rows.withColumn("error", error)
+    """Against one account; for some pages none is set up."""
+    return posts(t).select("page_id", W.publication_error(F.col("url"), F.when(F.col("page_id") % 9 != 0, "user")).alias("error"))
 
 
-@query("FS23_source_urls", "SELECT page_id % 20 AS k, len(list_distinct(list(regexp_replace(url, '#.*$', '')))[1:8]) AS n FROM pages WHERE regexp_matches(url, '^https?://') GROUP BY 1")
+@query("FS23_source_urls", "SELECT k, least(8, count(DISTINCT u)) AS n FROM (SELECT page_id % 20 AS k, regexp_replace(url, '#.*$', '') AS u FROM pages WHERE regexp_matches(url, '^https?://')) GROUP BY 1")
 def fs23(t):
-    clean = F.array_distinct(F.collect_list(W.without_fragment(F.col("url"))))
-    return t.pages.where(F.col("url").rlike("^https?://")).groupBy((F.col("page_id") % 20).alias("k")).agg(F.array_size(F.slice(clean, 1, 8)).cast("long").alias("n"))
+    """How many different addresses each list has, eight at most: counted, never gathered."""
+    rows = t.pages.where(F.col("url").rlike("^https?://")).select((F.col("page_id") % 20).alias("k"), W.without_fragment(F.col("url")).alias("u")).distinct()
+    return rows.groupBy("k").agg(F.least(F.lit(8), F.count("*")).cast("long").alias("n"))
 
 
-@query("FS24_fingerprint", "SELECT page_id, sha256(CASE WHEN page_id % 3 = 0 THEN 'id:' || page_id ELSE lower(substr(html, 1, 40)) || '|' || regexp_replace(url, '#.*$', '') END) AS fingerprint FROM pages")
+@query("FS24_fingerprint", "SELECT page_id, sha256(CASE WHEN page_id % 3 = 0 THEN 'id:' || page_id ELSE lower(regexp_extract(html, '<title>([^<]*)</title>', 1)) || '|' || regexp_replace(url, '#.*$', '') END) AS fingerprint FROM pages")
 def fs24(t):
-    other = F.concat(F.lower(F.substring("html", 1, 40)), F.lit("|"), W.without_fragment(F.col("url")))
+    other = F.concat(F.lower(F.regexp_extract("html", "<title>([^<]*)</title>", 1)), F.lit("|"), W.without_fragment(F.col("url")))
     return t.pages.select("page_id", F.sha2(F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("id:"), "page_id")).otherwise(other), 256).alias("fingerprint"))
 
 
@@ -273,9 +294,9 @@ def fs38(t):
     return t.documents.select("doc_id", F.array_join(T.numbers(F.col("text")), " ").alias("numbers"))
 
 
-@query("FS39_letters", "SELECT n, CASE WHEN n > 26 THEN chr((64 + (n - 1) // 26)::INTEGER) ELSE '' END || chr((65 + (n - 1) % 26)::INTEGER) AS letters FROM (SELECT unnest(range(1, 703)) AS n)")
+@query("FS39_letters", "SELECT o_orderkey, CASE WHEN n >= 18278 THEN chr((65 + (n - 18278) // 17576 % 26)::INTEGER) ELSE '' END || CASE WHEN n >= 702 THEN chr((65 + (n - 702) // 676 % 26)::INTEGER) ELSE '' END || CASE WHEN n >= 26 THEN chr((65 + (n - 26) // 26 % 26)::INTEGER) ELSE '' END || chr((65 + n % 26)::INTEGER) AS letters FROM (SELECT o_orderkey, o_orderkey % 475254 AS n FROM orders)")
 def fs39(t):
-    return t.spark.range(1, 703).select(F.col("id").alias("n"), T.letters(F.col("id")).alias("letters"))
+    return t.orders.select("o_orderkey", T.letters(F.col("o_orderkey") % 475_254).alias("letters"))
 
 
 @query("FS40_structural_mismatch", "WITH p AS (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS l FROM pages) SELECT a.page_id, list_position(list_transform(list_zip(a.l, b.l), lambda z: coalesce(z[1] = z[2], false)), false)::INTEGER AS first FROM p a JOIN p b ON b.page_id = a.page_id + 1")
@@ -310,11 +331,12 @@ def fs44(t):
     return t.articles.select("doc_id", F.when(c.rlike("(?i)tion"), "a").when(c.rlike("(?i)ing"), "b").when(c.rlike("(?i)ent"), "c").otherwise("other").alias("category"))
 
 
-@query("FS45_missing_fonts", "SELECT 'Missing fonts: A, B , A' AS error, 'A|B' AS fonts")
+@query("FS45_missing_fonts", "SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN '' WHEN p_partkey % 4 = 1 THEN trim(p_brand) || CASE WHEN trim(p_type) <> trim(p_brand) THEN '|' || trim(p_type) ELSE '' END ELSE trim(p_type) END AS fonts FROM part")
 def fs45(t):
-    row = t.spark.createDataFrame([("Missing fonts: A, B , A",)], "error string")
-    names = F.transform(F.split(F.regexp_replace("error", "^[^:]*:", ""), ","), lambda x: F.trim(x))
-    return row.select("error", F.array_join(F.slice(F.array_distinct(F.filter(names, lambda x: x != "")), 1, 20), "|").alias("fonts"))
+    """Messages of workers, by part: other errors, and names that repeat or are blank."""
+    n = F.col("p_partkey") % 4
+    error = F.when(n == 0, F.concat(F.lit("FAILED: "), "p_type")).when(n == 1, F.concat(F.lit("MISSING_FONTS: on "), "p_name", F.lit(": "), "p_brand", F.lit(", "), "p_type", F.lit(" , "), "p_brand", F.lit(".")))
+    return t.part.select("p_partkey", F.array_join(W.missing_fonts(error.otherwise(F.concat(F.lit("MISSING_FONTS:not there:"), F.lit(" , ,"), "p_type"))), "|").alias("fonts"))
 
 
 @query("FS46_meta", "SELECT page_id, substr(" + _PLAIN + ", 1, 155) AS description, CASE WHEN url LIKE 'http%' THEN url ELSE 'https://example.com/' || url END AS absolute FROM pages")
@@ -322,11 +344,12 @@ def fs46(t):
     return t.pages.select("page_id", F.substring(T.plain_text(F.col("html")), 1, 155).alias("description"), F.when(F.col("url").startswith("http"), F.col("url")).otherwise(F.concat(F.lit("https://example.com/"), "url")).alias("absolute"))
 
 
-@query("FS47_requester", "SELECT * FROM (VALUES ('1.1.1.1, 2.2.2.2', '', '1.1.1.1'), ('', '3.3.3.3', '3.3.3.3'), ('', '', 'unknown')) v(forwarded, real, key)")
+@query("FS47_requester", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'c' || user_id WHEN event_id % 3 = 0 THEN 'r' || user_id WHEN event_id % 5 = 0 THEN 'f' || user_id ELSE 'unknown' END AS key FROM events")
 def fs47(t):
-    rows = t.spark.createDataFrame([("1.1.1.1, 2.2.2.2", ""), ("", "3.3.3.3"), ("", "")], "forwarded string, real string")
-    first = F.nullif(F.trim(F.split_part("forwarded", F.lit(","), F.lit(1))), F.lit(""))
-    return rows.withColumn("key", F.coalesce(first, F.nullif("real", F.lit("")), F.lit("unknown")))
+    """Headers that some events lack and others leave empty."""
+    has = lambda n, letter: F.when(F.col("event_id") % n == 0, F.concat(F.lit(letter), "user_id"))
+    forwarded = F.coalesce(F.concat(F.lit(" "), has(5, "f"), F.lit(" , proxy")), F.lit(" , proxy"))
+    return t.events.select("event_id", W.requester(has(2, "c"), F.coalesce(has(3, "r"), F.lit("")), forwarded).alias("key"))
 
 
 @query("FS48_sql_text", "SELECT o_orderkey, left(o_orderpriority, 5) AS head, concat_ws('/', o_orderstatus, nullif(trim(o_orderpriority), '')) AS label, printf('%05d', o_orderkey::INTEGER) AS padded FROM orders")
