@@ -208,9 +208,9 @@ def a24(t):
     from inkwell.functions.hashing import sign_bits
 
     v = t.embeddings.select("vec_id", "label", sign_bits(F.col("embedding")).alias("bits"))
-    pairs = v.join(v.select(F.col("vec_id").alias("other"), "label", F.col("bits").alias("bits2")), "label").where("vec_id <> other")
-    near = C.top(pairs.withColumn("d", F.bit_count(F.col("bits").bitwiseXOR(F.col("bits2")))), 4, [F.col("d"), F.col("other")], ["vec_id"])
-    return near.groupBy("vec_id").agg(F.round(F.avg("d") / 64, 6).alias("rarity"))
+    near = similarity.nearest_hashes(v, "label", "bits", 4).where(F.size("distances") > 0)
+    mean = F.aggregate("distances", F.lit(0), lambda a, x: a + x) / F.size("distances")
+    return v.join(near.select("label", "bits", F.round(mean / 64, 6).alias("rarity")), ["label", "bits"]).select("vec_id", "rarity")
 
 
 @query(
