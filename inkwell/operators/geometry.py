@@ -2,23 +2,134 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Keys of up to so many rectangles are added up strip by strip in the JVM; pieces of larger ones are swept, so many rectangles together.
+SMALL, PIECE = 64, 50_000
+
+
+class Segments:
+    """Lengths of a line that are covered at least once: a segment tree over the places where intervals begin and end."""
+
+    def __init__(self, places: np.ndarray) -> None:
+        self.places, self.leaves = places.tolist(), 1
+        while self.leaves < len(places) - 1:
+            self.leaves *= 2
+        at = [*self.places, *[self.places[-1]] * (self.leaves + 1 - len(self.places))]
+        self.size = [0.0] * self.leaves + [at[k + 1] - at[k] for k in range(self.leaves)]
+        for k in range(self.leaves - 1, 0, -1):
+            self.size[k] = self.size[2 * k] + self.size[2 * k + 1]
+        self.times, self.covered = [0] * (2 * self.leaves), [0.0] * (2 * self.leaves)
+
+    def add(self, low: int, high: int, by: int) -> None:
+        """Cover the places ``low`` to ``high`` (by their numbers) once more, or once less."""
+        times, covered, size, leaves = self.times, self.covered, self.size, self.leaves
+        a, b = low + leaves, high + leaves
+        touched = []
+        while a < b:
+            if a & 1:
+                touched.append(a)
+                a += 1
+            if b & 1:
+                b -= 1
+                touched.append(b)
+            a, b = a // 2, b // 2
+        for k in touched:
+            times[k] += by
+        # upwards from what changed, and from the ends, whose parents are those of all that changed
+        for k in touched:
+            while k:
+                below = covered[2 * k] + covered[2 * k + 1] if k < leaves else 0.0
+                now = size[k] if times[k] else below
+                if now == covered[k] and k not in touched:
+                    break
+                covered[k] = now
+                k //= 2
+
+    @property
+    def length(self) -> float:
+        return self.covered[1]
+
+
+def swept_area(x0: np.ndarray, x1: np.ndarray, y0: np.ndarray, y1: np.ndarray) -> float:
+    """Area that rectangles cover together: their edges from left to right, and the covered height between them, in a time of n log n."""
+    places = np.unique(np.concatenate([y0, y1]))
+    low, high = np.searchsorted(places, y0), np.searchsorted(places, y1)
+    x, by = np.concatenate([x0, x1]), np.repeat([1, -1], len(x0))
+    order = np.lexsort((-by, x))
+    segments, area, last = Segments(places), 0.0, 0.0
+    for at, sign, a, b in zip(x[order].tolist(), by[order].tolist(), np.tile(low, 2)[order].tolist(), np.tile(high, 2)[order].tolist()):
+        area += (at - last) * segments.length
+        last = at
+        segments.add(a, b, sign)
+    return area
+
+
 def union_area(rects: DataFrame, key: str) -> DataFrame:
     """(key, area): the area that the rectangles of a key cover together.
 
-    Each key is cut at all left and right edges; in a strip between two edges the covered height is the sum
-    over the rectangles, from the top, of what each adds below those before it.
+    Small keys are cut at all left and right edges; in a strip between two edges the covered height is the sum
+    over the rectangles, from the top, of what each adds below those before it. Keys of over ``SMALL`` rectangles are swept, those of over ``PIECE`` in
+    pieces side by side, so that no task has to hold a key; what spans a whole piece is merged before.
     """
     r = rects.where("width > 0 and height > 0").select(key, F.col("x").alias("x0"), F.least(F.lit(1.0), F.col("x") + F.col("width")).alias("x1"), F.col("y").alias("y0"), F.least(F.lit(1.0), F.col("y") + F.col("height")).alias("y1")).distinct()
-    edges = r.select(key, F.explode(F.array("x0", "x1")).alias("a")).distinct()
+    r = r.withColumn("_n", F.count("*").over(Window.partitionBy(key)))
+    small = r.where(F.col("_n") <= SMALL)
+    edges = small.select(key, F.explode(F.array("x0", "x1")).alias("a")).distinct()
     strips = edges.withColumn("b", F.lead("a").over(Window.partitionBy(key).orderBy("a"))).where("b is not null")
     order = Window.partitionBy(key, "a").orderBy("y0", "y1").rowsBetween(Window.unboundedPreceding, -1)
-    cells = strips.join(r, key).where("x0 <= a and x1 >= b").withColumn("reach", F.max("y1").over(order))
+    cells = strips.join(small, key).where("x0 <= a and x1 >= b").withColumn("reach", F.max("y1").over(order))
     added = F.greatest(F.lit(0.0), F.col("y1") - F.greatest("y0", F.coalesce("reach", "y0")))
-    return cells.groupBy(key).agg(F.sum((F.col("b") - F.col("a")) * added).alias("area"))
+    summed = cells.groupBy(key).agg(F.sum((F.col("b") - F.col("a")) * added).alias("area"))
+    return summed.unionByName(_swept(r.where(F.col("_n") > SMALL), key))
+
+
+def _swept(r: DataFrame, key: str) -> DataFrame:
+    most = r.agg(F.max("_n")).first()[0] or 0
+    n = -(-most // PIECE)
+    if n > 1:
+        cuts = F.array(*[F.lit(k / n) for k in range(1, n)])
+        cut_at = r.groupBy(key).agg(F.array_distinct(F.percentile_approx("x0", cuts, 10_000)).alias("_cuts"))
+        bounds = F.concat(F.array(F.lit(float("-inf"))), "_cuts", F.array(F.lit(float("inf"))))
+        pieces = F.filter(F.transform(F.sequence(F.lit(1), F.size("_cuts") + 1), lambda k: F.struct(k.alias("_p"), F.element_at("_b", k).alias("_from"), F.element_at("_b", k + 1).alias("_to"))), lambda p: (F.col("x0") < p["_to"]) & (F.col("x1") > p["_from"]))
+        parts = r.join(cut_at, key).withColumn("_b", bounds).select(key, "x0", "x1", "y0", "y1", F.inline(pieces))
+        spans = (F.col("x0") <= F.col("_from")) & (F.col("x1") >= F.col("_to"))
+        whole = merge_intervals(parts.where(spans).select(key, "_p", F.col("_from").alias("x0"), F.col("_to").alias("x1"), "y0", "y1"), [key, "_p", "x0", "x1"], "y0", "y1", [])
+        clipped = parts.where(~spans).select(key, "_p", F.greatest("x0", "_from").alias("x0"), F.least("x1", "_to").alias("x1"), "y0", "y1")
+        r = clipped.unionByName(whole.select(clipped.columns))
+    else:
+        r = r.select(key, F.lit(1).alias("_p"), "x0", "x1", "y0", "y1")
+
+    def areas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def done() -> pa.RecordBatch:
+            t = pa.concat_tables(held)
+            held.clear()
+            area = swept_area(*(t.column(c).to_numpy() for c in ("x0", "x1", "y0", "y1")))
+            return pa.record_batch([t.column(key).slice(0, 1).combine_chunks(), pa.array([area])], names=[key, "area"])
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            piece = list(zip(table.column(key).to_pylist(), table.column("_p").to_pylist()))
+            begin = 0
+            for k in [*[k for k in range(1, len(piece)) if piece[k] != piece[k - 1]], len(piece)]:
+                if held and (held[0].column(key)[0].as_py(), held[0].column("_p")[0].as_py()) != piece[begin]:
+                    yield done()
+                held.append(table.slice(begin, k - begin))
+                begin = k
+        if held:
+            yield done()
+
+    kind = dict(r.dtypes)[key]
+    found = r.repartition(key, "_p").sortWithinPartitions(key, "_p").mapInArrow(areas, f"`{key}` {kind}, area double")
+    return found.groupBy(key).agg(F.sum("area").alias("area"))
 
 
 def grid_coverage(rects: DataFrame, key: str, columns: int, rows: int) -> DataFrame:

@@ -48,21 +48,35 @@ def even_places(n: Column, k: int) -> Column:
 
 def diverse(rows: DataFrame, key: str, k: int) -> DataFrame:
     """(key, index, section, score) to (key, index, place): up to ``k`` a key, always the one of highest score
-    after the decay of its section. The choices hang on one another, so a key is one task: it must be bounded,
-    as a deck is."""
-
-    def choose(part: pd.DataFrame) -> pd.DataFrame:
-        left, used, out = part.sort_values("index"), {}, []
-        while len(left) and len(out) < k:
-            worth = left["score"] * [DECAY[min(used.get(s, 0), len(DECAY) - 1)] for s in left["section"]]
-            best = left.loc[worth.idxmax()]
-            used[best["section"]] = used.get(best["section"], 0) + 1
-            out.append((best[key], best["index"], len(out) + 1))
-            left = left.drop(worth.idxmax())
-        return pd.DataFrame(out, columns=[key, "index", "place"])
+    after the decay of its section, ties to the smaller index. Scores aren't negative.
 
+    The choices hang on one another, but only the ``k`` best of a section, and only the ``k`` sections with the best heads, can be among them: the rest goes
+    before the rows of a key meet, so no task has more than k * k rows of one, however large it is.
+    """
+    best = Window.partitionBy(key, "section").orderBy(F.desc("score"), "index")
+    few = rows.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
+    heads = few.where("_r = 1").withColumn("_s", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "index"))).where(F.col("_s") <= k)
+    few = few.join(heads.select(F.col(key).alias("_key"), F.col("section").alias("_section")), F.col(key).eqNullSafe(F.col("_key")) & F.col("section").eqNullSafe(F.col("_section")), "left_semi")
+    # a list of sections, each with its best rows: a step takes the head of highest worth
+    section = few.groupBy(key, "section").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "score", "index"))), lambda x: F.struct(x["score"].alias("score"), x["index"].alias("index"))).alias("rows"))
+    lists = section.groupBy(key).agg(F.collect_list(F.struct(F.lit(0).alias("used"), "rows")).alias("left"))
+    decay = F.array(*[F.lit(d) for d in DECAY])
     kind = dict(rows.dtypes)
-    return rows.groupBy(key).applyInPandas(choose, f"{key} {kind[key]}, index int, place int")
+    start = F.struct(F.col("left"), F.array().cast(f"array<{kind['index']}>").alias("chosen"))
+
+    def step(a: Column, _: Column) -> Column:
+        def worth(s: Column) -> Column:
+            head = F.get(s["rows"], s["used"])
+            return F.struct((head["score"] * F.element_at(decay, F.least(s["used"] + 1, F.lit(len(DECAY))))).alias("w"), (-head["index"]).alias("i"))
+
+        open_ = F.filter(a["left"], lambda s: s["used"] < F.size(s["rows"]))
+        top = F.array_max(F.transform(open_, worth))
+        taken = F.transform(a["left"], lambda s: F.struct((s["used"] + ((s["used"] < F.size(s["rows"])) & (worth(s)["i"] == top["i"])).cast("int")).alias("used"), s["rows"].alias("rows")))
+        return F.when(F.size(open_) == 0, a).otherwise(F.struct(taken.alias("left"), F.concat(a["chosen"], F.array(-top["i"]).cast(f"array<{kind['index']}>")).alias("chosen")))
+
+    chosen = F.aggregate(F.sequence(F.lit(1), F.lit(k)), start, step, lambda a: a["chosen"])
+    out = lists.select(key, F.posexplode(chosen).alias("place", "index"))
+    return out.select(key, F.col("index").cast("int").alias("index"), (F.col("place") + 1).alias("place"))
 
 
 def _words(title: str | None) -> set[str]:
