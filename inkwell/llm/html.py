@@ -1,13 +1,14 @@
 """Main text of web pages by the distribution of text over lines of blocks.
 
-Markup is stripped into lines, a line for each block of running text. A line's weight is the length of
-its text outside links. Markup gives hints, which change weights: a line in an element that never holds the article (menus,
-footers, adverts, forms, comments and the like, by tag, role, class or id) has none, nor has one outside the ``article`` or
-``main`` element where a page has one; a line inside counts its links in part, and at least as ``SURGE`` characters.
+Markup is stripped into lines: each tag of a block begins a line, so text that other blocks part lies further apart than the paragraphs of one. A
+line's weight is the length of its text outside links. Markup gives hints, which change weights but leave every line one: a line in an
+element that is rarely the article (menus, footers, adverts, forms, comments and the like, by tag, role, class or id) counts ``HINTED`` of its text; where a
+page has an ``article`` or ``main`` element, a line outside it counts ``OUTSIDE``, and one inside counts its links in part, and at least as ``SURGE``
+characters.
 
-Weights are summed over windows of ``REACH`` lines to either side. The level of a page is ``LEVEL`` of its greatest sum, at most
+Weights are summed over windows of ``BLOCK`` lines, for lines of each kind of hint by themselves. The level of a page is ``LEVEL`` of its greatest sum, at most
 ``SURGE``. A stretch of text begins where the sums leave nothing and ends where they dive back to it; it is kept if
-they surge over the level in between, from its first line of weight to its last.
+they surge to the level in between, and its text is what is returned.
 """
 
 from __future__ import annotations
@@ -49,9 +50,12 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 #: Elements whose content isn't markup: only their own end tag ends them.
 _ENDS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|$)", re.I) for t in ("script", "style", "textarea", "title", "iframe")}
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-REACH = 3
-#: Characters in a window that make a surge on any page, and the share of the greatest sum that does on a page with little text.
-SURGE, LEVEL = 86, 0.05
+#: Lines of a window.
+BLOCK = 2
+#: Characters in a window that make a surge on any page, and the share of the greatest sum that does on a page with little text (one, at least).
+SURGE, LEVEL = 120, 0.3
+#: What a line counts for in an element that is rarely the article, and outside the article element of a page that has one.
+HINTED, OUTSIDE = 1 / 4096, 1 / 16
 
 
 def _names(attributes: str) -> set[str]:
@@ -84,14 +88,14 @@ def _named(tag: str, attributes: str, inside: bool, own: bool) -> set[str]:
 
 
 class Line:
-    """named: the innermost element around it whose name marks it, -1 without one."""
+    """named: the innermost element around it whose name marks it, -1 without one. place: which line of the page it is, with those without text."""
 
-    __slots__ = ("text", "linked", "apart", "own", "named")
+    __slots__ = ("text", "linked", "apart", "own", "named", "place")
 
-    def __init__(self, apart: bool, own: bool, named: int) -> None:
+    def __init__(self, apart: bool, own: bool, named: int, place: int) -> None:
         self.text: list[str] = []
         self.linked: list[str] = []
-        self.apart, self.own, self.named = apart, own, named
+        self.apart, self.own, self.named, self.place = apart, own, named, place
 
 
 #: Elements with names that mark them, in page order: the one around each (-1: none), and whether the name is one of comments.
@@ -107,7 +111,7 @@ def lines(page: str) -> tuple[list[Line], Named]:
     named = -1
     apart = own = inside = False
     fresh = True
-    raw, links, at = "", 0, 0
+    raw, links, at, place = "", 0, 0, 0
     within: Counter[str] = Counter()
     endless: set[str] = set()
 
@@ -116,7 +120,7 @@ def lines(page: str) -> tuple[list[Line], Named]:
         if not value or raw or (fresh and not value.strip()):
             return
         if fresh:
-            out.append(Line(apart, own, named))
+            out.append(Line(apart, own, named, max(place, out[-1].place + 1 if out else 0)))
             fresh = False
         value = entities.unescape(value)
         out[-1].text.append(value)
@@ -153,6 +157,7 @@ def lines(page: str) -> tuple[list[Line], Named]:
                 continue
         block = tag not in INLINE
         fresh = fresh or block
+        place += block
         if m[1]:
             if tag == "a":
                 links = max(0, links - 1)
@@ -217,16 +222,20 @@ def _by_name(found: list[tuple[Line, str]], elements: Named) -> None:
         x.apart = x.apart or x.named >= 0 and marked[x.named]
 
 
-def stretches(weight: np.ndarray) -> list[tuple[int, int]]:
-    """(first, last + 1) of the lines that the distribution of ``weight`` gives as text."""
-    if not weight.any():
+def windows(weight: np.ndarray) -> np.ndarray:
+    """Sum of each window of ``BLOCK`` lines, by its last line."""
+    return np.convolve(weight, np.ones(BLOCK))
+
+
+def stretches(weight: np.ndarray, level: float) -> list[tuple[int, int]]:
+    """(first, last + 1) of the lines between a surge and a dive: runs of windows with weight, that reach ``level``."""
+    if not len(weight):
         return []
-    sums = np.convolve(weight, np.ones(2 * REACH + 1))[REACH : REACH + len(weight)]
+    sums = windows(weight)
     live = sums > 0
     start = np.flatnonzero(live & ~np.concatenate([[False], live[:-1]]))
     end = np.flatnonzero(live & ~np.concatenate([live[1:], [False]])) + 1
-    level = min(SURGE, LEVEL * sums.max(initial=0))
-    return [(int(a), int(b)) for a, b in zip(start, end) if sums[a:b].max() >= level]
+    return [(int(a), int(b) - BLOCK + 1) for a, b in zip(start, end) if sums[a:b].max() >= level]
 
 
 def kept_lines(page: str) -> list[str]:
@@ -235,13 +244,23 @@ def kept_lines(page: str) -> list[str]:
     _by_name(found, elements)
     held = any(x.own and not x.apart for x, _ in found)
 
+    def kind(x: Line) -> str:
+        return "apart" if x.apart else "own" if held and x.own else "other"
+
     def weight(x: Line, t: str) -> float:
-        if x.apart or held and not x.own:
-            return 0
-        return max(SURGE, len(t) - 0.75 * len(_clean(x.linked))) if held else max(0, len(t) - len(_clean(x.linked)))
+        if kind(x) == "own":
+            return max(SURGE, len(t) - 0.75 * len(_clean(x.linked)))
+        return max(0, len(t) - len(_clean(x.linked))) * (HINTED if x.apart else OUTSIDE if held else 1)
 
-    weights = np.array([weight(x, t) for x, t in found], float)
-    return [t for a, b in stretches(weights) for (x, t), w in zip(found[a:b], weights[a:b]) if w]
+    weights: dict[str, np.ndarray] = {}
+    for x, t in found:
+        weights.setdefault(kind(x), np.zeros(found[-1][0].place + 1))[x.place] = weight(x, t)
+    level = max(1, min(SURGE, LEVEL * max((windows(w).max() for w in weights.values()), default=0)))
+    kept = {k: np.zeros(len(w), bool) for k, w in weights.items()}
+    for k, w in weights.items():
+        for a, b in stretches(w, level):
+            kept[k][a:b] = w[a:b] > 0
+    return [t for x, t in found if kept[kind(x)][x.place]]
 
 
 def main_text(page: str | None) -> str:

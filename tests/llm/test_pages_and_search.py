@@ -74,19 +74,16 @@ def test_depth_changes_nothing():
     assert html.main_text(f"<p>{'words ' * 20}</p>{deep}") == ("words " * 20).strip()
 
 
-def brute_stretches(weight):
-    """The rule of surge and dive, line by line."""
-    sums = [sum(weight[max(0, k - html.REACH) : k + html.REACH + 1]) for k in range(len(weight))]
-    level, out, k = min(html.SURGE, html.LEVEL * max(sums, default=0)), [], 0
-    while k < len(sums):
-        if sums[k] > 0:
-            a = k
-            while k < len(sums) and sums[k] > 0:
-                k += 1
-            if any(x >= level for x in sums[a:k]):
-                out.append((a, k))
-        k += 1
-    return out
+def brute_stretches(weight, level):
+    """The rule of surge and dive, line by line: lines with weight lie in one stretch if less than a window of blank lines is between them."""
+    out = []
+    for k, x in enumerate(weight):
+        if x > 0:
+            if out and k - out[-1][-1] <= html.BLOCK:
+                out[-1].append(k)
+            else:
+                out.append([k])
+    return [(s[0], s[-1] + 1) for s in out if max(sum(weight[max(0, k - html.BLOCK + 1) : k + 1]) for k in range(s[0], s[-1] + html.BLOCK)) >= level]
 
 
 def test_surge_and_dive_against_brute_force():
@@ -94,7 +91,48 @@ def test_surge_and_dive_against_brute_force():
     for _ in range(300):
         n = int(rng.integers(0, 60))
         weight = np.where(rng.random(n) < 0.25, rng.choice([1, 3, 40, 400, 3000], n), 0).astype(float)
-        assert html.stretches(weight) == brute_stretches(weight.tolist())
+        for level in (0.5, 44, 86):
+            assert html.stretches(weight, level) == brute_stretches(weight.tolist(), level)
+
+
+def test_whole_pages_against_brute_force(spark):
+    """Every page of the table by the rule, line by line, from what the parser and the hints say of each line."""
+    from tests.conftest import DATA
+
+    for r in spark.read.parquet(f"{DATA}/pages.parquet").collect():
+        all_, elements = html.lines(r["html"])
+        found = [(x, " ".join("".join(x.text).split())) for x in all_]
+        found = [f for f in found if f[1]]
+        html._by_name(found, elements)
+        held = any(x.own and not x.apart for x, _ in found)
+        tracks = {}
+        for x, t in found:
+            kind = "apart" if x.apart else "own" if held and x.own else "other"
+            bare = len(t) - len(" ".join("".join(x.linked).split()))
+            w = max(html.SURGE, bare + 0.25 * (len(t) - bare)) if kind == "own" else bare / (4096 if x.apart else 16 if held else 1)
+            tracks.setdefault(kind, {})[x.place] = (w, t)
+        blank = lambda d: [d.get(k, (0, ""))[0] for k in range(max(d) + 1)]
+        top = max(max(sum(w[max(0, k - 1) : k + 1]) for k in range(len(w))) for w in map(blank, tracks.values()))
+        kept = [(k, d[k][1]) for d in tracks.values() for a, b in brute_stretches(blank(d), max(1, min(html.SURGE, 0.3 * top))) for k in range(a, b) if d.get(k, (0,))[0]]
+        assert html.main_text(r["html"]) == " ".join(t for _, t in sorted(kept))
+
+
+def test_the_distribution_decides_on_pages(spark, monkeypatch):
+    """Without surge and dive every page of the table comes out otherwise; without the hints of article elements and names the distribution still finds
+    nearly every article whose text is longer than an advert's."""
+    from tests.conftest import DATA
+
+    pages = [r["html"] for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()]
+    right = [html.main_text(p) for p in pages]
+    with monkeypatch.context() as m:
+        m.setattr(html, "stretches", lambda weight, level: [(0, len(weight))])
+        assert all(html.main_text(p) != t for p, t in zip(pages, right))
+    bare = [p.replace("<article>", "<div>").replace("</article>", "</div>") for p in pages]
+    with monkeypatch.context() as m:
+        m.setattr(html, "NAMES", frozenset())
+        found = [html.main_text(p) == t for p, t in zip(bare, right) if len(t) > 300]
+    assert sum(found) >= 0.97 * len(found) and len(found) > 20
+    assert sum(html.main_text(p) == t for p, t in zip(bare, right)) >= 0.9 * len(pages)
 
 
 def test_distribution_decides_without_article():
@@ -232,7 +270,7 @@ def test_long_urls_take_time_in_proportion(spark):
 
 
 def brute_top(rows, k=5):
-    good = [(i, [math.floor(256.0 * float(np.float32(x))) for x in v]) for i, v in dict.fromkeys((i, tuple(v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v))]
+    good = [(i, [math.floor(256.0 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for n, (q, v) in enumerate(good):
         if q % 50 == 0:
@@ -261,4 +299,12 @@ def test_search_matches_brute_force(spark, monkeypatch, scale):
     monkeypatch.setattr(topk, "_ROWS", 7)
     assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0).collect())) == want
     assert topk.top_k(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
-    assert topk.top_k(df.where("vec_id = 50"), F.col("vec_id") % 50 == 0).count() == 0
+    assert topk.top_k(df.where("vec_id = 100"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_repeated_rows_are_rows(spark):
+    """Copies find each other; each query row has its own results, also where its copies fill all places."""
+    v, w = [0.5, 0.25], [0.25, 1.0]
+    for rows in ([(50, v), (50, v), (8, w)], [(50, v)] * 8 + [(8, w)], [(50, v), (50, w), (50, w), (7, v), (7, v), (7, v)], [(50, [-1.0, 0.0])] * 2 + [(k, v) for k in range(1, 9)]):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+        assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0).collect())) == brute_top(rows)
