@@ -76,20 +76,11 @@ def scores(queries: Queries, rows: np.ndarray, terms: np.ndarray, values: np.nda
 
 
 def _best(score: np.ndarray, ids: np.ndarray, prints: np.ndarray, k: int) -> np.ndarray:
-    """Places of the ``k`` best of one query: by score, then smaller id; equal rows count once."""
+    """Places of the ``k`` best of one query: by score, then smaller id."""
+    near = np.arange(len(score))
     if len(score) > 4 * k:
-        least = np.partition(score, len(score) - k)[len(score) - k]
-        near = np.flatnonzero(score >= least)
-    else:
-        near = np.arange(len(score))
-    while True:
-        order = near[np.lexsort((prints[near], ids[near], -score[near]))]
-        same = np.zeros(len(order), bool)
-        same[1:] = (ids[order[1:]] == ids[order[:-1]]) & (prints[order[1:]] == prints[order[:-1]])
-        order = order[~same]
-        if len(order) >= k or len(near) == len(score):
-            return order[:k]
-        near = np.arange(len(score))  # equal rows took the places: look at all
+        near = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
+    return near[np.lexsort((prints[near], ids[near], -score[near]))][:k]
 
 
 def _search(queries, k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,12 +95,9 @@ def _search(queries, k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
             if score.dtype == object:
                 score = np.clip(score, -_MOST - 1, _MOST)
             score = score.astype(np.int64)
-            own = np.isin(ids, q.ids)
             floor = np.array([x[0][-1] if len(x[0]) == k else -_MOST - 1 for x in best])
             for i in np.flatnonzero(score.max(axis=1, initial=-_MOST - 1) >= floor).tolist():
-                keep = score[i] >= floor[i]
-                keep &= ~(own & (ids == q.ids[i]) & (prints == q.prints[i]))
-                at = np.flatnonzero(keep)
+                at = np.flatnonzero(score[i] >= floor[i])
                 s, v, p = (np.concatenate(x) for x in zip(best[i], (score[i, at], ids[at], prints[at])))
                 top = _best(s, v, p, k)
                 best[i] = (s[top], v[top], p[top])
@@ -128,19 +116,19 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     ``vectors`` has vec_id and embedding (array of float or double); components x count as floor(256 * x),
     missing ones of a shorter vector as 0. A row is no candidate of its own; ties go to the smaller id.
     Rows without an id, and vectors null or with a null or non-finite component, take no part. Rows that
-    repeat both id and vector are one; those that repeat an id alone are searched, and found,
-    separately. Scores beyond a long are its nearest value. With no other row there is no result.
+    repeat an id, or id and vector, are rows like any other: each is found by itself, by its copies too, and each that is a query has its own results, so those of
+    equal queries come once for each. Scores beyond a long are its nearest value. With no other row there is no result.
     """
     whole = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.where(F.col("vec_id").isNotNull() & whole).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = rows.withColumn("print", F.xxhash64("embedding"))
-    asked = stored(rows.where(is_query).dropDuplicates(["vec_id", "print"]))
+    asked = stored(rows.where(is_query).groupBy("vec_id", "print").agg(F.any_value("embedding").alias("embedding"), F.count("*").alias("times")))
     n = -(-asked.count() // BLOCK)
     done, held = None, []
     for j in range(n):
         block = asked.where(F.pmod(F.xxhash64("vec_id", "print"), F.lit(n)) == j).toArrow()
         sent = vectors.sparkSession.sparkContext.broadcast(Queries(block))
-        part = _ranked(rows.mapInArrow(partial(_search, sent, k), "query_id long, query_print long, vec_id long, print long, score long"), k)
+        part = _ranked(rows.mapInArrow(partial(_search, sent, k + 1), "query_id long, query_print long, vec_id long, print long, score long"), k)
         if j < n - 1:
             # one block at a time is in the driver and on the executors; results are few, and gather in one stored table
             part = stored(part)
@@ -154,25 +142,31 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         done = part if done is None else done.unionByName(part)
     if done is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    return done
+    again = asked.where("times > 1").select(F.col("vec_id").alias("query_id"), F.col("print").alias("query_print"), "times")
+    met = done.join(again, ["query_id", "query_print"], "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("times", F.lit(1)))))
+    return met.select("query_id", "rank", "vec_id", "score")
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id", "query_print").orderBy(F.desc("score"), "vec_id", "print")
-    best = found.dropDuplicates(["query_id", "query_print", "vec_id", "print"]).withColumn("rank", F.row_number().over(order))
-    return best.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    """The best without the query's own row. What was searched holds it: of rows like it one is left out, if it is among the ``k`` + 1 best."""
+    query = Window.partitionBy("query_id", "query_print")
+    best = found.withColumn("place", F.row_number().over(query.orderBy(F.desc("score"), "vec_id", "print"))).where(F.col("place") <= k + 1)
+    own = F.min(F.when((F.col("vec_id") == F.col("query_id")) & (F.col("print") == F.col("query_print")), F.col("place"))).over(query)
+    best = best.withColumn("own", F.coalesce(own, F.lit(k + 2))).where(F.col("place") != F.col("own"))
+    best = best.withColumn("rank", F.when(F.col("place") > F.col("own"), F.col("place") - 1).otherwise(F.col("place")))
+    return best.where(F.col("rank") <= k).select("query_id", "query_print", "rank", "vec_id", "score")
 
 
 SQL = """
 WITH v AS (
-    SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w, embedding
+    SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w
     FROM embeddings
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
       AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-    SELECT q.vec_id AS query_id, q.embedding AS own, c.vec_id,
+    SELECT q.vec_id AS query_id, q.row AS own, c.vec_id,
            list_sum(list_transform(list_zip(q.w, c.w), lambda z: z[1] * z[2]))::BIGINT AS score
-    FROM v q JOIN v c ON q.vec_id <> c.vec_id OR q.embedding <> c.embedding
+    FROM v q JOIN v c ON q.row <> c.row
     WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id, own ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
