@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.operators import similarity
+from inkwell.operators.lineage import cut
+
 #: Weight of the n-th slide of a section, and of all after.
 DECAY = (1.0, 0.65, 0.35, 0.10)
 #: Candidates of a key that one task chooses from.
@@ -126,9 +129,26 @@ def distinct_titles(rows: DataFrame, key: str, k: int, most: float) -> DataFrame
     left, found = rows.withColumns({"_ids": none, "_titles": none}), []
     while True:
         best = left.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= BLOCK)
-        now = best.groupBy(key).applyInPandas(choose, f"{key} string, _ids array<string>, _titles array<string>, _before int, _again boolean").persist()
+        now = best.groupBy(key).applyInPandas(choose, f"{key} string, _ids array<string>, _titles array<string>, _before int, _again boolean")
+        now = cut(now)
         found.append(now.select(key, F.explode(F.slice("_ids", F.col("_before") + 1, F.lit(k)).cast("array<long>")).alias("doc_id")))
         if now.where("_again").isEmpty():
             return reduce(DataFrame.unionByName, found)
         state = now.where("_again").select(F.col(key).alias("_key"), "_ids", "_titles")
         left = rows.join(state, F.col(key).eqNullSafe(F.col("_key"))).drop("_key").where(free("_doc", "title", "_ids", "_titles"))
+
+
+def daily_quota(rows: DataFrame, history: DataFrame, k: int, days: int, most: float) -> DataFrame:
+    """rows (day: its number, doc_id, title, score) and history (day, title) to (day, doc_id): up to ``k`` rows a day, best score first, whose words resemble
+    neither a title of the ``days`` days before nor one chosen that day (a Jaccard similarity under ``most``). The history is indexed by spans of time,
+    so only titles in reach meet; equal titles of a day meet once."""
+    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("title", F.lit(""))), r"\s+"), lambda w: w != ""))
+    kinds = lambda df, name: df.select("day", words.alias("_t")).distinct().select(F.concat_ws("/", "day", F.sha2(F.array_join("_t", " "), 256)).alias(name), "day", "_t", F.floor(F.col("day") / (days + 1)).alias("_b"))
+    own, old = kinds(rows, "_s"), kinds(history, "_o")
+    met = similarity.shared_in_sets(own.select("_s", "_t", "_b"), old.select("_o", "_t", "_b"), "_s", "_o", similarity.for_jaccard(max(1, int(100 * most))))
+    met = met.where(F.col("shared") >= most * (F.col("n__s") + F.col("n__o") - F.col("shared")))
+    met = met.join(own.select("_s", F.col("day").alias("_at")), "_s").join(old.select("_o", F.col("day").alias("_when")), "_o")
+    stale = met.where(F.col("_when").between(F.col("_at") - days, F.col("_at") - 1)).select("_s").distinct()
+    fresh = rows.withColumn("_s", F.concat_ws("/", "day", F.sha2(F.array_join(words, " "), 256))).join(stale, "_s", "left_anti")
+    found = distinct_titles(fresh.select(F.col("day").cast("string").alias("day"), "doc_id", "title", "score"), "day", k, most)
+    return found.select(F.col("day").cast("long").alias("day"), "doc_id")

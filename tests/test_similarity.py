@@ -45,3 +45,46 @@ def test_hamming_join(spark):
     for most in (0, 1, 4, 7):
         got = sorted(map(tuple, similarity.hamming_join(left, right, "a", "b", "h", most).collect()))
         assert got == sorted((a, b, distance(x, y)) for a, x in rows for b, y in rows if distance(x, y) <= most)
+
+
+def words(t):
+    return set(t.split())
+
+
+def test_worst_within_a_window(spark):
+    r = random.Random(6)
+    base = [" ".join(f"w{r.randrange(60)}" for _ in range(12)) for _ in range(8)]
+    rows = []
+    for k in range(150):
+        w = r.choice(base).split()
+        for _ in range(r.choice((0, 1, 3))):
+            w[r.randrange(12)] = f"n{k}"
+        rows.append((k, r.randrange(60), " ".join(w)))
+    rows += [(200, 0, "edge one two three"), (201, 7, "edge one two three"), (202, 15, "edge one two three"), (203, 15, "edge one two three"), (204, 1, ""), (205, 2, "")]
+    got = {x["id"]: x["worst"] for x in similarity.worst_within(spark.createDataFrame(rows, "id long, day long, text string"), "id", "day", 7, 40).collect()}
+    want = {}
+    for i, day, t in rows:
+        scores = [int(100 * len(words(t) & words(u)) / max(1, len(words(t) | words(u))) + 0.5) for j, d, u in rows if words(t) and (day - 7 <= d < day or d == day and j < i)]
+        want[i] = max([x for x in scores if x >= 40], default=0)
+    assert got == want and (got[201], got[202], got[203]) == (100, 0, 100)
+
+
+def test_daily_quota(spark):
+    r = random.Random(7)
+    titles = [" ".join(f"T{r.randrange(25)}" for _ in range(5)) for _ in range(40)] + ["", None]
+    rows = [(r.randrange(50), k, r.choice(titles), r.randrange(9)) for k in range(250)]
+    past = [(r.randrange(50), r.choice(titles)) for _ in range(60)] + [(0, "edge a b"), (20, "edge a b")]
+    rows += [(14, 900, "edge a b", 99), (15, 901, "edge a b", 99), (20, 902, "edge a b", 99), (21, 903, "Edge b A", 99)]
+    from inkwell.operators import selection
+
+    got = {tuple(x) for x in selection.daily_quota(spark.createDataFrame(rows, "day long, doc_id long, title string, score int"), spark.createDataFrame(past, "day long, title string"), 3, 14, 0.5).collect()}
+    like = lambda a, b: 2 * len(a & b) >= max(1, len(a | b))
+    low = lambda t: words((t or "").lower())
+    want = set()
+    for day in {x[0] for x in rows}:
+        chosen = []
+        for _, i, t, _ in sorted((x for x in rows if x[0] == day), key=lambda x: (-x[3], x[1])):
+            if len(chosen) < 3 and not any(day - 14 <= d < day and like(low(t), low(u)) for d, u in past) and not any(like(low(t), u) for u in chosen):
+                chosen.append(low(t))
+                want.add((day, i))
+    assert got == want and (14, 900) not in got and (15, 901) in got and (20, 902) in got and (21, 903) not in got
