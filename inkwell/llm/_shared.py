@@ -19,8 +19,13 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session. Where it is unset, a folder under the warehouse, which executors share too."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints"
+    """``spark.checkpoint.dir`` of the session. Where it is unset, a local session uses a folder under its warehouse; on a cluster there is no
+    folder that all machines surely share, so it is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints"
     return folder.rstrip("/")
 
 

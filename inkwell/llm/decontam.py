@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from ._shared import pieces, stored, with_fields
 from ._words import U, grams, inside, mix, words
 
-#: The masks; 1 selects, 0 ignores.
-MASKS = ("110110011", "111001101", "101011110", "110101101", "111111000")
+#: The masks; 1 selects, 0 ignores. Wherever the substitutions of a window of ``OVERLAP`` tokens stand that agrees in a share of ``AGREE``, one of
+#: the masks fits between them; for items with fewer tokens the last one is needed too.
+MASKS, FOR_SHORT = ("110110011", "100111101", "101011110", "110101101", "111111000"), "1111"
 SPAN = len(MASKS[0])
 OVERLAP, AGREE = 20, 0.8
 #: Characters of the benchmark in a block, about (by hash of its rows), and so some MB of seeds.
@@ -33,7 +34,7 @@ _BITS = 20
 
 
 def _seeds(prints: np.ndarray, mask: str) -> np.ndarray:
-    m = len(prints) - SPAN + 1
+    m = len(prints) - len(mask) + 1
     if m <= 0:
         return np.zeros(0, U)
     out = np.full(m, U(int(mask, 2)), U)
@@ -53,9 +54,15 @@ class Seeds:
         at = inside(w.first, SPAN)
         item = np.searchsorted(w.first, at, "right") - 1
         self.tables = {m: self._table(_seeds(w.prints, m)[at], item, at - w.first[item]) for m in MASKS}
+        count = np.diff(w.first)
+        at = inside(w.first, len(FOR_SHORT))
+        item = np.searchsorted(w.first, at, "right") - 1
+        some = (count[item] >= SPAN) & (count[item] < OVERLAP)
+        if some.any():
+            at, item = at[some], item[some]
+            self.tables[FOR_SHORT] = self._table(_seeds(w.prints, FOR_SHORT)[at], item, at - w.first[item])
         # items too short for a mask: all their tokens, exactly
         self.short = {}
-        count = np.diff(w.first)
         for n in range(1, SPAN):
             own = np.flatnonzero(count == n)
             if len(own):
@@ -146,7 +153,7 @@ def found_in(column: pa.Array, seeds: Seeds) -> list[dict[int, tuple[int, int, i
     """For each text, by item: the verified overlap with most agreeing tokens, the first of those."""
     w = words(column, marks=True)
     out: list[dict[int, tuple[int, int, int]]] = [{} for _ in range(len(column))]
-    jobs = [(t, _seeds(w.prints, m), inside(w.first, SPAN)) for m, t in seeds.tables.items()]
+    jobs = [(t, _seeds(w.prints, m), inside(w.first, len(m))) for m, t in seeds.tables.items()]
     jobs += [(t, grams(w.prints, n, 5), inside(w.first, n)) for n, t in seeds.short.items()]
     found = []
     for table, seed, at in jobs:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import Counter
@@ -167,6 +168,19 @@ def brute_overlap(text, item):
     ) if size else False
 
 
+def test_no_substitution_hides_an_overlap():
+    """Items of 9 to 20 words with as many substitutions as a window may have, wherever these stand: all 4,845 ways for 20 words."""
+    from itertools import combinations
+
+    for n in range(9, 21):
+        item = [f"w{k}" for k in range(n)]
+        ways = list(combinations(range(n), n - math.ceil(0.8 * n)))
+        texts = [" ".join("x" if k in way else w for k, w in enumerate(item)) for way in ways]
+        found = decontam.found_in(pa.array(texts), decontam.Seeds([(1, " ".join(item))]))
+        assert [f[0][2] for f in found] == [n - len(ways[0])] * len(ways), n
+        assert len(ways) == 4845 or n < 20
+
+
 def test_leaks_against_brute_force(spark):
     r = random.Random(5)
     items = [sentence(r, n) for n in (40, 25, 12, 30, 9, 6, 2)] + [None, ""]
