@@ -152,7 +152,8 @@ def mix(docs: DataFrame, keep: Sequence[str] = ("doc_id",), weights: Sequence[in
     begin = F.greatest(F.col("start"), F.col("block") * length)
     end = F.least(last, (F.col("block") + 1) * length)
     pieces = pieces.select("s", "block", "start", (begin - F.col("start")).alias("first_word"), (end - begin).alias("n_words"))
-    out.spans = filled.join(pieces, ["s", "block"]).select("shard", "slot", "s", "block", "start", "first_word", "n_words")
+    # a shard's row becomes thousands of slots, which the planner can't foresee: it must not broadcast them
+    out.spans = filled.hint("merge").join(pieces, ["s", "block"]).select("shard", "slot", "s", "block", "start", "first_word", "n_words")
     return out
 
 
@@ -161,7 +162,7 @@ def taken(m: Mix) -> DataFrame:
     sums = m.spans.groupBy("s", "start").agg(F.sum("n_words").alias("taken"))
     # a document without words has the start of the one after it
     out = m.laid.withColumn("own", F.when(F.col("size") > 0, F.col("start")).otherwise(-1 - F.abs(F.xxhash64("row")) % 1000))
-    out = out.join(sums.withColumnRenamed("start", "own"), ["s", "own"], "left")
+    out = out.join(sums.withColumnRenamed("start", "own").hint("merge"), ["s", "own"], "left")
     return out.select("row", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
