@@ -89,3 +89,26 @@ def compare_and_set(rows: DataFrame, changes: DataFrame, key: str, version: str,
     met = rows.join(new, key, "left").withColumn("_ok", F.coalesce(F.col("_hit") & (F.col(version) == F.col("_v")), F.lit(False)))
     done = met.select(*[F.when(F.col("_ok"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.when(F.col("_ok"), F.col(c) + 1).otherwise(F.col(c)).alias(c) if c == version else F.col(c) for c in rows.columns])
     return done, met.where(F.col("_hit") & ~F.col("_ok")).select(key)
+
+
+def consume_approvals(approvals: DataFrame, requests: DataFrame) -> DataFrame:
+    """requests (request, operation, at, payload) with ``outcome``: the first request of an operation, in order of (at, request), that comes while its approval
+    (operation, created, expires, payload; the newest of an operation counts) holds and has exactly the values approved is ``consumed``; a later one that would have been is
+    ``used``; one with other values is a ``mismatch``, one too late ``expired``, one without an approval ``unknown``. A payload is a map; the approval's may have more in it."""
+    newest = approvals.withColumn("_r", F.row_number().over(Window.partitionBy("operation").orderBy(F.desc("created")))).where("_r = 1")
+    met = requests.join(newest.select("operation", "created", "expires", F.col("payload").alias("_approved")), "operation", "left")
+    same = F.forall(F.map_entries("payload"), lambda e: F.element_at("_approved", e["key"]).eqNullSafe(e["value"]) & F.map_contains_key("_approved", e["key"]))
+    why = F.when(F.col("created").isNull() | (F.col("at") < F.col("created")), "unknown").when(F.col("at") >= F.col("expires"), "expired").when(~same, "mismatch")
+    marked = met.withColumn("_why", why)
+    first = F.row_number().over(Window.partitionBy("operation", "_why").orderBy("at", "request"))
+    return marked.withColumn("outcome", F.coalesce("_why", F.when(first == 1, "consumed").otherwise("used"))).select("request", "operation", "outcome")
+
+
+def next_steps(candidates: DataFrame, existing: DataFrame, key: str, steps: tuple[str, ...]) -> DataFrame:
+    """(key, step, place, status, waits_for): the steps of each candidate that it has no job for (``existing``: key, step), in order. Only the first is queued; the
+    n-th waits for the step before the n-th of all."""
+    has = existing.groupBy(key).agg(F.collect_set("step").alias("_has"))  # so many as there are steps
+    left = F.filter(F.array(*map(F.lit, steps)), lambda s: ~F.array_contains(F.coalesce("_has", F.array().cast("array<string>")), s))
+    rows = candidates.select(key).join(has, key, "left").select(key, F.posexplode(left).alias("_i", "step"))
+    waits = F.when(F.col("_i") > 0, F.element_at(F.array(*map(F.lit, steps)), F.col("_i")))
+    return rows.select(key, "step", (F.col("_i") + 1).alias("place"), F.when(F.col("_i") == 0, "queued").otherwise("on_hold").alias("status"), waits.alias("waits_for"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +25,34 @@ def dashboard(traffic: DataFrame) -> DataFrame:
     return sets.select(panel.alias("panel"), F.when(F.col("_g") == 3, "rows").otherwise(F.coalesce("category", "day")).alias("label"), "n")
 
 
-def retention(rows: DataFrame, rules: DataFrame, key: str, at: str, now: Column) -> DataFrame:
-    """Adds ``action``: that of the rule (key, act, days) for rows older than its days, else keep."""
-    met = rows.join(F.broadcast(rules), key, "left")  # some twenty rules
-    return met.withColumn("action", F.when(F.col(at) < cutoff(now, F.col("days")), F.col("act")).otherwise("keep")).drop("act", "days")
+@dataclass(frozen=True)
+class RetentionRule:
+    """Rows of ``table`` (id, ``basis``) that ``guard`` lets go, ``days`` after ``basis``: what happens to them, and to how many in a run."""
+
+    key: str
+    table: str
+    action: str
+    days: int
+    basis: str
+    guard: Column | None = None
+    batch: int = 500
+
+
+def retention(tables: dict[str, DataFrame], rules: Sequence[RetentionRule], now: Column) -> DataFrame:
+    """(rule, action, id): what a run does, of each rule the oldest rows that are due, up to its batch. A row without the moment that a rule counts from stays."""
+    found = [_due(tables[r.table], r, now).orderBy(r.basis, "id").limit(r.batch).select(F.lit(r.key).alias("rule"), F.lit(r.action).alias("action"), "id") for r in rules]
+    return reduce(DataFrame.unionByName, found)
+
+
+def retention_report(tables: dict[str, DataFrame], rules: Sequence[RetentionRule], now: Column) -> DataFrame:
+    """(rule, due, acted, left): how many rows are due under each rule, and how many a run leaves for the next."""
+    counts = [_due(tables[r.table], r, now).agg(F.lit(r.key).alias("rule"), F.count("*").alias("due"), F.least(F.lit(r.batch), F.count("*")).cast("long").alias("acted")) for r in rules]
+    return reduce(DataFrame.unionByName, counts).withColumn("left", F.col("due") - F.col("acted"))
+
+
+def _due(rows: DataFrame, rule: RetentionRule, now: Column) -> DataFrame:
+    due = rows.where(F.col(rule.basis) < cutoff(now, F.lit(rule.days)))
+    return due if rule.guard is None else due.where(rule.guard)
 
 
 def scarcest(knowledge: DataFrame, k: int) -> DataFrame:

@@ -9,6 +9,7 @@ from inkwell.functions import dates as D
 from inkwell.functions import hashing, jsons
 from inkwell.functions import scoring as S
 from inkwell.functions import web as W
+from inkwell.operators import manifests as M
 from inkwell.operators import rules, similarity, upsert
 from inkwell.queries import query
 from inkwell.queries.filters import _EDIT, TS
@@ -314,11 +315,32 @@ def fa10(t):
     return t.events.select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
-@query("FA11_manifest_rules", "SELECT deck, array_to_string(list_filter([CASE WHEN bool_or(x + width > 1 OR y + height > 1) THEN 'outside' END, CASE WHEN bool_or(width <= 0 OR height <= 0) THEN 'empty' END, CASE WHEN count(*) > 10 THEN 'too_many' END], lambda v: v IS NOT NULL), ',') AS issues FROM rects GROUP BY 1")
+_MANIFEST = (
+    "WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_discount, l_tax, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem), "
+    "s AS (SELECT *, l_linenumber > coalesce(lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY i), 0) AND l_linenumber <= n + l_orderkey % 9 AS good, "
+    "l_partkey % 100 / 95.0::DOUBLE + 0.05::DOUBLE + l_discount <= 1.000001::DOUBLE AND l_partkey % 100 / 95.0::DOUBLE <= 1 AND l_quantity / 60.0::DOUBLE + 0.1::DOUBLE + l_tax <= 1.000001::DOUBLE AND l_partkey % 31 <> 0 AND l_partkey % 29 <> 0 AS fits FROM l), "
+    "b AS (SELECT l_orderkey, any_value(n) AS n, min(CASE WHEN NOT good THEN 10 + 3 * i WHEN NOT fits THEN 11 + 3 * i END) AS place FROM s GROUP BY 1) "
+)
+
+
+@query(
+    "FA11_manifest_rules",
+    _MANIFEST + "SELECT l_orderkey, CASE WHEN n NOT BETWEEN 5 AND 100 THEN 'The expected slide count is invalid.' WHEN l_orderkey % 17 = 0 THEN 'A PowerPoint redaction manifest is required.' "
+    "WHEN l_orderkey % 13 = 0 THEN 'Unsupported PowerPoint redaction manifest version.' WHEN l_orderkey % 11 = 0 THEN 'PowerPoint redaction manifest must cover every exported slide.' "
+    "WHEN place % 3 = 1 THEN 'Invalid redaction data for exported slide ' || (place - 10) // 3 || '.' WHEN place IS NOT NULL THEN 'Invalid redaction region for exported slide ' || (place - 10) // 3 || '.' END AS error FROM b",
+)
 def fa11(t):
-    outside = F.bool_or((F.col("x") + F.col("width") > 1) | (F.col("y") + F.col("height") > 1))
-    empty = F.bool_or((F.col("width") <= 0) | (F.col("height") <= 0))
-    return t.rects.groupBy("deck").agg(F.array_join(rules.issues({"outside": outside, "empty": empty, "too_many": F.count("*") > 10}), ",").alias("issues"))
+    """The lines of each order as slides with a region each; some manifests are cut off, of an old version, or a slide short."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    rows = t.lineitem.withColumns({"i": F.row_number().over(order) - 1, "n": F.count("*").over(Window.partitionBy("l_orderkey"))})
+    kind = F.when(F.col("l_partkey") % 31 == 0, "unknown").otherwise("logo")
+    region = F.struct(F.col("i").alias("slideIndex"), kind.alias("type"), F.when(F.col("l_partkey") % 29 == 0, "local_table").otherwise("local_logo").alias("label"), (F.col("l_partkey") % 100 / 95).alias("x"), (F.col("l_quantity") / 60).alias("y"), (0.05 + F.col("l_discount")).alias("width"), (0.1 + F.col("l_tax")).alias("height"))
+    slide = F.struct("i", F.struct(F.col("i").alias("slideIndex"), F.col("l_linenumber").alias("sourceSlideNumber"), F.lit("verified").alias("inspectionStatus"), F.array(region).alias("regions")).alias("s"))
+    decks = rows.groupBy("l_orderkey").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(slide)), lambda x: x["s"]).alias("slides"))
+    k = F.col("l_orderkey")
+    slides = F.when(k % 11 == 0, F.slice("slides", 1, F.size("slides") - 1)).otherwise(F.col("slides"))
+    body = F.to_json(F.struct(F.when(k % 13 == 0, 1).otherwise(2).alias("version"), F.lit(M.METHOD).alias("method"), (F.col("n") + k % 9).alias("sourceSlideCount"), F.col("n").alias("slideCount"), slides.alias("slides")))
+    return M.first_manifest_error(decks.select("l_orderkey", "n", F.when(k % 17 == 0, F.substring(body, 1, 40)).otherwise(body).alias("body")), "l_orderkey", "body", "n")
 
 
 @query("FA12_proof", "SELECT o_orderkey, coalesce(bool_and(l_quantity <= 45), true) AS verified FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")

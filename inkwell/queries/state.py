@@ -147,9 +147,22 @@ def t13(t):
     return worst.select("doc_id", F.when(F.col("worst") >= 48, "on_hold").otherwise("review_required").alias("status"))
 
 
-@query("T14_approval_token", "SELECT event_id, event_type = 'purchase' AND TIMESTAMP '2024-01-30 23:50:00' <= ts AS usable FROM events")
+@query(
+    "T14_approval_token",
+    "WITH r AS (SELECT event_id * 2 AS request, event_id AS operation, event_id % 20 AS mins, user_id % 7 = 0 AS other FROM events UNION ALL SELECT event_id * 2 + 1, event_id, 1, false FROM events WHERE event_id % 2 = 0), "
+    "w AS (SELECT *, CASE WHEN operation % 9 = 0 THEN 'unknown' WHEN mins >= 10 THEN 'expired' WHEN other THEN 'mismatch' END AS why FROM r) "
+    "SELECT request, operation, coalesce(why, CASE WHEN row_number() OVER (PARTITION BY operation, why ORDER BY mins, request) = 1 THEN 'consumed' ELSE 'used' END) AS outcome FROM w",
+)
 def t14(t):
-    return t.events.select("event_id", ((F.col("event_type") == "purchase") & (F.col("ts") >= TS("2024-01-31") - F.make_dt_interval(mins=F.lit(10)))).alias("usable"))
+    """Each event as an approval that holds ten minutes, and one or two requests that want to use it, some too late or with another value."""
+    at = F.col("ts")
+    later = lambda mins: at + F.make_dt_interval(mins=mins)
+    k = F.get_json_object("props", "$.k")
+    values = lambda extra, v: F.create_map(F.lit("actor"), F.col("user_id").cast("string"), F.lit("hash"), v, *extra)
+    approvals = t.events.where("event_id % 9 <> 0").select(F.col("event_id").alias("operation"), at.alias("created"), later(F.lit(10)).alias("expires"), values((F.lit("model"), F.lit("m")), k).alias("payload"))
+    requests = t.events.select((F.col("event_id") * 2).alias("request"), F.col("event_id").alias("operation"), later((F.col("event_id") % 20).cast("int")).alias("at"), values((), F.when(F.col("user_id") % 7 == 0, "other").otherwise(k)).alias("payload"))
+    again = t.events.where("event_id % 2 = 0").select((F.col("event_id") * 2 + 1).alias("request"), F.col("event_id").alias("operation"), later(F.lit(1)).alias("at"), values((), k).alias("payload"))
+    return Q.consume_approvals(approvals, requests.unionByName(again))
 
 
 @query(
@@ -178,16 +191,53 @@ def t17(t):
     return made.select("day", F.least(F.lit(1), F.greatest(F.lit(0), 1 - F.col("n"))).alias("missed"))
 
 
-@query("T18_retention", "SELECT id, job_type, CASE WHEN job_type IN ('convert', 'cover') THEN 'keep' WHEN created_at >= TIMESTAMP '1998-01-01' - INTERVAL 365 DAY THEN 'keep' WHEN job_type = 'draft' THEN 'clear' ELSE 'purge' END AS action FROM jobs")
+def retention_rules() -> tuple[J.RetentionRule, ...]:
+    """Rules of several kinds: whole rows or fields alone, from different moments on, each with a guard."""
+    finished = F.col("status").isin("completed", "failed")
+    return (
+        J.RetentionRule("finished_jobs", "jobs", "delete_rows", 7, "created_at", finished),
+        J.RetentionRule("source_files", "jobs", "delete_files", 3, "created_at", finished & (F.col("job_type") == "convert"), 50),
+        J.RetentionRule("published_body", "work_items", "clear_fields", 3, "published_at", F.col("status") == "published"),
+        J.RetentionRule("traffic_logs", "traffic", "delete_rows", 30, "accessed_at", None, 1000),
+        J.RetentionRule("usage_runs", "usage", "delete_rows", 14, "created_at", F.col("network").isNotNull(), 1000),
+        J.RetentionRule("quiet_workers", "workers", "delete_rows", 0, "last_seen_at", F.col("current_job_id").isNull()),
+    )
+
+
+_RULES = (
+    ("finished_jobs", "delete_rows", "jobs", "created_at", 7, "status IN ('completed', 'failed')", 500),
+    ("source_files", "delete_files", "jobs", "created_at", 3, "status IN ('completed', 'failed') AND job_type = 'convert'", 50),
+    ("published_body", "clear_fields", "work_items", "published_at", 3, "status = 'published'", 500),
+    ("traffic_logs", "delete_rows", "traffic", "accessed_at", 30, "true", 1000),
+    ("usage_runs", "delete_rows", "usage", "created_at", 14, "network IS NOT NULL", 1000),
+    ("quiet_workers", "delete_rows", "workers", "last_seen_at", 0, "current_job_id IS NULL", 500),
+)
+_WHEN = "TIMESTAMP '2024-01-31 00:00:00'"
+
+
+def retention_tables(t):
+    return {"jobs": t.jobs, "work_items": t.work_items, "traffic": t.traffic, "usage": t.usage, "workers": t.workers}
+
+
+@query("T18_retention", " UNION ALL ".join(f"(SELECT '{k}' AS rule, '{a}' AS action, id FROM {v} WHERE {b} < {_WHEN} - INTERVAL {24 * d} HOUR AND {g} ORDER BY {b}, id LIMIT {n})" for k, a, v, b, d, g, n in _RULES))
 def t18(t):
-    rules = t.spark.createDataFrame([("review", "purge", 365), ("draft", "clear", 365), ("mockup", "purge", 365), ("publish", "purge", 365)], "job_type string, act string, days int")
-    return J.retention(t.jobs, rules, "job_type", "created_at", TS("1998-01-01")).select("id", "job_type", "action")
+    return J.retention(retention_tables(t), retention_rules(), TS("2024-01-31 00:00:00"))
+
 
+_HAS = "['download', 'convert', 'font_check', 'privacy_check', 'mockup', 'draft']"
 
-@query("T22_step_dag", "SELECT c_custkey, step, CASE WHEN step = 1 THEN 'queued' ELSE 'on_hold' END AS status FROM customer CROSS JOIN (SELECT unnest(range(1, 7))::INTEGER AS step)")
+
+@query(
+    "T22_step_dag",
+    f"WITH h AS (SELECT c_custkey, list(DISTINCT {_HAS}[(o_orderkey // 4 % 6 + 1)::INTEGER]) AS has FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderkey % 4 = 0 GROUP BY 1), "
+    f"l AS (SELECT c_custkey, list_filter({_HAS}, lambda s: NOT coalesce(list_contains(has, s), false)) AS left_ FROM h) "
+    f"SELECT c_custkey, left_[i] AS step, i::INTEGER AS place, CASE WHEN i = 1 THEN 'queued' ELSE 'on_hold' END AS status, CASE WHEN i > 1 THEN {_HAS}[i - 1] END AS waits_for FROM (SELECT *, unnest(range(1, len(left_) + 1)) AS i FROM l)",
+)
 def t22(t):
-    steps = t.customer.select("c_custkey", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("step"))
-    return steps.withColumn("status", F.when(F.col("step") == 1, "queued").otherwise("on_hold"))
+    """Each customer's next steps; every fourth order is a job that is there already."""
+    steps = ("download", "convert", "font_check", "privacy_check", "mockup", "draft")
+    there = t.orders.where("o_orderkey % 4 = 0").select(F.col("o_custkey").alias("c_custkey"), F.element_at(F.array(*map(F.lit, steps)), (F.floor(F.col("o_orderkey") / 4) % 6 + 1).cast("int")).alias("step"))
+    return Q.next_steps(t.customer, there, "c_custkey", steps)
 
 
 @query("T23_replay", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'conflict' ELSE 'same' END AS replay FROM orders")
@@ -255,10 +305,9 @@ def q10(t):
     return ok.groupBy("project").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("id"))
 
 
-@query("Q12_retention_run", "SELECT job_type, count(*) FILTER (created_at < TIMESTAMP '1998-01-01' - INTERVAL 365 DAY AND job_type NOT IN ('convert', 'cover')) AS due FROM jobs GROUP BY 1")
+@query("Q12_retention_run", " UNION ALL ".join(f"(SELECT '{k}' AS rule, count(*) AS due, least({n}, count(*)) AS acted, greatest(0, count(*) - {n}) AS \"left\" FROM {v} WHERE {b} < {_WHEN} - INTERVAL {24 * d} HOUR AND {g})" for k, a, v, b, d, g, n in _RULES))
 def q12(t):
-    plan = t18(t)
-    return plan.groupBy("job_type").agg(F.count_if(F.col("action") != "keep").alias("due"))
+    return J.retention_report(retention_tables(t), retention_rules(), TS("2024-01-31 00:00:00"))
 
 
 @query("Q14_budgeted_automation", "SELECT CAST(created_at + INTERVAL 9 HOUR AS DATE) AS day, sum(coalesce(network, reserved, 1))::BIGINT AS calls, sum(coalesce(network, reserved, 1)) > 600 AS over FROM usage GROUP BY 1")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import html as H
 from inkwell.functions import privacy as P
+from inkwell.functions import style as Y
 from inkwell.functions import text as T
 from inkwell.functions import web as W
 from inkwell.queries import query
@@ -242,25 +243,25 @@ def fs30(t):
     return t.documents.select("doc_id", F.array_size(n).alias("sentences"), F.array_size(F.filter(n, lambda x: x > 80)).alias("long"))
 
 
-_PTAGS = "len(regexp_extract_all(html, '(?i)<p[ >]'))"
+def generated(t):
+    """Pages as generated articles: their first paragraphs are the answers of a FAQ, their links sources."""
+    part = F.regexp_extract_all("html", F.lit("(?is)<p>(.*?)</p>"), F.lit(1))
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    faq = F.transform(F.slice(part, 1, (F.col("page_id") % 6).cast("int")), lambda x: F.struct(F.concat(F.lit("Q. "), title, F.lit("?")).alias("question"), F.concat(F.lit("A. "), F.substring(x, 1, 150)).alias("answer")))
+    links = F.transform(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1)), lambda x: F.concat(F.lit("https://example.org"), x))
+    # a heading and a list for some, marks for others
+    body = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<h2>확인할 3가지</h2>"), F.replace("html", F.lit("<b>"), F.lit("<strong>")), F.lit("!!!!!<p>오늘날 중요합니다. 중요합니다. 중요합니다.</p>"))).otherwise(F.col("html"))
+    return t.pages.select("page_id", title.alias("title"), F.when(F.col("page_id") % 5 == 0, "").otherwise(F.col("url")).alias("summary"), body.alias("body"), faq.alias("faq"), links.alias("urls"))
 
 
-@query("FS31_style_issues", f"SELECT page_id, array_to_string(list_filter([CASE WHEN {_PTAGS} < 4 THEN 'few_paragraphs' END, CASE WHEN contains(html, '!!') THEN 'shouting' END, CASE WHEN length({_VIS}) > 4000 THEN 'too_long' END], lambda x: x IS NOT NULL), ',') AS issues FROM pages")
+@query("FS31_style_issues")
 def fs31(t):
-    html = F.col("html")
-    found = F.array(
-        F.when(F.regexp_count("html", F.lit("(?i)<p[ >]")) < 4, "few_paragraphs"),
-        F.when(html.contains("!!"), "shouting"),
-        F.when(F.length(T.visible_text(html)) > 4000, "too_long"),
-    )
-    return t.pages.select("page_id", F.array_join(F.array_compact(found), ",").alias("issues"))
+    return generated(t).select("page_id", Y.issues(Y.friendly_issues(F.col("body"), F.col("faq"), lively=False)).alias("issues"))
 
 
-@query("FS32_publication_issues", f"SELECT page_id, array_to_string(list_filter([CASE WHEN {_PTAGS} < 4 THEN 'few_paragraphs' END, CASE WHEN len(list_distinct(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))) < 2 THEN 'few_sources' END], lambda x: x IS NOT NULL), ',') AS issues FROM pages")
+@query("FS32_publication_issues")
 def fs32(t):
-    links = F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))
-    found = F.array(F.when(F.regexp_count("html", F.lit("(?i)<p[ >]")) < 4, "few_paragraphs"), F.when(F.array_size(links) < 2, "few_sources"))
-    return t.pages.select("page_id", F.array_join(F.array_compact(found), ",").alias("issues"))
+    return generated(t).select("page_id", Y.publication_issues(F.col("body"), F.col("faq"), F.col("urls"), F.col("page_id") % 7 == 0).alias("issues"))
 
 
 @query("FS33_faq_html", "SELECT doc_id, '<strong>Q. ' || replace(replace(replace(regexp_replace(title, '^\\s*[QA][.:]\\s*', ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</strong>' AS question FROM articles")
@@ -362,8 +363,8 @@ def fs49(t):
     return t.pages.select("page_id", H.interleaved(F.col("html"), F.array(F.lit("<figure>1</figure>"), F.lit("<figure>2</figure>"))).alias("html"))
 
 
-@query("FS50_draft_lint", f"SELECT page_id, array_to_string(list_filter([CASE WHEN length(regexp_replace({_VIS}, '[\\s ]', '', 'g')) NOT BETWEEN 2500 AND 3500 THEN 'length' END, CASE WHEN {_PTAGS} < 12 THEN 'paragraphs' END, CASE WHEN contains(html, 'page 1') THEN 'page_reference' END], lambda x: x IS NOT NULL), ',') AS issues FROM pages")
+@query("FS50_draft_lint")
 def fs50(t):
-    html = F.col("html")
-    found = F.array(F.when(~T.visible_length(html).between(2500, 3500), "length"), F.when(F.regexp_count("html", F.lit("(?i)<p[ >]")) < 12, "paragraphs"), F.when(html.contains("page 1"), "page_reference"))
-    return t.pages.select("page_id", F.array_join(F.array_compact(found), ",").alias("issues"))
+    """Drafts as they come from a model are sanitized and get their sentence breaks first."""
+    rows = generated(t).withColumn("body", H.with_breaks(H.sanitized(F.col("body"))))
+    return rows.select("page_id", Y.draft_issues(F.col("title"), F.col("summary"), F.col("body"), F.col("faq")).alias("issues"))
