@@ -1,7 +1,8 @@
 """Importance resampling towards a target distribution, by hashed n-gram features and a dictionary of distinct features.
 
-Each task counts the n-gram strings of the texts that it reads, and the counts of equal strings are summed over the corpus: the dictionary. Each of its
-strings is hashed into its bucket once, and the counts are summed by bucket, for the corpus and for the target texts. A bucket's gain is the log ratio of
+Each task counts the n-gram strings of the texts that it reads, and the counts of equal strings are summed over the corpus: the dictionary. Strings move
+in lists by part, in which those with one first word lie together, as they pack well so. Each of the dictionary's strings is hashed into its bucket once,
+and the counts are summed by bucket, for the corpus and for the target texts. A bucket's gain is the log ratio of
 its shares. The gains, one for each bucket, go back to the features of each document; a Gumbel key for each document, of its id, makes the highest
 scores a draw without replacement.
 """
@@ -19,11 +20,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import pieces, stored, with_fields
-from ._words import U, grams, inside, utf8, words_of_bytes
+from ._words import U, grams, inside, mix, utf8, words_of_bytes
 
 BUCKETS, PERCENT, FEWEST, SEED = 10_000, 25, 20, 7
+#: A word's followers are dealt into so many groups, so that a frequent word burdens no part; parts for each shuffle partition.
+_GROUPS, _PARTS = 8, 4
 #: Bytes of text whose features a task counts together.
-_TOGETHER = 8 << 20
+_TOGETHER = 4 << 20
 _APART = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
@@ -49,37 +52,51 @@ class Features:
         self.starts, self.stops = np.concatenate([starts, starts[two]]), np.concatenate([stops, stops[two + 1]])
         text = w.owner()
         self.text = np.concatenate([text, text[two]])
-        self.word = np.concatenate([w.prints, w.prints[two]])
+        #: What deals features into parts.
+        self.group = mix(np.concatenate([w.prints, w.prints[two] + w.prints[two + 1] % U(_GROUPS)]))
 
-    def strings(self, which: np.ndarray) -> pa.Array:
-        """The strings of some features."""
-        size = self.stops[which] - self.starts[which]
+    def strings(self, which: np.ndarray, heads: np.ndarray) -> pa.Array:
+        """Features, one in a line: a new string begins at each of ``heads``."""
+        size = self.stops[which] - self.starts[which] + 1
         ends = np.cumsum(size)
-        data = np.frombuffer(self.flat, np.uint8)[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[which] - (ends - size), size)]
-        offsets = np.concatenate([[0], ends]).astype(np.int32)
-        return pa.StringArray.from_buffers(len(which), pa.py_buffer(offsets), pa.py_buffer(data))
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[which] - (ends - size), size)
+        data = np.frombuffer(self.flat, np.uint8)[np.minimum(at, len(self.flat) - 1)]
+        data[ends - 1] = 10
+        last = np.append(heads[1:], len(size)) - 1
+        whole = np.ones(len(data), bool)
+        whole[ends[last] - 1] = False
+        offsets = np.append((ends - size)[heads] - np.arange(len(heads)), len(data) - len(heads))
+        return pa.StringArray.from_buffers(len(heads), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data[whole]))
 
     def buckets(self, which: np.ndarray) -> np.ndarray:
         flat, crc = self.flat, zlib.crc32
         return np.fromiter((crc(flat[a:b]) for a, b in zip(self.starts[which].tolist(), self.stops[which].tolist())), np.int64, len(which)) % BUCKETS
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (part, features, n): different features, one in a line, and how often each occurs."""
     for b in pieces(batches, "text", _TOGETHER):
         f = Features(b.column("text"))
+        if not len(f.prints):
+            continue
         order = np.argsort(f.prints)
-        new = np.flatnonzero(np.diff(f.prints[order], prepend=~f.prints[order[:1]]) != 0) if len(order) else order
+        new = np.flatnonzero(np.diff(f.prints[order], prepend=~f.prints[order[:1]]) != 0)
         which, n = order[new], np.diff(np.append(new, len(order)))
-        near = np.argsort(f.word[which], kind="stable")  # features with one first word lie together, and pack well
-        which, n = which[near], n[near]
-        for i in range(0, len(which), 100_000):
-            yield pa.record_batch([f.strings(which[i : i + 100_000]), pa.array(n[i : i + 100_000])], names=["feature", "n"])
+        group = f.group[which]
+        near = np.lexsort((group, group % U(parts)))
+        which, n, part = which[near], n[near].astype(np.int32), (group[near] % U(parts)).astype(np.int32)
+        heads = np.flatnonzero(np.diff(part, prepend=-1))
+        counts = pa.ListArray.from_arrays(pa.array(np.append(heads, len(which)).astype(np.int32)), pa.array(n))
+        yield pa.record_batch([pa.array(part[heads]), f.strings(which, heads), counts], names=["part", "features", "n"])
 
 
 def dictionary(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """(feature, n, bucket): each distinct n-gram string of ``texts``, how often it occurs, and its bucket."""
-    counts = texts.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_counted, "feature string, n long")
-    return counts.groupBy("feature").agg(F.sum("n").alias("n")).withColumn("bucket", F.pmod(F.crc32(F.col("feature").cast("binary")), F.lit(BUCKETS)).cast("int"))
+    parts = _PARTS * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = texts.select(F.col(text_col).cast("string").alias("text")).mapInArrow(partial(_counted, parts), "part int, features string, n array<int>")
+    each = rows.repartition("part").select("part", F.inline(F.arrays_zip(F.split("features", "\n").alias("feature"), F.col("n").alias("n"))).alias("feature", "n"))
+    counts = each.groupBy("part", "feature").agg(F.sum("n").alias("n"))  # where the rows are already
+    return counts.select("feature", "n", F.pmod(F.crc32(F.col("feature").cast("binary")), F.lit(BUCKETS)).cast("int").alias("bucket"))
 
 
 def bucket_counts(words: DataFrame) -> np.ndarray:

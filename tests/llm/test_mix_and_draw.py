@@ -161,7 +161,7 @@ def test_features_of_texts_that_touch():
 
     texts = ["One two", "two-THREE", None, "", "é你 X_9", "-", "two three "]
     f = importance.Features(pa.array(texts).slice(0))
-    found = f.strings(np.arange(len(f.prints))).to_pylist()
+    found = f.strings(np.arange(len(f.prints)), np.arange(len(f.prints))).to_pylist()
     assert [sorted(x for x, i in zip(found, f.text) if i == k) for k in range(len(texts))] == [sorted(features(t)[1]) for t in texts]
     assert f.buckets(np.arange(len(found))).tolist() == [zlib.crc32(x.encode()) % 10000 for x in found]
 
