@@ -49,7 +49,13 @@ def remove_at_exit(spark: SparkSession, path: str) -> None:
     _written.append((spark, path))
 
 
+#: Tables of the catalog that stand in a folder of their own name begin with this.
+TABLE = "inkwell_run_"
+
+
 def _delete(spark: SparkSession, path: str) -> None:
+    if (name := path.rsplit("/", 1)[-1]).startswith(TABLE):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 

@@ -106,14 +106,16 @@ def write_shards(docs: DataFrame, path: str, **options) -> None:
     shard(docs, **options).repartition("shard").write.partitionBy("shard").parquet(path)
 
 
-SQL = f"""
+def sql(limit: int) -> str:
+    """The same over ``documents``, for rows that don't repeat id and text."""
+    return f"""
 WITH r AS (
     SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes,
            (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT << 28)
            + ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(text, '')), 1, 7))::BIGINT AS code
     FROM documents),
-s AS (SELECT code, n_bytes, unnest(range(0, 31)) AS d FROM r),
-f AS (SELECT d, code >> ({BITS} - d) AS p FROM s GROUP BY 1, 2 HAVING sum(n_bytes) <= {LIMIT}),
+s AS (SELECT code, n_bytes, unnest(range(0, {BITS} + 1)) AS d FROM r),
+f AS (SELECT d, code >> ({BITS} - d) AS p FROM s GROUP BY 1, 2 HAVING sum(n_bytes) <= {limit}),
 leaf AS (SELECT s.code, min(s.d) AS d FROM (SELECT DISTINCT code, d FROM s) s JOIN f ON f.d = s.d AND f.p = s.code >> ({BITS} - s.d) GROUP BY 1)
 SELECT r.doc_id, r.n_bytes, substr(lpad(bin(r.code), {BITS}, '0'), 1, coalesce(leaf.d, {BITS})::BIGINT) AS shard, coalesce(leaf.d, {BITS})::INTEGER AS depth
 FROM r LEFT JOIN leaf USING (code)

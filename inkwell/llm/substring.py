@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import join_evenly, order_id, pieces, release, remove, remove_at_exit, shared_folder, stored, with_fields
+from ._shared import TABLE, join_evenly, order_id, pieces, release, remove, remove_at_exit, shared_folder, stored, with_fields
 from ._words import U, Words, grams, inside, mix, sliding_min, words
 
 WINDOW, GRAM, FANOUT = 20, 8, 4
@@ -159,12 +159,11 @@ class FingerprintLog:
     def _clear(self) -> None:
         """Runs that compaction replaced go, from a lasting log when the manifest no longer has them."""
         for r in self.gone:
-            self.spark.sql(f"DROP TABLE IF EXISTS {r.name}")
             remove(self.spark, r.stored_at)
         self.gone.clear()
 
     def run(self, rows: DataFrame, lasting: bool = True) -> DataFrame:
-        name = f"inkwell_run_{uuid.uuid4().hex}"
+        name = f"{TABLE}{uuid.uuid4().hex}"
         home = self.folder if self.folder and lasting else f"{shared_folder(self.spark)}/inkwell"
         path = f"{home}/{name}"
         out = rows.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h")

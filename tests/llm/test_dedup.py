@@ -198,3 +198,20 @@ def test_substring_dedup_keeps_texts_of_many_slices(spark, corpus):
     out = substring.substring_dedup(spark.createDataFrame(rows, DOCS).coalesce(1), keep=["text"]).collect()
     assert sorted((x["doc_id"], x["text"]) for x in out if x["text"]) == sorted((x[0], x[1]) for x in rows if x[1])
     assert sum(x["text"] is None for x in out) == sum(x[1] is None for x in rows)
+
+
+def test_no_table_of_a_run_stays_in_the_catalog(spark, docs):
+    from inkwell.llm import _shared
+
+    mark = _shared.written_so_far()
+    substring.substring_dedup(docs).count()
+    assert [t.name for t in spark.catalog.listTables() if t.name.startswith("inkwell_run_")]
+    _shared.release_since(mark)
+    assert not [x for x in _shared._written[mark:]]
+    own = {p.rsplit("/", 1)[-1] for _, p in _shared._written}
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("inkwell_run_") and t.name not in own and not t.name in _lasting(spark)]
+
+
+def _lasting(spark):
+    """Tables of logs in folders of their own, which other tests made."""
+    return {t.name for t in spark.catalog.listTables() if t.name.startswith("inkwell_run_") and "shared" not in spark.sql(f"DESCRIBE TABLE EXTENDED {t.name}").where("col_name = 'Location'").first()["data_type"]}
