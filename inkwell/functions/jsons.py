@@ -45,3 +45,8 @@ def merged(a: Column, b: Column) -> Column:
     """Maps joined; ``b`` wins."""
     kept = F.map_filter(a, lambda k, v: ~F.array_contains(F.map_keys(b), k))
     return F.map_concat(F.coalesce(kept, F.create_map().cast("map<string,string>")), b)
+
+
+def without(values: Column, keys: tuple[str, ...]) -> Column:
+    """A map without ``keys``."""
+    return F.map_filter(values, lambda k, v: ~k.isin(*keys))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from inkwell.functions import portfolio as G
 from inkwell.functions import dates as D
 from inkwell.functions import web as W
 from inkwell.operators import rules, selection
@@ -193,13 +194,33 @@ def p30(t):
     return t.jobs.select("id", F.when(F.col("status") == "running", "waiting").otherwise(F.col("status")).alias("status"), F.coalesce("claimed_by", F.lit("none")).alias("owner"))
 
 
-_META = "list_filter([CASE WHEN width > 0.15 THEN 'wide' END, CASE WHEN height > 0.2 THEN 'high' END, CASE WHEN x > 0.7 THEN 'right' END, CASE WHEN y < 0.1 THEN 'top' END], lambda v: v IS NOT NULL)"
-
-
-@query("P31_metadata_issues", f"SELECT array_to_string({_META}, ',') AS issues, count(*) AS n FROM rects GROUP BY 1")
+def portfolio_metadata(t):
+    """Each order as a portfolio article: its first line the thumbnail, the others boards; what is missing, or doesn't fit, goes by its number."""
+    k, line = F.col("l_orderkey"), F.col("l_linenumber")
+    grid = k % 3 == 0
+    indexes = F.when(grid, F.sequence((line - 1) * 6, (line - 1) * 6 + F.when(k % 19 == 0, 4).otherwise(5))).otherwise(F.array(line - 1, F.when(k % 23 == 0, line - 1).otherwise(line + 90)))
+    asset = F.struct(line.alias("place"), F.when(line == 1, "thumbnail").otherwise("body_image").alias("kind"), F.concat(F.lit("https://cdn/"), k, F.lit("/?a=1&b="), line).alias("url"), indexes.cast("array<int>").alias("slideIndexes"))
+    # one board for each line number
+    boards = t.lineitem.select("l_orderkey", "l_linenumber").distinct().groupBy("l_orderkey").agg(F.array_sort(F.collect_list(asset)).alias("assets"))
+    body = F.filter("assets", lambda a: a["kind"] == "body_image")
+    fingerprint = F.sha2(k.cast("string"), 256)
+    figure = lambda a: F.concat(F.when(k % 7 == 0, "").otherwise("<p>Text</p>\n"), F.lit("<figure><img src=\""), F.replace(a["url"], F.lit("&"), F.lit("&amp;")), F.lit("\"></figure>"))
+    slides = F.array_distinct(F.flatten(F.transform("assets", lambda a: a["slideIndexes"])))
+    proof = lambda i: F.struct(i.alias("slideIndex"), F.sha2(i.cast("string"), 256).alias("sourceHash"), F.sha2(F.when(i % 2 == 0, i).otherwise(-i).cast("string"), 256).alias("redactedHash"), (i % 2).alias("regionCount"), F.when((i % 2 == 1) & (k % 29 != 0), 0.25).otherwise(0.0).alias("changedPixelRatio"))
+    chosen = F.flatten(F.transform(body, lambda a: a["slideIndexes"]))
+    metadata = F.struct(
+        F.struct(F.concat_ws("", F.transform(body, figure)).alias("bodyHtml")).alias("generated"),
+        F.struct(F.when(grid, "six_grid").when(k % 3 == 1, "short_psd").otherwise("other").alias("mode"), F.when(k % 31 != 0, F.size(body)).alias("bodyBoardCount"), F.when(k % 37 != 0, chosen).alias("selectedSlideIndexes"), F.when(k % 11 == 0, "open").otherwise("verified").alias("redactionStatus")).alias("portfolioMockup"),
+        F.transform("assets", lambda a: a.dropFields("place")).alias("portfolioAssets"), F.when(k % 13 == 0, "none").otherwise(fingerprint).alias("portfolioSourceFingerprint"),
+        F.when(k % 17 == 0, "old").otherwise(G.RULES).alias("portfolioRuleVersion"), F.when(k % 5 != 0, F.concat(F.lit("g"), k)).alias("portfolioGenerationId"),
+        F.struct(F.lit(2).alias("version"), F.lit(G.METHOD).alias("method"), F.lit(True).alias("verified"), fingerprint.alias("sourceFingerprint"), fingerprint.alias("manifestHash"), F.transform(slides, proof).alias("slides")).alias("redactionProof"),
+    )
+    return boards.select("l_orderkey", F.to_json(metadata).alias("metadata"))
+
+
+@query("P31_metadata_issues")
 def p31(t):
-    found = rules.issues({"wide": F.col("width") > 0.15, "high": F.col("height") > 0.2, "right": F.col("x") > 0.7, "top": F.col("y") < 0.1})
-    return t.rects.groupBy(F.array_join(found, ",").alias("issues")).agg(F.count("*").alias("n"))
+    return portfolio_metadata(t).select("l_orderkey", G.metadata_issues(F.from_json("metadata", G.METADATA)).alias("issues"))
 
 
 @query("P32_source_state", "SELECT w.id, j.status IS NULL OR j.status = 'completed' AS ready FROM work_items w LEFT JOIN (SELECT item_id, arg_max(status, (created_at, id)) AS status FROM jobs GROUP BY 1) j ON j.item_id = w.owner")
@@ -208,9 +229,11 @@ def p32(t):
     return t.work_items.join(last, "owner", "left").select("id", (F.col("last").isNull() | (F.col("last") == "completed")).alias("ready"))
 
 
-@query("P33_not_cancelled", "SELECT doc_id FROM documents WHERE NOT starts_with(text, 'The')")
+@query("P33_not_cancelled", "SELECT id FROM work_items WHERE NOT (status = 'planned' AND id % 3 = 0)")
 def p33(t):
-    return t.documents.where(~F.col("text").startswith("The")).select("doc_id")
+    """Work whose review note is not the mark of a cancelled generation; some notes hold that mark further on."""
+    note = F.when((F.col("status") == "planned") & (F.col("id") % 3 == 0), F.concat(F.lit("generation-cancelled:"), "id")).when(F.col("id") % 3 == 1, F.concat(F.lit("was generation-cancelled:"), "id"))
+    return t.work_items.where(~G.is_cancelled(note)).select("id")
 
 
 @query("P34_facet", "SELECT p_partkey FROM part WHERE p_type = 'ECONOMY'")
@@ -218,9 +241,17 @@ def p34(t):
     return t.part.where(F.col("p_type") == "ECONOMY").select("p_partkey")
 
 
-@query("P35_figure_rules", "SELECT page_id, len(regexp_extract_all(html, '<img')) AS images, len(regexp_extract_all(html, '<a ')) <= 20 AS ok FROM pages")
+@query(
+    "P35_figure_rules",
+    "WITH p AS (SELECT page_id, len(regexp_extract_all(html, '</p>')) AS n, regexp_matches(html, '(?is)<p[\\s>].*</p>') AS para FROM pages) SELECT page_id, list_filter([CASE WHEN (CASE page_id % 4 WHEN 0 THEN 0 WHEN 3 THEN 2 * n ELSE n END) < 5 THEN '본문용 다중 페이지 목업이 5개 미만입니다.' END, "
+    "CASE WHEN page_id % 4 = 1 AND n > 0 THEN '본문 이미지는 모두 figure 안에 배치해야 합니다.' END, CASE WHEN page_id % 4 = 3 AND n > 0 THEN '본문 이미지가 설명 없이 연속으로 배치되어 있습니다.' END, CASE WHEN page_id % 4 > 0 AND n > 0 AND NOT para THEN '이미지는 관련 설명 문단 다음에 배치해야 합니다.' END], lambda x: x IS NOT NULL) AS issues FROM p",
+)
 def p35(t):
-    return t.pages.select("page_id", F.regexp_count("html", F.lit("<img")).cast("long").alias("images"), (F.regexp_count("html", F.lit("<a ")) <= 20).alias("ok"))
+    """Pages with no figure, with one without an image after each paragraph, with one, and with two."""
+    n, figure = F.col("page_id") % 4, "<figure><img src=\"a.png\"></figure>"
+    after = F.when(n == 0, "</p>").when(n == 1, "</p> <figure><em></em></figure>").when(n == 2, "</p>\n" + figure).otherwise("</p>" + figure + " " + figure)
+    rows = t.pages.select("page_id", F.regexp_replace("html", F.lit("</p>"), after).alias("html"))
+    return rows.select("page_id", F.array_compact(F.array(*G.figure_issues(F.col("html"), F.lit(5)))).alias("issues"))
 
 
 @query("P36_loggable", "SELECT page_id, NOT regexp_matches(regexp_extract(url, '^[a-z]+://[^/]*(/[^?#]*)', 1), '^/(admin|api|auth)') AS log FROM pages")

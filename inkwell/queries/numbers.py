@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import dates as D
 from inkwell.functions import hashing, jsons
+from inkwell.functions import portfolio as G
 from inkwell.functions import scoring as S
 from inkwell.functions import web as W
 from inkwell.operators import manifests as M
 from inkwell.operators import rules, similarity, upsert
 from inkwell.queries import query
-from inkwell.queries.filters import _EDIT, TS
+from inkwell.queries.filters import _EDIT, TS, portfolio_metadata
 
 _K = "ts + INTERVAL 9 HOUR"
 
@@ -299,9 +300,12 @@ def fa07(t):
     return t.events.select("event_id", merged["k"].cast("long").alias("k"), merged["extra"].cast("int").alias("extra"))
 
 
-@query("FA08_key_subset", "SELECT event_id, 0 AS n FROM events")
+@query("FA08_key_subset", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '{}' ELSE '{\"channel\":\"' || event_type || '\"}' END AS rest, '{\"k\":' || (props->>'$.k') || '}' AS kept FROM events")
 def fa08(t):
-    return t.events.select("event_id", F.size(F.map_filter(F.from_json("props", "map<string,string>"), lambda k, v: k != "k")).alias("n"))
+    """Metadata without what was generated, and only what must stay for good."""
+    whole = F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.lit("generated"), F.lit("text")), F.when(F.col("event_id") % 3 != 0, F.create_map(F.lit("channel"), F.col("event_type"))).otherwise(F.create_map().cast("map<string,string>")))
+    kept = F.map_filter(whole, lambda k, v: k.isin("k", "novelty"))
+    return t.events.select("event_id", F.to_json(jsons.without(whole, ("generated", "k"))).alias("rest"), F.concat(F.lit('{"k":'), kept["k"], F.lit("}")).alias("kept"))
 
 
 @query("FA09_json_type", "SELECT event_id, CASE WHEN regexp_matches(props->>'$.k', '^[0-9]+$') THEN 'number' ELSE 'other' END AS kind FROM events")
@@ -343,10 +347,13 @@ def fa11(t):
     return M.first_manifest_error(decks.select("l_orderkey", "n", F.when(k % 17 == 0, F.substring(body, 1, 40)).otherwise(body).alias("body")), "l_orderkey", "body", "n")
 
 
-@query("FA12_proof", "SELECT o_orderkey, coalesce(bool_and(l_quantity <= 45), true) AS verified FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+@query("FA12_proof", "SELECT l_orderkey, l_orderkey % 13 <> 0 AND l_orderkey % 29 <> 0 AS verified FROM lineitem GROUP BY 1")
 def fa12(t):
-    checks = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.bool_and(F.col("l_quantity") <= 45).alias("ok"))
-    return t.orders.select("o_orderkey").join(checks, "o_orderkey", "left").select("o_orderkey", F.coalesce("ok", F.lit(True)).alias("verified"))
+    """The proofs of P31's articles: of another source, or with a slide whose regions left no trace, they don't hold."""
+    m = F.from_json("metadata", G.METADATA)
+    rendered = F.array_distinct(F.flatten(F.transform(m["portfolioAssets"], lambda a: a["slideIndexes"])))
+    held = G.proof_holds(m["redactionProof"], m["portfolioSourceFingerprint"], rendered)
+    return portfolio_metadata(t).select("l_orderkey", held.alias("verified"))
 
 
 @query("FA13_entries", "SELECT event_id, 'k' AS field, props->>'$.k' AS value FROM events")

@@ -6,7 +6,8 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -22,20 +23,23 @@ def _check(recent: deque, at: int, limit: int, window_ms: int) -> tuple[bool, in
 
 def limited(hits: DataFrame, id_col: str, limit: int, window_ms: int) -> DataFrame:
     """hits (key, id, at_ms) to (key, id, allowed, retry_after): at most ``limit`` passes in any window of a key.
-    A verdict hangs on those before it, so a key's hits are one task: it streams through them in order and
-    holds no more than the last passes."""
+    A verdict hangs on those of the window before it, so a key is cut where it is quiet for a window: each piece is one task's, which streams through
+    it in order and holds no more than the last passes."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, recent = object(), deque()
+        piece, recent = None, deque()
         for part in parts:
             found = []
-            for k, at in zip(part["key"], part["at_ms"]):
-                if k != key:
-                    key, recent = k, deque()
+            for k, n, at in zip(part["key"], part["piece"], part["at_ms"]):
+                if (k, n) != piece:
+                    piece, recent = (k, n), deque()
                 found.append(_check(recent, int(at), limit, window_ms))
             yield pd.DataFrame({"key": part["key"], id_col: part[id_col], "allowed": [f[0] for f in found], "retry_after": [f[1] for f in found]})
 
-    ordered = hits.repartition("key").sortWithinPartitions("key", "at_ms", id_col)
+    order = Window.partitionBy("key").orderBy("at_ms", id_col)
+    quiet = (F.col("at_ms") - F.lag("at_ms").over(order) >= window_ms).cast("int")
+    cut = hits.withColumn("quiet", F.coalesce(quiet, F.lit(0))).withColumn("piece", F.sum("quiet").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("quiet")
+    ordered = cut.repartition("key", "piece").sortWithinPartitions("key", "piece", "at_ms", id_col)
     return ordered.mapInPandas(run, f"key string, {id_col} long, allowed boolean, retry_after int")
 
 

@@ -71,6 +71,7 @@ def test_html_helpers(spark):
     assert one(spark, H.figures_to_marks(F.col("h")), h="a<figure>x</figure>b<figure>y</figure>") == "a[FIGURE 1]b[FIGURE 2]"
     hunks = one(spark, H.changes(F.col("a"), F.col("b")), a="one two three four five six seven eight", b="one 2 three four five six seven 8")
     assert [tuple(h) for h in hunks] == [("2", "one ", " three four f", 3), ("8", "ve six seven ", "", 5)]
+    assert H.change_hunks("a\r\nb e\u0301\rc", "a\nb \u00e9\nc") == []
     merged = one(spark, H.merged_sections(F.col("h"), "h2", 5, 2), h="intro<h2>a</h2>bb<h2>c</h2>long enough<h2>d</h2>more text")
     assert "".join(merged) == "intro<h2>a</h2>bb<h2>c</h2>long enough<h2>d</h2>more text" and len(merged) == 2
     locked = spark.createDataFrame([("see http://x.y/1 and 20%",)], "t string").select(H.locked(F.col("t")).alias("l"))

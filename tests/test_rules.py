@@ -220,3 +220,82 @@ def test_functions_in_sql(spark):
     pages.createOrReplaceTempView("all_pages")
     want = {(r["page_id"], h) for r in pages.collect() for h in re.findall(r'<a href="([^"]*)"', r["html"])}
     assert {tuple(r) for r in spark.sql("SELECT page_id, l.href FROM all_pages, LATERAL html_links(html) l").collect()} == want
+
+
+def plain_metadata(m):
+    """The rules over one parsed document."""
+    sha = lambda x: isinstance(x, str) and re.fullmatch("(?i)[a-f0-9]{64}", x)
+    whole = lambda xs: [x for x in xs or [] if isinstance(x, int) and x >= 0]
+    html, mock = (m.get("generated") or {}).get("bodyHtml") or "", m.get("portfolioMockup") or {}
+    assets = [a for a in m.get("portfolioAssets") or [] if a["kind"] in ("thumbnail", "body_image")]
+    body = [a for a in assets if a["kind"] == "body_image"]
+    n, raw = mock.get("bodyBoardCount"), mock.get("selectedSlideIndexes") or []
+    rendered, selected = sorted({x for a in assets for x in whole(a.get("slideIndexes"))}), whole(raw)
+    odd = lambda a: not a.get("slideIndexes") or len(set(whole(a["slideIndexes"]))) != len(a["slideIndexes"])
+    out = []
+    if not selected:
+        out.append("선정 장표 기록이 비어 있어 포트폴리오 자산을 검증할 수 없습니다.")
+    if not rendered:
+        out.append("대표 썸네일과 본문 목업에 연결된 렌더링 장표 기록이 비어 있습니다.")
+    if not assets or any(map(odd, assets)):
+        out.append("대표 썸네일과 모든 본문 목업은 비어 있지 않은 고유 장표 인덱스를 가져야 합니다.")
+    if not sha(m.get("portfolioSourceFingerprint")):
+        out.append("현재 원본과 일치하는 포트폴리오 목업 생성 기록이 없습니다.")
+    if m.get("portfolioRuleVersion") != "2026-08-05-public-visual-overrides-v9":
+        out.append("현재 포트폴리오 템플릿·기밀 규칙으로 다시 만든 기록이 없습니다.")
+    if not m.get("portfolioGenerationId"):
+        out.append("현재 포트폴리오 디자인 세대 기록이 없습니다.")
+    least, mode = 5, mock.get("mode")
+    if mode == "short_psd":
+        least = 4
+        if n != 4:
+            out.append("짧은 문서는 본문 목업 4장이 모두 확인되어야 합니다.")
+    elif mode == "six_grid":
+        good = n is not None and 3 <= n <= 5
+        least = n if good else 3
+        if not good:
+            out.append("긴 문서는 중복 없는 6장 묶음의 본문 목업 3~5장이 확인되어야 합니다.")
+    else:
+        out.append("포트폴리오 목업 제작 방식을 확인할 수 없습니다.")
+    if mock.get("redactionStatus") != "verified":
+        out.append("기밀 블러 검수를 통과하지 않았습니다.")
+    p = m.get("redactionProof") or {}
+    slides = sorted(p.get("slides") or [], key=lambda s: s["slideIndex"])
+    sound = [sha(s["sourceHash"]) and sha(s["redactedHash"]) and (s["changedPixelRatio"] == 0 and s["sourceHash"] == s["redactedHash"] if s["regionCount"] == 0 else 0 < s["changedPixelRatio"] <= 1 and s["sourceHash"] != s["redactedHash"]) for s in slides]
+    if not (p.get("version") == 2 and p.get("method") == M.METHOD and p.get("verified") and p.get("sourceFingerprint") == (m.get("portfolioSourceFingerprint") or "") and sha(p.get("manifestHash")) and rendered and [s["slideIndex"] for s in slides] == rendered and all(sound)):
+        out.append("현재 원본에 연결된 선택적 가림 proof v2가 완전하지 않습니다.")
+    figures, images = (len(re.findall(rf"(?i)<{t}[\s>]", html)) for t in ("figure", "img"))
+    if figures < least:
+        out.append(f"본문용 다중 페이지 목업이 {least}개 미만입니다.")
+    if figures != images:
+        out.append("본문 이미지는 모두 figure 안에 배치해야 합니다.")
+    if re.search(r"(?i)</figure>\s*<figure[\s>]", html):
+        out.append("본문 이미지가 설명 없이 연속으로 배치되어 있습니다.")
+    if figures and not re.search(r"(?is)<p[\s>].*?</p>\s*<figure[\s>]", html):
+        out.append("이미지는 관련 설명 문단 다음에 배치해야 합니다.")
+    if n is not None and figures != n:
+        out.append(f"본문 figure 수가 목업 기록 {n}장과 일치하지 않습니다.")
+    if n is not None and len(body) != n:
+        out.append(f"저장된 본문 목업 자산 수가 기록 {n}장과 일치하지 않습니다.")
+    flat = [x for a in body for x in whole(a.get("slideIndexes"))]
+    if any(odd(a) or mode == "six_grid" and len(whole(a["slideIndexes"])) != 6 for a in body) or len(set(flat)) != len(flat) or mode == "six_grid" and n is not None and len(flat) != 6 * n:
+        out.append("본문 목업 장표는 자산별 고유 인덱스로 구성되어야 하며 긴 문서는 자산마다 정확히 6장이어야 합니다.")
+    if len(set(selected)) != len(selected) or len(selected) != len(raw) or set(selected) != set(flat):
+        out.append("선정 장표 기록과 실제 본문 목업 자산의 장표 구성이 일치하지 않습니다.")
+    shown = [x.replace("&amp;", "&") for x in re.findall(r"""(?i)<img\b[^>]*\bsrc\s*=\s*["']([^"']+)["'][^>]*>""", html)]
+    if sorted(shown) != sorted(a["url"].replace("&amp;", "&") for a in body if a.get("url")):
+        out.append("본문 이미지 URL이 현재 기밀 블러 검수를 통과한 목업 자산과 일치하지 않습니다.")
+    return out
+
+
+def test_portfolio_metadata(spark):
+    from inkwell.functions import portfolio as G
+    from inkwell.queries.filters import portfolio_metadata
+
+    texts = {r["l_orderkey"]: r["metadata"] for r in portfolio_metadata(Tables(spark, str(DATA))).collect()}
+    got = {r["l_orderkey"]: list(r["issues"]) for r in QUERIES["P31_metadata_issues"](spark, str(DATA)).collect()}
+    assert got == {k: plain_metadata(json.loads(v)) for k, v in texts.items()}
+    assert [] in got.values() and len({x for v in got.values() for x in v}) >= 15
+    odd = ["{}", '{"portfolioMockup": {"mode": "six_grid", "bodyBoardCount": 4, "selectedSlideIndexes": [1, -2]}, "portfolioAssets": [{"kind": "body_image", "url": null, "slideIndexes": null}, {"kind": "other"}]}']
+    rows = spark.createDataFrame([(x,) for x in odd], "m string")
+    assert {r["m"]: list(r["i"]) for r in rows.select("m", G.metadata_issues(F.from_json("m", G.METADATA)).alias("i")).collect()} == {x: plain_metadata(json.loads(x)) for x in odd[:1]} | {odd[1]: plain_metadata(json.loads(odd[1].replace('"slideIndexes": null', '"slideIndexes": []').replace('{"kind": "other"}', '{"kind": "other", "slideIndexes": []}')))}
