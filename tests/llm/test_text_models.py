@@ -318,3 +318,66 @@ def test_words_kernel():
     w = words(pa.array(texts))
     assert np.diff(w.first).tolist() == [len((t or "").encode().split()) for t in texts]
     assert w.prints[0] == w.prints[-1] and w.prints[w.first[4]] == w.prints[w.first[5]]
+
+
+def plain_fit(rows, ys, weights):
+    """The ridge logistic regression as a sum over documents, minimised by small steps; last coefficient constant."""
+    n = len(rows[0]) + 1
+    beta = [0.0] * n
+    ridge = [toxicity.RIDGE] * (n - 1) + [1e-6]
+    rows = [[*map(float, r), 1.0] for r in rows]
+    for _ in range(40):
+        gradient, curve = [-r * b for r, b in zip(ridge, beta)], [[ridge[i] * (i == j) for j in range(n)] for i in range(n)]
+        for row, y, w in zip(rows, ys, weights):
+            p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(row, beta))))
+            for i in range(n):
+                gradient[i] += w * (y - p) * row[i]
+                for j in range(n):
+                    curve[i][j] += w * p * (1 - p) * row[i] * row[j]
+        for i in range(n):  # elimination
+            for j in range(i + 1, n):
+                f = curve[j][i] / curve[i][i]
+                curve[j] = [a - f * b for a, b in zip(curve[j], curve[i])]
+                gradient[j] -= f * gradient[i]
+        step = [0.0] * n
+        for i in reversed(range(n)):
+            step[i] = (gradient[i] - sum(curve[i][j] * step[j] for j in range(i + 1, n))) / curve[i][i]
+        beta = [b + s for b, s in zip(beta, step)]
+    return beta
+
+
+def plain_predict(row, beta):
+    return 1 / (1 + math.exp(-sum(float(a) * b for a, b in zip([*row, 1], beta))))
+
+
+def test_chain_against_plain_logistic_regressions():
+    """Each category's model sees the categories before it as out-of-fold probabilities; at prediction, as those of the models before."""
+    r = random.Random(8)
+    x = np.array([[r.random() < 0.4 for _ in range(6)] for _ in range(90)])
+    low = np.array([(row[0] or row[1]) and r.random() < 0.8 for row in x])
+    toxic = np.array([(row[2] and row[0]) or l and r.random() < 0.3 for row, l in zip(x, low)])
+    fold, weight = np.array([k % 5 for k in range(90)]), np.where(toxic, 0.7, 1.1)
+    chosen = [np.array(sorted(r.sample(range(6), 4))) for _ in range(5)] + [np.array([0, 1, 2, 4])]
+    chain = toxicity.Chain(np.arange(6, dtype=np.uint64), x, {"low_quality": low, "toxic": toxic}, weight, fold, chosen)
+
+    before, models = [[] for _ in x], []
+    for y in (low, toxic):
+        out = [0.0] * len(x)
+        for k in range(5):
+            inputs = [[*row[chosen[k]], *b] for row, b in zip(x, before)]
+            rest = [i for i in range(len(x)) if fold[i] != k]
+            beta = plain_fit([inputs[i] for i in rest], [y[i] for i in rest], [weight[i] for i in rest])
+            for i in range(len(x)):
+                if fold[i] == k:
+                    out[i] = plain_predict(inputs[i], beta)
+        models.append(plain_fit([[*row[chosen[-1]], *b] for row, b in zip(x, before)], y, weight))
+        before = [[*b, o] for b, o in zip(before, out)]
+    want = []
+    for row in x:
+        first = plain_predict(row[chosen[-1]], models[0])
+        want.append([first, plain_predict([*row[chosen[-1]], first], models[1])])
+    assert np.allclose(chain.predict(x[:, chosen[-1]]), want, atol=1e-3)
+    held = [b[1] for b in before]
+    cut = [(2 * sum(w for p, y, w in zip(held, toxic, weight) if y and p >= t) / (sum(w for p, w in zip(held, weight) if p >= t) + weight[toxic].sum()), t) for t in held]
+    best = max(cut)[1]
+    assert max(p for p in held if p < best) - 1e-3 <= chain.limit <= best + 1e-3
