@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from inkwell.operators import counting, geometry, selection, upsert
+from inkwell.operators import counting, geometry, ranking, selection, upsert
 from inkwell.queries import query
 
 _UNIQUE = ["order", "part", "supp", "line", "quantity", "visual", "rarity"]
@@ -98,9 +98,10 @@ def w11(t):
 
 @query("W12_sections", f'WITH r AS (SELECT deck, "order", part, line, row_number() OVER (PARTITION BY deck ORDER BY {_U}) - 1 AS i, count(*) OVER (PARTITION BY deck) AS n FROM slides) SELECT deck, least(4, floor(i * 5 / n))::INTEGER AS section, count(*) AS slides FROM r GROUP BY 1, 2')
 def w12(t):
-    order = Window.partitionBy("deck").orderBy(*_UNIQUE)
-    rows = t.slides.select("deck", (F.row_number().over(order) - 1).alias("i"), F.count("*").over(Window.partitionBy("deck")).alias("n"))
-    return rows.groupBy("deck", F.least(F.lit(4), F.floor(F.col("i") * 5 / F.col("n"))).cast("int").alias("section")).agg(F.count("*").alias("slides"))
+    """Five sections of each deck, by the places of its slides."""
+    rows = ranking.placed(t.slides.select("deck", *_UNIQUE), "deck", _UNIQUE)
+    section = F.least(F.lit(4), F.floor(F.col("place") * 5 / F.col("total"))).cast("int")
+    return rows.groupBy("deck", section.alias("section")).agg(F.count("*").alias("slides"))
 
 
 @query("W13_groups_of_six", f"WITH r AS (SELECT deck, row_number() OVER (PARTITION BY deck ORDER BY {_SCORE} DESC, {_U}) AS r, part FROM slides) SELECT deck, floor((r - 1) / 6)::INTEGER AS board, min(part) AS first, count(*) AS n FROM r WHERE r <= 30 GROUP BY 1, 2 HAVING count(*) = 6")

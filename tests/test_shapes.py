@@ -69,3 +69,16 @@ def test_choices_with_decay(spark):
     for x in selection.diverse(rows, "deck", 6).orderBy("deck", "place").collect():
         got.setdefault(x["deck"], []).append(x["index"])
     assert got == {d: greedy(v, 6) for d, v in decks.items()}
+
+
+def test_places_in_groups_of_any_size(spark):
+    from inkwell.operators import ranking
+
+    r = random.Random(9)
+    rows = [(r.choice(["big"] * 9 + ["small", None]), r.randrange(10**6), k) for k in range(5000)]
+    got = {x["id"]: (x["place"], x["total"]) for x in ranking.placed(spark.createDataFrame(rows, "k string, at int, id int").repartition(9), "k", ["at", "id"]).collect()}
+    want = {}
+    for key in {x[0] for x in rows}:
+        own = sorted((x[1:] for x in rows if x[0] == key))
+        want |= {i: (n, len(own)) for n, (_, i) in enumerate(own)}
+    assert got == want
