@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,9 @@ from inkwell.functions import scoring as S
 from inkwell.operators import counting as C
 from inkwell.operators import queue as Q
 from inkwell.operators import selection, similarity, upsert
+from inkwell.operators.lineage import shared_folder
 from inkwell.plans import jobs as J
+from inkwell.plans.stages import StagedJob, generation_id
 from inkwell.queries import aggregations as A
 from inkwell.queries import query
 from inkwell.queries.filters import TS
@@ -224,6 +228,18 @@ def t18(t):
     return J.retention(retention_tables(t), retention_rules(), TS("2024-01-31 00:00:00"))
 
 
+@query("T21_staged_job", "SELECT CAST(accessed_at + INTERVAL 9 HOUR AS DATE) AS day, count(*) AS n, count(DISTINCT bot_name) AS bots, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS share FROM traffic GROUP BY 1")
+def t21(t):
+    """Traffic by day in three stages. The first run has no time for any, the second goes on to the end; both are of one generation."""
+    stages = [
+        ("visits", lambda spark, _: t.traffic.select(F.to_date(C.kst("accessed_at")).alias("day"), "bot_name")),
+        ("days", lambda spark, d: d.groupBy("day").agg(F.count("*").alias("n"), F.count_distinct("bot_name").alias("bots"))),
+        ("shares", lambda spark, d: d.join(F.broadcast(d.agg(F.sum("n").alias("all"))), F.lit(True)).select("day", "n", "bots", F.round(100.0 * F.col("n") / F.col("all"), 6).alias("share"))),
+    ]
+    job = StagedJob(t.spark, f"{shared_folder(t.spark)}/inkwell-jobs/{uuid.uuid4().hex}", generation_id(t.dir, "traffic", 1), stages)
+    return job.run(deadline=0) or job.run()
+
+
 _HAS = "['download', 'convert', 'font_check', 'privacy_check', 'mockup', 'draft']"
 
 
