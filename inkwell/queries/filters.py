@@ -206,7 +206,7 @@ def portfolio_metadata(t):
     fingerprint = F.sha2(k.cast("string"), 256)
     figure = lambda a: F.concat(F.when(k % 7 == 0, "").otherwise("<p>Text</p>\n"), F.lit("<figure><img src=\""), F.replace(a["url"], F.lit("&"), F.lit("&amp;")), F.lit("\"></figure>"))
     slides = F.array_distinct(F.flatten(F.transform("assets", lambda a: a["slideIndexes"])))
-    proof = lambda i: F.struct(i.alias("slideIndex"), F.sha2(i.cast("string"), 256).alias("sourceHash"), F.sha2(F.when(i % 2 == 0, i).otherwise(-i).cast("string"), 256).alias("redactedHash"), (i % 2).alias("regionCount"), F.when((i % 2 == 1) & (k % 29 != 0), 0.25).otherwise(0.0).alias("changedPixelRatio"))
+    proof = lambda i: F.struct(i.alias("slideIndex"), F.sha2(i.cast("string"), 256).alias("sourceHash"), F.sha2(F.when(i % 2 == 0, i).otherwise(-i).cast("string"), 256).alias("redactedHash"), (i % 2).alias("regionCount"), F.when(k % 29 == 0, 1.5).when(i % 2 == 1, 0.25).otherwise(0.0).alias("changedPixelRatio"))
     chosen = F.flatten(F.transform(body, lambda a: a["slideIndexes"]))
     metadata = F.struct(
         F.struct(F.concat_ws("", F.transform(body, figure)).alias("bodyHtml")).alias("generated"),
@@ -243,15 +243,15 @@ def p34(t):
 
 @query(
     "P35_figure_rules",
-    "WITH p AS (SELECT page_id, len(regexp_extract_all(html, '</p>')) AS n, regexp_matches(html, '(?is)<p[\\s>].*</p>') AS para FROM pages) SELECT page_id, list_filter([CASE WHEN (CASE page_id % 4 WHEN 0 THEN 0 WHEN 3 THEN 2 * n ELSE n END) < 5 THEN '본문용 다중 페이지 목업이 5개 미만입니다.' END, "
-    "CASE WHEN page_id % 4 = 1 AND n > 0 THEN '본문 이미지는 모두 figure 안에 배치해야 합니다.' END, CASE WHEN page_id % 4 = 3 AND n > 0 THEN '본문 이미지가 설명 없이 연속으로 배치되어 있습니다.' END, CASE WHEN page_id % 4 > 0 AND n > 0 AND NOT para THEN '이미지는 관련 설명 문단 다음에 배치해야 합니다.' END], lambda x: x IS NOT NULL) AS issues FROM p",
+    "WITH p AS (SELECT page_id, len(regexp_extract_all(html, '</p>')) AS n, regexp_matches(html, '(?is)<p[\\s>].*</p>') AS para FROM pages) SELECT page_id, array_to_string(list_filter([CASE WHEN (CASE page_id % 4 WHEN 0 THEN 0 WHEN 3 THEN 2 * n ELSE n END) < 5 THEN '본문용 다중 페이지 목업이 5개 미만입니다.' END, "
+    "CASE WHEN page_id % 4 = 1 AND n > 0 THEN '본문 이미지는 모두 figure 안에 배치해야 합니다.' END, CASE WHEN page_id % 4 = 3 AND n > 0 THEN '본문 이미지가 설명 없이 연속으로 배치되어 있습니다.' END, CASE WHEN page_id % 4 > 0 AND n > 0 AND NOT para THEN '이미지는 관련 설명 문단 다음에 배치해야 합니다.' END], lambda x: x IS NOT NULL), '|') AS issues FROM p",
 )
 def p35(t):
     """Pages with no figure, with one without an image after each paragraph, with one, and with two."""
     n, figure = F.col("page_id") % 4, "<figure><img src=\"a.png\"></figure>"
     after = F.when(n == 0, "</p>").when(n == 1, "</p> <figure><em></em></figure>").when(n == 2, "</p>\n" + figure).otherwise("</p>" + figure + " " + figure)
     rows = t.pages.select("page_id", F.regexp_replace("html", F.lit("</p>"), after).alias("html"))
-    return rows.select("page_id", F.array_compact(F.array(*G.figure_issues(F.col("html"), F.lit(5)))).alias("issues"))
+    return rows.select("page_id", F.array_join(F.array_compact(F.array(*G.figure_issues(F.col("html"), F.lit(5)))), "|").alias("issues"))
 
 
 @query("P36_loggable", "SELECT page_id, NOT regexp_matches(regexp_extract(url, '^[a-z]+://[^/]*(/[^?#]*)', 1), '^/(admin|api|auth)') AS log FROM pages")

@@ -349,7 +349,7 @@ def fa11(t):
 
 @query("FA12_proof", "SELECT l_orderkey, l_orderkey % 13 <> 0 AND l_orderkey % 29 <> 0 AS verified FROM lineitem GROUP BY 1")
 def fa12(t):
-    """The proofs of P31's articles: of another source, or with a slide whose regions left no trace, they don't hold."""
+    """The proofs of P31's articles: of another source, or with a share of pixels that can't be, they don't hold."""
     m = F.from_json("metadata", G.METADATA)
     rendered = F.array_distinct(F.flatten(F.transform(m["portfolioAssets"], lambda a: a["slideIndexes"])))
     held = G.proof_holds(m["redactionProof"], m["portfolioSourceFingerprint"], rendered)

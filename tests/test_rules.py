@@ -50,43 +50,26 @@ def bare(t):
 
 def friendly(body, faq, lively):
     plain = squeeze(re.sub("<[^>]+>", " ", body))
-    found, samples, n = [], [], 0
-    for p in Y.CLICHES:
-        for m in re.findall(p, plain):
-            n += 1
-            if len(samples) < 5 and m not in samples:
-                samples.append(m)
-    ends = 0
-    for e in Y.ENDINGS:
-        k = plain.count(e)
-        ends += k
-        if k > 2 and len(samples) < 5:
-            samples.append(f"{e}({k}회)")
-    p, s = (len(re.findall(rf"(?i)<{t}[\s>]", body)) for t in ("p", "strong"))
-    shouts, asks = len(re.findall("[!！]", plain)), len(re.findall("[?？]", plain))
-    if s < min(5, max(3, p // 3)):
-        found.append("본문 핵심어 볼드가 부족합니다.")
-    if p and s > 2 * p:
-        found.append("본문 볼드가 너무 많습니다.")
-    if n or ends > 2:
-        found.append("AI 상투 표현이 반복됩니다." + (f" ({', '.join(samples)})" if samples else ""))
-    if lively and not shouts and not asks:
-        found.append("독자에게 말을 거는 질문이나 느낌표가 한 번도 없습니다. 규칙대로 자연스럽게 섞어 주세요.")
-    if shouts > 4:
-        found.append(f"느낌표가 {shouts}회입니다. 4회 이하로 줄여 주세요.")
-    if asks > 6:
-        found.append(f"질문이 {asks}회입니다. 3회 안팎으로 줄여 주세요.")
-    if lively and not re.search(r"(?i)<(?:ol|ul)[\s>]", body) and not re.search(Y.NUMBERED, body):
-        found.append("숫자를 앞세운 목록 문단이 없습니다. '확인할 세 가지'처럼 소제목에 숫자를 쓰고 항목을 나눠 주세요.")
+    n = lambda pattern, t=body: len(re.findall(pattern, t))
+    worn = [m for p in Y.CLICHES for m in re.findall(p, plain)]
+    thrice = [f"{e}({plain.count(e)}회)" for e in Y.ENDINGS if plain.count(e) > 2]
+    samples = [*list(dict.fromkeys(worn))[:5], *thrice][:5]
+    paragraphs, strong, shouts, asks = n(r"(?i)<p[\s>]"), n(r"(?i)<strong[\s>]"), n("[!！]", plain), n("[?？]", plain)
     long = sum(x > 100 for x in lengths(body))
-    if long:
-        found.append(f"100자를 넘는 긴 문장이 {long}개 있습니다. 한 문장에 한 가지 내용만 남겨 나누세요.")
-    if any(len(lengths(visible(bare(q)))) != 1 for q, _ in faq):
-        found.append("FAQ 질문은 하나의 문장으로 작성하세요.")
-    answers = [visible(bare(a)) for _, a in faq]
-    if any(len(regex.sub(T.SPACE, "", a)) > 180 or not 1 <= len(lengths(a)) <= 2 for a in answers):
-        found.append("FAQ 답변은 결론부터 1~2문장, 최대 180자로 작성하세요.")
-    return found
+    questions, answers = [lengths(visible(bare(q))) for q, _ in faq], [visible(bare(a)) for _, a in faq]
+    rules = {
+        "본문 핵심어 볼드가 부족합니다.": strong < sorted((3, paragraphs // 3, 5))[1],
+        "본문 볼드가 너무 많습니다.": 0 < 2 * paragraphs < strong,
+        "AI 상투 표현이 반복됩니다." + f" ({', '.join(samples)})" * bool(samples): worn or sum(map(plain.count, Y.ENDINGS)) > 2,
+        "독자에게 말을 거는 질문이나 느낌표가 한 번도 없습니다. 규칙대로 자연스럽게 섞어 주세요.": lively and shouts + asks == 0,
+        f"느낌표가 {shouts}회입니다. 4회 이하로 줄여 주세요.": shouts >= 5,
+        f"질문이 {asks}회입니다. 3회 안팎으로 줄여 주세요.": asks >= 7,
+        "숫자를 앞세운 목록 문단이 없습니다. '확인할 세 가지'처럼 소제목에 숫자를 쓰고 항목을 나눠 주세요.": lively and n(r"(?i)<[ou]l[\s>]") + n(Y.NUMBERED) == 0,
+        f"100자를 넘는 긴 문장이 {long}개 있습니다. 한 문장에 한 가지 내용만 남겨 나누세요.": long,
+        "FAQ 질문은 하나의 문장으로 작성하세요.": {len(x) for x in questions} - {1},
+        "FAQ 답변은 결론부터 1~2문장, 최대 180자로 작성하세요.": [a for a in answers if len(lengths(a)) not in (1, 2) or len(regex.sub(T.SPACE, "", a)) > 180],
+    }
+    return [message for message, holds in rules.items() if holds]
 
 
 def publication(body, faq, urls, portfolio):
@@ -223,69 +206,47 @@ def test_functions_in_sql(spark):
 
 
 def plain_metadata(m):
-    """The rules over one parsed document."""
-    sha = lambda x: isinstance(x, str) and re.fullmatch("(?i)[a-f0-9]{64}", x)
-    whole = lambda xs: [x for x in xs or [] if isinstance(x, int) and x >= 0]
-    html, mock = (m.get("generated") or {}).get("bodyHtml") or "", m.get("portfolioMockup") or {}
-    assets = [a for a in m.get("portfolioAssets") or [] if a["kind"] in ("thumbnail", "body_image")]
-    body = [a for a in assets if a["kind"] == "body_image"]
-    n, raw = mock.get("bodyBoardCount"), mock.get("selectedSlideIndexes") or []
-    rendered, selected = sorted({x for a in assets for x in whole(a.get("slideIndexes"))}), whole(raw)
-    odd = lambda a: not a.get("slideIndexes") or len(set(whole(a["slideIndexes"]))) != len(a["slideIndexes"])
-    out = []
-    if not selected:
-        out.append("선정 장표 기록이 비어 있어 포트폴리오 자산을 검증할 수 없습니다.")
-    if not rendered:
-        out.append("대표 썸네일과 본문 목업에 연결된 렌더링 장표 기록이 비어 있습니다.")
-    if not assets or any(map(odd, assets)):
-        out.append("대표 썸네일과 모든 본문 목업은 비어 있지 않은 고유 장표 인덱스를 가져야 합니다.")
-    if not sha(m.get("portfolioSourceFingerprint")):
-        out.append("현재 원본과 일치하는 포트폴리오 목업 생성 기록이 없습니다.")
-    if m.get("portfolioRuleVersion") != "2026-08-05-public-visual-overrides-v9":
-        out.append("현재 포트폴리오 템플릿·기밀 규칙으로 다시 만든 기록이 없습니다.")
-    if not m.get("portfolioGenerationId"):
-        out.append("현재 포트폴리오 디자인 세대 기록이 없습니다.")
-    least, mode = 5, mock.get("mode")
-    if mode == "short_psd":
-        least = 4
-        if n != 4:
-            out.append("짧은 문서는 본문 목업 4장이 모두 확인되어야 합니다.")
-    elif mode == "six_grid":
-        good = n is not None and 3 <= n <= 5
-        least = n if good else 3
-        if not good:
-            out.append("긴 문서는 중복 없는 6장 묶음의 본문 목업 3~5장이 확인되어야 합니다.")
-    else:
-        out.append("포트폴리오 목업 제작 방식을 확인할 수 없습니다.")
-    if mock.get("redactionStatus") != "verified":
-        out.append("기밀 블러 검수를 통과하지 않았습니다.")
-    p = m.get("redactionProof") or {}
-    slides = sorted(p.get("slides") or [], key=lambda s: s["slideIndex"])
-    sound = [sha(s["sourceHash"]) and sha(s["redactedHash"]) and (s["changedPixelRatio"] == 0 and s["sourceHash"] == s["redactedHash"] if s["regionCount"] == 0 else 0 < s["changedPixelRatio"] <= 1 and s["sourceHash"] != s["redactedHash"]) for s in slides]
-    if not (p.get("version") == 2 and p.get("method") == M.METHOD and p.get("verified") and p.get("sourceFingerprint") == (m.get("portfolioSourceFingerprint") or "") and sha(p.get("manifestHash")) and rendered and [s["slideIndex"] for s in slides] == rendered and all(sound)):
-        out.append("현재 원본에 연결된 선택적 가림 proof v2가 완전하지 않습니다.")
-    figures, images = (len(re.findall(rf"(?i)<{t}[\s>]", html)) for t in ("figure", "img"))
-    if figures < least:
-        out.append(f"본문용 다중 페이지 목업이 {least}개 미만입니다.")
-    if figures != images:
-        out.append("본문 이미지는 모두 figure 안에 배치해야 합니다.")
-    if re.search(r"(?i)</figure>\s*<figure[\s>]", html):
-        out.append("본문 이미지가 설명 없이 연속으로 배치되어 있습니다.")
-    if figures and not re.search(r"(?is)<p[\s>].*?</p>\s*<figure[\s>]", html):
-        out.append("이미지는 관련 설명 문단 다음에 배치해야 합니다.")
-    if n is not None and figures != n:
-        out.append(f"본문 figure 수가 목업 기록 {n}장과 일치하지 않습니다.")
-    if n is not None and len(body) != n:
-        out.append(f"저장된 본문 목업 자산 수가 기록 {n}장과 일치하지 않습니다.")
-    flat = [x for a in body for x in whole(a.get("slideIndexes"))]
-    if any(odd(a) or mode == "six_grid" and len(whole(a["slideIndexes"])) != 6 for a in body) or len(set(flat)) != len(flat) or mode == "six_grid" and n is not None and len(flat) != 6 * n:
-        out.append("본문 목업 장표는 자산별 고유 인덱스로 구성되어야 하며 긴 문서는 자산마다 정확히 6장이어야 합니다.")
-    if len(set(selected)) != len(selected) or len(selected) != len(raw) or set(selected) != set(flat):
-        out.append("선정 장표 기록과 실제 본문 목업 자산의 장표 구성이 일치하지 않습니다.")
-    shown = [x.replace("&amp;", "&") for x in re.findall(r"""(?i)<img\b[^>]*\bsrc\s*=\s*["']([^"']+)["'][^>]*>""", html)]
-    if sorted(shown) != sorted(a["url"].replace("&amp;", "&") for a in body if a.get("url")):
-        out.append("본문 이미지 URL이 현재 기밀 블러 검수를 통과한 목업 자산과 일치하지 않습니다.")
-    return out
+    """The rules over one parsed document, as a table of messages."""
+    sha = lambda x: bool(re.fullmatch("(?i)[a-f0-9]{64}", x or ""))
+    good = lambda xs: [x for x in xs or [] if x >= 0]
+    html, mock, proof = (m.get("generated") or {}).get("bodyHtml") or "", m.get("portfolioMockup") or {}, m.get("redactionProof") or {}
+    mode, n, raw = mock.get("mode"), mock.get("bodyBoardCount"), mock.get("selectedSlideIndexes") or []
+    lists = {kind: [a.get("slideIndexes") or [] for a in m.get("portfolioAssets") or [] if a["kind"] == kind] for kind in ("thumbnail", "body_image")}
+    every, boards = [*lists["thumbnail"], *lists["body_image"]], lists["body_image"]
+    rendered, flat = {x for xs in every for x in good(xs)}, [x for xs in boards for x in good(xs)]
+    bad = lambda xs: not xs or len(set(good(xs))) < len(xs)
+    figures, images = len(re.findall(r"(?i)<figure[\s>]", html)), re.findall(r"(?i)<img\b[^>]*>", html)
+    least = {"short_psd": 4, "six_grid": n if n in (3, 4, 5) else 3}.get(mode, 5)
+    plain = lambda u: u.replace("&amp;", "&")
+    shown = sorted(plain(x) for x in re.findall(r"""(?i)<img\b[^>]*\bsrc\s*=\s*["']([^"']+)["'][^>]*>""", html))
+    urls = sorted(plain(a["url"]) for a in m.get("portfolioAssets") or [] if a["kind"] == "body_image" and a.get("url"))
+    traces = [0 <= s["changedPixelRatio"] <= 1 and sha(s["sourceHash"]) and sha(s["redactedHash"]) and (s["regionCount"] > 0) == (s["changedPixelRatio"] > 0) == (s["sourceHash"] != s["redactedHash"]) for s in proof.get("slides") or []]
+    source = m.get("portfolioSourceFingerprint") or ""
+    bound = [proof.get("version"), proof.get("method"), proof.get("verified"), proof.get("sourceFingerprint")] == [2, M.METHOD, True, source] and sha(proof.get("manifestHash"))
+    slides = sorted(s["slideIndex"] for s in proof.get("slides") or [])
+    table = {
+        "선정 장표 기록이 비어 있어 포트폴리오 자산을 검증할 수 없습니다.": not good(raw),
+        "대표 썸네일과 본문 목업에 연결된 렌더링 장표 기록이 비어 있습니다.": not rendered,
+        "대표 썸네일과 모든 본문 목업은 비어 있지 않은 고유 장표 인덱스를 가져야 합니다.": not every or any(map(bad, every)),
+        "현재 원본과 일치하는 포트폴리오 목업 생성 기록이 없습니다.": not sha(source),
+        "현재 포트폴리오 템플릿·기밀 규칙으로 다시 만든 기록이 없습니다.": m.get("portfolioRuleVersion") != "2026-08-05-public-visual-overrides-v9",
+        "현재 포트폴리오 디자인 세대 기록이 없습니다.": not m.get("portfolioGenerationId"),
+        "짧은 문서는 본문 목업 4장이 모두 확인되어야 합니다.": mode == "short_psd" and n != 4,
+        "긴 문서는 중복 없는 6장 묶음의 본문 목업 3~5장이 확인되어야 합니다.": mode == "six_grid" and n not in (3, 4, 5),
+        "포트폴리오 목업 제작 방식을 확인할 수 없습니다.": mode not in ("short_psd", "six_grid"),
+        "기밀 블러 검수를 통과하지 않았습니다.": mock.get("redactionStatus") != "verified",
+        "현재 원본에 연결된 선택적 가림 proof v2가 완전하지 않습니다.": not (bound and rendered and slides == sorted(rendered) and all(traces)),
+        f"본문용 다중 페이지 목업이 {least}개 미만입니다.": figures < least,
+        "본문 이미지는 모두 figure 안에 배치해야 합니다.": figures != len(images),
+        "본문 이미지가 설명 없이 연속으로 배치되어 있습니다.": re.search(r"(?i)</figure>\s*<figure[\s>]", html),
+        "이미지는 관련 설명 문단 다음에 배치해야 합니다.": figures and not re.search(r"(?is)<p[\s>].*?</p>\s*<figure[\s>]", html),
+        f"본문 figure 수가 목업 기록 {n}장과 일치하지 않습니다.": n not in (None, figures),
+        f"저장된 본문 목업 자산 수가 기록 {n}장과 일치하지 않습니다.": n not in (None, len(boards)),
+        "본문 목업 장표는 자산별 고유 인덱스로 구성되어야 하며 긴 문서는 자산마다 정확히 6장이어야 합니다.": any(map(bad, boards)) or len(set(flat)) < len(flat) or mode == "six_grid" and ({len(good(xs)) for xs in boards} - {6} or n is not None and len(flat) != 6 * n),
+        "선정 장표 기록과 실제 본문 목업 자산의 장표 구성이 일치하지 않습니다.": len(set(good(raw))) < len(raw) or set(raw) != set(flat),
+        "본문 이미지 URL이 현재 기밀 블러 검수를 통과한 목업 자산과 일치하지 않습니다.": shown != urls,
+    }
+    return [message for message, holds in table.items() if holds]
 
 
 def test_portfolio_metadata(spark):
@@ -298,4 +259,4 @@ def test_portfolio_metadata(spark):
     assert [] in got.values() and len({x for v in got.values() for x in v}) >= 15
     odd = ["{}", '{"portfolioMockup": {"mode": "six_grid", "bodyBoardCount": 4, "selectedSlideIndexes": [1, -2]}, "portfolioAssets": [{"kind": "body_image", "url": null, "slideIndexes": null}, {"kind": "other"}]}']
     rows = spark.createDataFrame([(x,) for x in odd], "m string")
-    assert {r["m"]: list(r["i"]) for r in rows.select("m", G.metadata_issues(F.from_json("m", G.METADATA)).alias("i")).collect()} == {x: plain_metadata(json.loads(x)) for x in odd[:1]} | {odd[1]: plain_metadata(json.loads(odd[1].replace('"slideIndexes": null', '"slideIndexes": []').replace('{"kind": "other"}', '{"kind": "other", "slideIndexes": []}')))}
+    assert {r["m"]: list(r["i"]) for r in rows.select("m", G.metadata_issues(F.from_json("m", G.METADATA)).alias("i")).collect()} == {x: plain_metadata(json.loads(x)) for x in odd}
