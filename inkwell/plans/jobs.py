@@ -63,3 +63,15 @@ def scarcest(knowledge: DataFrame, k: int) -> DataFrame:
 def orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str, name: str) -> DataFrame:
     lost = child.select(F.col(fk).alias("_k")).join(parent.select(F.col(pk).alias("_k")), "_k", "left_anti")
     return lost.agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), "n")
+
+
+def hourly_operations(calls: DataFrame, slots: DataFrame, existing: DataFrame, at: str) -> DataFrame:
+    """(run, calls, scheduled): calls (id, ``at``: UTC) of an hourly job. The first call of an hour is its run, the others are skipped. A run schedules every slot (slot, weekday, hour,
+    even_weeks) of its Korean day that is due by its hour and has no work yet: neither one of ``existing`` (schedule_key) nor of an earlier run."""
+    runs = calls.groupBy(F.date_trunc("hour", at).alias("run")).agg(F.count("*").alias("calls"))
+    day = kst("run")
+    due = runs.select("run", F.to_date(day).alias("day"), F.hour(day).alias("_now"), (F.dayofweek(day) - 1).alias("weekday")).join(F.broadcast(slots), "weekday")  # a week's slots
+    due = due.where((F.col("hour") <= F.col("_now")) & (~F.col("even_weeks") | (F.weekofyear("day") % 2 == 0)))
+    keys = due.groupBy(F.concat_ws("-", F.date_format("day", "yyyy-MM-dd"), "slot").alias("schedule_key")).agg(F.min("run").alias("run"))
+    new = keys.join(existing.select("schedule_key").distinct(), "schedule_key", "left_anti").groupBy("run").agg(F.count("*").alias("scheduled"))
+    return runs.join(new, "run", "left").select("run", "calls", F.coalesce("scheduled", F.lit(0).cast("long")).alias("scheduled"))

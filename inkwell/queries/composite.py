@@ -12,6 +12,7 @@ from inkwell.functions import scoring as S
 from inkwell.functions import text as T
 from inkwell.functions import web as W
 from inkwell.operators import queue, rules, selection, similarity, upsert
+from inkwell.plans import jobs
 from inkwell.queries import query
 from inkwell.queries import sorting, state
 from inkwell.queries.filters import TS
@@ -167,9 +168,23 @@ def q11(t):
     return chosen.join(ranked, ["deck", "index"]).join(cover, "deck").select("deck", "place", "part", (F.col("part") == F.col("cover")).alias("is_cover"))
 
 
-@query("Q13_hourly_operations", "SELECT id, CASE WHEN status = 'running' AND lease_expires_at <= TIMESTAMP '1998-01-01' - INTERVAL 8 MINUTE THEN CASE WHEN attempts >= max_attempts THEN 'failed' ELSE 'waiting' END WHEN status = 'waiting' AND attempts >= max_attempts THEN 'failed' ELSE status END AS status, 1 + hour(created_at) AS slot FROM jobs")
+#: Slots of the week: name, weekday (Sunday is 0), Korean hour, and whether only even ISO weeks have it.
+_SLOTS = (("consult-tue", 2, 9, False), ("design-thu", 4, 10, False), ("home-thu", 4, 14, False), ("home-sat", 6, 9, True))
+
+
+@query(
+    "Q13_hourly_operations",
+    "WITH r AS (SELECT date_trunc('hour', ts) AS run, count(*) AS calls FROM events GROUP BY 1), k AS (SELECT run, run + INTERVAL 9 HOUR AS l FROM r), "
+    f"s AS (SELECT * FROM (VALUES {', '.join(map(str, _SLOTS))}) v(slot, weekday, hour, even_weeks)), "
+    "d AS (SELECT strftime(l, '%Y-%m-%d') || '-' || slot AS key, l::DATE AS day, min(run) AS run FROM k JOIN s ON dayofweek(l) = weekday AND hour(l) >= s.hour AND (NOT even_weeks OR weekofyear(l) % 2 = 0) GROUP BY 1, 2), "
+    "n AS (SELECT run, count(*) AS scheduled FROM d WHERE day(day) % 3 <> 0 GROUP BY 1) SELECT run, calls, coalesce(scheduled, 0) AS scheduled FROM r LEFT JOIN n USING (run)",
+)
 def q13(t):
-    return queue.reset_stale(t.jobs, TS("1998-01-01")).select("id", "status", (F.hour("created_at") + 1).alias("slot"))
+    """Each event as a call of the hourly job; every third day of a month has its work already."""
+    slots = t.spark.createDataFrame(_SLOTS, "slot string, weekday int, hour int, even_weeks boolean")
+    days = t.events.select(F.explode(F.array(F.to_date("ts"), F.date_add(F.to_date("ts"), 1))).alias("day")).distinct().where(F.dayofmonth("day") % 3 == 0)
+    existing = days.join(F.broadcast(slots.select("slot")), F.lit(True)).select(F.concat_ws("-", F.date_format("day", "yyyy-MM-dd"), "slot").alias("schedule_key"))
+    return jobs.hourly_operations(t.events, slots, existing, "ts").withColumn("run", F.col("run").cast("timestamp_ntz"))
 
 
 @query("Q15_review_with_cache")
