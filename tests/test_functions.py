@@ -85,8 +85,20 @@ def test_bots_and_urls(spark):
 
 
 def test_json_repair(spark):
-    assert one(spark, jsons.first_value(F.col("t")), t="none") is None
-    assert one(spark, jsons.first_value(F.col("t")), t='```json\n{"a": 2}\n```').strip() == '{"a": 2}'
+    cases = {
+        "none": None,
+        '```json\n{"a": 2}\n```': '{"a":2}',
+        ' {"a": "x"} ': '{"a":"x"}',
+        'so: {"a": [1, 2]} and {"b": 1}': '{"a":[1,2]}',
+        '{"a": "line\nbreak\tand {brace"} rest': '{"a":"line\\nbreak\\tand {brace"}',
+        '[1, 2] tail': "[1,2]",
+        '{"a": 1': None,
+        '{"a": NaN}': None,
+        "": None,
+        None: None,
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", jsons.first_value(F.col("t")).alias("v")).collect()
+    assert {r["t"]: r["v"] for r in rows} == cases
 
 
 def test_summary_cut(spark):
@@ -227,6 +239,7 @@ def test_queries_without_sql_cover_all_rows(spark):
     class Rows:
         articles = spark.createDataFrame([(k, t, t, s) for k, t, s in docs], "doc_id long, title string, body string, source string")
         pages = spark.createDataFrame([(1, "x" * 5000 + "&amp;")], "page_id long, html string")
+        labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
 
     assert {r["doc_id"] for r in sorting.w11(Rows).collect()} == {r["doc_id"] for r in state.t11(Rows).collect()} == {d[0] for d in docs}
     assert texts.fs03(Rows).first()["html"] == "x" * 5000 + "&"
