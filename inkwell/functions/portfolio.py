@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ METADATA = (
 )
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of ``value``, which is found once, however often ``then`` names it: expressions stand in a plan as often as they are named."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def _count(html: Column, pattern: str) -> Column:
     return F.regexp_count(html, F.lit(pattern))
 
@@ -45,6 +52,10 @@ def _whole(indexes: Column) -> Column:
 
 def proof_holds(proof: Column, fingerprint: Column, slides: Column) -> Column:
     """Whether a proof of redaction is of this source and of exactly these slides, and each slide's hashes and changed pixels go with the number of its regions."""
+    return _let(F.struct(proof.alias("proof"), fingerprint.alias("fingerprint"), slides.alias("slides")), lambda x: _proof_holds(x["proof"], x["fingerprint"], x["slides"]))
+
+
+def _proof_holds(proof: Column, fingerprint: Column, slides: Column) -> Column:
     wanted = F.array_sort(slides)
 
     def sound(s: Column) -> Column:
@@ -61,23 +72,38 @@ def proof_holds(proof: Column, fingerprint: Column, slides: Column) -> Column:
 
 def metadata_issues(m: Column) -> Column:
     """Everything that keeps a portfolio article from publication, by its metadata (``METADATA``)."""
+    return _let(m, _metadata_issues)
+
+
+def _metadata_issues(m: Column) -> Column:
+    kinds = "array<struct<kind:string,url:string,slideIndexes:array<int>>>"
+    kept = F.filter(F.coalesce(m["portfolioAssets"], F.array().cast(kinds)), lambda a: a["kind"].isin("thumbnail", "body_image"))
+    return _let(kept, lambda assets: _let(F.filter(assets, lambda a: a["kind"] == "body_image"), lambda body: _let(_indexes(m, assets, body), lambda x: _issues_of(m, assets, body, x))))
+
+
+def _valid(indexes: Column) -> Column:
+    return F.filter(F.coalesce(indexes, F.array().cast("array<int>")), lambda x: x >= 0)
+
+
+def _indexes(m: Column, assets: Column, body: Column) -> Column:
+    """Slides that were rendered, that were chosen, and those of the boards."""
+    each = lambda xs: F.flatten(F.transform(xs, lambda a: _valid(a["slideIndexes"])))
+    return F.struct(F.array_sort(F.array_distinct(each(assets))).alias("rendered"), _valid(m["portfolioMockup"]["selectedSlideIndexes"]).alias("selected"), each(body).alias("flat"))
+
+
+def _issues_of(m: Column, assets: Column, body: Column, indexes: Column) -> Column:
     none = F.array().cast("array<int>")
     html = F.coalesce(m["generated"]["bodyHtml"], F.lit(""))
     mockup, boards = m["portfolioMockup"], m["portfolioMockup"]["bodyBoardCount"]
-    assets = F.filter(F.coalesce(m["portfolioAssets"], F.array().cast("array<struct<kind:string,url:string,slideIndexes:array<int>>>")), lambda a: a["kind"].isin("thumbnail", "body_image"))
-    body = F.filter(assets, lambda a: a["kind"] == "body_image")
-    valid = lambda xs: F.filter(F.coalesce(xs, none), lambda x: x >= 0)
-    rendered = F.array_sort(F.array_distinct(F.flatten(F.transform(assets, lambda a: valid(a["slideIndexes"])))))
     raw = F.coalesce(mockup["selectedSlideIndexes"], none)
-    selected = valid(raw)
+    rendered, selected, flat = indexes["rendered"], indexes["selected"], indexes["flat"]
     odd = lambda a: (F.size(F.coalesce(a["slideIndexes"], none)) == 0) | ~_whole(F.coalesce(a["slideIndexes"], none)) | ~_different(F.coalesce(a["slideIndexes"], none))
     short, long = mockup["mode"] == "short_psd", mockup["mode"] == "six_grid"
     is_short, is_long = F.coalesce(short, F.lit(False)), F.coalesce(long, F.lit(False))
     fits = F.coalesce(boards.between(3, 5), F.lit(False))
     least = F.when(is_short, 4).when(is_long, F.when(fits, boards).otherwise(3)).otherwise(5)
     figures = _count(html, r"(?i)<figure[\s>]")
-    flat = F.flatten(F.transform(body, lambda a: valid(a["slideIndexes"])))
-    uneven = F.exists(body, lambda a: odd(a) | (is_long & a["slideIndexes"].isNotNull() & (F.size(valid(a["slideIndexes"])) != 6))) | ~_different(flat) | F.coalesce(is_long & (F.size(flat) != boards * 6), F.lit(False))
+    uneven = F.exists(body, lambda a: odd(a) | (is_long & a["slideIndexes"].isNotNull() & (F.size(_valid(a["slideIndexes"])) != 6))) | ~_different(flat) | F.coalesce(is_long & (F.size(flat) != boards * 6), F.lit(False))
     chosen, used = F.array_sort(F.array_distinct(selected)), F.array_sort(F.array_distinct(flat))
     apart = (F.size(selected) != F.size(chosen)) | (F.size(selected) != F.size(raw)) | (chosen != used)
     plain = lambda u: F.replace(u, F.lit("&amp;"), F.lit("&"))
