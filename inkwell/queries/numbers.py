@@ -355,10 +355,10 @@ def fa11(t):
 @query("FA12_proof", "SELECT l_orderkey, l_orderkey % 13 <> 0 AND l_orderkey % 29 <> 0 AS verified FROM lineitem GROUP BY 1")
 def fa12(t):
     """The proofs of P31's articles: of another source, or with a share of pixels that can't be, they don't hold."""
-    m = F.from_json("metadata", G.METADATA)
+    rows, m = portfolio_metadata(t).select("l_orderkey", F.from_json("metadata", G.METADATA).alias("m")), F.col("m")  # read once
     rendered = F.array_distinct(F.flatten(F.transform(m["portfolioAssets"], lambda a: a["slideIndexes"])))
     held = G.proof_holds(m["redactionProof"], m["portfolioSourceFingerprint"], rendered)
-    return portfolio_metadata(t).select("l_orderkey", held.alias("verified"))
+    return rows.select("l_orderkey", held.alias("verified"))
 
 
 @query("FA13_entries", "SELECT event_id, 'k' AS field, props->>'$.k' AS value FROM events")
