@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Version and method, and the labels that each type of region may have.
@@ -38,67 +36,79 @@ ERRORS = {
 }
 
 
-def _whole(name: str, path: str):
+def _whole(value: Column, path: str):
     """A JSON number without a fraction, else null: texts and true aren't numbers."""
-    v = F.try_variant_get(F.col(name), path, "variant")
-    value = F.try_variant_get(F.col(name), path, "double")
-    return F.when(F.schema_of_variant(v).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & (value == F.floor(value)), value.cast("long"))
+    v = F.try_variant_get(value, path, "variant")
+    number = F.try_variant_get(value, path, "double")
+    return F.when(F.schema_of_variant(v).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & (number == F.floor(number)), number.cast("long"))
 
 
-def _number(name: str, path: str):
-    v = F.try_variant_get(F.col(name), path, "variant")
-    return F.when(F.schema_of_variant(v).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(F.col(name), path, "double"))
+def _number(value: Column, path: str):
+    v = F.try_variant_get(value, path, "variant")
+    return F.when(F.schema_of_variant(v).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(value, path, "double"))
 
 
-def _text(name: str, path: str):
-    v = F.try_variant_get(F.col(name), path, "variant")
-    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(F.col(name), path, "string"))
+def _text(value: Column, path: str):
+    v = F.try_variant_get(value, path, "variant")
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(value, path, "string"))
 
 
-def manifest_issues(manifests: DataFrame, key: str, body: str, expected: str) -> DataFrame:
-    """(key, place, path, code): a row for everything that is wrong with each manifest (``body``: JSON; ``expected``: its number of slides), in the order of
-    ``place``. Slides and regions are exploded from the variant, so a manifest of any size is spread over its slides; numbers of source slides must rise."""
-    rows = manifests.select(key, F.col(expected).alias("_n"), F.try_parse_json(body).alias("_v"))
-    whole = F.schema_of_variant("_v").startswith("OBJECT")
-    source = _whole("_v", "$.sourceSlideCount")
-    slides = F.try_variant_get(F.col("_v"), "$.slides", "array<variant>")
-    top = rows.select(key, "_n", "_v", F.coalesce(whole, F.lit(False)).alias("_object"), source.alias("_source"), slides.alias("_slides"), F.size(slides).alias("_m"), _whole("_v", "$.slideCount").alias("_count"), _whole("_v", "$.version").alias("_version"), _text("_v", "$.method").alias("_method"))
+def _with_issues(manifests: DataFrame, body: str, expected: str) -> DataFrame:
+    """``manifests`` with _issues: structs of place, path and code. Each manifest is read once, in its row: nothing is shuffled."""
+    rows = manifests.withColumns({"_n": F.col(expected), "_v": F.try_parse_json(body)})
+    v = F.col("_v")
+    slides = F.try_variant_get(v, "$.slides", "array<variant>")
+    rows = rows.withColumns({"_object": F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)), "_source": _whole(v, "$.sourceSlideCount"), "_slides": slides, "_count": _whole(v, "$.slideCount"), "_version": _whole(v, "$.version"), "_method": _text(v, "$.method")})
+    fact = lambda s: F.struct(_whole(s, "$.slideIndex").alias("index"), _whole(s, "$.sourceSlideNumber").alias("from"), _text(s, "$.inspectionStatus").alias("status"), F.try_variant_get(s, "$.regions", "array<variant>").alias("regions"))
+    known = F.slice("_slides", F.lit(1), F.greatest(F.lit(0), F.coalesce(F.col("_n").cast("int"), F.lit(0))))
+    rows = rows.withColumn("_facts", F.when(F.col("_object"), F.transform(known, fact)))
     ok = lambda c: F.coalesce(c, F.lit(False))
-    some = lambda df, place, path, code, wrong: df.where(wrong).select(key, F.lit(place).cast("long").alias("place"), F.lit(path).alias("path"), F.lit(code).alias("code"))
-    found = [
-        some(top, 0, "$", "expected", ~ok(F.col("_n").between(*SLIDES))),
-        some(top, 1, "$", "missing", ~F.col("_object")),
-        some(top, 2, "$.version", "version", F.col("_object") & ~ok(F.col("_version") == VERSION)),
-        some(top, 3, "$.method", "method", F.col("_object") & ~ok(F.col("_method") == METHOD)),
-        some(top, 4, "$.sourceSlideCount", "source_count", F.col("_object") & ~ok(F.col("_source").between(F.col("_n"), F.lit(SOURCE_SLIDES)))),
-        some(top, 5, "$.slideCount", "count", F.col("_object") & ~ok((F.col("_count") == F.col("_n")) & F.col("_slides").isNotNull())),
-        some(top, 6, "$.slides", "cover", F.col("_object") & F.col("_slides").isNotNull() & (F.col("_m") != F.col("_n"))),
+    issue = lambda wrong, place, path, code: F.when(wrong, F.struct(place.cast("long").alias("place"), path.alias("path"), F.lit(code).alias("code")))
+    top = lambda wrong, place, path, code: issue(wrong, F.lit(place), F.lit(path), code)
+    whole, n, has = F.col("_object"), F.col("_n"), F.col("_slides").isNotNull()
+    head = [
+        top(~ok(n.between(*SLIDES)), 0, "$", "expected"),
+        top(~whole, 1, "$", "missing"),
+        top(whole & ~ok(F.col("_version") == VERSION), 2, "$.version", "version"),
+        top(whole & ~ok(F.col("_method") == METHOD), 3, "$.method", "method"),
+        top(whole & ~ok(F.col("_source").between(n, F.lit(SOURCE_SLIDES))), 4, "$.sourceSlideCount", "source_count"),
+        top(whole & ~ok((F.col("_count") == n) & has), 5, "$.slideCount", "count"),
+        top(whole & ok(has & (F.size("_slides") != n)), 6, "$.slides", "cover"),
     ]
-    each = top.where("_object").select(key, "_n", "_source", F.posexplode("_slides").alias("_i", "_s")).where(F.col("_i") < F.col("_n"))
-    regions = F.try_variant_get(F.col("_s"), "$.regions", "array<variant>")
-    each = each.select(key, "_i", "_source", _whole("_s", "$.slideIndex").alias("_index"), _whole("_s", "$.sourceSlideNumber").alias("_from"), _text("_s", "$.inspectionStatus").alias("_status"), regions.alias("_regions"))
-    order = Window.partitionBy(key).orderBy("_i")
-    rises = F.col("_from") > F.coalesce(F.lag("_from").over(order), F.lit(0))
-    good = (F.col("_index") == F.col("_i")) & F.col("_from").between(F.lit(1), F.col("_source")) & rises & (F.col("_status") == "verified") & (F.size("_regions") <= SLIDE_REGIONS)
-    each = each.withColumns({"_good": ok(good), "_so_far": F.sum(F.coalesce(F.size("_regions"), F.lit(0))).over(order)})
-    at = lambda code, offset: (F.lit(10) + F.col("_i").cast("long") * 3 + offset).alias("place")
-    path = F.concat(F.lit("$.slides["), F.col("_i"), F.lit("]"))
-    found.append(each.where(~F.col("_good")).select(key, at("slide", 0), path.alias("path"), F.lit("slide").alias("code")))
-    found.append(each.where(F.col("_so_far") > REGIONS).select(key, at("regions", 2), path.alias("path"), F.lit("regions").alias("code")))
-    parts = each.select(key, "_i", F.posexplode("_regions").alias("_j", "_r"))
-    parts = parts.select(key, "_i", "_j", _whole("_r", "$.slideIndex").alias("_index"), _text("_r", "$.type").alias("_type"), _text("_r", "$.label").alias("_label"), *[_number("_r", f"$.{c}").alias(f"_{c}") for c in ("x", "y", "width", "height")])
-    label = F.array_contains(F.array(*[F.lit(f"{t}/{x}") for t, xs in LABELS.items() for x in xs]), F.concat_ws("/", "_type", "_label"))
-    inside = (F.col("_x") >= 0) & (F.col("_y") >= 0) & (F.col("_width") >= LEAST_SIDE) & (F.col("_height") >= LEAST_SIDE) & (F.col("_x") <= 1) & (F.col("_y") <= 1) & (F.col("_x") + F.col("_width") <= 1.000001) & (F.col("_y") + F.col("_height") <= 1.000001)
-    bad = parts.where(~ok((F.col("_index") == F.col("_i")) & label & inside))
-    found.append(bad.select(key, at("region", 1), F.concat(path, F.lit(".regions["), F.col("_j"), F.lit("]")).alias("path"), F.lit("region").alias("code")))
-    return reduce(DataFrame.unionByName, found)
+    at = lambda i, offset: F.lit(10) + i.cast("long") * 3 + offset
+    path = lambda i: F.concat(F.lit("$.slides["), i, F.lit("]"))
+    count = lambda x: F.coalesce(F.array_size(x["regions"]), F.lit(0))
+    held = lambda xs: F.aggregate(xs, F.lit(0), lambda so_far, x: so_far + count(x))
+
+    def of_slide(x: Column, i: Column) -> Column:
+        rises = x["from"] > F.coalesce(F.get("_facts", i - 1)["from"], F.lit(0))
+        good = (x["index"] == i) & x["from"].between(F.lit(1), F.col("_source")) & rises & (x["status"] == "verified") & (F.array_size(x["regions"]) <= SLIDE_REGIONS)
+        many = (F.col("_held") > REGIONS) & (held(F.slice("_facts", F.lit(1), i + 1)) > REGIONS)
+        return F.array(issue(~ok(good), at(i, 0), path(i), "slide"), issue(ok(many), at(i, 2), path(i), "regions"))
+
+    labels = F.array(*[F.lit(f"{t}/{x}") for t, xs in LABELS.items() for x in xs])
+    part = lambda r: F.struct(_whole(r, "$.slideIndex").alias("index"), _text(r, "$.type").alias("type"), _text(r, "$.label").alias("label"), *[_number(r, f"$.{c}").alias(c) for c in ("x", "y", "width", "height")])
+
+    def of_region(p: Column, i: Column, j: Column) -> Column:
+        inside = (p["x"] >= 0) & (p["y"] >= 0) & (p["width"] >= LEAST_SIDE) & (p["height"] >= LEAST_SIDE) & (p["x"] <= 1) & (p["y"] <= 1) & (p["x"] + p["width"] <= 1.000001) & (p["y"] + p["height"] <= 1.000001)
+        good = (p["index"] == i) & F.array_contains(labels, F.concat_ws("/", p["type"], p["label"])) & inside
+        return issue(~ok(good), at(i, 1), F.concat(path(i), F.lit(".regions["), j, F.lit("]")), "region")
+
+    of_regions = lambda x, i: F.transform(F.transform(F.coalesce(x["regions"], F.array().cast("array<variant>")), part), lambda p, j: of_region(p, i, j))
+    found = [F.array(*head), *[F.coalesce(F.flatten(F.transform("_facts", f)), F.array().cast("array<struct<place:bigint,path:string,code:string>>")) for f in (of_slide, of_regions)]]
+    return rows.withColumn("_held", held(F.col("_facts"))).withColumn("_issues", F.array_compact(F.concat(*found)))
+
+
+def manifest_issues(manifests: DataFrame, key: str, body: str, expected: str) -> DataFrame:
+    """(key, place, path, code): a row for everything that is wrong with each manifest (``body``: JSON; ``expected``: its number of slides), in the order of
+    ``place``; numbers of source slides must rise."""
+    return _with_issues(manifests, body, expected).select(key, F.inline("_issues"))
 
 
 def first_manifest_error(manifests: DataFrame, key: str, body: str, expected: str) -> DataFrame:
     """(key, error): the first thing that is wrong with each manifest, null where nothing is."""
-    found = manifest_issues(manifests, key, body, expected)
-    first = found.groupBy(key).agg(F.min(F.struct("place", "code")).alias("f"))
+    first = _with_issues(manifests, body, expected).select(key, F.array_min(F.transform("_issues", lambda x: F.struct(x["place"], x["code"]))).alias("f"))
     messages = F.create_map(*[F.lit(x) for pair in ERRORS.items() for x in pair])
     slide = F.floor((F.col("f.place") - 10) / 3).cast("string")
     error = F.replace(F.element_at(messages, F.col("f.code")), F.lit("{}"), slide)
-    return manifests.select(key).join(first.select(key, error.alias("error")), key, "left")
+    return first.select(key, error.alias("error"))
