@@ -260,3 +260,13 @@ def test_portfolio_metadata(spark):
     odd = ["{}", '{"portfolioMockup": {"mode": "six_grid", "bodyBoardCount": 4, "selectedSlideIndexes": [1, -2]}, "portfolioAssets": [{"kind": "body_image", "url": null, "slideIndexes": null}, {"kind": "other"}]}']
     rows = spark.createDataFrame([(x,) for x in odd], "m string")
     assert {r["m"]: list(r["i"]) for r in rows.select("m", G.metadata_issues(F.from_json("m", G.METADATA)).alias("i")).collect()} == {x: plain_metadata(json.loads(x)) for x in odd}
+
+
+def test_rules_read_their_json_once(spark):
+    """A manifest is judged in its row, without joins; metadata stands in the plan once."""
+    from inkwell.functions import portfolio as G
+
+    rows = spark.createDataFrame([(1, "{}", 5)], "k long, body string, n int")
+    assert "Exchange" not in M.first_manifest_error(rows, "k", "body", "n")._jdf.queryExecution().executedPlan().toString()
+    found = rows.select(G.metadata_issues(F.from_json("body", G.METADATA)).alias("i"))
+    assert found._jdf.queryExecution().analyzed().toString().count("from_json(") == 1
