@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,37 +45,19 @@ def luhn(digits: Column) -> Column:
     return F.call_function("luhn_check", d) & F.length(d).between(13, 19) & ~d.rlike(r"^(\d)\1*$")
 
 
-def _passes_luhn(text: str) -> bool:
-    d = [int(c) for c in text if c.isdigit()]
-    if not 13 <= len(d) <= 19 or len(set(d)) == 1:
-        return False
-    return sum(x if k % 2 == 0 else x * 2 - 9 * (x > 4) for k, x in enumerate(reversed(d))) % 10 == 0
+_CHECKS = {"luhn": luhn, "10 to 16 digits": lambda t: F.length(F.regexp_replace(t, "[^0-9]", "")).between(10, 16)}
 
 
-_CHECKS = {"luhn": _passes_luhn, "10 to 16 digits": lambda t: 10 <= sum(c.isdigit() for c in t) <= 16}
-
-
-def _checked(pattern: str, value: str, check: str):
-    """A pass whose matches must hold a check of their digits, in Arrow batches: (text, n)."""
-    find, holds = re.compile(pattern), _CHECKS[check]
-
-    @F.pandas_udf("text string, n int")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        out, counts = [], []
-        for text in texts:
-            n = 0
-
-            def put(m):
-                nonlocal n
-                good = holds(m[0])
-                n += good
-                return value if good else m[0]
-
-            out.append(find.sub(put, text))
-            counts.append(n)
-        return pd.DataFrame({"text": out, "n": counts})
-
-    return run
+def _checked(df: DataFrame, seen: Column, pattern: str, value: str, holds: Callable[[Column], Column], count: str) -> DataFrame:
+    """A pass over ``_text`` whose matches must hold a check of their digits; adds how many do."""
+    found = F.when(seen, F.regexp_extract_all("_text", F.lit(pattern), F.lit(0)))
+    out = df.withColumn("_found", found)
+    out = out.withColumn("_found", F.when(F.array_size("_found") > 0, F.transform("_found", lambda m: F.struct(m.alias("m"), holds(m).alias("good")))))
+    # the matches stand between the parts of the text, which are one more
+    put = lambda part, m: F.concat(part, F.coalesce(F.when(m["good"], value).otherwise(m["m"]), F.lit("")))
+    whole = F.array_join(F.zip_with(F.split("_text", pattern, -1), F.col("_found"), put), "")
+    n = F.coalesce(F.array_size(F.filter("_found", lambda m: m["good"])), F.lit(0))
+    return out.withColumns({count: n, "_text": F.when(F.col("_found").isNotNull(), whole).otherwise(F.col("_text"))}).drop("_found")
 
 
 def with_redaction(df: DataFrame, text: str, into: str = "redaction", terms: Sequence[str] = ()) -> DataFrame:
@@ -85,15 +66,21 @@ def with_redaction(df: DataFrame, text: str, into: str = "redaction", terms: Seq
     words = sorted(dict.fromkeys(t.strip() for t in terms if len(t.strip()) > 1), key=len, reverse=True)
     passes = [*PASSES, *(("custom", "(?iu)" + re.escape(w), "[SENSITIVE]", None) for w in words)]
     out = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    for k, (_, pattern, value, check) in enumerate(passes):
+    # what no replacement brings into a text: a pass that needs it is left out where it is missing
+    out = out.withColumns({"_digit": F.col("_text").rlike("[0-9]"), "_mark": F.col("_text").contains("@"), "_hangul": F.col("_text").rlike("[가-힣]")})
+    for k, (kind, pattern, value, check) in enumerate(passes):
+        seen = {"email": F.col("_mark"), "name": F.col("_hangul"), "address": F.col("_hangul"), "custom": F.lit(True)}.get(kind, F.col("_digit"))
         if check:
-            out = out.withColumn("_found", _checked(pattern, value, check)(F.col("_text"))).withColumns({f"_n{k}": F.col("_found.n"), "_text": F.col("_found.text")}).drop("_found")
+            out = _checked(out, seen, pattern, value, _CHECKS[check], f"_n{k}")
+        elif "$" in value:
+            out = out.withColumns({f"_n{k}": F.when(seen, F.regexp_count("_text", F.lit(pattern))).otherwise(0), "_text": F.when(seen, F.regexp_replace("_text", pattern, value)).otherwise(F.col("_text"))})
         else:
-            out = out.withColumns({f"_n{k}": F.regexp_count("_text", F.lit(pattern)), "_text": F.regexp_replace("_text", pattern, value)})
+            out = out.withColumn("_parts", F.when(seen, F.split("_text", pattern, -1)).otherwise(F.array("_text")))
+            out = out.withColumns({f"_n{k}": F.size("_parts") - 1, "_text": F.array_join("_parts", value)}).drop("_parts")
     number = {kind: sum((F.col(f"_n{k}") for k, p in enumerate(passes) if p[0] == kind), F.lit(0)) for kind in KINDS}
     total = sum((F.col(f"_n{k}") for k in range(len(passes))), F.lit(0))
     found = F.struct(F.col("_text").alias("text"), F.struct(*[v.alias(k) for k, v in number.items()]).alias("counts"), total.alias("total"))
-    return out.withColumn(into, found).drop("_text", *[f"_n{k}" for k in range(len(passes))])
+    return out.withColumn(into, found).drop("_text", "_digit", "_mark", "_hangul", *[f"_n{k}" for k in range(len(passes))])
 
 
 def high_risk_issue(text: Column) -> Column:

@@ -50,6 +50,12 @@ def test_redaction_order(spark):
     assert redact(spark, ["고객사 알파컴퍼니의 이전 전략", "알파컴퍼니 전략"], ("알파", "알파컴퍼니"))[0]["text"] == "고객사 [SENSITIVE]의 이전 전략"
 
 
+def test_redaction_needs_no_python_workers(spark):
+    rows = privacy.with_redaction(spark.createDataFrame([("card 4111 1111 1111 1111, 4111 1111 1111 1112",)], "t string"), "t")
+    assert rows.first()["redaction"]["text"] == "card [CARD], 4111 1111 1111 1112"
+    assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_risk_issues(spark):
     high, secret, named = privacy.HIGH_RISK[0], privacy.SECRET[0], privacy.NAMED[0]
     cases = {
