@@ -8,7 +8,11 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from inkwell.functions import html as H
+from inkwell.functions import style as Y
+from inkwell.functions import text as T
 from inkwell.operators import geometry, selection
 
 
@@ -99,3 +103,14 @@ def test_places_in_groups_of_any_size(spark):
         own = sorted((x[1:] for x in rows if x[0] == key))
         want |= {i: (n, len(own)) for n, (_, i) in enumerate(own)}
     assert got == want
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_and_sentences_by_few_replacements(spark):
+    rows = spark.createDataFrame([("A  b, \t　Ab 1c.  ﻿x y。z",), (None,)], "t string")
+    assert "regexp_replace" not in plan(rows.select(T.token_set(F.col("t")).alias("x"))) and plan(rows.select(T.sentence_lengths(F.col("t")).alias("x"))).count("regexp_replace") == 4
+    assert [r["w"] for r in rows.select(T.token_set(F.col("t")).alias("w")).collect()] == [["ab", "1c"], None]
+    assert [(r["s"], r["n"]) for r in rows.select(T.squeeze(F.col("t")).alias("s"), T.sentence_lengths(F.col("t")).alias("n")).collect()] == [("A b, Ab 1c. x y。z", [7, 2, 1]), (None, None)]
