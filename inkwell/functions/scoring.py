@@ -21,7 +21,12 @@ def clamp(x: Column, low: float = 0, high: float = 100) -> Column:
 def overlap(a: Column, b: Column) -> Column:
     """Common elements over the smaller set; 0 if either is empty."""
     a, b = F.array_distinct(a), F.array_distinct(b)
-    return F.coalesce(F.size(F.array_intersect(a, b)) / F.nullif(F.least(F.size(a), F.size(b)), F.lit(0)), F.lit(0.0))
+    return overlap_of(F.size(F.array_intersect(a, b)), F.size(a), F.size(b))
+
+
+def overlap_of(both: Column, n: Column, m: Column) -> Column:
+    """The same from how many elements two sets share, and their sizes."""
+    return F.coalesce(both / F.nullif(F.least(n, m), F.lit(0)), F.lit(0.0))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -30,6 +35,11 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(empty, 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(a, b)), F.lit(0)))
 
 
+def jaccard_of(both: Column, n: Column, m: Column) -> Column:
+    """The same for sets, from how many elements they share, and their sizes."""
+    return F.when((n == 0) | (m == 0), 0.0).otherwise(both / F.nullif(n + m - both, F.lit(0)))
+
+
 def novelty(topic: Column, structure: Column, body: Column, entities: Column, sources: Column, same_core: Column, stage: str) -> tuple[Column, Column]:
     """(score in hundredths, whether it is a duplicate)."""
     topic = F.greatest(topic, F.when(same_core, 0.95).otherwise(0.0))

@@ -123,28 +123,33 @@ _PAIR = (
 
 
 def _pairs(t):
+    """Each text and the next: how many different tokens they share, found once, and how many each has."""
     a = t.documents.select("doc_id", similarity.tokens(F.col("text")).alias("a"))
-    return a.join(a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b")), "doc_id")
+    pairs = a.join(a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b")), "doc_id")
+    return pairs.select("doc_id", F.size(F.array_intersect("a", "b")).alias("i"), F.size("a").alias("n"), F.size("b").alias("m"))
+
+
+_SIZES = ("i", "n", "m")
 
 
 @query("FM02_overlap", _PAIR + "SELECT doc_id, round(coalesce(i / nullif(least(len(a), len(b)), 0), 0), 6) AS overlap FROM p")
 def fm02(t):
-    return _pairs(t).select("doc_id", F.round(S.overlap(F.col("a"), F.col("b")), 6).alias("overlap"))
+    return _pairs(t).select("doc_id", F.round(S.overlap_of(*map(F.col, _SIZES)), 6).alias("overlap"))
 
 
 @query("FM03_jaccard", _PAIR + "SELECT doc_id, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0::DOUBLE ELSE round(i / (len(a) + len(b) - i), 6) END AS jaccard FROM p")
 def fm03(t):
-    return _pairs(t).select("doc_id", F.round(S.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
+    return _pairs(t).select("doc_id", F.round(S.jaccard_of(*map(F.col, _SIZES)), 6).alias("jaccard"))
 
 
 @query("FM04_jaccard_hundredths", _PAIR + "SELECT doc_id, floor(100 * CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0::DOUBLE ELSE i / (len(a) + len(b) - i) END + 0.5)::BIGINT AS score FROM p")
 def fm04(t):
-    return _pairs(t).select("doc_id", S.half_up(100 * S.jaccard(F.col("a"), F.col("b"))).alias("score"))
+    return _pairs(t).select("doc_id", S.half_up(100 * S.jaccard_of(*map(F.col, _SIZES))).alias("score"))
 
 
 @query("FM05_keywords", _PAIR + "SELECT doc_id, floor(70 * coalesce(i / nullif(least(len(a), len(b)), 0), 0) + 0.5)::BIGINT AS score FROM p")
 def fm05(t):
-    return _pairs(t).select("doc_id", S.half_up(70 * S.overlap(F.col("a"), F.col("b"))).alias("score"))
+    return _pairs(t).select("doc_id", S.half_up(70 * S.overlap_of(*map(F.col, _SIZES))).alias("score"))
 
 
 @query(
@@ -153,14 +158,14 @@ def fm05(t):
     "s AS (SELECT *, floor(100 * (j * 0.22::DOUBLE + o * 0.20::DOUBLE + j * 0.25::DOUBLE + o * 0.23::DOUBLE + j * 0.10::DOUBLE) + 0.5)::BIGINT AS score FROM f) SELECT doc_id, score, score >= 58 OR (o >= 0.5 AND j >= 0.34 AND j >= 0.6) OR (j >= 0.78 AND o >= 0.45) AS duplicate FROM s",
 )
 def fm06(t):
-    j, o = S.jaccard(F.col("a"), F.col("b")), S.overlap(F.col("a"), F.col("b"))
+    j, o = S.jaccard_of(*map(F.col, _SIZES)), S.overlap_of(*map(F.col, _SIZES))
     score, duplicate = S.novelty(j, o, j, o, j, F.lit(False), "article")
     return _pairs(t).select("doc_id", score.alias("score"), duplicate.alias("duplicate"))
 
 
 @query("FM07_history_similarity", _PAIR + "SELECT doc_id, greatest(floor(100 * CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0::DOUBLE ELSE i / (len(a) + len(b) - i) END + 0.5), floor(70 * coalesce(i / nullif(least(len(a), len(b)), 0), 0) + 0.5))::BIGINT AS score FROM p")
 def fm07(t):
-    return _pairs(t).select("doc_id", F.greatest(S.half_up(100 * S.jaccard(F.col("a"), F.col("b"))), S.half_up(70 * S.overlap(F.col("a"), F.col("b")))).alias("score"))
+    return _pairs(t).select("doc_id", F.greatest(S.half_up(100 * S.jaccard_of(*map(F.col, _SIZES))), S.half_up(70 * S.overlap_of(*map(F.col, _SIZES)))).alias("score"))
 
 
 _BITS = "list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END)"

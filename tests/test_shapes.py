@@ -114,3 +114,13 @@ def test_words_and_sentences_by_few_replacements(spark):
     assert "regexp_replace" not in plan(rows.select(T.token_set(F.col("t")).alias("x"))) and plan(rows.select(T.sentence_lengths(F.col("t")).alias("x"))).count("regexp_replace") == 4
     assert [r["w"] for r in rows.select(T.token_set(F.col("t")).alias("w")).collect()] == [["ab", "1c"], None]
     assert [(r["s"], r["n"]) for r in rows.select(T.squeeze(F.col("t")).alias("s"), T.sentence_lengths(F.col("t")).alias("n")).collect()] == [("A b, Ab 1c. x y。z", [7, 2, 1]), (None, None)]
+
+
+def test_pairs_share_tokens_once(spark, tmp_path):
+    from inkwell.queries import QUERIES
+
+    spark.createDataFrame([(1, "ab cd ef"), (2, "cd ef gh"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert plan(QUERIES["FM06_novelty"](spark, str(tmp_path))).count("array_intersect") == 1
+    assert sorted(tuple(r) for r in QUERIES["FM05_keywords"](spark, str(tmp_path)).collect()) == [(1, 47), (2, 0)]
+    near = QUERIES["FM01_cosine"](spark, str(tmp_path))
+    assert "Generate" not in plan(near) and sorted(tuple(r) for r in near.collect()) == [(1, 0.666667), (2, 0.0)]
