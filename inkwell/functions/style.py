@@ -37,12 +37,12 @@ def _say(*parts: str | Column) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-def concise_issues(html: Column, faq: Column) -> list[Column]:
-    """Sentences and FAQ entries (array of question, answer) that are too long; null where there is nothing to say."""
-    long = F.size(F.filter(T.sentence_lengths(html), lambda n: n > LONGEST_SENTENCE))
+def concise_issues(lengths: Column, faq: Column) -> list[Column]:
+    """Sentences (their lengths) and FAQ entries (array of question, answer) that are too long; null where there is nothing to say."""
+    long = F.size(F.filter(lengths, lambda n: n > LONGEST_SENTENCE))
     plain = lambda x: T.visible_text(without_prefix(x))
     questions = F.exists(faq, lambda f: F.size(T.sentence_lengths(plain(f["question"]))) != 1)
-    answers = F.exists(faq, lambda f: (F.length(F.regexp_replace(plain(f["answer"]), SPACE, "")) > LONGEST_ANSWER) | ~F.size(T.sentence_lengths(plain(f["answer"]))).between(1, 2))
+    answers = F.exists(faq, lambda f: T.once(plain(f["answer"]), lambda x: (F.length(F.regexp_replace(x, SPACE, "")) > LONGEST_ANSWER) | ~F.size(T.sentence_lengths(x)).between(1, 2)))
     return [
         F.when(long > 0, _say(f"{LONGEST_SENTENCE}자를 넘는 긴 문장이 ", long, "개 있습니다. 한 문장에 한 가지 내용만 남겨 나누세요.")),
         F.when(questions, "FAQ 질문은 하나의 문장으로 작성하세요."),
@@ -50,18 +50,28 @@ def concise_issues(html: Column, faq: Column) -> list[Column]:
     ]
 
 
-def friendly_issues(html: Column, faq: Column, lively: bool) -> list[Column]:
-    """Emphasis, worn phrases, marks and lists, then what ``concise_issues`` says. ``lively``: the text must address its reader."""
-    plain = F.regexp_replace(F.regexp_replace(html, "<[^>]+>", " "), SPACE + "+", " ")
-    paragraphs, strong = _count(html, r"(?i)<p[\s>]"), _count(html, r"(?i)<strong[\s>]")
+def _marks(html: Column, plain: Column) -> Column:
+    """What ``friendly_issues`` counts, each found once in a text."""
     phrases = F.flatten(F.array(*[F.regexp_extract_all(plain, F.lit(p), F.lit(0)) for p in CLICHES]))
-    counts = [_count(plain, e) for e in ENDINGS]
+    return F.struct(
+        _count(html, r"(?i)<p[\s>]").alias("paragraphs"), _count(html, r"(?i)<strong[\s>]").alias("strong"), phrases.alias("phrases"), F.array(*[_count(plain, e) for e in ENDINGS]).alias("endings"),
+        _count(plain, "[!！]").alias("shouts"), _count(plain, "[?？]").alias("asks"), _count(html, r"(?i)<(?:ol|ul)[\s>]").alias("lists"), _count(html, NUMBERED).alias("numbered"), T.sentence_lengths(html).alias("lengths"),
+    )
+
+
+def friendly_issues(html: Column, faq: Column, lively: bool) -> Column:
+    """Emphasis, worn phrases, marks and lists, then what ``concise_issues`` says, each issue that holds once. ``lively``: the text must address its reader."""
+    plain = T.squeeze_all(F.regexp_replace(html, "<[^>]+>", " "))
+    return T.once(T.once(plain, lambda x: _marks(html, x)), lambda m: issues(_friendly(m, faq, lively)))
+
+
+def _friendly(m: Column, faq: Column, lively: bool) -> list[Column]:
+    paragraphs, strong, phrases, shouts, asks, lists, numbered = (m[x] for x in ("paragraphs", "strong", "phrases", "shouts", "asks", "lists", "numbered"))
+    counts = [m["endings"][k] for k in range(len(ENDINGS))]
     endings = sum(counts, F.lit(0))
     # an ending is named with its count if it stands three times; samples of phrases come first
     named = F.filter(F.array(*[F.when(n > 2, _say(e, "(", n, "회)")) for e, n in zip(ENDINGS, counts)]), lambda x: x.isNotNull())
     samples = F.slice(F.concat(F.slice(F.array_distinct(phrases), 1, SAMPLES), named), 1, SAMPLES)
-    shouts, asks = _count(plain, "[!！]"), _count(plain, "[?？]")
-    lists, numbered = _count(html, r"(?i)<(?:ol|ul)[\s>]"), _count(html, NUMBERED)
     worn = "AI 상투 표현이 반복됩니다."
     return [
         F.when(strong < F.least(F.lit(5), F.greatest(F.lit(3), F.floor(paragraphs / 3))), "본문 핵심어 볼드가 부족합니다."),
@@ -71,7 +81,7 @@ def friendly_issues(html: Column, faq: Column, lively: bool) -> list[Column]:
         F.when(shouts > MOST_EXCLAMATIONS, _say("느낌표가 ", shouts, f"회입니다. {MOST_EXCLAMATIONS}회 이하로 줄여 주세요.")),
         F.when(asks > MOST_QUESTIONS, _say("질문이 ", asks, "회입니다. 3회 안팎으로 줄여 주세요.")),
         F.when(F.lit(lively) & (lists == 0) & (numbered == 0), "숫자를 앞세운 목록 문단이 없습니다. '확인할 세 가지'처럼 소제목에 숫자를 쓰고 항목을 나눠 주세요."),
-        *concise_issues(html, faq),
+        *concise_issues(m["lengths"], faq),
     ]
 
 
@@ -89,8 +99,8 @@ def source_urls(urls: Column) -> Column:
 def publication_issues(html: Column, faq: Column, urls: Column, portfolio: Column) -> Column:
     """What keeps a generated article from publication; ``urls`` are its sources, which a portfolio may keep to itself."""
     missing = F.trim(F.coalesce(html, F.lit(""))) == ""
-    found = [*friendly_issues(html, faq, lively=True), *_publication(faq, urls, portfolio)]
-    return F.when(missing, F.array(F.lit("검수할 본문이 없습니다."))).otherwise(issues(found))
+    found = F.array_distinct(F.concat(friendly_issues(html, faq, lively=True), issues(_publication(faq, urls, portfolio))))
+    return F.when(missing, F.array(F.lit("검수할 본문이 없습니다."))).otherwise(found)
 
 
 def _publication(faq: Column, urls: Column, portfolio: Column) -> list[Column]:
@@ -103,8 +113,12 @@ def _publication(faq: Column, urls: Column, portfolio: Column) -> list[Column]:
 def draft_issues(title: Column, summary: Column, html: Column, faq: Column) -> Column:
     """What is wrong with a draft of a portfolio; ``html`` is sanitized and has its sentence breaks."""
     plain = T.squeeze(F.regexp_replace(F.regexp_replace(F.regexp_replace(html, "(?is)<script.*?</script>", " "), "(?is)<style.*?</style>", " "), "<[^>]+>", " "))
-    n = F.length(F.regexp_replace(plain, SPACE, ""))
-    headings, paragraphs, asked, pages = _count(html, r"(?i)<h2[\s>]"), _count(html, r"(?i)<p[\s>]"), F.size(faq), _count(plain, PAGE_REFERENCE)
+    seen = T.once(plain, lambda x: F.struct(F.length(F.replace(x, F.lit(" "), F.lit(""))).alias("n"), _count(html, r"(?i)<h2[\s>]").alias("headings"), _count(html, r"(?i)<p[\s>]").alias("paragraphs"), _count(x, PAGE_REFERENCE).alias("pages")))
+    return T.once(seen, lambda s: _draft(s["n"], s["headings"], s["paragraphs"], s["pages"], title, summary, html, faq))
+
+
+def _draft(n: Column, headings: Column, paragraphs: Column, pages: Column, title: Column, summary: Column, html: Column, faq: Column) -> Column:
+    asked = F.size(faq)
     blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
     inner = publication_issues(html, faq, F.array().cast("array<string>"), F.lit(True))
     before = F.array(

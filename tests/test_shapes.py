@@ -109,6 +109,12 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_linters_go_through_a_text_once(spark):
+    rows = spark.createDataFrame([("<p>x</p>", [("q", "a")])], "h string, f array<struct<question:string,answer:string>>")
+    text = plan(rows.select(Y.publication_issues(F.col("h"), F.col("f"), F.array(F.lit("u")), F.lit(False)).alias("x")))
+    assert text.count(Y.CLICHES[0]) == 1 and text.count("<(?:ol|ul)") == 1
+
+
 def test_words_and_sentences_by_few_replacements(spark):
     rows = spark.createDataFrame([("A  b, \t　Ab 1c.  ﻿x y。z",), (None,)], "t string")
     assert "regexp_replace" not in plan(rows.select(T.token_set(F.col("t")).alias("x"))) and plan(rows.select(T.sentence_lengths(F.col("t")).alias("x"))).count("regexp_replace") == 4
