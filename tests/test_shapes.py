@@ -109,6 +109,19 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_pages_need_no_pandas(spark):
+    rows = spark.createDataFrame([("<p>A. b</p><P>c. d</P>e < f. g",), (None,), ("",)], "h string")
+    out = rows.select(H.with_breaks(F.col("h")).alias("b"), H.interleaved(F.col("h"), F.array(F.lit("1"), F.lit("2"), F.lit("3"))).alias("i"))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in out.collect()] == [("<p>A.<br>b</p><P>c.<br>d</P>e < f.<br>g", "<p>A. b</p>1<P>c. d</P>2e < f. g3"), (None, None), ("", "123")]
+    assert "pandas" not in type(H.sanitized).__name__ and [r["x"] for r in rows.select(H.sanitized(F.col("h")).alias("x")).collect()][1:] == [None, ""]
+
+
+def test_changes_too_far_apart_are_seen_at_once(monkeypatch):
+    monkeypatch.setattr(H, "_alike", None)
+    assert H.edits("the " * 600, "a " * 600) is None
+
+
 def test_linters_go_through_a_text_once(spark):
     rows = spark.createDataFrame([("<p>x</p>", [("q", "a")])], "h string, f array<struct<question:string,answer:string>>")
     text = plan(rows.select(Y.publication_issues(F.col("h"), F.col("f"), F.array(F.lit("u")), F.lit(False)).alias("x")))
