@@ -15,6 +15,8 @@ from inkwell.operators.lineage import cut
 DECAY = (1.0, 0.65, 0.35, 0.10)
 #: Candidates of a key that one task chooses from.
 BLOCK = 1000
+#: Rows of a day that are judged first, for each that it may keep, and times as many where these don't fill it.
+FIRST, MORE = 10, 10
 
 
 def slide_score(richness: Column, visual: Column, rarity: Column, density: Column) -> Column:
@@ -140,15 +142,38 @@ def distinct_titles(rows: DataFrame, key: str, k: int, most: float) -> DataFrame
 
 def daily_quota(rows: DataFrame, history: DataFrame, k: int, days: int, most: float) -> DataFrame:
     """rows (day: its number, doc_id, title, score) and history (day, title) to (day, doc_id): up to ``k`` rows a day, best score first, whose words resemble
-    neither a title of the ``days`` days before nor one chosen that day (a Jaccard similarity under ``most``). The history is indexed by spans of time,
-    so only titles in reach meet; equal titles of a day meet once."""
+    neither a title of the ``days`` days before nor one chosen that day (a Jaccard similarity under ``most``).
+
+    Rows whose words stand in that history as they are go by a join of equals. The rest are judged best first, as many a day as are likely to fill it: whoever
+    comes after the last one chosen has no say. Days that this does not fill are judged anew with ``MORE`` times as many rows, until all of them have been.
+    """
     words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("title", F.lit(""))), r"\s+"), lambda w: w != ""))
-    kinds = lambda df, name: df.select("day", words.alias("_t")).distinct().select(F.concat_ws("/", "day", F.sha2(F.array_join("_t", " "), 256)).alias(name), "day", "_t", F.floor(F.col("day") / (days + 1)).alias("_b"))
-    own, old = kinds(rows, "_s"), kinds(history, "_o")
-    met = similarity.shared_in_sets(own.select("_s", "_t", "_b"), old.select("_o", "_t", "_b"), "_s", "_o", similarity.for_jaccard(max(1, int(100 * most))))
+    same = F.sha2(F.array_join(F.array_sort(words), " "), 256)
+    old = cut(history.select("day", same.alias("_h"), words.alias("_t")).distinct())
+    reach = old.where(F.size("_t") > 0).select(F.explode(F.sequence(F.col("day") + 1, F.col("day") + days)).alias("day"), "_h").distinct()
+    left = cut(rows.withColumn("_h", same).join(reach, ["day", "_h"], "left_anti"))
+    order = Window.partitionBy("day").orderBy(F.desc("score"), "doc_id", "title")
+    found, n = [], FIRST * k
+    while True:
+        best = cut(left.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n))
+        fresh = best.join(_stale(best, old, words, days, most), ["day", "_h"], "left_anti")
+        chosen = distinct_titles(fresh.select(F.col("day").cast("string").alias("day"), "doc_id", "title", "score"), "day", k, most)
+        chosen = cut(chosen.select(F.col("day").cast("long").alias("day"), "doc_id"))
+        seen = best.groupBy(F.col("day").alias("_day")).agg(F.max("_r").alias("_n")).where(F.col("_n") == n)
+        filled = chosen.groupBy(F.col("day").alias("_day")).count().where(F.col("count") >= k)
+        again = cut(seen.join(filled, "_day", "left_anti").select("_day").union(seen.where("_day is null").select("_day")).distinct())
+        if again.isEmpty():
+            return reduce(DataFrame.unionByName, [*found, chosen])
+        open_ = F.col("day").eqNullSafe(F.col("_day"))
+        found.append(chosen.join(again, open_, "left_anti"))
+        left, n = left.join(F.broadcast(again), open_, "left_semi"), n * MORE  # a row for each day
+
+
+def _stale(rows: DataFrame, old: DataFrame, words: Column, days: int, most: float) -> DataFrame:
+    """(day, _h): which of ``rows`` resemble a title of ``old`` (day, _h, _t) of the ``days`` days before. The history is indexed by spans of time, so only titles in reach meet."""
+    name = lambda df, key, t: df.select(F.concat_ws("/", "day", "_h").alias(key), t.alias("_t"), F.floor(F.col("day") / (days + 1)).alias("_b"), "day", "_h")
+    own, past = name(rows, "_s", words).dropDuplicates(["_s"]), name(old, "_o", F.col("_t"))
+    met = similarity.shared_in_sets(own.select("_s", "_t", "_b"), past.select("_o", "_t", "_b"), "_s", "_o", similarity.for_jaccard(max(1, int(100 * most))))
     met = met.where(F.col("shared") >= most * (F.col("n__s") + F.col("n__o") - F.col("shared")))
-    met = met.join(own.select("_s", F.col("day").alias("_at")), "_s").join(old.select("_o", F.col("day").alias("_when")), "_o")
-    stale = met.where(F.col("_when").between(F.col("_at") - days, F.col("_at") - 1)).select("_s").distinct()
-    fresh = rows.withColumn("_s", F.concat_ws("/", "day", F.sha2(F.array_join(words, " "), 256))).join(stale, "_s", "left_anti")
-    found = distinct_titles(fresh.select(F.col("day").cast("string").alias("day"), "doc_id", "title", "score"), "day", k, most)
-    return found.select(F.col("day").cast("long").alias("day"), "doc_id")
+    met = met.join(own.select("_s", F.col("day").alias("_at"), "_h"), "_s").join(past.select("_o", F.col("day").alias("_when")), "_o")
+    return met.where(F.col("_when").between(F.col("_at") - days, F.col("_at") - 1)).select(F.col("_at").alias("day"), "_h").distinct()

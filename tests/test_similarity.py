@@ -99,6 +99,19 @@ def test_daily_quota(spark):
     assert got == want and (14, 900) not in got and (15, 901) in got and (20, 902) in got and (21, 903) not in got
 
 
+def test_daily_quota_judges_only_as_many_as_fill_a_day(spark, monkeypatch):
+    """Day 20 is filled by its best; day 21 only after 60 that resemble yesterday's title, three rounds later."""
+    from inkwell.operators import selection
+
+    monkeypatch.setattr(selection, "FIRST", 1)
+    monkeypatch.setattr(selection, "MORE", 3)
+    judged, stale = [], selection._stale
+    monkeypatch.setattr(selection, "_stale", lambda rows, *a: judged.append(rows.count()) or stale(rows, *a))
+    rows = [(20, k, f"a{k} b{k} c{k}", -k) for k in range(70)] + [(21, 100 + k, f"Old title here n{k}" if k < 60 else f"x{k} y{k}", -k) for k in range(62)] + [(21, 200, "old TITLE here", 1)]
+    got = selection.daily_quota(spark.createDataFrame(rows, "day long, doc_id long, title string, score int"), spark.createDataFrame([(20, "old title here")], "day long, title string"), 2, 14, 0.5)
+    assert {tuple(x) for x in got.collect()} == {(20, 0), (20, 1), (21, 160), (21, 161)} and judged == [4, 6, 18, 54, 62]
+
+
 def test_half_hundredths_go_up(spark):
     """29 of 200 words are 14.5 hundredths, which 29 / 200 * 100 in doubles isn't."""
     left, right = [f"w{k}" for k in range(29)], [f"w{k}" for k in range(200)]
