@@ -176,7 +176,7 @@ def o07(t):
 def o08(t):
     from inkwell.operators import similarity
 
-    met = similarity.shared_tokens(t.documents.select("doc_id", "text"), t.benchmark, "doc_id", "item_id", similarity.at_least(1))
+    met = similarity.shared_tokens(t.documents.select("doc_id", "text"), t.benchmark, "doc_id", "item_id", similarity.at_least(1), best=True)
     return met.groupBy("doc_id").agg(F.max_by("item_id", F.struct("shared", -F.col("item_id"))).alias("item_id"), F.max("shared").alias("shared"))
 
 

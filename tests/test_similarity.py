@@ -117,3 +117,33 @@ def test_half_hundredths_go_up(spark):
     left, right = [f"w{k}" for k in range(29)], [f"w{k}" for k in range(200)]
     frame = lambda name, t: spark.createDataFrame([(1, " ".join(t))], f"{name} long, text string")
     assert [x["score"] for x in similarity.jaccard_join(frame("a", left), frame("b", right), "a", "b", 10).collect()] == [15]
+
+
+def test_shared_tokens_are_counted_in_blocks(spark, monkeypatch):
+    """Several blocks of the right side and of counts, null, empty and repeated texts; the best of equal ones is the first, and no row is made for a token or a pair."""
+    monkeypatch.setattr(similarity, "SENT", 40)
+    monkeypatch.setattr(similarity, "COUNTS", 30)
+    r = random.Random(9)
+    some = lambda n: " ".join(f"w{min(r.randrange(40), r.randrange(40))}" for _ in range(n))
+    left = [(k, some(r.randrange(30))) for k in range(80)] + [(90, None), (91, ""), (92, "W1 w1. w2"), (93, "unknown")]
+    right = [(k, some(r.randrange(12))) for k in range(25)] + [(30, None), (31, "w1 w2"), (32, "w2 w1")]
+    one, two = spark.createDataFrame(left, "a long, text string"), spark.createDataFrame(right, "b long, text string")
+    of = lambda t: set(similarity.re.findall(similarity.TOKEN, (t or "").lower()))
+    want = {(a, b): (len(of(t)), len(of(u)), len(of(t) & of(u))) for a, t in left for b, u in right if of(t) & of(u)}
+    for n in (1, 4):
+        got = similarity.shared_tokens(one, two, "a", "b", similarity.at_least(n)).collect()
+        assert sorted((x["a"], x["b"], x["n_a"], x["n_b"], x["shared"]) for x in got) == sorted((*k, *v) for k, v in want.items() if v[2] >= n)
+    got = {(x["a"], x["b"]): x["score"] for x in similarity.jaccard_join(one, two, "a", "b", 30).collect()}
+    assert got == {k: s for k, (n, m, c) in want.items() if (s := int(100 * c / (n + m - c) + 0.5)) >= 30}
+    monkeypatch.setattr(similarity, "SENT", 10_000)
+    found = similarity.shared_tokens(one, two, "a", "b", similarity.at_least(1), best=True)
+    best = {a: max((v[2], -b) for (x, b), v in want.items() if x == a) for a in {a for a, _ in want}}
+    assert {x["a"]: (x["shared"], -x["b"]) for x in found.collect()} == best and best[92] == (2, -31)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Join", "Generate", "Exchange"))
+
+
+def test_shared_tokens_without_a_right_side(spark):
+    one, two = spark.createDataFrame([(1, "w1")], "a long, text string"), spark.createDataFrame([(2, None), (3, "")], "b long, text string")
+    found = similarity.shared_tokens(one, two, "a", "b", similarity.at_least(1))
+    assert found.columns == ["a", "b", "n_a", "n_b", "shared"] and found.count() == 0
