@@ -147,3 +147,13 @@ def test_shared_tokens_without_a_right_side(spark):
     one, two = spark.createDataFrame([(1, "w1")], "a long, text string"), spark.createDataFrame([(2, None), (3, "")], "b long, text string")
     found = similarity.shared_tokens(one, two, "a", "b", similarity.at_least(1))
     assert found.columns == ["a", "b", "n_a", "n_b", "shared"] and found.count() == 0
+
+
+def test_intersections_with_the_benchmark_are_counted_where_the_text_is(spark):
+    from inkwell.queries import QUERIES
+
+    from .conftest import DATA
+
+    for name in ("U04_intersection_size", "J10_similarity_join"):
+        plan = QUERIES[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Join", "Generate", "Exchange")), name
