@@ -143,3 +143,19 @@ def test_pairs_share_tokens_once(spark, tmp_path):
     assert sorted(tuple(r) for r in QUERIES["FM05_keywords"](spark, str(tmp_path)).collect()) == [(1, 47), (2, 0)]
     near = QUERIES["FM01_cosine"](spark, str(tmp_path))
     assert "Generate" not in plan(near) and sorted(tuple(r) for r in near.collect()) == [(1, 0.666667), (2, 0.0)]
+
+
+def test_edits_leave_diagonals_that_lead_too_far(monkeypatch):
+    """The way is the one that all diagonals give, and a text with 60 changes of seven edits each takes some steps for each edit, not some for each pair of edits."""
+    r = random.Random(3)
+    for _ in range(300):
+        chars = r.choice(["ab", "abcdef", "a\U0001f600é"])
+        a, b = ("".join(r.choice(chars) for _ in range(r.randrange(40))) for _ in range(2))
+        flat = memoryview(np.zeros(41, np.int64))
+        assert H.edits(a, b) == H._search(a, b, H.MOST_EDITS, flat, flat, flat, flat)
+    words = ["".join(r.choice("abcdeghilnorstw") for _ in range(r.randint(2, 9))) for _ in range(600)]
+    text = " ".join("that" if k % 10 == 5 else w for k, w in enumerate(words))
+    steps, alike = [], H._alike
+    monkeypatch.setattr(H, "_alike", lambda *x: steps.append(1) or alike(*x))
+    way = H.edits(text, text.replace("that ", "which "))
+    assert way.count("-") + way.count("+") == 420 and len(steps) < 8000
