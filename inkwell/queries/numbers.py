@@ -248,13 +248,14 @@ def fm20(t):
 
 @query("FM21_heavy", "SELECT deck, count(*) FILTER (width * height >= 0.03) >= 3 OR sum(width * height) >= 0.2 AS heavy FROM rects GROUP BY 1")
 def fm21(t):
-    """Where an area comes out at the limit itself, the order of the additions decides: rectangles are added up as they are stored."""
-    area = F.col("width") * F.col("height")
+    """Where an area comes out at the limit itself, the order of the additions would decide: there the rectangles are added up as whole numbers, without rounding."""
+    area, unit = F.col("width") * F.col("height"), float(1 << 40)
     decks = t.rects.groupBy("deck").agg((F.count_if(area >= 0.03) >= 3).alias("photos"), F.sum(area).alias("area"))
     close = decks.where(~F.col("photos") & (F.abs(F.col("area") - 0.2) < 1e-9)).select("deck")
-    so_far = F.sum(area).over(Window.partitionBy("deck").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
-    added = t.placed_rects.join(close, "deck").select("deck", "place", so_far.alias("so_far")).groupBy("deck").agg(F.max_by("so_far", "place").alias("in_order"))
-    return decks.join(added, "deck", "left").select("deck", (F.col("photos") | (F.coalesce("in_order", "area") >= 0.2)).alias("heavy"))
+    high = F.floor(area * unit)
+    parts = t.rects.join(close, "deck").groupBy("deck").agg(F.try_sum(high).alias("high"), F.try_sum(F.floor((area * unit - high) * unit)).alias("low"))
+    added = parts.select("deck", ((F.col("high") + F.col("low") / unit) / unit).alias("whole"))
+    return decks.join(added, "deck", "left").select("deck", (F.col("photos") | (F.coalesce("whole", "area") >= 0.2)).alias("heavy"))
 
 
 @query("FM23_length_bounds", "SELECT doc_id, least(n_chars, greatest(1600, floor(0.65::DOUBLE * n_chars + 0.5)))::BIGINT AS least, floor(1.25::DOUBLE * n_chars + 0.5)::BIGINT AS most FROM documents")

@@ -173,3 +173,16 @@ def test_union_area_takes_more_tasks_for_more_rectangles(spark, monkeypatch):
     plan = found._jdf.queryExecution().executedPlan().toString()
     n = sum(w > 0 and h > 0 for *_, w, h in rows) - 3
     assert "Join" not in plan and f"hashpartitioning(k, {-(-n // 20)})" in re.sub(r"#\d+L?", "", plan)
+
+
+def test_heavy_decks_at_the_limit_in_any_order(spark, tmp_path):
+    """The areas of deck 1 are exactly 0.2 together; one after the other, or from the last on, they come to a bit less or more. Deck 2 is short of it by 0.0001."""
+    from inkwell.queries import QUERIES
+
+    lines = [(46, 25.0, 0.06, 0.02), (33, 22.0, 0.0, 0.03), (97, 19.0, 0.05, 0.05), (47, 38.0, 0.08, 0.07), (33, 35.0, 0.02, 0.02), (30, 15.0, 0.06, 0.01), (33, 48.0, 0.01, 0.01), (36, 17.0, 0.03, 0.02)]
+    found = []
+    for k in range(8):
+        rows = [(1, *x, "A", "F") for x in lines[k:] + lines[:k]] + [(2, *x, "A", "F") for x in [*lines[:-1], (36, 17.0, 0.03, 0.0194)]] + [(3, 1, None, None, 0.1, "A", "F"), (None, 1, 1.0, 0.1, 0.1, "A", "F")]
+        spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_quantity double, l_discount double, l_tax double, l_returnflag string, l_linestatus string").coalesce(1).write.parquet(f"{tmp_path}/{k}/lineitem.parquet")
+        found.append({x["deck"]: x["heavy"] for x in QUERIES["FM21_heavy"](spark, f"{tmp_path}/{k}").collect()})
+    assert all((x[1], x[2]) == (True, False) for x in found)
